@@ -5,7 +5,7 @@ format by a keyed Feistel network: digits stay digits, separators, lengths and c
 A permutation depends on key, kind and length alone, so equal values get equal pseudonyms in every
 document and different values stay different; `restored` inverts it with the same key.
 
-Kinds: card (13 to 19 digits; those that pass the Luhn test keep passing it, by permuting all but
+Kinds: card (13 to 19 digits, also in groups of 4-4-4-4 or 4-6-5; those that pass the Luhn test keep passing it, by permuting all but
 the check digit and computing that anew), phone (+C (AAA) BBB-CCCC: the ten digits behind the
 country code), ip (four octets from 0 to 255: permuted as one 32-bit number), date (a real
 YYYY-MM-DD from 1900 to 2099: permuted among the days of these years), secret (32 to 64 hex
@@ -34,7 +34,7 @@ PHONE = r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
-CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
+CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
 ANY = "|".join((EMAIL, PHONE, IP, DATE, SECRET, CARD))
 
 ROUNDS = 8
