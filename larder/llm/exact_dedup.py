@@ -105,7 +105,9 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     marked = suspicion(digests)(digests)
     alone = marked.filter(~F.col(MAYBE)).select("doc_id", DIGEST, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     suspects = marked.filter(MAYBE).drop(MAYBE)
-    decided = suspects.join(_groups(suspects), DIGEST).select("doc_id", DIGEST, "keep_id", "group_size")
+    # Stored, so that both sides of the join are plain exchanges, which Spark splits where one text has very many copies.
+    groups = stored(_groups(suspects).select(F.col(DIGEST).alias(f"{OWN}digest"), "keep_id", "group_size"), "groups")
+    decided = suspects.join(groups, F.col(DIGEST) == F.col(f"{OWN}digest")).select("doc_id", DIGEST, "keep_id", "group_size")
     return alone.unionByName(decided).select(
         "doc_id",
         "keep_id",
@@ -121,6 +123,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     digests = stored(digested(docs.select("doc_id", "text")).drop("text"), "digests")
     mark = suspicion(digests)
     groups = _groups(mark(digests).filter(MAYBE)).filter("group_size > 1").select(F.col(DIGEST).alias(digest), F.col("keep_id").alias(keep))
+    groups = stored(groups, "groups")
     marked = mark(digested(docs))
     alone = marked.filter(~F.col(MAYBE)).select(*names)
     suspects = marked.filter(MAYBE).join(groups, F.col(DIGEST) == F.col(digest), "left")
