@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, mixing, pseudonyms, token_counts
+from larder.llm import exact_dedup, html_text, mixing, near_dedup, pseudonyms, token_counts
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,18 @@ def query(sql: str | None = None):
     return keep
 
 
+@query()
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return html_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and the near-duplicate component it belongs to."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by format-preserving pseudonyms."""
