@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, html_text, mixing, near_dedup, pseudonyms, token_counts
+from larder.llm import exact_dedup, html_text, mixing, near_dedup, packing, pseudonyms, token_counts
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, packed into sequences of 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by format-preserving pseudonyms."""
