@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, html_text, mixing, near_dedup, packing, pseudonyms, token_counts
+from larder.llm import exact_dedup, html_text, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score and whether it is accepted."""
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "accepted")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, learned from the labels that aren't held out."""
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(mixing.ORACLE)
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus remixed: sources weighted by the square root of their size, copies in a global random order."""
