@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import exact_dedup, html_text, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity
+from larder.llm import bm25, exact_dedup, html_text, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus remixed: sources weighted by the square root of their size, copies in a global random order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mixed(docs)
+
+
+@query()
+def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document whose id is divisible by 50, the ten best of all documents, searched with its whole text."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.search(docs, asked)
