@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.functions import rules
+from larder.operators import bronze, gold, profiling, quality_gates, silver, upsert
+from larder.sources import lookups, schemas
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -29,6 +33,253 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A product feed made of the order tables, in the shape that silver has before its rules.
+
+#: Aliases for the country tests: inline, so that both engines read the same rows.
+ALIASES = [("france", "FR", "France"), ("deutschland", "DE", "Germany"), ("germany", "DE", "Germany"), ("en:united-states", "US", "United States"), ("us", "US", "United States")]
+SNAPSHOT = "2024-01-31"
+
+#: Exact decimal rounding in DuckDB, half up like Spark's.
+def _r(x: str, d: int) -> str:
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,14)), {d}) AS DOUBLE)"
+
+
+FEED_SQL = """
+feed AS (
+SELECT lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS barcode, CAST(epoch(l_shipdate) AS BIGINT) AS last_modified_unix,
+  p_brand || ', Other' AS brands_raw, 'en:' || lower(p_type) || ', x' AS categories_raw, p_name AS product_name,
+  CASE WHEN n_nationkey % 6 = 0 THEN 'en:france' WHEN n_nationkey % 6 = 1 THEN 'Deutschland, France' WHEN n_nationkey % 6 = 2 THEN 'zz'
+    WHEN n_nationkey % 6 = 3 THEN 'en:united-states' WHEN n_nationkey % 6 = 4 THEN 'Nowhere Land' END AS countries_raw,
+  l_extendedprice / CAST(100 AS DOUBLE) AS kcal, l_extendedprice / CAST(20 AS DOUBLE) AS kj, l_discount * CAST(1000 AS DOUBLE) AS sugars,
+  l_quantity * CAST(2.5 AS DOUBLE) AS fat, l_tax * CAST(20 AS DOUBLE) AS salt, CAST(p_size AS DOUBLE) AS proteins,
+  CAST(p_size AS INTEGER) - 10 AS score, CASE WHEN l_returnflag = 'A' THEN ' b' WHEN l_returnflag = 'N' THEN 'not-applicable' ELSE 'E' END AS grade,
+  CAST(l_linenumber AS INTEGER) AS nova, strftime(l_shipdate, '%Y%m') AS ingest_run_id
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+"""
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order line: a product revision with raw text and raw measures. The small sides are broadcast if Spark finds them small."""
+    line = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name", "p_size")
+    supplier, nation = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), table(spark, sf_dir, "nation").select("n_nationkey")
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    c, d = F.col, lambda x: F.lit(float(x))
+    place = c("n_nationkey") % 6
+    shipped = c("l_shipdate").cast("timestamp")
+    return rows.select(
+        F.lpad(c("l_partkey").cast("string"), 8, "0").alias("barcode"),
+        F.unix_timestamp(shipped).alias("last_modified_unix"),
+        F.concat("p_brand", F.lit(", Other")).alias("brands_raw"),
+        F.concat(F.lit("en:"), F.lower("p_type"), F.lit(", x")).alias("categories_raw"),
+        c("p_name").alias("product_name"),
+        F.when(place == 0, "en:france").when(place == 1, "Deutschland, France").when(place == 2, "zz").when(place == 3, "en:united-states").when(place == 4, "Nowhere Land").alias("countries_raw"),
+        (c("l_extendedprice") / d(100)).alias("kcal"),
+        (c("l_extendedprice") / d(20)).alias("kj"),
+        (c("l_discount") * d(1000)).alias("sugars"),
+        (c("l_quantity") * d(2.5)).alias("fat"),
+        (c("l_tax") * d(20)).alias("salt"),
+        c("p_size").cast("double").alias("proteins"),
+        (c("p_size").cast("int") - 10).alias("score"),
+        F.when(c("l_returnflag") == "A", " b").when(c("l_returnflag") == "N", "not-applicable").otherwise("E").alias("grade"),
+        c("l_linenumber").cast("int").alias("nova"),
+        F.date_format(shipped, "yyyyMM").alias("ingest_run_id"),
+    )
+
+
+def raw_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as the flat rows that the cleansing rules take."""
+    c = F.col
+    none = lambda kind: F.lit(None).cast(kind)
+    return feed(spark, sf_dir).select(
+        "barcode", "product_name", "brands_raw", "categories_raw", "countries_raw", none("string").alias("quantity_raw"), none("string").alias("serving_size_raw"),
+        c("kj").alias("energy_raw_100g"), c("kcal").alias("energy_kcal_raw_100g"), c("proteins").alias("proteins_100g"), c("fat").alias("fat_100g"),
+        none("double").alias("carbohydrates_100g"), c("sugars").alias("sugars_100g"), c("salt").alias("salt_100g"), none("double").alias("sodium_raw_100g"),
+        none("double").alias("fiber_100g"), c("score").alias("nutriscore_score_raw"), c("grade").alias("nutriscore_grade_reported"), c("nova").alias("nova_group"),
+        F.concat("product_name", F.lit(","), "brands_raw").alias("ingredients_text"), F.lit("en:milk,en:tree-nuts").alias("allergens"), none("string").alias("packaging"),
+        "last_modified_unix", "ingest_run_id", F.timestamp_seconds("last_modified_unix").alias("ingested_at"),
+    )
+
+
+def inline_lookup(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ALIASES, schemas.LOOKUP)
+
+
+def silver_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed through all silver rules, latest revision per barcode; times are fixed, so results can be compared."""
+    rows = silver.enriched(silver.with_country(silver.cleansed(raw_silver(spark, sf_dir)), inline_lookup(spark)), F.timestamp_seconds(F.lit(1700000000)))
+    return silver.latest(rows, ties=TIES)
+
+
+#: Enough columns to tell any two revisions of a product apart that differ in a result.
+TIES = ["energy_kcal_raw_100g", "sugars_100g", "fat_100g", "salt_100g", "nova_group", "countries_raw", "nutriscore_grade_reported"]
+_TIES_SQL = ", ".join(f"{c} DESC NULLS LAST" for c in ["kcal", *TIES[1:]])
+
+_TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_CAP = "CASE WHEN {0} >= 0 AND {0} <= 100 THEN {1} END"
+_VALUES = ", ".join(f"('{a.removeprefix('en:').replace('-', ' ')}', '{i}', '{n}')" for a, i, n in ALIASES)
+
+SILVER_SQL = FEED_SQL + f"""
+, lookup(lookup_key, iso, name) AS (SELECT DISTINCT * FROM (VALUES {_VALUES}) t(k, i, n)),
+codes AS (SELECT iso, min(name) AS iso_name FROM lookup GROUP BY iso),
+keyed AS (SELECT *, regexp_replace(lower(replace(trim(regexp_replace(trim(string_split(countries_raw, ',')[1]), '^[a-zA-Z]{{2}}:', '')), '-', ' ')), '\\s+', ' ', 'g') AS ckey FROM feed),
+placed AS (SELECT k.*, coalesce(l.iso, CASE WHEN regexp_matches(ckey, '^[a-z]{{2}}$') THEN upper(ckey) END, 'XX') AS country_iso_code, l.name AS alias_name
+  FROM keyed k LEFT JOIN lookup l ON ckey = lookup_key),
+named AS (SELECT p.*, coalesce(alias_name, iso_name, 'Unknown Country') AS primary_country FROM placed p LEFT JOIN codes c ON country_iso_code = c.iso),
+clean AS (SELECT barcode, last_modified_unix, ingest_run_id, primary_country, country_iso_code, countries_raw, kcal,
+  {_TITLE.format("product_name")} AS product_name, {_TITLE.format("replace(regexp_replace(string_split(categories_raw, ',')[1], '^en:', ''), '-', ' ')")} AS primary_category,
+  trim(string_split(brands_raw, ',')[1]) AS primary_brand,
+  {_r("CASE WHEN kcal > 0 AND kcal <= 900 THEN kcal WHEN kj > 0 THEN " + _r("kj / 4.184e0", 1) + " WHEN kcal > 900 THEN " + _r("kcal / 4.184e0", 1) + " END", 1)} AS kcal_any,
+  {_CAP.format("sugars", _r("sugars", 1))} AS sugars_100g, {_CAP.format("fat", _r("fat", 1))} AS fat_100g, {_CAP.format("salt", _r("salt", 2))} AS salt_100g,
+  {_CAP.format("proteins", _r("proteins", 1))} AS proteins_100g, score AS nutriscore_score_raw,
+  CASE WHEN trim(grade) = 'not-applicable' THEN 'Not Applicable' ELSE upper(trim(grade)) END AS nutriscore_grade_reported,
+  CASE WHEN score <= -1 THEN 'A' WHEN score <= 2 THEN 'B' WHEN score <= 10 THEN 'C' WHEN score <= 18 THEN 'D' WHEN score IS NOT NULL THEN 'E' ELSE 'Unknown' END AS nutriscore_grade_recalculated,
+  nova AS nova_group, len(string_split(product_name || ',' || brands_raw, ',')) AS ingredient_count
+  FROM named),
+limited AS (SELECT *, CASE WHEN kcal_any > 0 AND kcal_any <= 900 THEN kcal_any END AS energy_kcal_per_100g FROM clean),
+derived AS (SELECT *,
+  CASE WHEN salt_100g > 0 THEN {_r("salt_100g / 2.5e0", 2)} END AS sodium_corrected_100g,
+  CASE WHEN sugars_100g IS NULL THEN 'Unknown' WHEN sugars_100g < 5 THEN 'Low' WHEN sugars_100g <= 12.5 THEN 'Medium' ELSE 'High' END AS sugar_tier,
+  CASE WHEN fat_100g IS NULL THEN 'Unknown' WHEN fat_100g < 3 THEN 'Low' WHEN fat_100g <= 17.5 THEN 'Medium' ELSE 'High' END AS fat_tier,
+  CASE WHEN salt_100g IS NULL THEN 'Unknown' WHEN salt_100g < 0.3 THEN 'Low' WHEN salt_100g <= 1.5 THEN 'Medium' ELSE 'High' END AS salt_tier,
+  CASE WHEN energy_kcal_per_100g >= 5 AND proteins_100g > 0 AND proteins_100g <= 100 THEN {_r("proteins_100g / energy_kcal_per_100g * 100", 1)} END AS protein_density_score,
+  CASE nova_group WHEN 1 THEN 'unprocessed' WHEN 2 THEN 'culinary_ingredient' WHEN 3 THEN 'processed' WHEN 4 THEN 'ultra_processed' ELSE 'unclassified' END AS nova_group_label,
+  nutriscore_grade_reported IN ('A', 'B', 'C', 'D', 'E') AND nutriscore_grade_reported <> nutriscore_grade_recalculated AND nutriscore_grade_recalculated <> 'Unknown' AS nutriscore_grade_mismatch,
+  regexp_matches(barcode, '^[0-9]{{8,14}}$') AS barcode_is_ean, sha256(barcode || '|' || last_modified_unix) AS row_hash,
+  CAST(1 + 1 + 1 + (nova_group IS NOT NULL)::INT + (nutriscore_score_raw IS NOT NULL)::INT + (energy_kcal_per_100g IS NOT NULL)::INT + (proteins_100g IS NOT NULL)::INT
+    + (fat_100g IS NOT NULL)::INT + (sugars_100g IS NOT NULL)::INT AS INTEGER) AS completeness_score,
+  coalesce(energy_kcal_per_100g, proteins_100g, fat_100g, sugars_100g, salt_100g) IS NOT NULL AS is_nutritional_data_complete
+  FROM limited),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY barcode ORDER BY last_modified_unix DESC NULLS LAST, {_TIES_SQL}) AS rn FROM derived),
+silver AS (SELECT * EXCLUDE (rn), CASE WHEN completeness_score >= 6 THEN 'Complete' ELSE 'Sparse' END AS data_quality_tier FROM ranked WHERE rn = 1)
+"""
+
+
+# Silver and gold, end to end.
+
+SILVER_OUT = (
+    "barcode product_name primary_category primary_brand country_iso_code primary_country energy_kcal_per_100g proteins_100g fat_100g sugars_100g salt_100g "
+    "sodium_corrected_100g sugar_tier fat_tier salt_tier protein_density_score nova_group nova_group_label ingredient_count nutriscore_score_raw "
+    "nutriscore_grade_reported nutriscore_grade_recalculated nutriscore_grade_mismatch barcode_is_ean completeness_score data_quality_tier "
+    "is_nutritional_data_complete row_hash last_modified_unix ingest_run_id"
+).split()
+
+
+@query(f"WITH {SILVER_SQL} SELECT {', '.join(SILVER_OUT)} FROM silver")
+def silver_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every silver rule over the feed, and the latest revision of each barcode."""
+    return silver_feed(spark, sf_dir).select(*SILVER_OUT)
+
+
+_NOVA_TITLE = "CASE nova_group_label WHEN 'unclassified' THEN 'Unclassified' WHEN 'ultra_processed' THEN 'Ultra-processed' WHEN 'culinary_ingredient' THEN 'Culinary ingredient' WHEN 'unprocessed' THEN 'Unprocessed' WHEN 'processed' THEN 'Processed' END"
+_AVG = lambda m, low, high: f"round(CAST(avg(CASE WHEN {m} {low} 0 AND {m} <= {high} THEN {m} END) AS DECIMAL(38,10)), 1)::DOUBLE"
+_FLAG = lambda m, n: f"CASE WHEN {m} IS NULL OR category_avg_{n}_100g IS NULL THEN 'Unknown' WHEN {m} > category_avg_{n}_100g THEN 'Yes' ELSE 'No' END AS is_above_avg_{n}"
+
+FACT_SQL = SILVER_SQL + f"""
+, benchmarks AS (SELECT primary_category AS bc, {_AVG('energy_kcal_per_100g', '>', 900)} AS category_avg_kcal_100g, {_AVG('sugars_100g', '>=', 100)} AS category_avg_sugar_100g,
+  {_AVG('fat_100g', '>=', 100)} AS category_avg_fat_100g, {_AVG('salt_100g', '>=', 100)} AS category_avg_salt_100g, {_AVG('proteins_100g', '>=', 100)} AS category_avg_protein_100g,
+  count(*) AS category_product_count FROM silver GROUP BY 1),
+fact AS (SELECT sha256(barcode) AS product_key, sha256(primary_brand) AS brand_key, sha256(primary_category) AS category_key, sha256(country_iso_code) AS country_key,
+  sha256(CASE WHEN nutriscore_grade_reported IN ('A', 'B', 'C', 'D', 'E') THEN nutriscore_grade_reported ELSE 'Unknown' END) AS nutriscore_key, DATE '{SNAPSHOT}' AS snapshot_date,
+  barcode AS product_id, primary_brand AS brand_name, primary_category AS category_name, primary_country AS country_name, country_iso_code, data_quality_tier, completeness_score,
+  is_nutritional_data_complete, energy_kcal_per_100g, proteins_100g, fat_100g, sugars_100g, salt_100g, sodium_corrected_100g, protein_density_score, nutriscore_score_raw, ingredient_count, nova_group,
+  {_NOVA_TITLE} AS nova_group_label, sugar_tier, fat_tier, salt_tier,
+  CASE WHEN protein_density_score IS NULL THEN 'Unknown' WHEN protein_density_score >= 10 THEN 'High' WHEN protein_density_score >= 5 THEN 'Medium' ELSE 'Low' END AS protein_density_tier,
+  category_avg_kcal_100g, category_avg_sugar_100g, category_avg_fat_100g, category_avg_salt_100g, category_avg_protein_100g,
+  {_FLAG('sugars_100g', 'sugar')}, {_FLAG('fat_100g', 'fat')}, {_FLAG('salt_100g', 'salt')},
+  CAST(rank() OVER (PARTITION BY primary_category ORDER BY nutriscore_score_raw ASC NULLS LAST) AS INTEGER) AS healthiness_rank_in_category, category_product_count,
+  nutriscore_grade_reported, nutriscore_grade_recalculated, nutriscore_grade_mismatch, ingest_run_id
+  FROM silver JOIN benchmarks ON primary_category = bc),
+fact_out AS (SELECT *, {_r("(healthiness_rank_in_category - 1.0::DOUBLE) / nullif(category_product_count - 1, 0) * 100", 1)} AS healthiness_percentile FROM fact)
+"""
+
+
+@query(f"WITH {FACT_SQL} SELECT * FROM fact_out")
+def fact_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nutrition fact: keys, measures, category benchmarks, rank, percentile and flags."""
+    return gold.fact_nutrition(silver_feed(spark, sf_dir), SNAPSHOT).drop("carbohydrates_100g", "fiber_100g", "ingested_at", "silver_processed_at", "gold_built_at")
+
+
+@query(f"WITH {FACT_SQL} SELECT category_name, category_avg_kcal_100g, category_avg_sugar_100g, category_avg_fat_100g, category_avg_salt_100g, category_avg_protein_100g, category_product_count FROM fact_out GROUP BY ALL")
+def category_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages of plausible measures by category, as partial sums."""
+    return gold.category_benchmarks(silver_feed(spark, sf_dir).withColumn("category_name", rules.labelled(F.col("primary_category"))))
+
+
+@query("""
+SELECT p_partkey, CAST(rank() OVER w AS INTEGER) AS category_rank, count(*) OVER (PARTITION BY p_type) AS n_in_category,
+  CAST(round(CAST((rank() OVER w - 1) AS DOUBLE) / nullif(count(*) OVER (PARTITION BY p_type) - 1, 0) * 100, 1) AS DOUBLE) AS percentile
+FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_size ASC NULLS LAST)
+""")
+def category_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank, group size and percentile by windows of one partitioning: one shuffle for both."""
+    by_type = Window.partitionBy("p_type")
+    rank, n = F.rank().over(by_type.orderBy(F.col("p_size").asc_nulls_last())), F.count("*").over(by_type)
+    return table(spark, sf_dir, "part").select("p_partkey", rank.alias("category_rank"), n.alias("n_in_category"), F.round((rank - 1) / F.nullif(n - 1, F.lit(0)) * 100, 1).alias("percentile"))
+
+
+@query(f"WITH {SILVER_SQL} SELECT DISTINCT sha256(primary_brand) AS brand_key, primary_brand AS brand_name FROM silver")
+def dim_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per brand."""
+    return gold.dim_brand(silver_feed(spark, sf_dir)).drop("gold_built_at")
+
+
+@query(f"WITH {SILVER_SQL} SELECT DISTINCT sha256(primary_category) AS category_key, primary_category AS category_name FROM silver")
+def dim_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per category."""
+    return gold.dim_category(silver_feed(spark, sf_dir)).drop("gold_built_at")
+
+
+@query(f"WITH {SILVER_SQL} SELECT sha256(country_iso_code) AS country_key, country_iso_code, max(primary_country) AS country_name FROM silver GROUP BY country_iso_code")
+def dim_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per ISO code."""
+    return gold.dim_country(silver_feed(spark, sf_dir)).drop("gold_built_at")
+
+
+_GRADES = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in lookups.GRADE_ROWS)
+GRADE_SQL = f"grades(grade, score_min, score_max, description, color_indicator) AS (VALUES {_GRADES})"
+
+
+@query(f"WITH {GRADE_SQL} SELECT sha256(grade) AS nutriscore_key, grade, CAST(score_min AS INTEGER) AS score_min, CAST(score_max AS INTEGER) AS score_max, description, color_indicator FROM grades")
+def dim_nutriscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grades with their score bands."""
+    return gold.dim_nutriscore(lookups.grade_lookup(spark)).drop("gold_built_at")
+
+
+@query(f"""WITH {SILVER_SQL} SELECT sha256(barcode) AS product_key, barcode AS product_id, product_name, ingredient_count, nova_group, {_NOVA_TITLE} AS nova_group_label, completeness_score,
+data_quality_tier, is_nutritional_data_complete, nutriscore_grade_reported, nutriscore_grade_recalculated, nutriscore_grade_mismatch, sha256(primary_brand) AS brand_key,
+sha256(primary_category) AS category_key, sha256(country_iso_code) AS country_key, ingest_run_id, 'Unknown' AS packaging, 'Milk, Tree Nuts' AS allergens FROM silver""")
+def dim_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per product."""
+    return gold.dim_product(silver_feed(spark, sf_dir)).drop("gold_built_at", "silver_processed_at")
+
+
+@query(f"""WITH {FACT_SQL} SELECT product_key, brand_key, category_key, country_key, nutriscore_key, snapshot_date, energy_kcal_per_100g, brand_name, category_name,
+(SELECT product_name FROM silver s WHERE s.barcode = product_id) AS product_name, country_name, CASE WHEN nutriscore_grade_reported IN ('A', 'B', 'C', 'D', 'E') THEN nutriscore_grade_reported ELSE 'Unknown' END AS grade
+FROM fact_out""")
+def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact joined with all its dimensions by hash key."""
+    rows = silver_feed(spark, sf_dir)
+    dims = (gold.dim_product(rows), gold.dim_brand(rows), gold.dim_category(rows), gold.dim_country(rows), gold.dim_nutriscore(lookups.grade_lookup(spark)))
+    return gold.star(gold.fact_nutrition(rows, SNAPSHOT), *dims)
+
+
+_COUNT = lambda p: f"count(*) FILTER (WHERE {p})"
+_PCT = lambda p: f"CAST(round(count(*) FILTER (WHERE {p}) / CAST(count(*) AS DOUBLE) * 100, 2) AS DOUBLE)"
+
+
+@query(f"""WITH {SILVER_SQL} SELECT ingest_run_id, count(*) AS total_products_processed, count(DISTINCT barcode) AS unique_barcodes, count(DISTINCT primary_brand) AS unique_brands,
+count(DISTINCT primary_category) AS unique_categories, count(DISTINCT primary_country) AS unique_countries, {_COUNT('nutriscore_grade_mismatch')} AS nutriscore_mismatch_count,
+{_PCT('nutriscore_grade_mismatch')} AS nutriscore_mismatch_pct, {_COUNT('energy_kcal_per_100g IS NULL')} AS missing_kcal_count, {_COUNT('proteins_100g IS NULL')} AS missing_protein_count,
+{_COUNT('sugars_100g IS NULL')} AS missing_sugar_count, {_PCT('energy_kcal_per_100g IS NULL')} AS missing_kcal_pct, {_PCT('NOT barcode_is_ean')} AS invalid_ean_pct,
+{_COUNT('nova_group = 1')} AS nova_1_unprocessed_count, {_COUNT('nova_group = 2')} AS nova_2_culinary_count, {_COUNT('nova_group = 3')} AS nova_3_processed_count,
+{_COUNT('nova_group = 4')} AS nova_4_ultra_processed_count, {', '.join(_COUNT(f"nutriscore_grade_reported = '{g}'") + f' AS grade_{g.lower()}_count' for g in 'ABCDE')},
+{', '.join(_COUNT(f"sugar_tier = '{t}'") + f' AS sugar_{t.lower()}_count' for t in ('Low', 'Medium', 'High'))} FROM silver GROUP BY ingest_run_id""")
+def audit_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of every run, with all its columns but the times."""
+    return gold.audit(silver_feed(spark, sf_dir)).drop("run_ingested_at", "silver_completed_at", "audit_built_at")
+
+
 @query("""
 SELECT strftime(ts, '%Y%m%d_%H') || '00' AS ingest_run_id, count(*) AS n_rows,
        count(DISTINCT user_id) AS n_users, count(DISTINCT event_type) AS n_types,
@@ -39,18 +290,321 @@ FROM events GROUP BY 1
 """)
 def pipeline_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run row counts, distinct counts, extremes and shares of one event feed."""
-    run = F.concat(F.date_format("ts", "yyyyMMdd_HH"), F.lit("00"))
-    large = F.when(F.col("value") > 50, 1).otherwise(0)
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy(run.alias("ingest_run_id"))
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.count_distinct("user_id").alias("n_users"),
-            F.count_distinct("event_type").alias("n_types"),
-            F.min("value").alias("min_value"),
-            F.max("value").alias("max_value"),
-            F.sum(large).alias("n_large"),
-            F.round(F.sum(large) / F.count("*") * 100, 2).alias("pct_large"),
-        )
+    large = F.col("value") > 50
+    return with_run(table(spark, sf_dir, "events")).groupBy("ingest_run_id").agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("user_id").alias("n_users"),
+        F.count_distinct("event_type").alias("n_types"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
+        gold.count_where(large).alias("n_large"),
+        gold.percent_where(large).alias("pct_large"),
     )
+
+
+def with_run(events: DataFrame) -> DataFrame:
+    """Events with the id of their hourly run."""
+    return events.withColumn("ingest_run_id", F.concat(F.date_format("ts", "yyyyMMdd_HH"), F.lit("00")))
+
+
+RUN_SQL = "runs AS (SELECT *, strftime(ts, '%Y%m%d_%H') || '00' AS ingest_run_id FROM events)"
+
+
+# Bronze and JSON.
+
+
+@query("""SELECT strftime(ts, '%Y%m%d_%H') || '00' AS ingest_run_id, 'bronze' AS ingest_layer, event_id AS api_page_number, CAST(1 AS INTEGER) AS page_size,
+CAST(NULL AS VARCHAR) AS fetched_at, '[' || props || ']' AS raw_products_json FROM events""")
+def bronze_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as landed pages: lineage columns, alignment to the fixed schema with typed nulls, the page number back-filled."""
+    pages = with_run(table(spark, sf_dir, "events")).select("ingest_run_id", F.col("event_id").cast("int").alias("page_number"), F.lit(None).cast("long").alias("api_page_number"), F.lit(1).alias("page_size"), F.concat(F.lit("["), "props", F.lit("]")).alias("products"))
+    return bronze.bronze(pages).select("ingest_run_id", "ingest_layer", "api_page_number", "page_size", "fetched_at", "raw_products_json")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}' AS again FROM events")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON to a struct and back."""
+    parsed = F.from_json("props", "k string")
+    return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"), F.to_json(parsed).alias("again"))
+
+
+@query("SELECT user_id, count(*) AS n_pages, CAST(sum(coalesce(json_array_length('[' || props || ',' || props || ']'), 0)) AS BIGINT) AS n_items FROM events GROUP BY user_id")
+def json_array_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the lengths of JSON arrays by key."""
+    array = F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n_pages"), F.sum(F.coalesce(F.json_array_length(array), F.lit(0))).cast("long").alias("n_items"))
+
+
+@query("""SELECT event_id, json_extract_string(p, '$.k') AS k FROM (SELECT event_id, unnest(from_json('[' || props || ',{"k":"x"}]', '["JSON"]')) AS p FROM events)""")
+def explode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array's elements as rows."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("larder_events")
+    return spark.sql("""SELECT event_id, p.k FROM larder_events LATERAL VIEW explode(from_json(concat('[', props, ',{"k":"x"}]'), 'array<struct<k:string>>')) t AS p""")
+
+
+# Keep-latest, upserts.
+
+
+@query("""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC,
+l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS rn FROM lineitem) WHERE rn = 1""")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest row of each key; ties by all other columns."""
+    ties = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    return silver.latest(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_shipdate", ties)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each user's latest event of even ids, and of odd ids."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return tuple(silver.latest(events.filter(F.col("event_id") % 2 == k), ["user_id"], "ts", ["event_id"]) for k in (0, 1))
+
+
+_HALF = lambda k: f"SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_id % 2 = {k}) WHERE rn = 1"
+
+
+@query(f"WITH old AS ({_HALF(0)}), new AS ({_HALF(1)}) SELECT * FROM old WHERE user_id NOT IN (SELECT user_id FROM new) UNION ALL SELECT * FROM new")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed merge in which the new batch always wins."""
+    return upsert.merged(*_halves(spark, sf_dir), ["user_id"])
+
+
+@query(f"""WITH b AS (SELECT *, 0 AS is_new FROM ({_HALF(0)}) UNION ALL SELECT *, 1 FROM ({_HALF(1)}))
+SELECT * EXCLUDE (is_new, rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, is_new DESC) AS rn FROM b) WHERE rn = 1""")
+def upsert_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyed merge in which an older revision never wins."""
+    return upsert.merged_latest(*_halves(spark, sf_dir), ["user_id"], "ts")
+
+
+@query("SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def backfill_equals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two guarded batches give what one backfill gives (timestamps are unique per user)."""
+    return upsert.merged_latest(*_halves(spark, sf_dir), ["user_id"], "ts")
+
+
+# Rules.
+
+
+@query(f"WITH {SILVER_SQL} SELECT barcode, last_modified_unix, countries_raw, country_iso_code, primary_country FROM named")
+def country_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Country codes and names of every revision, by alias, then by code."""
+    rows = silver.with_country(feed(spark, sf_dir).select("barcode", "last_modified_unix", "countries_raw"), inline_lookup(spark))
+    return rows.select("barcode", "last_modified_unix", "countries_raw", "country_iso_code", "primary_country")
+
+
+@query(f"SELECT p_partkey, {_TITLE.format('p_type')} AS category, {_TITLE.format('p_name')} AS product_name, {_TITLE.format('p_type')} || ', ' || {_TITLE.format('p_name')} AS tags, 'Unknown' AS no_tags FROM part")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category, name and tag-list rules."""
+    c = F.col
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        rules.category(F.concat(F.lit(" en:fr:"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")))).alias("category"),
+        rules.product_name(F.concat(F.lit("  "), c("p_name"), F.lit(" "))).alias("product_name"),
+        rules.tag_list(F.concat(F.lit("en:"), c("p_type"), F.lit(", fr:"), F.replace(c("p_name"), F.lit(" "), F.lit("-")))).alias("tags"),
+        rules.tag_list(F.lit("  ")).alias("no_tags"),
+    )
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, {_CAP.format("l_quantity * 2.5::DOUBLE", _r("l_quantity * 2.5::DOUBLE", 1))} AS fat,
+CASE WHEN l_tax * 2000 > 0 AND l_tax * 2000 <= 100 THEN l_tax * 2000 END AS clamped FROM lineitem""")
+def nutrient_round_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Implausible values become null, others are rounded."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", rules.nutrient(F.col("l_quantity") * F.lit(2.5)).alias("fat"), rules.within(F.col("l_tax") * 2000, 0.0, 100.0, open_low=True).alias("clamped"))
+
+
+@query(f"WITH {SILVER_SQL} SELECT barcode, last_modified_unix, kcal, energy_kcal_per_100g FROM limited")
+def energy_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kcal from kcal, kJ or mislabelled kJ."""
+    return feed(spark, sf_dir).select("barcode", "last_modified_unix", "kcal", rules.energy_kcal(F.col("kcal"), F.col("kj")).alias("energy_kcal_per_100g"))
+
+
+@query(f"WITH {SILVER_SQL} SELECT barcode, last_modified_unix, salt_100g, sodium_corrected_100g FROM derived")
+def sodium_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sodium, from salt where there is none."""
+    salt = rules.nutrient(F.col("salt"), 2)
+    return feed(spark, sf_dir).select("barcode", "last_modified_unix", salt.alias("salt_100g"), rules.sodium(F.lit(None).cast("double"), salt).alias("sodium_corrected_100g"))
+
+
+@query(f"WITH {SILVER_SQL} SELECT barcode, last_modified_unix, sugar_tier, fat_tier, salt_tier, protein_density_score, nova_group_label, ingredient_count FROM derived")
+def tiers_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers, protein density, NOVA label and ingredient count of every revision."""
+    rows = silver.enriched(silver.with_country(silver.cleansed(raw_silver(spark, sf_dir)), inline_lookup(spark)))
+    return rows.select("barcode", "last_modified_unix", "sugar_tier", "fat_tier", "salt_tier", "protein_density_score", "nova_group_label", "ingredient_count")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'A' WHEN l_returnflag = 'N' THEN 'Not Applicable' ELSE 'Unknown' END AS reported,
+CASE WHEN l_linenumber - 3 <= -1 THEN 'A' WHEN l_linenumber - 3 <= 2 THEN 'B' WHEN l_linenumber - 3 <= 10 THEN 'C' END AS recalculated,
+l_returnflag = 'A' AND l_linenumber - 3 > -1 AS mismatch FROM lineitem""")
+def grade_recalc_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported against recalculated grades."""
+    flag = F.col("l_returnflag")
+    reported = rules.reported_grade(F.when(flag == "A", " a ").when(flag == "N", "N/A").otherwise("unknown"))
+    again = rules.recalculated_grade(F.col("l_linenumber") - 3)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", reported.alias("reported"), again.alias("recalculated"), rules.grade_mismatch(reported, again).alias("mismatch"))
+
+
+@query("SELECT c_custkey, regexp_matches(trim(lpad(CAST(c_custkey AS VARCHAR), CAST(4 + c_custkey % 12 AS INTEGER), '0')), '^[0-9]{8,14}$') AS is_ean FROM customer")
+def barcode_ean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes of 8 to 14 digits."""
+    padded = F.lpad(F.col("c_custkey").cast("string"), (4 + F.col("c_custkey") % 12).cast("int"), F.lit("0"))
+    return table(spark, sf_dir, "customer").select("c_custkey", rules.is_ean(padded).alias("is_ean"))
+
+
+@query("""SELECT c_custkey, CAST((c_mktsegment <> 'BUILDING')::INT + 1 + (c_acctbal > 0)::INT + 0 AS INTEGER) AS completeness, CASE WHEN (c_mktsegment <> 'BUILDING')::INT + 1 + (c_acctbal > 0)::INT >= 3
+THEN 'Complete' ELSE 'Sparse' END AS tier, CAST(2 + (c_acctbal > 0)::INT AS INTEGER) AS n_known, true AS any_known FROM customer""")
+def completeness_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that say something, counted; nulls, blanks and labels for unknown don't."""
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", "Unknown thing").otherwise(F.col("c_mktsegment"))
+    balance = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
+    score = rules.completeness([segment, F.col("c_name"), balance, F.lit(" n/a ")])
+    return table(spark, sf_dir, "customer").select("c_custkey", score.alias("completeness"), F.when(score >= 3, "Complete").otherwise("Sparse").alias("tier"), rules.known_count([segment, F.col("c_name"), balance]).alias("n_known"), rules.any_known([F.col("c_custkey"), balance]).alias("any_known"))
+
+
+@query("SELECT p_partkey, sha256(p_partkey || '|' || p_name) AS row_hash, sha256(p_brand) AS brand_key, sha256(CASE WHEN p_size > 25 THEN p_type ELSE 'Unknown' END) AS category_key FROM part")
+def surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row hashes that skip nulls, and keys of labels with a stand-in for missing ones."""
+    kind = F.when(F.col("p_size") > 25, F.col("p_type")).otherwise("  ")
+    return table(spark, sf_dir, "part").select("p_partkey", rules.row_hash(F.col("p_partkey"), F.lit(None), F.col("p_name")).alias("row_hash"), rules.label_key(F.col("p_brand")).alias("brand_key"), rules.label_key(kind).alias("category_key"))
+
+
+# Gates.
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s FROM orders) WHERE s IS NULL")
+def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"))
+    return quality_gates.not_null(rows, "status").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gates.unique(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')")
+def dq_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gates.accepted_values(table(spark, sf_dir, "customer"), "c_mktsegment", ("BUILDING", "AUTOMOBILE", "MACHINERY")).select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def dq_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gates.relationships(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal < 0 OR s_acctbal > 9000")
+def dq_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gates.in_range(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", 0, 9000)
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE l_discount > 0.05) / CAST(count(*) AS DOUBLE) AS share FROM lineitem HAVING count(*) FILTER (WHERE l_discount > 0.05) / CAST(count(*) AS DOUBLE) > 0.05")
+def dq_ratio_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gates.share_at_most(table(spark, sf_dir, "lineitem"), F.col("l_discount") > 0.05, 0.05)
+
+
+# Profiles.
+
+
+@query(f"WITH {RUN_SQL} SELECT event_id, ingest_run_id FROM runs JOIN (SELECT max(ingest_run_id) AS last_run FROM runs) ON ingest_run_id = last_run")
+def latest_run_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last run, joined with a table of one row."""
+    return profiling.latest_run(with_run(table(spark, sf_dir, "events"))).select("event_id", "ingest_run_id")
+
+
+@query(f"WITH {RUN_SQL} SELECT ingest_run_id, count(*) AS n_rows FROM runs WHERE ingest_run_id = (SELECT ingest_run_id FROM runs ORDER BY ts DESC, event_id DESC LIMIT 1) GROUP BY 1")
+def latest_run_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a scalar subquery."""
+    with_run(table(spark, sf_dir, "events")).createOrReplaceTempView("larder_runs")
+    return spark.sql("SELECT ingest_run_id, count(*) AS n_rows FROM larder_runs WHERE ingest_run_id = (SELECT ingest_run_id FROM larder_runs ORDER BY ts DESC, event_id DESC LIMIT 1) GROUP BY 1")
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_values FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
+def having_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with several values."""
+    return profiling.ambiguous(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query("SELECT * FROM (SELECT count(*) AS n_orders FROM orders), (SELECT count(*) AS n_lines FROM lineitem)")
+def cross_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two single rows side by side."""
+    orders, lines = (table(spark, sf_dir, t).agg(F.count("*").alias(n)) for t, n in (("orders", "n_orders"), ("lineitem", "n_lines")))
+    return orders.crossJoin(lines)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n_rows FROM lineitem GROUP BY 1, 2")
+def group_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouping by the places of columns."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("larder_lines")
+    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n_rows FROM larder_lines GROUP BY 1, 2")
+
+
+@query("SELECT p_brand, p_size, count(*) AS n_rows FROM part GROUP BY 1, 2 ORDER BY n_rows DESC, p_brand, p_size LIMIT 10")
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent pairs."""
+    return profiling.top(table(spark, sf_dir, "part"), ["p_brand", "p_size"], 10)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_discount > l_tax AND (l_quantity > 49 OR l_extendedprice > 90000) ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 30")
+def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty most extreme rows of those that compare oddly."""
+    odd = (F.col("l_discount") > F.col("l_tax")) & ((F.col("l_quantity") > 49) | (F.col("l_extendedprice") > 90000))
+    return table(spark, sf_dir, "lineitem").filter(odd).select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber").limit(30)
+
+
+@query(f"WITH {SILVER_SQL} SELECT count(*) AS total_rows, count(DISTINCT barcode) AS distinct_keys, {_COUNT('energy_kcal_per_100g IS NULL')} AS null_kcal, {_COUNT('sugars_100g < 0')} AS negative_sugars, {_COUNT('sugars_100g > fat_100g')} AS sugar_above_fat, {_COUNT('nutriscore_grade_mismatch')} AS mismatch_rows FROM silver")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows meet each condition, in one pass."""
+    c = F.col
+    checks = {"null_kcal": c("energy_kcal_per_100g").isNull(), "negative_sugars": c("sugars_100g") < 0, "sugar_above_fat": c("sugars_100g") > c("fat_100g"), "mismatch_rows": c("nutriscore_grade_mismatch")}
+    return profiling.scorecard(silver_feed(spark, sf_dir), checks, "barcode")
+
+
+@query(f"""WITH {SILVER_SQL} SELECT unnest(['energy_kcal_per_100g', 'sugars_100g', 'fat_100g']) AS column_name, n AS n_rows, unnest([k, s, f]) AS n_missing, CAST(round(100 * unnest([k, s, f]) / CAST(n AS DOUBLE), 2) AS DOUBLE) AS missing_pct
+FROM (SELECT count(*) AS n, {_COUNT('energy_kcal_per_100g IS NULL')} AS k, {_COUNT('sugars_100g IS NULL')} AS s, {_COUNT('fat_100g IS NULL')} AS f FROM silver)""")
+def missing_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing values by column."""
+    return profiling.missing(silver_feed(spark, sf_dir), ["energy_kcal_per_100g", "sugars_100g", "fat_100g"])
+
+
+@query(f"WITH {SILVER_SQL} SELECT nutriscore_grade_recalculated, count(*) AS n_rows FROM silver GROUP BY 1")
+def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by grade."""
+    return profiling.distribution(silver_feed(spark, sf_dir), "nutriscore_grade_recalculated")
+
+
+@query(f"WITH {SILVER_SQL} SELECT floor(energy_kcal_per_100g / 100) * 100 AS bin, count(*) AS n_rows FROM silver WHERE energy_kcal_per_100g BETWEEN 0 AND 900 GROUP BY 1")
+def energy_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by kcal, in bins of 100."""
+    return profiling.histogram(silver_feed(spark, sf_dir), "energy_kcal_per_100g", 100.0, 0.0, 900.0)
+
+
+@query(f"WITH {RUN_SQL} SELECT ingest_run_id, count(*) AS page_rows, CAST(sum(event_id) AS BIGINT) AS id_sum, min(ts) AS first_at, max(ts) AS last_at FROM runs GROUP BY 1")
+def run_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, a sum and the time span of each run."""
+    return with_run(table(spark, sf_dir, "events")).groupBy("ingest_run_id").agg(F.count("*").alias("page_rows"), F.sum("event_id").alias("id_sum"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
+# Projections.
+
+
+@query("SELECT * EXCLUDE (o_totalprice, o_orderpriority) FROM orders")
+def star_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns but some."""
+    return schemas.without(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT CAST(r_name AS VARCHAR) AS alias, CAST(NULL AS VARCHAR) AS iso_code, CAST(r_regionkey AS VARCHAR) AS display_name FROM region")
+def align_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in the columns, order and types of a schema; what is missing is a typed null."""
+    return schemas.aligned(table(spark, sf_dir, "region"), schemas.LOOKUP, alias=F.col("r_name"), display_name=F.col("r_regionkey"))
+
+
+@query("SELECT doc_id, left(text, 40) AS text_start FROM documents")
+def left_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first characters of a text: a display of the whole table."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("text_start"))
+
+
+@query(f"WITH {SILVER_SQL} SELECT barcode FROM silver WHERE barcode IS NOT NULL")
+def silver_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver by name, as a view."""
+    silver_feed(spark, sf_dir).createOrReplaceTempView("larder_silver")
+    return spark.table("larder_silver").filter("barcode IS NOT NULL").select("barcode")
