@@ -134,7 +134,7 @@ clean AS (SELECT barcode, last_modified_unix, ingest_run_id, primary_country, co
   {_CAP.format("proteins", _r("proteins", 1))} AS proteins_100g, score AS nutriscore_score_raw,
   CASE WHEN trim(grade) = 'not-applicable' THEN 'Not Applicable' ELSE upper(trim(grade)) END AS nutriscore_grade_reported,
   CASE WHEN score <= -1 THEN 'A' WHEN score <= 2 THEN 'B' WHEN score <= 10 THEN 'C' WHEN score <= 18 THEN 'D' WHEN score IS NOT NULL THEN 'E' ELSE 'Unknown' END AS nutriscore_grade_recalculated,
-  nova AS nova_group, len(string_split(product_name || ',' || brands_raw, ',')) AS ingredient_count
+  nova AS nova_group, CAST(len(string_split(product_name || ',' || brands_raw, ',')) AS INTEGER) AS ingredient_count
   FROM named),
 limited AS (SELECT *, CASE WHEN kcal_any > 0 AND kcal_any <= 900 THEN kcal_any END AS energy_kcal_per_100g FROM clean),
 derived AS (SELECT *,
@@ -485,9 +485,10 @@ def dq_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gates.accepted_values(table(spark, sf_dir, "customer"), "c_mktsegment", ("BUILDING", "AUTOMOBILE", "MACHINERY")).select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def dq_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_gates.relationships(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+    parent = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    return quality_gates.relationships(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", parent, "c_custkey")
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal < 0 OR s_acctbal > 9000")
