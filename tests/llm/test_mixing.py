@@ -1,0 +1,87 @@
+import hashlib
+import math
+from collections import Counter, defaultdict
+
+import pytest
+
+from larder.llm import mixing as M
+from larder.llm import queries
+from tests.helpers import assert_same
+from tests.llm.conftest import CLASHING, ROWS, frame
+
+
+def unit(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def poisson(u, rate):
+    if rate == 0:
+        return 0 if u < 1 else 1
+    k, p = 0, math.exp(-rate)
+    total = p
+    while total <= u:
+        k += 1
+        p *= rate / k
+        total += p
+    return k
+
+
+def brute(rows, power=0.5, weights=None):
+    size = defaultdict(int)
+    for r in rows:
+        size[r[3]] += len(r[1] or "")
+    share = {s: (weights.get(s, 0.0) if weights is not None else n**power if n else 0.0) for s, n in size.items()}
+    total, shares = sum(size.values()), sum(share.values())
+    rate = {s: share[s] / shares * total / n if n else 1.0 for s, n in size.items()}
+    return Counter({(r[0], r[3], c): 0 for r in rows for c in ()}) + Counter((r[0], r[3], c) for r in rows for c in range(poisson(unit(f"mix|{'' if r[0] is None else r[0]}"), rate[r[3]])))
+
+
+def many():
+    return [(i, "x" * (10 + i % 7), "en", ("a" if i % 3 else "b") if i % 5 else None) for i in range(600)]
+
+
+@pytest.mark.parametrize("rows", [ROWS, many()], ids=["odd", "many"])
+def test_counts_against_brute_force(spark, rows):
+    got = Counter((r["doc_id"], r["source"], r["copy"]) for r in M.mixed(frame(spark, rows)).collect())
+    assert got == brute(rows)
+
+
+def test_given_weights(spark):
+    rows = many()
+    got = Counter((r["doc_id"], r["source"], r["copy"]) for r in M.mixed(frame(spark, rows), {"a": 0.25, None: 0.75}).collect())
+    assert got == brute(rows, weights={"a": 0.25, None: 0.75})
+    by = Counter()
+    for (i, s, c), n in got.items():
+        by[s] += n * (10 + i % 7)
+    total = sum(10 + i % 7 for i in range(600))
+    assert by["b"] == 0 and abs(by["a"] / total - 0.25) < 0.08 and abs(by[None] / total - 0.75) < 0.12
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 1.0, 7.5, 200.0, 3000.0])
+def test_table_is_the_distribution(spark, rate):
+    table = spark.range(1).select(M.cumulative(M.F.lit(rate)).alias("t")).first()["t"]
+    if rate == 0:
+        assert table == [1.0]
+        return
+    assert table == sorted(table) and abs(table[-1] - 1) < 1e-9
+    k = int(rate)
+    assert abs((table[k] - (table[k - 1] if k else 0)) - math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) < 1e-9
+
+
+def test_columns_and_order(odd, empty):
+    out = M.mixed(odd)
+    assert set(out.columns) == set(odd.columns) | {"shuffle_key"} and [c for c in out.columns if c not in odd.columns] == ["shuffle_key"]
+    assert all(r["kept"] == "kept!" for r in out.collect())
+    for part in out.select("shuffle_key").rdd.glom().collect():
+        keys = [r[0] for r in part]
+        assert keys == sorted(keys)
+    assert M.mixed(empty).count() == 0
+
+
+def test_native(spark):
+    plan = M.mixed(frame(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query(spark, tiny):
+    assert_same(queries.QUERIES["op9_source_mixing"](spark, tiny), queries.ORACLES["op9_source_mixing"], tiny)

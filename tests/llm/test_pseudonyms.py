@@ -1,0 +1,96 @@
+import datetime
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from larder.llm import pseudonyms as P
+from larder.llm import queries
+from tests.llm.conftest import CLASHING, ROWS, frame
+
+VALUES = ["4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "9807915762804490", "192.168.0.1", "255.255.255.255", "0.0.0.0", "+1 (017) 555-7713", "+49 (030) 123-4567", "2024-02-29", "1900-01-01", "2099-12-31", "Jo.hn-12@mail7.example.com", "a@b.co", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
+NOT_VALUES = ["2023-02-29", "300.1.1.1", "1.2.3", "12345", "1234 5678", "v1.2.3.4.5", "word", "2024-13-01", "deadbeef"]
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
+def shape(s):
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", s)))
+
+
+@pytest.fixture(scope="module")
+def moved(spark):
+    df = spark.createDataFrame([(v,) for v in VALUES], "v string").select("v", P.pseudonym(F.col("v")).alias("w")).select("v", "w", P.pseudonym(F.col("w"), undo=True).alias("back"), P.pseudonym(F.col("v"), "other key").alias("other"))
+    return {r["v"]: r for r in df.collect()}
+
+
+@pytest.mark.parametrize("v", VALUES)
+def test_formats_stay_and_values_come_back(moved, v):
+    w = moved[v]["w"]
+    assert moved[v]["back"] == v and w != v and moved[v]["other"] != w
+    if v.count(".") == 3 and "@" not in v:
+        assert all(0 <= int(x) <= 255 for x in w.split("."))
+    elif re.fullmatch(r"[0-9a-f]{40}|[0-9A-F]{40}", v):
+        assert len(w) == len(v) and re.fullmatch("[0-9a-f]+" if v.islower() else "[0-9A-F]+", w)
+    else:
+        assert shape(w) == shape(v)
+    if shape(v)[:4] == "9999" and "-" not in v[:5]:
+        assert luhn(v) == luhn(w)
+    if shape(v) == "9999-99-99":
+        assert 1900 <= datetime.date.fromisoformat(w).year <= 2099
+
+
+def test_grouped_and_plain_numbers_stay_linked(moved):
+    assert moved["4111 1111 1111 1111"]["w"].replace(" ", "-") == moved["4111-1111-1111-1111"]["w"]
+
+
+def test_different_values_stay_different(spark):
+    df = spark.range(3000).select(F.concat(F.lit("10.0."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("v"))
+    assert df.select(P.pseudonym(F.col("v")).alias("w")).distinct().count() == 3000
+    days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
+    assert days.select(P.pseudonym(F.col("v")).alias("w")).distinct().count() == 3000
+
+
+def brute(text, table):
+    """The text with each found value replaced by its own pseudonym."""
+    return re.sub("|".join(re.escape(v) for v in sorted(table, key=len, reverse=True)), lambda m: table[m[0]], text)
+
+
+def test_texts(spark, moved):
+    table = {v: r["w"] for v, r in moved.items()}
+    text = "start " + " , ".join(VALUES) + " and " + " ; ".join(NOT_VALUES) + " end."
+    rows = [(1, text), (2, VALUES[0]), (3, None), (4, ""), (5, "no value here"), (6, (text + "\n") * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.pseudonymised(df).collect()}
+    for i, t in rows:
+        assert got[i]["text"] == (None if t is None else brute(t, table) if i in (1, 2, 6) else t)
+    assert [got[i]["n_values"] for i in range(1, 7)] == [16, 1, 0, 0, 0, 3200]
+    assert {r["doc_id"]: r["text"] for r in P.restored(P.pseudonymised(df)).collect()} == dict(rows)
+
+
+def test_odd_rows(odd, empty):
+    out = P.pseudonymised(odd)
+    assert set(out.columns) == set(odd.columns) and out.count() == len(ROWS)
+    first = out.filter("doc_id = 1").first()
+    assert first["n_values"] == 0 and all(first[c] == f"{c}!" for c in CLASHING if c != "n_values")
+    assert P.pseudonymised(empty).count() == 0
+
+
+def test_native(spark):
+    plan = P.pseudonymised(frame(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange hash" not in plan
+
+
+def test_query(spark, tiny):
+    out = queries.QUERIES["op4_pii_pseudonyms"](spark, tiny)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    back = P.restored(out).select("doc_id", F.col("text").alias("back")).join(docs, "doc_id")
+    assert back.count() == docs.count() and back.filter("back <> text").count() == 0
+    changed = out.filter("n_values > 0").join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").collect()
+    assert changed
+    for r in changed:
+        for v in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\S+@\S+\.com|\b\d{16}\b", r["old"]):
+            assert v not in r["text"]
