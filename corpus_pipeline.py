@@ -29,7 +29,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are weighted by the square root of their size; a document occurs as often as it is drawn."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.remixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,20 +68,26 @@ def cumulative(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["table"])).otherwise(F.array(F.lit(1.0)))
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, seed: str = "mix") -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, seed: str = "mix", copy: str = COPY, place: str = PLACE) -> DataFrame:
     """Every copy of every document: docs' columns, copy (from 0) and shuffle_key, its place in the global order.
 
-    The result is dealt out by shuffle_key and sorted by it within each partition.
+    The result is dealt out by shuffle_key and sorted by it within each partition. copy and place name
+    the two columns, for tables that have such columns already.
     """
     tables = rates(docs, weights, power).withColumn(TABLE, cumulative(F.col(RATE)))
-    names = [c for c in docs.columns if c.lower() not in (COPY, PLACE)]
+    names = [c for c in docs.columns if c.lower() not in (copy, place)]
     drawn = unit(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     n = F.size(F.filter(F.col(TABLE), lambda c: c <= F.col(f"{OWN}u"))).cast("int")
     joined = docs.join(tables, same(F.col("source"), F.col(f"{OWN}source"))).withColumn(f"{OWN}u", drawn)
     counted = joined.withColumn(f"{OWN}n", n).filter(F.col(f"{OWN}n") > 0)
-    copies = counted.select(*names, F.explode(F.sequence(F.lit(0), F.col(f"{OWN}n") - 1)).alias(COPY))
-    placed = copies.withColumn(PLACE, unit(seed, "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(COPY).cast("string")))
-    return placed.repartition(PLACE).sortWithinPartitions(PLACE)
+    copies = counted.select(*names, F.explode(F.sequence(F.lit(0), F.col(f"{OWN}n") - 1)).alias(copy))
+    placed = copies.withColumn(place, unit(seed, "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(copy).cast("string")))
+    return placed.repartition(place).sortWithinPartitions(place)
+
+
+def remixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, seed: str = "mix") -> DataFrame:
+    """The same rows in docs' own columns."""
+    return mixed(docs, weights, power, seed, f"{OWN}copy", f"{OWN}place").select(*docs.columns)
 
 
 ORACLE = """

@@ -13,9 +13,9 @@ What keeps groups of copies from growing quadratically:
 * equal sets are one class first (map-side combined), only class representatives are compared;
 * a key's documents are first compared with the key's smallest representative alone, which links
   most groups; components of these links are formed;
-* of a key's documents in different components all pairs are still due. They are compared by
-  signature in blocks inside a task; only pairs within the distance and in different components
-  leave it and are confirmed. No pair is skipped that could join two components.
+* of a key's documents in different components all pairs are still due. They are compared in blocks
+  inside a task, by signature and then on their full sets; only links that join two components leave
+  it. No pair is skipped that could join two components.
 
 Keys spread a group over many partitions; joins are plain equi-joins that Spark can split where
 they are skewed; nothing but counts comes to the driver.
@@ -47,8 +47,8 @@ SYMBOLS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 #: 100 * intersection >= SIMILAR * union.
 SIMILAR = 85
-#: Documents per block of the in-task comparison; shingles hashed at once.
-BLOCK, SLICE = 512, 4096
+#: Documents and hashes per block of the in-task comparison, so that a task holds two blocks at once; shingles hashed at once.
+BLOCK, BLOCK_HASHES, SLICE = 1024, 4_000_000, 4096
 
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(1, 1 << 31, SYMBOLS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -193,11 +193,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _left(cell: pa.Table) -> pa.Table:
-    """Of one key's documents in one or two blocks: pairs of different components that may be similar.
+    """Of one key's documents in one or two blocks: links that join components.
 
-    A pair that shares several keys is given out under the first of them only.
+    Pairs of different components within the distance are compared on their full sets, here, so
+    that a group of many documents just below the threshold gives no rows. A pair that shares
+    several keys is compared under the first of them only.
     """
-    rep, label, n, block = (cell.column(c).to_numpy() for c in ("rep", "label", "n", "block"))
+    rep, n, block = (cell.column(c).to_numpy() for c in ("rep", "n", "block"))
+    _, label = np.unique(cell.column("label").to_numpy(), return_inverse=True)
+    hashes = cell.column("hashes").to_pylist()
     sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
     slot = int((keys(sig[:1])[0].astype(np.int64) == cell.column("key")[0].as_py()).argmax())
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
@@ -208,25 +212,34 @@ def _left(cell: pa.Table) -> pa.Table:
         c = cols[(label[cols] != label[r]) & ((rep[cols] > rep[r]) | (i != j))]
         c = c[100 * np.minimum(n[c], n[r]) >= SIMILAR * np.maximum(n[c], n[r])]
         differ = sig[c] != sig[r]
-        c, differ = c[near := differ.sum(axis=1) <= RADIUS], differ[near]
-        if len(c):
-            errors = differ.reshape(len(c), CHUNKS, CHUNK)
-            chunk = (errors.sum(axis=2) <= 1).argmax(axis=1)
-            first = chunk * CHUNK + errors[np.arange(len(c)), chunk].argmax(axis=1)
-            c = c[first == slot]
-            a.append(np.full(len(c), rep[r]))
-            b.append(rep[c])
-    empty = np.empty(0, np.int64)
-    a, b = np.concatenate([empty, *a]), np.concatenate([empty, *b])
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        distance = differ.sum(axis=1)
+        c, differ = c[near := distance <= RADIUS], differ[near]
+        if not len(c):
+            continue
+        errors = differ.reshape(len(c), CHUNKS, CHUNK)
+        chunk = (errors.sum(axis=2) <= 1).argmax(axis=1)
+        first = chunk * CHUNK + errors[np.arange(len(c)), chunk].argmax(axis=1)
+        own = np.frombuffer(hashes[r], np.uint64)
+        here = first == slot
+        # Nearest first: once a link is found, others into that component needn't be.
+        for k in c[here][np.argsort(distance[near][here], kind="stable")]:
+            if label[k] != label[r] and similar(own, np.frombuffer(hashes[k], np.uint64)):
+                a.append(min(rep[r], rep[k]))
+                b.append(max(rep[r], rep[k]))
+                label[label == label[k]] = label[r]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """rep and hashes of the representatives among nodes (rep)."""
+    wanted = classes.join(nodes.distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "h1")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_sets, "rep long, hashes binary")
+    return stored(sets.dropDuplicates(["rep"]) if repeated else sets, "sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
     """The pairs (a, b) of representatives whose full sets reach the threshold."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = classes.join(nodes, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "h1")
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_sets, "rep long, hashes binary")
-    sets = stored(sets.dropDuplicates(["rep"]) if repeated else sets, "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, classes, repeated)
     of = lambda name: sets.select(F.col("rep").alias(name), F.col("hashes").alias(f"set_{name}"))
     joined = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "set_a", "set_b")
     out = stored(joined.mapInArrow(_confirmed, "a long, b long"), "confirmed")
@@ -248,18 +261,21 @@ def _star_links(runs: DataFrame, docs: DataFrame, classes: DataFrame, repeated:
 def _other_links(runs: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
     """Links between documents of one key that are in different components so far."""
     labelled = runs.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (
-        labelled.join(mixed.select("key", blocks.alias("blocks")), "key")
-        .join(classes.select("rep", "n", "sig"), "rep")
+    sized = labelled.join(classes.select("rep", "n"), "rep")
+    mixed = sized.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("n_all")).filter("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n_all") / BLOCK_HASHES)).cast("int")
+    rows = stored(sized.join(mixed.select("key", blocks.alias("blocks")), "key"), "mixed")
+    sets = _sets_of(rows.select("rep"), docs, classes, repeated)
+    cells = (
+        rows.join(classes.select("rep", "sig"), "rep")
+        .join(sets, "rep")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "rep", "label", "n", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("key", "rep", "label", "n", "sig", "hashes", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    pairs = stored(rows.groupBy("key", "i", "j").applyInArrow(_left, "a long, b long"), "left")
-    out = _confirm(pairs, docs, classes, repeated)
-    dropped(pairs)
+    out = stored(cells.groupBy("key", "i", "j").applyInArrow(_left, "a long, b long"), "left")
+    dropped(sets)
+    dropped(rows)
     return out
 
 

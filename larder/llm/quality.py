@@ -31,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import appended, small_batches, texts_of, with_fields
+from larder.llm.common import OWN, appended, small_batches, texts_of, with_fields
 
 #: Size of the hashed feature space, rows of the training sample, score from which a document is kept.
 DIMENSIONS, TRAIN_ROWS, KEEP = 1 << 14, 10_000, 0.5
 CACHE = 200_000
+#: A labeller's limits are set so that it objects to at most this share of good documents. The model
+#: holds on to that, or a fault that only few labellers see would be taken for a habit of good texts.
+FALSE_ALARMS = 0.001
 GOOD, BAD, NONE = 1, 2, 0
 
 SENTENCE = re.compile(r"[.!?\n]+\s*")
@@ -43,21 +46,21 @@ SIGN = re.compile(r"[^\w\s.,;:!?'\"()\-]")
 
 
 class _Words(dict):
-    """word -> (hash of its shape, letters, capitals, unusual signs, whether it has letters or digits, whether it shouts)."""
+    """word -> (hash of its shape, letters, capitals, unusual signs, letters and digits, whether it shouts)."""
 
-    def __missing__(self, word: str) -> tuple[int, int, int, int, bool, bool]:
+    def __missing__(self, word: str) -> tuple[int, int, int, int, int, bool]:
         letters = sum(map(str.isalpha, word))
         capitals = sum(map(str.isupper, word))
         signs = len(SIGN.findall(word))
         shape = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:32]))
-        out = (xxhash.xxh32_intdigest(shape) % DIMENSIONS, letters, capitals, signs, any(map(str.isalnum, word)), word.endswith("!!"))
+        out = (xxhash.xxh32_intdigest(shape) % DIMENSIONS, letters, capitals, signs, sum(map(str.isalnum, word)), word.endswith("!!"))
         if len(self) < CACHE and len(word) <= 40:
             self[word] = out
         return out
 
 
 _WORDS = _Words()
-LABELLERS = ("signs", "separators", "capitals", "stammer", "bigrams", "sentences", "shouting", "letters", "prose", "commonest")
+LABELLERS = ("signs", "separators", "capitals", "stammer", "bigrams", "sentences", "shouting", "marks", "prose", "commonest")
 
 
 def _vote(value: float, good: float, bad: float) -> int:
@@ -72,7 +75,7 @@ def read(text: str) -> tuple[tuple[int, ...], dict[int, float]]:
     if not n:
         return (NONE,) * len(LABELLERS), {}
     features: dict[int, float] = {}
-    letters = capitals = signs = lone = shouts = signed = plain = 0
+    letters = capitals = signs = lone = shouts = signed = plain = marks = 0
     counts = Counter(words)
     for w, c in counts.items():
         shape, a, b, s, known, shout = _WORDS[w]
@@ -82,8 +85,9 @@ def read(text: str) -> tuple[tuple[int, ...], dict[int, float]]:
         signs += s * c
         signed += c * (s > 1)
         lone += c * (not known)
+        marks += c * (len(w) - known)
         shouts += c * shout
-        plain += c * (known and s == 0 and not shout)
+        plain += c * (known > 0 and s == 0 and not shout)
     stammer = sum(map(operator.eq, words, words[1:]))
     bigrams = len(set(zip(words, words[1:], strict=False))) / (n - 1) if n > 1 else 1.0
     parts = [p for p in SENTENCE.split(text) if len(p) > 20]
@@ -96,7 +100,7 @@ def read(text: str) -> tuple[tuple[int, ...], dict[int, float]]:
         _vote(1 - bigrams, 0.1, 0.5) if n >= 20 else NONE,
         _vote(repeated, 0.05, 0.5) if len(parts) >= 4 else NONE,
         _vote(shouts / n, 0.01, 0.15) if n >= 5 else NONE,
-        _vote(1 - letters / max(1, len(text) - text.count(" ")), 0.1, 0.3) if n >= 5 else NONE,
+        _vote(marks / sum(map(len, words)), 0.12, 0.28) if n >= 5 else NONE,
         _vote(1 - plain / n, 0.1, 0.35) if n >= 10 else NONE,
         _vote(max(counts.values()) / n, 0.12, 0.3) if n >= 20 else NONE,
     )
@@ -123,7 +127,7 @@ def votes_of(docs: DataFrame) -> DataFrame:
 class LabelModel:
     """What EM knows of the labellers: share of good documents, and chances[class, labeller, vote]."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarms: float | None = FALSE_ALARMS):
         k = len(LABELLERS)
         votes = np.stack([patterns // 3**i % 3 for i in range(k)], 1)
         # Start: each labeller looks for a fault of its own, so one objection makes a document suspect.
@@ -137,6 +141,9 @@ class LabelModel:
                 cast = np.einsum("r,rkv->kv", q * counts, hot) + np.array([0, 1.0 + (c == 0), 1.0 + (c == 1)])
                 cast[:, NONE] = 0
                 self.chances[c] = cast / cast.sum(1, keepdims=True)
+                if c == 0 and false_alarms is not None:
+                    self.chances[c][:, BAD] = np.minimum(self.chances[c][:, BAD], false_alarms)
+                    self.chances[c][:, GOOD] = 1 - self.chances[c][:, BAD]
                 self.chances[c][:, NONE] = 1
             new = self.posterior(patterns)
             if np.abs(new - p).max(initial=0) < 1e-9:
@@ -202,7 +209,7 @@ def fitted(docs: DataFrame) -> tuple[LabelModel, np.ndarray, float]:
     return model, w, b
 
 
-def scored(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, intercept: float, name: str = "quality_score") -> DataFrame:
     """docs and quality_score, the chance that a document is good."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -214,9 +221,9 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
                 f = read(t)[1]
                 z = intercept + sum(w[k] * v for k, v in f.items())
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if f else 0.0)
-            yield appended(b, ["quality_score"], [pa.array(out, pa.float64())])
+            yield appended(b, [name], [pa.array(out, pa.float64())])
 
-    return docs.mapInArrow(score, with_fields(docs.schema, T.StructField("quality_score", T.DoubleType())))
+    return docs.mapInArrow(score, with_fields(docs.schema, T.StructField(name, T.DoubleType())))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -227,4 +234,6 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
-    return quality(docs).filter("accepted").select(*docs.columns)
+    _, w, b = fitted(docs)
+    score = f"{OWN}score"
+    return scored(docs, w, b, score).filter(F.col(score) >= KEEP).drop(score)

@@ -83,7 +83,7 @@ def folded_words(text: str) -> list[str]:
         text = SHRINK.sub(r"\1\1", text)
     if not DISGUISED.search(text):
         return PLAIN.findall(text)
-    return [w if w.isalpha() or w.isdigit() else w.translate(SIGNS) for w in SIGNED.findall(text)]
+    return [w if w.isalpha() or w.isdigit() else w.lstrip("@").translate(SIGNS) for w in SIGNED.findall(text)]
 
 
 class Lexicon:

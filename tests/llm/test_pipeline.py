@@ -51,3 +51,4 @@ def test_odd_columns_pass_through(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, ""), name)
         assert docs.columns[-len(CLASHING) :] == CLASHING, name
+        assert all(r[c] == f"{c}!" for r in docs.collect() for c in CLASHING), name

@@ -48,7 +48,7 @@ def test_em_finds_accuracies():
     votes = np.where(rng.random((n, k)) < right, np.where(good, Q.GOOD, Q.BAD)[:, None], np.where(good, Q.BAD, Q.GOOD)[:, None])
     votes[rng.random((n, k)) < 0.2] = Q.NONE
     patterns, counts = np.unique((votes * 3 ** np.arange(k)).sum(1), return_counts=True)
-    model = Q.LabelModel(patterns, counts.astype(float), 300)
+    model = Q.LabelModel(patterns, counts.astype(float), 300, false_alarms=None)
     assert abs(model.prior - 0.7) < 0.03
     assert max(abs(a - b) for a, b in zip(model.accuracies().values(), right, strict=True)) < 0.03
     p = model.posterior((votes * 3 ** np.arange(k)).sum(1))
