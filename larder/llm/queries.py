@@ -70,7 +70,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score and whether it is accepted."""
-    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "accepted")
+    return quality.rated(table(spark, sf_dir, "documents"))
 
 
 @query()
