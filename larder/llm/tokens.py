@@ -15,7 +15,7 @@ import zlib
 from array import array
 
 #: Entries of a worker's cache; pieces longer than LONG characters aren't kept.
-CACHE, LONG = 300_000, 40
+CACHE, LONG = 100_000, 40
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
