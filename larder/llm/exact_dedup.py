@@ -75,14 +75,18 @@ def repeated_slots(digests: DataFrame, n_slots: int) -> np.ndarray:
 
 
 def suspicion(digests: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """From the first pass over all digests: what marks rows, false only where no other row has the same digest."""
+    """From the first pass over all digests: what marks rows, false only where no other row has the same digest.
+
+    The rows have digests or, else, texts; they get both columns in one step.
+    """
     n = filter_size(digests.count())
     bits = digests.sparkSession.sparkContext.broadcast(repeated_slots(digests, n))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b"".join(b.column(b.schema.get_field_index(DIGEST)).to_pylist())
-            d = np.frombuffer(raw, np.uint8).reshape(-1, 32).astype(np.uint64)
+        for b in small_batches(batches):
+            at = b.schema.get_field_index(DIGEST)
+            digests = b.column(at) if at >= 0 else pa.array(_digests(texts_of(b)), pa.binary())
+            d = np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 32).astype(np.uint64)
             hit = np.ones(len(d), bool)
             for i in (0, 7):
                 h = np.zeros(len(d), np.uint64)
@@ -90,9 +94,10 @@ def suspicion(digests: DataFrame) -> Callable[[DataFrame], DataFrame]:
                     h = (h << np.uint64(8)) | d[:, j]
                 slot = (h % np.uint64(n)).astype(np.int64)
                 hit &= (bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            yield appended(b, [MAYBE], [pa.array(hit)])
+            yield appended(b, [DIGEST, MAYBE], [digests, pa.array(hit)])
 
-    return lambda rows: rows.mapInArrow(test, with_fields(rows.schema, T.StructField(MAYBE, T.BooleanType())))
+    fields = T.StructField(DIGEST, T.BinaryType()), T.StructField(MAYBE, T.BooleanType())
+    return lambda rows: rows.mapInArrow(test, with_fields(rows.schema, *fields))
 
 
 def _groups(suspects: DataFrame) -> DataFrame:
@@ -124,7 +129,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     mark = suspicion(digests)
     groups = _groups(mark(digests).filter(MAYBE)).filter("group_size > 1").select(F.col(DIGEST).alias(digest), F.col("keep_id").alias(keep))
     groups = stored(groups, "groups")
-    marked = mark(digested(docs))
+    marked = mark(docs)
     alone = marked.filter(~F.col(MAYBE)).select(*names)
     suspects = marked.filter(MAYBE).join(groups, F.col(DIGEST) == F.col(digest), "left")
     false_alarms = suspects.filter(F.col(digest).isNull()).select(*names)
