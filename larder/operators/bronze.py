@@ -24,7 +24,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(PAGE).option("multiLine", True).json(folder)
 
 
-def bronze(pages: DataFrame, run_id: str | None = None, ingested_at: Column | None = None, source: str = "open_food_facts_api") -> DataFrame:
+def bronze(pages: DataFrame, run_id: str | None = None, ingested_at: Column | None = None, source: str = "product_api") -> DataFrame:
     """Pages in the bronze schema. Without run_id the pages' own ids stay."""
     given = {
         "ingest_layer": F.lit("bronze"),
