@@ -49,6 +49,8 @@ RADIUS = 2 * CHUNKS - 1
 SIMILAR = 85
 #: Documents and hashes per block of the in-task comparison, so that a task holds two blocks at once; shingles hashed at once.
 BLOCK, BLOCK_HASHES, SLICE = 1024, 4_000_000, 4096
+#: Up to so many documents a key counts as small.
+SMALL = 64
 
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(1, 1 << 31, SYMBOLS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -196,14 +198,16 @@ def _left(cell: pa.Table) -> pa.Table:
     """Of one key's documents in one or two blocks: links that join components.
 
     Pairs of different components within the distance are compared on their full sets, here, so
-    that a group of many documents just below the threshold gives no rows. A pair that shares
-    several keys is compared under the first of them only.
+    that a group of many documents just below the threshold gives no rows. Of the large keys that a
+    pair shares, it is compared under one only: its first key, if that is large. (Small keys are all
+    looked at, but for those with the same documents as another.)
     """
     rep, n, block = (cell.column(c).to_numpy() for c in ("rep", "n", "block"))
     _, label = np.unique(cell.column("label").to_numpy(), return_inverse=True)
     hashes = cell.column("hashes").to_pylist()
     sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
     slot = int((keys(sig[:1])[0].astype(np.int64) == cell.column("key")[0].as_py()).argmax())
+    large = cell.column("large")[0].as_py()
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     rows = np.flatnonzero(block == i)
     cols = np.flatnonzero(block == j)
@@ -220,7 +224,7 @@ def _left(cell: pa.Table) -> pa.Table:
         chunk = (errors.sum(axis=2) <= 1).argmax(axis=1)
         first = chunk * CHUNK + errors[np.arange(len(c)), chunk].argmax(axis=1)
         own = np.frombuffer(hashes[r], np.uint64)
-        here = first == slot
+        here = (first == slot) | (not large)
         # Nearest first: once a link is found, others into that component needn't be.
         for k in c[here][np.argsort(distance[near][here], kind="stable")]:
             if label[k] != label[r] and similar(own, np.frombuffer(hashes[k], np.uint64)):
@@ -262,16 +266,22 @@ def _other_links(runs: DataFrame, labels: DataFrame, docs: DataFrame, classes: D
     """Links between documents of one key that are in different components so far."""
     labelled = runs.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     sized = labelled.join(classes.select("rep", "n"), "rep")
-    mixed = sized.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("n_all")).filter("lo <> hi")
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+    mixed = sized.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("n_all"), *members).filter("lo <> hi")
+    mixed = stored(mixed, "keys")
+    # Few documents that share many keys are the rule: of small keys with the same documents one is enough.
+    small = mixed.filter(F.col("size") <= SMALL).groupBy("size", "m0", "m1").agg(F.min("key").alias("key"), F.first("n_all").alias("n_all"))
+    kept = small.select("key", "size", "n_all").union(mixed.filter(F.col("size") > SMALL).select("key", "size", "n_all"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n_all") / BLOCK_HASHES)).cast("int")
-    rows = stored(sized.join(mixed.select("key", blocks.alias("blocks")), "key"), "mixed")
+    rows = stored(sized.join(kept.select("key", blocks.alias("blocks"), (F.col("size") > SMALL).alias("large")), "key"), "mixed")
+    dropped(mixed)
     sets = _sets_of(rows.select("rep"), docs, classes, repeated)
     cells = (
         rows.join(classes.select("rep", "sig"), "rep")
         .join(sets, "rep")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "rep", "label", "n", "sig", "hashes", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("key", "rep", "label", "n", "sig", "hashes", "large", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     out = stored(cells.groupBy("key", "i", "j").applyInArrow(_left, "a long, b long"), "left")
     dropped(sets)

@@ -74,10 +74,11 @@ def test_odd_rows(odd):
     assert got.count() == 14  # a repeated id is one document
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, small", [(1024, 64), (7, 5)])
+def test_against_brute_force(spark, monkeypatch, block, small):
     rows = corpus()
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "SMALL", small)
     assert result(N.near_duplicates(frame(spark, rows))) == brute(rows)
 
 
