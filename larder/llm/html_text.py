@@ -5,8 +5,14 @@ list items, cells, ...); each block belongs to the path of tags from the root to
 text length, punctuation and link text of its blocks are summed; both ratios to the number of
 blocks are smoothed with those of the path's parent, fused into one score and held against a
 threshold relative to the page's best path. The blocks of the paths above it are the content
-nodes. The smallest element that holds nearly all of their text, or the marked one, is the article; its
-other blocks (headings, short paragraphs) come along, unless they are link lists.
+nodes. The smallest element that holds nearly all of their text, or the marked one, bounds the article.
+Inside it content nodes are taken, and of the blocks below the threshold those that join them:
+* a block with less than half its text in links, if it lies between two content nodes or if its container
+  (what is above it, lists, tables, quotes and figures passed over) is one that content nodes have: by
+  path for paragraphs, items and cells, the very element for bare text;
+* a heading with a taken block behind it, before the next heading of its own or a higher level, or
+  directly followed by a heading that is taken.
+Link lists and lines of the article's header other than headings are never taken.
 
 Elements that are never the article (menus, page headers and footers, sidebars, forms, notices,
 adverts, reader comments, scripts, styles, hidden elements) are known by tag, role or by words of
@@ -65,6 +71,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LEAVES = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figcaption", "caption", "summary"}
 LISTS = frozenset(("ul", "ol", "dl", "table"))
+#: What doesn't count as a container of its own.
+PASSED = LISTS | LEAVES | {"thead", "tbody", "tfoot", "figure", "details", "header", "hgroup"}
 
 
 class _Block:
@@ -219,6 +227,46 @@ def _within(found: list[_Block], nodes: list[_Block]) -> list[_Block]:
     return leads + [b for b in found if article in b.chain]
 
 
+def _container(b: _Block) -> tuple[str, int]:
+    """Path and number of the element above a block, without lists, tables, quotes and figures, and without a div around a list or table."""
+    parts = b.path.split("/")
+    if parts[-1] not in LEAVES and len(parts) > 1:
+        parts.pop()
+    listed = False
+    while len(parts) > 1 and (parts[-1] in PASSED or listed and parts[-1] == "div"):
+        listed = parts[-1] in LISTS
+        parts.pop()
+    return "/".join(parts), b.chain[len(parts) - 1]
+
+
+def _selected(inside: list[_Block], content: set[str]) -> list[_Block]:
+    """The content nodes (blocks of the content paths) and what joins them, as the module's text states."""
+    tags = [b.path.rpartition("/")[2] for b in inside]
+    places = [i for i, b in enumerate(inside) if b.path in content]
+    if not places:
+        return []
+    homes = {x for i in places for x in _container(inside[i])}
+
+    def joins(i: int, b: _Block) -> bool:
+        if 2 * b.links >= len(b.text):
+            return False
+        # Bare text of a div or the like is held to the very element, a paragraph or item to the path.
+        return places[0] < i < places[-1] or _container(b)[tags[i] not in LEAVES] in homes
+
+    taken = [b.path in content or tags[i] not in HEADINGS and joins(i, b) for i, b in enumerate(inside)]
+    # Backwards: the levels of headings that the taken text behind is still without.
+    waiting = 0
+    for i in range(len(inside) - 1, -1, -1):
+        if tags[i] in HEADINGS:
+            level = int(tags[i][1])
+            taken[i] = taken[i] or level <= waiting or i + 1 < len(inside) and tags[i + 1] in HEADINGS and taken[i + 1]
+            # Behind a heading its section ends for those of its own and lower levels.
+            waiting = level - 1 if taken[i] else min(waiting, level - 1)
+        elif taken[i]:
+            waiting = 6
+    return [b for b, t in zip(inside, taken, strict=True) if t]
+
+
 def content_blocks(found: list[_Block]) -> list[_Block]:
     """The blocks of the article."""
     if any(b.marked for b in found):
@@ -237,7 +285,8 @@ def content_blocks(found: list[_Block]) -> list[_Block]:
         s[1] += len(b.text)
         s[2] += min(b.links, len(b.text))
     linked = {p for p, (n, chars, links) in count.items() if n >= 3 and links >= 0.8 * chars and LISTS & set(p.split("/"))}
-    return [b for b in inside if b.path not in linked and not (b.header and b.path.rpartition("/")[2] not in HEADINGS)]
+    inside = [b for b in inside if b.path not in linked and not (b.header and b.path.rpartition("/")[2] not in HEADINGS)]
+    return _selected(inside, {b.path for b in nodes})
 
 
 def main_text(page: str | None) -> str:

@@ -65,3 +65,19 @@ def test_query(spark, tiny):
     assert len(got) == len(pages)
     for r in got:
         assert r["n_chars"] == len(r["text"]) and r["text"] == H.main_text(pages[r["page_id"]]) and r["text"]
+
+
+LONG = "<p>" + "A long paragraph, with words; and more of them, and more. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("mark", ["main", "div"])
+def test_paths_compete_inside_the_article(mark):
+    teasers = "<div>" + "".join(f"<div><h3>Teaser {i}</h3><span>3 min</span></div>" for i in range(4)) + "</div>"
+    page = f"<body><{mark}><h1>Head</h1><div>{LONG}<h2>Sub</h2><p>Short one.</p><ul><li>one, two</li><li>three.</li></ul>{LONG}</div><h2>More</h2>{teasers}</{mark}></body>"
+    got = H.main_text(page).split("\n\n")
+    assert got[0] == "Head" and got[2:6] == ["Sub", "Short one.", "one, two", "three."] and len(got) == 7
+
+
+def test_mostly_links_below_the_threshold_do_not_join():
+    got = H.main_text(f"<main>{LONG}<div><a>Share this</a> now</div><div>Plain line.</div>{LONG}</main>").split("\n\n")
+    assert len(got) == 2 or "Plain line." in got and not any("Share" in x for x in got)
