@@ -14,10 +14,13 @@ Inside it content nodes are taken, and of the blocks below the threshold those t
   directly followed by a heading that is taken.
 Link lists and lines of the article's header other than headings are never taken.
 
-Elements that are never the article (menus, page headers and footers, sidebars, forms, notices,
-adverts, reader comments, scripts, styles, hidden elements) are known by tag, role or by words of
-class and id, and don't enter the sums. Where a page marks its article (article, main, role or
-itemprop), only paths inside the mark compete.
+Elements that are never the article (menus, page headers and footers, asides, scripts, styles, hidden
+elements) are known by tag or role, and don't enter the sums. Words of class and id (sidebar, notice,
+advert, comments, ...) and forms only make an element suspect: it is left out unless it holds the
+page's only marked article or more than half of the text that competes, as a wrapper of the page does; then its paths
+compete like others. Comments, adverts and links to related pages can be longer than the article, so these are let in only where
+nothing else is left. Words behind has, no, with or without say nothing (has-sidebar). Where a page marks
+its article (article, main, role or itemprop), only paths inside the mark compete.
 
 Pages don't depend on one another: no shuffle, and memory is that of a small batch of pages.
 
@@ -57,16 +60,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-NEVER = frozenset("nav footer aside form button select menu dialog head".split())
-#: Words of class and id, whole words only, of what is no part of an article.
+NEVER = frozenset("nav footer aside button select menu dialog head".split())
+#: Words of class and id, whole words only, of what is mostly no part of an article.
 BOILERPLATE = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs
     sidebar aside footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social
     related recommended comment comments disqus reply replies widget pagination pager toolbar skip hidden""".split()
 )
+#: Those of what can be long by itself; words that say of the word behind that it is about the layout.
+APART = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo related recommended comment comments disqus reply replies".split())
+NEUTRAL = frozenset(("has", "no", "with", "without"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 MARKS = frozenset(("article", "main"))
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
 #: What a start tag closes when it is open.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LEAVES = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figcaption", "caption", "summary"}
@@ -76,33 +82,57 @@ PASSED = LISTS | LEAVES | {"thead", "tbody", "tfoot", "figure", "details", "head
 
 
 class _Block:
-    __slots__ = ("path", "chain", "text", "links", "marked", "header")
+    __slots__ = ("path", "chain", "text", "links", "marked", "header", "around", "inside")
 
-    def __init__(self, path, chain, text, links, marked, header):
+    def __init__(self, path, chain, text, links, marked, header, around=(), inside=()):
         self.path, self.chain, self.text, self.links, self.marked, self.header = path, chain, text, links, marked, header
+        # Numbers of the suspect elements it is in: those around the mark, or the mark itself, and those inside it or without one.
+        self.around, self.inside = around, inside
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+#: Degrees of doubt about an element.
+SUSPECT, SET_APART, NO = 1, 2, 3
+
+
+def _names(value: str) -> set[str]:
+    """The words of a class or id, small, without those behind a neutral word."""
+    out: set[str] = set()
+    for name in value.split():
+        for w in WORDS.findall(name):
+            if (w := w.lower()) in NEUTRAL:
+                break
+            out.add(w)
+    return out
+
+
+def _doubt(tag: str, attributes: str, in_article: bool) -> int:
+    """NO for what is never part of an article, SUSPECT or SET_APART for what mostly isn't, else 0."""
     if tag in NEVER or tag == "header" and not in_article:
-        return True
+        return NO
+    doubt = SUSPECT if tag == "form" else 0
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return doubt
     if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
-        return True
+        return NO
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = a or b or c
         name = name.lower()
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article"):
-            if any(w.lower() in BOILERPLATE for w in WORDS.findall(value)):
-                return True
-        elif name in ("class", "id"):
-            if any(w.lower() in ("comment", "comments", "ad", "ads", "advert", "related") for w in WORDS.findall(value)):
-                return tag not in ("html", "body")
+        if name in ("class", "id"):
+            if tag in ("html", "body"):
+                continue
+            words = _names(value)
+            if tag in ("main", "article"):
+                if not words.isdisjoint(("comment", "comments", "ad", "ads", "advert", "related")):
+                    doubt = SET_APART
+            elif not words.isdisjoint(BOILERPLATE):
+                doubt = max(doubt, SUSPECT if words.isdisjoint(APART) else SET_APART)
         elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return NO
+        elif name == "role" and value.lower() == "form":
+            doubt = max(doubt, SUSPECT)
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return NO
+    return doubt
 
 
 def _is_mark(tag: str, attributes: str) -> bool:
@@ -112,8 +142,9 @@ def _is_mark(tag: str, attributes: str) -> bool:
 def blocks(page: str) -> list[_Block]:
     """The page's text blocks outside boilerplate, in order."""
     out: list[_Block] = []
-    # Open elements: tag, number, boilerplate, marked, in a header of the article.
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # Open elements: tag, number, boilerplate, marked, in a header of the article, suspects around the mark and inside it.
+    stack: list[tuple[str, int, bool, bool, bool, tuple, tuple]] = [("", 0, False, False, False, (), ())]
+    apart: set[int] = set()
     texts: list[str] = []
     links = at = count = 0
     in_link = 0
@@ -124,7 +155,7 @@ def blocks(page: str) -> list[_Block]:
             text = " ".join("".join(texts).split())
             if text:
                 solid = [e for e in stack if e[0] not in INLINE]
-                out.append(_Block("/".join(e[0] for e in solid), tuple(e[1] for e in solid), text, links, stack[-1][3], stack[-1][4]))
+                out.append(_Block("/".join(e[0] for e in solid), tuple(e[1] for e in solid), text, links, *stack[-1][3:]))
             texts.clear()
         links = 0
 
@@ -184,10 +215,42 @@ def blocks(page: str) -> list[_Block]:
         up = stack[-1]
         marked = up[3] or _is_mark(tag, attributes)
         count += 1
-        stack.append((tag, count, up[2] or _is_boilerplate(tag, attributes, up[3]), marked, up[4] or tag == "header"))
+        doubt = _doubt(tag, attributes, up[3])
+        around, inside = up[5], up[6]
+        if marked and not up[3]:
+            around, inside = around + inside, ()
+        if doubt in (SUSPECT, SET_APART):
+            if marked and not up[3]:
+                around += (count,)
+            else:
+                inside += (count,)
+            if doubt == SET_APART:
+                apart.add(count)
+        stack.append((tag, count, up[2] or doubt == NO, marked, up[4] or tag == "header", around, inside))
         in_link += tag == "a"
     flush()
-    return out
+    return _let_in(out, apart)
+
+
+def _let_in(found: list[_Block], apart: set[int]) -> list[_Block]:
+    """The blocks but for those in suspect elements that are neither the way to the only mark nor most of the text."""
+    if not any(b.around or b.inside for b in found):
+        return found
+    for allowed in (False, True):
+        # Suspects around marks count only while no mark stands outside of them.
+        shut = lambda elements: not allowed and not apart.isdisjoint(elements)  # noqa: B023, E731
+        marked = [b for b in found if b.marked and not b.around] or [b for b in found if b.marked and not shut(b.around)]
+        rest = marked or [b for b in found if not b.marked]
+        held: dict[int, int] = {}
+        for b in rest:
+            for e in b.inside:
+                held[e] = held.get(e, 0) + len(b.text)
+        total = sum(len(b.text) for b in rest)
+        most = {e for e, n in held.items() if 2 * n > total and not shut((e,))}
+        kept = [b for b in rest if most.issuperset(b.inside)]
+        if kept:
+            return kept
+    return []
 
 
 def path_scores(found: list[_Block]) -> dict[str, float]:

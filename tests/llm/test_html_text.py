@@ -81,3 +81,18 @@ def test_paths_compete_inside_the_article(mark):
 def test_mostly_links_below_the_threshold_do_not_join():
     got = H.main_text(f"<main>{LONG}<div><a>Share this</a> now</div><div>Plain line.</div>{LONG}</main>").split("\n\n")
     assert len(got) == 2 or "Plain line." in got and not any("Share" in x for x in got)
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content has-sidebar"><article>{}</article><div class="sidebar">Side, text.</div></div>',
+    '<div class="page no-sidebar"><article>{}</article></div>',
+    '<div class="widget"><article>{}</article></div><div class="notice">Note, this.</div>',
+    '<div class="layout with-banner">{}<div class="banner">Buy, now.</div></div>',
+    '<div class="sidebar-layout">{}<div class="sidebar">Side, text.</div></div>',
+    '<form action="/x"><nav>Home</nav>{}<div id="footer">End, of it.</div></form>',
+    '<article><div class="widget">{}</div><div class="ad">Buy, buy.</div></article>',
+    '<div class="post">{}</div><div id="comments"><article>A reader, at length. A reader, at length. A reader, at length. A reader, at length. A reader, at length.</article></div>',
+    '<div id="comments">{}</div>',
+])
+def test_wrappers_with_boilerplate_words(page):
+    assert H.main_text(page.format(BODY)) == WANT
