@@ -140,3 +140,41 @@ def test_components(spark):
 def test_query(spark, tiny):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
     assert result(queries.QUERIES["op2_near_dedup"](spark, tiny)) == brute(rows)
+
+
+def brute_at(rows, percent):
+    """The smallest id of each row's component, by full comparison of all pairs."""
+    sets = {r[0]: shingle_set(r[1]) for r in rows}
+    low = {i: i for i in sets}
+    linked = [(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    while True:
+        new = dict(low)
+        for i, j in linked:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == low:
+            return low
+        low = new
+
+
+def test_stage_links_from_eighty_percent(spark):
+    rows = corpus()
+    at_80, at_85 = brute_at(rows, 80), brute_at(rows, 85)
+    assert len(set(at_80.values())) < len(set(at_85.values()))
+    kept = {r["doc_id"] for r in N.drop_near_copies(frame(spark, rows)).collect()}
+    assert kept == set(at_80.values())
+
+
+def test_wide_layout_is_as_safe():
+    from math import comb
+
+    def missed(layout):
+        p = (100 - layout.percent) / 100
+        return sum(comb(layout.symbols, k) * p**k * (1 - p) ** (layout.symbols - k) for k in range(layout.radius + 1, layout.symbols + 1))
+
+    assert missed(N.LAYOUTS[80]) <= missed(N.LAYOUTS[85])
+    rng, layout = np.random.default_rng(3), N.LAYOUTS[80]
+    a = rng.integers(0, 1 << 16, (50, layout.symbols)).astype(np.uint16)
+    b = a.copy()
+    for i in range(50):
+        b[i, rng.choice(layout.symbols, layout.radius, replace=False)] ^= 1
+    assert all(set(x) & set(y) for x, y in zip(N.keys(a, layout).tolist(), N.keys(b, layout).tolist(), strict=True))
