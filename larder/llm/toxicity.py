@@ -4,7 +4,8 @@ Folding undoes the usual disguises: compatibility forms and accents are decompos
 Greek look-alikes become Latin letters, digits and signs inside a word become the letters they
 stand for, invisible characters go, repeated letters shrink. The lexicon holds a base list and
 terms learned from labelled training documents: a folded word, or the first four or five letters of
-words (a stem), that stands in several independent toxic documents and hardly in others. Near
+words (a stem), that stands in several independent toxic documents (SUPPORT, and MIN_SHARE of all) and
+significantly less in others. Near
 copies of one document count as one: documents whose smallest word-pair hash is the same. A term's
 weight is its smoothed log odds. Exception phrases, two-word phrases around a term that are common
 in documents labelled clean, take their match back.
@@ -15,8 +16,10 @@ stream of folded words, so a term counts as a whole word, and a stem at the star
 
 Labels, language, source and doc_id are no inputs of a score. Counting
 aggregates over all training documents, clean ones map-side combined; to the driver come only terms that pass the support and
-odds limits, at most MAX_TERMS of them, and the score sums of a bounded, hash-chosen sample for
-the fit (FIT_ROWS).
+odds limits, every one of them, and the score sums of a bounded, hash-chosen sample for the fit
+(FIT_ROWS). What bounds the lexicon is the share of documents: with D terms in a toxic document on the average, at most
+D / MIN_SHARE terms reach MIN_SHARE of them, and likewise for phrases in clean documents with a term, however large the
+corpus.
 
 Defined cases: null and empty texts score the intercept alone; very long texts are read whole;
 equal rows score alike; without any label the base list with its preset weights and slope is used;
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import OWN, appended, small_batches, texts_of, with_fields
+from larder.llm.common import OWN, appended, dropped, small_batches, stored, texts_of, with_fields
 
 # Insults in four languages with preset weights, all in folded form.
 BASE = {
@@ -66,9 +69,11 @@ SHRINK = re.compile(r"([a-z])\1{2,}")
 
 #: A learned term stands in at least this many independent toxic training documents, with at least these odds against clean ones.
 SUPPORT, ODDS = 5, 12.0
+#: Support as a share of the toxic documents, or for exceptions of the clean documents with a term; standard errors by which the log odds exceed 0.
+MIN_SHARE, ERRORS = 1 / 2000, 3.0
 #: Lengths of stems; the mark of a stem in a lexicon.
 STEMS, STEM = (4, 5), "~"
-MAX_TERMS, FIT_ROWS = 20_000, 20_000
+FIT_ROWS = 20_000
 THRESHOLD = 0.3
 
 
@@ -164,6 +169,7 @@ def _phrases(lexicon_terms: dict[str, float]):
                 w = folded_words(text)
                 at = [i for i, x in enumerate(w) if x in lexicon_terms or x[:4] + STEM in lexicon_terms or x[:5] + STEM in lexicon_terms]
                 rows += [(p, int(label)) for p in {" ".join(w[max(0, j) : j + 2]) for i in at for j in (i - 1, i)} if " " in p]
+                rows += [("", int(label))] * bool(at)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["phrase", "toxic"])
 
     return count
@@ -191,13 +197,20 @@ def learned(train: DataFrame, base: dict[str, float] | None = None) -> Lexicon:
     rows = train.select("text", "toxic").mapInArrow(_counted, "term string, origin long, clean long")
     origins = rows.filter("origin IS NOT NULL").select("term", "origin").distinct().groupBy("term").agg(F.count("*").alias("toxic")).filter(F.col("toxic") >= SUPPORT)
     clean = rows.filter("origin IS NULL").groupBy("term").agg(F.sum("clean").alias("clean"))
-    odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.coalesce("clean", F.lit(0)) + 0.5) / (n_clean + 1))
-    chosen = origins.join(clean, "term", "left").withColumn("odds", odds).filter(F.col("odds") >= ODDS)
-    best = chosen.orderBy(F.col("odds").desc(), "term").limit(MAX_TERMS).collect()
+    uses = F.coalesce("clean", F.lit(0))
+    odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((uses + 0.5) / (n_clean + 1))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (uses + 0.5))
+    chosen = origins.filter(F.col("toxic") >= MIN_SHARE * n_toxic).join(clean, "term", "left").withColumn("odds", odds)
+    best = chosen.filter((F.col("odds") >= ODDS) & (F.log("odds") >= ERRORS * error)).orderBy("term").collect()
     terms = dict(base) | {r["term"]: math.log(r["odds"]) for r in best}
     phrases = train.select("text", "toxic").mapInArrow(_phrases(terms), "phrase string, toxic long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-    spared = phrases.filter((F.col("n") - F.col("toxic") >= SUPPORT) & (F.col("n") >= 5 * F.col("toxic"))).orderBy(F.col("n").desc(), "phrase").limit(MAX_TERMS)
-    lexicon = Lexicon(terms, [r["phrase"] for r in spared.collect()])
+    phrases = stored(phrases, "phrases")
+    # The empty phrase counts the documents with a term.
+    held = phrases.filter("phrase = ''").first()
+    least = max(SUPPORT, MIN_SHARE * (held["n"] - held["toxic"])) if held else SUPPORT
+    spared = phrases.filter((F.col("phrase") != "") & (F.col("n") - F.col("toxic") >= least) & (F.col("n") >= 5 * F.col("toxic"))).orderBy("phrase").collect()
+    dropped(phrases)
+    lexicon = Lexicon(terms, [r["phrase"] for r in spared])
     lexicon.slope, lexicon.intercept = _fit(train, lexicon, n_toxic + n_clean)
     return lexicon
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -86,3 +87,19 @@ def test_held_out_accuracy(spark):
     found = sum(r["predicted"] for r in rows if r["toxic"]) / sum(r["toxic"] for r in rows)
     wrong = sum(r["predicted"] for r in rows if not r["toxic"]) / sum(1 - r["toxic"] for r in rows)
     assert found >= 0.85 and wrong <= 0.01
+
+
+def test_every_significant_term_is_kept(spark):
+    """Far more terms than a fixed number of rows would hold, frequent ones with moderate odds among them."""
+    rare = lambda i: " ".join(random.Random(i).sample([f"q{i % 8}z{j}" for j in range(3500)], 3500))
+    docs = [(i, f"{rare(i)} grumblo n{i} m{i}", "en", "s") for i in range(40)]
+    docs += [(1000 + i, f"plain words {'grumblo' if i < 20 else 'here'} c{i} d{i}", "en", "s") for i in range(400)]
+    labels = [(i, 1, int(i < 1000)) for i, *_ in docs]
+    train = X.labelled(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    x = X.learned(train, {})
+    assert "grumblo" in x.terms and sum(t[0] == "q" and not t.endswith(X.STEM) for t in x.terms) == 28_000
+    # A term too rare among many toxic documents is no term.
+    few = [(i, f"rarum r{i} s{i}" if i < 5 else f"t{i} u{i} vexo", "en", "s") for i in range(11_000)] + [(20_000 + i, f"c{i} d{i}", "en", "s") for i in range(400)]
+    labels = [(i, 1, int(i < 20_000)) for i, *_ in few]
+    x = X.learned(X.labelled(frame(spark, few), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), {})
+    assert "vexo" in x.terms and "rarum" not in x.terms
