@@ -6,9 +6,13 @@ A permutation depends on key, kind and length alone, so equal values get equal p
 document and different values stay different; `restored` inverts it with the same key.
 
 Kinds: card (13 to 19 digits, also in groups of 4-4-4-4 or 4-6-5; those that pass the Luhn test keep passing it, by permuting all but
-the check digit and computing that anew), phone (+C (AAA) BBB-CCCC: the ten digits behind the
-country code), ip (four octets from 0 to 255: permuted as one 32-bit number), date (a real
-YYYY-MM-DD from 1900 to 2099: permuted among the days of these years), secret (32 to 64 hex
+the check digit and computing that anew), phone (with + and 8 to 15 digits, also
+grouped by blanks, dots, dashes or one pair of brackets; without +, AAA BBB CCCC with such separators or (AAA), a 1 in front or
+not, and numbers with a trunk 0: 0AA BBBBBB, 0A/BBBBB, (0AA) BBBBBB, 0A AA AA AA AA; country code, leading 1 and trunk 0 stay, the
+other digits are permuted; ten bare digits aren't taken for a phone), ip (four octets from 0 to 255: permuted as one 32-bit number),
+date (real days from 1900 to 2099 with a year of four digits: YYYY-MM-DD, and with one of . / - and one or two digits
+each D.M.YYYY, M/D/YYYY, YYYY/M/D: permuted among the days that can be written with as many digits; M/D/YYYY is read with
+slashes and D.M.YYYY otherwise, the other order where only that is a day), secret (32 to 64 hex
 digits: permuted as hex digits) and email (the letters and digits of the local part, as two
 alphabets in one sequence; the domain stays).
 
@@ -30,12 +34,21 @@ from larder.llm.common import OWN
 
 # Fixed patterns, in the order in which they are tried at a place.
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-PHONE = r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)"
+_GROUPED = r"\+\d{1,3}[ .-]?\(\d{1,5}\)(?:[ .-]?\d){5,10}(?!\d)|\+\d(?:[ .-]?\d){7,14}(?!\d)"
+#: The numbers without +, by where their digits stand: three, three and four; those behind a trunk 0.
+_NATIONAL = r"(?<![\d.+-])(?<!\d )(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![ .-]?\d)"
+_TRUNK = r"(?<![\d.+-])(?<!\d )(?:0\d(?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4})|\(0\d{1,4}\) ?\d{5,8}|0\d{1,4}[ /-]\d{5,8})(?![ .-]?\d)"
+PHONE = r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)|" + _GROUPED
+LOCAL_PHONE = f"{_NATIONAL}|{_TRUNK}"
+#: What stays: country codes as far as they go, a leading 1, a trunk 0. Each is decided by what stays itself.
+_PREFIX = r"^\+\d{1,3}(?=\D)|^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
+_YEAR, _ENDS = "(?:19|20)\\d\\d", r"(?!\d|[./-]\d)"
+OTHER_DATE = r"(?<![\d./-])(?:" + "|".join(rf"\d{{1,2}}{c}\d{{1,2}}{c}{_YEAR}|{_YEAR}{c}\d{{1,2}}{c}\d{{1,2}}" for c in (r"\.", "/", "-")) + ")" + _ENDS
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
-ANY = "|".join((EMAIL, PHONE, IP, DATE, SECRET, CARD))
+ANY = "|".join((EMAIL, PHONE, IP, DATE, OTHER_DATE, SECRET, CARD, LOCAL_PHONE))
 
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
@@ -125,8 +138,8 @@ def _hex(value: Column, kind: str, key: str, undo: bool) -> Column:
     return F.when(upper, F.upper(joined)).otherwise(joined)
 
 
-def _range(number: Column, size: int, kind: str, key: str, undo: bool) -> Column:
-    """0 <= number < size to another such number: a network over two bytes or words, walked until it is in the range."""
+def _range(number: Column, size: int, kind: str, key: str, undo: bool, allowed=lambda x: F.lit(True), steps: int = 64) -> Column:
+    """0 <= number < size to another such number: a network over two bytes or words, walked until it is in the range and allowed."""
     width = 1 << ((size - 1).bit_length() + 1) // 2  # each half
 
     def once(x: Column) -> Column:
@@ -141,16 +154,16 @@ def _range(number: Column, size: int, kind: str, key: str, undo: bool) -> Column
         return once(number.cast("long"))
     # Cycle walking: each step leaves the range with chance 1 - size / width**2, under 3 in 4; 64 steps always do, and if they didn't the value stays.
     walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(64)),
+        F.sequence(F.lit(1), F.lit(steps)),
         F.struct(number.cast("long").alias("x"), F.lit(False).alias("done")),
-        lambda s, _: F.when(s["done"], s).otherwise(_checked(once(s["x"]), size)),
+        lambda s, _: F.when(s["done"], s).otherwise(_checked(once(s["x"]), size, allowed)),
         lambda s: F.when(s["done"], s["x"]).otherwise(number.cast("long")),
     )
     return walked
 
 
-def _checked(x: Column, size: int) -> Column:
-    return F.transform(F.array(x), lambda v: F.struct(v.alias("x"), (v < size).alias("done")))[0]
+def _checked(x: Column, size: int, allowed) -> Column:
+    return F.transform(F.array(x), lambda v: F.struct(v.alias("x"), ((v < size) & allowed(v)).alias("done")))[0]
 
 
 def _luhn_sum(digits: Column, check: bool) -> Column:
@@ -190,7 +203,8 @@ def _refilled(value: Column, digits: Column) -> Column:
 
 
 def _phone(value: Column, key: str, undo: bool) -> Column:
-    prefix = F.regexp_extract(value, r"^\+\d+ ", 0)
+    trunk = F.when(value.rlike(f"^(?:{_TRUNK})$"), F.regexp_extract(value, r"^\(?0", 0)).otherwise(F.regexp_extract(value, r"^1[ .-]", 0))
+    prefix = F.when(F.startswith(value, F.lit("+")), F.regexp_extract(value, _PREFIX, 0)).otherwise(trunk)
     rest = F.substring(value, F.length(prefix) + 1, F.length(value))
     return F.concat(prefix, _refilled(rest, _digits(F.regexp_replace(rest, r"\D", ""), "phone", key, undo)))
 
@@ -207,6 +221,51 @@ def _date(value: Column, key: str, undo: bool) -> Column:
     return F.coalesce(F.date_format(moved, "yyyy-MM-dd"), value)
 
 
+def _fields(value: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """Of a date in another layout: its day, year first or not, month first or not, and month and day as written."""
+    part = F.split(value, "[./-]")
+    year_first = F.length(part[0]) == 4
+    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    by_month, by_day = made(part[2], part[0], part[1]), made(part[2], part[1], part[0])
+    slashed = F.contains(value, F.lit("/"))
+    month_first = F.when(slashed, by_month.isNotNull()).otherwise(by_day.isNull())
+    day = F.when(year_first, made(part[0], part[1], part[2])).when(month_first, by_month).otherwise(by_day)
+    month = F.when(year_first, part[1]).when(month_first, part[0]).otherwise(part[1])
+    return day, year_first, month_first, month, F.when(year_first, part[2]).when(month_first, part[1]).otherwise(part[0])
+
+
+def _once(value: Column, f) -> Column:
+    """f(value) with value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _other_date(value: Column, key: str, undo: bool) -> Column:
+    """Days are permuted as in _date, walked on until one can be written, and is read again, in the same way."""
+    names = ("day", "year_first", "month_first", "month", "of_month")
+    fields = F.struct(*[c.alias(n) for c, n in zip(_fields(value), names, strict=True)], F.regexp_extract(value, "[./-]", 0).alias("sep"))
+
+    def of(f: Column) -> Column:
+        month, of_month, sep = f["month"], f["of_month"], f["sep"]
+        short_month, short_day = F.length(month) == 1, F.length(of_month) == 1
+        # The order that is not the layout's own is only for days that its own order can't mean.
+        turned = ~f["year_first"] & (f["month_first"] != (sep == "/"))
+
+        def allowed(x: Column) -> Column:
+            d = F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
+            return (~short_month | (F.month(d) <= 9)) & (~short_day | (F.dayofmonth(d) <= 9)) & (~turned | (F.dayofmonth(d) > 12))
+
+        def written(d: Column) -> Column:
+            y, m, dd = F.date_format(d, "yyyy"), F.lpad(F.month(d).cast("string"), F.length(month), F.lit("0")), F.lpad(F.dayofmonth(d).cast("string"), F.length(of_month), F.lit("0"))
+            return F.when(f["year_first"], F.concat_ws("", y, sep, m, sep, dd)).when(f["month_first"], F.concat_ws("", m, sep, dd, sep, y)).otherwise(F.concat_ws("", dd, sep, m, sep, y))
+
+        number = F.datediff(f["day"], F.lit(FIRST_DAY).cast("date"))
+        # About 1 in 16 numbers is allowed where the fewest are.
+        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), _range(number, DAYS, "date", key, undo, allowed, 800).cast("int"))
+        return _once(moved, written)
+
+    return F.coalesce(_once(fields, of), value)
+
+
 def _email(value: Column, key: str, undo: bool) -> Column:
     local = F.regexp_extract(value, "^[^@]*", 0)
     return F.concat(_alphabet(local, "email", key, undo), F.substring(value, F.length(local) + 1, F.length(value)))
@@ -219,19 +278,25 @@ def kind_of(value: Column) -> Column:
         .when(F.startswith(value, F.lit("+")), "phone")
         .when(whole(IP), "ip")
         .when(whole(DATE), F.when(F.try_to_date(value, "yyyy-MM-dd").isNotNull(), "date"))
+        .when(whole(OTHER_DATE), F.when(_fields(value)[0].isNotNull(), "other date"))
         .when(whole(CARD), "card")
         .when(whole(SECRET), "secret")
+        .when(whole(LOCAL_PHONE), "phone")
     )
 
 
 def pseudonym(value: Column, key: str = DEFAULT_KEY, undo: bool = False) -> Column:
     """A value of any kind to its pseudonym; what is no valid value stays."""
-    kind = kind_of(value)
+    return _once(F.struct(value.alias("value"), kind_of(value).alias("kind")), lambda s: _moved(s["value"], s["kind"], key, undo))
+
+
+def _moved(value: Column, kind: Column, key: str, undo: bool) -> Column:
     return (
         F.when(kind == "email", _email(value, key, undo))
         .when(kind == "phone", _phone(value, key, undo))
         .when(kind == "ip", _ip(value, key, undo))
         .when(kind == "date", _date(value, key, undo))
+        .when(kind == "other date", _other_date(value, key, undo))
         .when(kind == "card", _card(value, key, undo))
         .when(kind == "secret", _hex(value, "secret", key, undo))
         .otherwise(value)

@@ -94,3 +94,27 @@ def test_query(spark, tiny):
     for r in changed:
         for v in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\S+@\S+\.com|\b\d{16}\b", r["old"]):
             assert v not in r["text"]
+
+
+PHONES = ["(555) 123-4567", "(055) 123-4567", "555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "+15551234567", "+1 555 123 4567", "+33 1 23 45 67 89", "+49 (030) 1234567", "+4930123456", "+442079460958", "030 1234567", "0171/1234567", "(030) 1234567", "01 23 45 67 89"]
+DATES = ["03/14/2021", "14/03/2021", "03/04/2021", "14.03.2021", "03.14.2021", "14-03-2021", "2021/03/14", "3/4/2021", "3/14/2021", "14.3.2021", "1.2.1999", "12/31/2099", "2021.3.4", "31/1/1950"]
+NEITHER = ["31.02.2021", "13/13/2021", "1.2.3", "1234 5678", "12345", "10/20", "3.14159", "+123", "1.2.2021.5"]
+
+
+def test_usual_phones_and_dates(spark):
+    values = PHONES + DATES
+    rows = [(i, f"call {v}, or {v}.") for i, v in enumerate(values)] + [(100, " ; ".join(values) + "."), (101, " ; ".join(NEITHER))]
+    out = P.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {r["doc_id"]: r["text"] for r in P.restored(out).collect()} == dict(rows)
+    for i, v in enumerate(values):
+        assert got[i]["n_values"] == 2 and v not in got[i]["text"] and shape(got[i]["text"]) == shape(rows[i][1]), v
+    assert got[100]["n_values"] == len(values) and got[101]["n_values"] == 0 and got[101]["text"] == rows[-1][1]
+
+
+def test_other_dates_come_back_and_stay_different(spark):
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int"))
+    for layout in ("M/d/yyyy", "dd/MM/yyyy", "d.M.yyyy"):
+        df = spark.range(400).select(F.col("id").alias("doc_id"), F.date_format(day, layout).alias("text"))
+        out = P.pseudonymised(df)
+        assert out.select("text").distinct().count() == 400 and P.restored(out).select("text").exceptAll(df.select("text")).count() == 0
