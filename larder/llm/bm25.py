@@ -1,25 +1,32 @@
-"""Exact top-k search: BM25 over sharded inverted indexes with block-max dynamic pruning.
-
-Global statistics come first: the number and mean length of documents and, for the terms of the
-queries, their document frequencies. Every task then turns its documents into shards of bounded
-size, each with postings by term (for the terms of the queries at hand), postings by document and,
-per term and block of documents, the largest impact. A query's terms are ordered by the most that
-they can add; with the k-th best score so far as threshold, the terms that together can't reach it
-are non-essential: only documents of the other lists are candidates, and of these only those whose
-partial score and the block maxima of the non-essential terms still exceed the threshold are scored
-in full. That is the WAND bound, taken over whole lists and blocks at once, so that it runs as array
-operations. The threshold is carried from shard to shard. The shards' top-k lists use the same
-global statistics, so merging them (in two levels, bounded groups) gives the exact top k.
-
-Queries are handled in blocks of bounded size (QUERY_TERMS term weights), which are broadcast;
-documents are never brought to the driver and no pairs are emitted but the top k of a shard.
+"""Exact top-k search: BM25 over a stored, sharded inverted index with block-max dynamic pruning.
+
+The corpus is tokenised once. Every task turns its documents into shards of bounded size and stores
+them: terms, and for each its postings (document and count). Global statistics, the number and mean
+length of documents and the document frequencies, are summed from the stored shards, so the scores of
+all shards are on one scale.
+
+Queries are handled in blocks of bounded size (QUERY_TERMS term weights), packed by the executors,
+and broadcast one at a time; each block passes over the stored index. Within a shard documents are
+ordered by length, so that blocks of them have like impacts, and a block's largest impact is known
+for every long list. A query's lists are added up from the one that can lift a document most
+downwards, until documents in none of them can't reach the threshold any more (the k-th best score so
+far; partial sums raise it too). From then on only the documents seen are candidates, and of these
+only those whose partial score and the block maxima of the lists not added yet still reach the
+threshold; lists are added until few are left, which are scored in full. That is the WAND bound, taken over
+lists and blocks at once, so that it runs as array operations.
+
+Thresholds are carried from shard to shard within a task and, in a large index, from wave to wave:
+the first wave has FIRST_WAVE shards, each further one WAVE_GROWTH times as many as all before, so a query
+gets some k hits a wave and not k hits from every task. Merging the lists gives the exact top k. Documents are never
+brought to the driver, and of the queries one packed block at a time.
+
 The work grows with queries times matching postings: pruning lowers it but not its order.
 
 Defined cases: null or empty texts have no terms, are never found and find nothing; documents
 count one for one, equal rows too; rows of queries with one id are one query with all their terms;
-equal scores are ordered by doc_id; a term counts once in a query, however often it stands there;
+scores are rounded to 9 digits, equal ones are ordered by doc_id; a term counts once in a query, however often it stands there;
 fewer than k matching documents give fewer rows; rows without doc_id count for the statistics but
-aren't found; empty tables give an empty result.
+aren't found; empty tables give an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -36,11 +43,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import small_batches, stored, texts_of
+from larder.llm.common import dropped, small_batches, stored, texts_of
 
 K1, B, TOP = 1.2, 0.75, 10
-#: Documents and postings of a shard, documents of a block, term weights of a block of queries, tasks whose lists are merged first.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERY_TERMS, FAN_IN = 16_384, 8_000_000, 64, 2_000_000, 256
+#: Documents (65 536 at most) and postings of a shard, documents of a block, term weights of a block of queries, tasks whose lists are merged first.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERY_TERMS, FAN_IN = 16_384, 4_000_000, 64, 1_000_000, 256
+#: Stored shards in the first wave, and in each further one for each shard before it.
+FIRST_WAVE, WAVE_GROWTH = 512, 7
+#: Lists shorter than SHORT are added together; FEW candidates are scored in full.
+SHORT, FEW = 48, 48
+
+#: Scores are rounded to so many digits, and equal from there on.
+DIGITS, UNIT = 9, 2e-9
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -49,28 +63,101 @@ def term_counts(text: str) -> dict[str, int]:
     return Counter(WORD.findall(text.lower()))
 
 
-def _hashed(words) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), np.int64)
+class _Hashes(dict):
+    """Word -> its hash, for the words met first."""
+
+    def __missing__(self, word: str) -> int:
+        out = xxhash.xxh3_64_intdigest(word) >> 1
+        if len(self) < 200_000 and len(word) <= 40:
+            self[word] = out
+        return out
+
 
+_HASHES = _Hashes()
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of term and documents with it, as far as one task sees them; a row without term has documents and words."""
-    seen: Counter = Counter()
-    docs = words = 0
 
-    def out(terms: np.ndarray, n: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64())], ["term", "n", "words"])
+def _hashed(words) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.int64)
+
+
+def _bytes(values, kind: str) -> bytes:
+    return np.ascontiguousarray(values, kind).tobytes()
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs."""
+    most = int(values.max(initial=0))
+    return _bytes(values, next(f"<u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w))
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}" if n else "<u1")
+
+
+INDEX = "shard long, docs long, words long, ids binary, named binary, lengths binary, terms binary, sizes binary, post_doc binary, post_tf binary"
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of one task's documents: per term, in the order of hashes, the documents it is in and how often."""
+    task, made = TaskContext.get().partitionId(), 0
+    ids: list = []
+    lengths: list[int] = []
+    terms: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    docs = words = postings = 0
+
+    def out() -> pa.RecordBatch:
+        sizes = [len(t) for t in terms]
+        term = np.concatenate([np.empty(0, np.int64), *terms])
+        tf = np.concatenate([np.empty(0, np.int64), *counts])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(term, kind="stable")
+        term, tf, doc = term[order], tf[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
+        row = {
+            "shard": (task << 24) + made,
+            "docs": docs,
+            "words": words,
+            "ids": _bytes([i or 0 for i in ids], "<i8"),
+            "named": _bytes([i is not None for i in ids], "?"),
+            "lengths": _bytes(lengths, "<i8"),
+            "terms": _bytes(term[first], "<i8"),
+            "sizes": _narrow(np.diff(first, append=len(term))),
+            "post_doc": _narrow(doc),
+            "post_tf": _narrow(tf),
+        }
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 7
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
     for b in small_batches(batches):
-        for t in texts_of(b):
-            counts = term_counts(t)
-            seen.update(counts.keys())
-            docs, words = docs + 1, words + sum(counts.values())
-        if len(seen) > 300_000:
-            yield out(_hashed(seen), list(seen.values()))
-            seen.clear()
-    yield out(_hashed(seen), list(seen.values()))
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([docs], pa.int64()), pa.array([words], pa.int64())], ["term", "n", "words"])
+        for doc_id, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), texts_of(b), strict=True):
+            found = term_counts(t)
+            docs += 1
+            if not found:
+                continue
+            n = np.fromiter(found.values(), np.int64, len(found))
+            ids.append(doc_id)
+            lengths.append(int(n.sum()))
+            terms.append(_hashed(found))
+            counts.append(n)
+            words, postings = words + lengths[-1], postings + len(n)
+            if len(ids) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
+                yield out()
+                made, docs, words, postings = made + 1, 0, 0, 0
+                for x in (ids, lengths, terms, counts):
+                    x.clear()
+    if docs:
+        yield out()
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Term and the number of documents that have it, for each shard."""
+    for b in batches:
+        for terms, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            term = np.frombuffer(terms, "<i8")
+            n = _wide(sizes, len(term)).astype(np.int64)
+            for i in range(0, len(term), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(term[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["term", "n"])
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,40 +167,66 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(t) for t in terms])), pa.array(np.concatenate([np.empty(0, np.int64), *terms]))], ["query_id", "term"])
 
 
+def _packed(rows: pa.Table) -> pa.Table:
+    """A block's term weights as one row of bytes, ordered by query and term."""
+    ids, terms, weights = (rows.column(c).to_numpy() for c in ("query_id", "term", "weight"))
+    order = np.lexsort((terms, ids))
+    ids, start = np.unique(ids[order], return_index=True)
+    blobs = _bytes(ids, "<i8"), _bytes(np.append(start, len(order)), "<i8"), _bytes(terms[order], "<i8"), _bytes(weights[order], "<f8")
+    return pa.table([rows.column("block").slice(0, 1), *[pa.array([x], pa.binary()) for x in blobs]], ["block", "ids", "start", "terms", "weights"])
+
+
 class Queries:
-    """A block of queries: ids, and for each its terms, as places in a sorted vocabulary, with weights."""
+    """A block of queries: ids, and for each its terms, as places in a sorted vocabulary, with weights and a threshold."""
+
+    def __init__(self, ids: bytes, start: bytes, terms: bytes, weights: bytes, known: dict[int, float]):
+        self.ids, self.start = np.frombuffer(ids, "<i8"), np.frombuffer(start, "<i8").tolist()
+        self.vocabulary, self.terms = np.unique(np.frombuffer(terms, "<i8"), return_inverse=True)
+        self.weights = np.frombuffer(weights, "<f8")
+        self.threshold = [known.get(i, 0.0) for i in self.ids.tolist()]
+
 
-    def __init__(self, ids: np.ndarray, terms: np.ndarray, weights: np.ndarray):
-        order = np.lexsort((terms, ids))
-        ids, terms, self.weights = ids[order], terms[order], weights[order]
-        self.vocabulary, self.terms = np.unique(terms, return_inverse=True)
-        self.ids, start = np.unique(ids, return_index=True)
-        self.start = np.append(start, len(ids))
+def _order(values: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0, by 16 bits at a time, as numpy sorts those by radix."""
+    out = np.argsort(values.astype(np.uint16), kind="stable")
+    for shift in range(16, int(values.max(initial=0)).bit_length(), 16):
+        out = out[np.argsort((values >> shift).astype(np.uint16)[out], kind="stable")]
+    return out
 
 
 class Shard:
     """An inverted index of some documents, for the terms of a block of queries."""
 
-    def __init__(self, doc_ids: list[int], lengths: list[int], doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n_terms: int, mean_length: float):
-        self.doc_ids = np.array(doc_ids, np.int64)
-        norm = K1 * (1 - B + B * np.array(lengths, float) / mean_length)
-        impact = tf * (K1 + 1) / (tf + norm[doc])
-        by_doc = np.lexsort((term, doc))
-        self.doc_term, self.doc_impact = term[by_doc], impact[by_doc]
-        self.doc_start = np.searchsorted(doc[by_doc], np.arange(len(doc_ids) + 1))
-        by_term = np.lexsort((doc, term))
-        self.post_doc, self.post_impact, term = doc[by_term], impact[by_term], term[by_term]
-        self.start = np.searchsorted(term, np.arange(n_terms + 1))
-        # Per term and block of documents, the largest impact; per term, the largest of all.
-        n_blocks = (len(doc_ids) - 1) // BLOCK + 1
-        cell = term * n_blocks + self.post_doc // BLOCK
-        first = np.flatnonzero(np.diff(cell, prepend=-1)) if len(cell) else np.empty(0, np.int64)
-        self.block_max = np.maximum.reduceat(self.post_impact, first) if len(first) else np.empty(0)
-        self.block_no, self.n_blocks = cell[first] % n_blocks, n_blocks
-        self.block_start = np.searchsorted(cell[first] // n_blocks, np.arange(n_terms + 1))
+    def __init__(self, doc_ids, lengths, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n_terms: int, mean_length: float):
+        lengths = np.asarray(lengths, float)
+        order = np.argsort(lengths, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.doc_ids, self.n = np.asarray(doc_ids, np.int64)[order], len(order)
+        self.norm = K1 * (1 - B + B * lengths[order] / mean_length)
+        doc, tf = place[doc], np.asarray(tf, np.float32)
+        by_doc = _order(doc)
+        doc, self.doc_term, self.doc_tf = doc[by_doc], term[by_doc], tf[by_doc]
+        self.doc_start = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
+        by_term = _order(self.doc_term)
+        self.post_doc, tf, term = doc[by_term], self.doc_tf[by_term], self.doc_term[by_term]
+        self.post_impact = (tf * (K1 + 1) / (tf + self.norm[self.post_doc])).astype(np.float32)
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=n_terms))))
         self.most = np.zeros(n_terms)
-        np.maximum.at(self.most, cell[first] // n_blocks, self.block_max)
-        self.n_terms = n_terms
+        filled = np.flatnonzero(np.diff(self.start))
+        if len(filled):
+            self.most[filled] = np.maximum.reduceat(self.post_impact, self.start[filled])
+        # For lists of more postings than there are blocks, the largest impact of each block: no more numbers than postings.
+        self.n_blocks = max(1, (self.n - 1) // BLOCK + 1)
+        long = np.flatnonzero(np.diff(self.start) >= self.n_blocks)
+        self.row = np.full(n_terms, -1)
+        self.row[long] = np.arange(len(long))
+        self.block_max = np.zeros((len(long), self.n_blocks), np.float32)
+        mine = self.row[term] >= 0
+        cell = self.row[term[mine]] * self.n_blocks + self.post_doc[mine] // BLOCK
+        if len(cell):
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            self.block_max.reshape(-1)[cell[first]] = np.maximum.reduceat(self.post_impact[mine], first)
 
     @staticmethod
     def _gather(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,44 +237,77 @@ class Shard:
 
     def full(self, docs: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Whole scores of some documents; weight by term."""
-        at, n = self._gather(self.doc_start, docs)
-        part = weight[self.doc_term[at]] * self.doc_impact[at]
-        return np.bincount(np.repeat(np.arange(len(docs)), n), part, len(docs))
+        out = np.empty(len(docs))
+        for i in range(0, len(docs), 2048):
+            some = docs[i : i + 2048]
+            at, n = self._gather(self.doc_start, some)
+            tf = self.doc_tf[at].astype(float)
+            part = weight[self.doc_term[at]] * (tf * (K1 + 1) / (tf + np.repeat(self.norm[some], n)))
+            out[i : i + 2048] = np.bincount(np.repeat(np.arange(len(some)), n), part, len(some))
+        return out
+
+    def _add(self, total: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Adds what these lists give to each document's total."""
+        size = self.start[terms + 1] - self.start[terms]
+        short = size < SHORT
+        if short.any():
+            at, n = self._gather(self.start, terms[short])
+            total += np.bincount(self.post_doc[at], np.repeat(weights[short], n) * self.post_impact[at], self.n)
+        long = terms[~short]
+        doc, impact = self.post_doc, self.post_impact
+        for a, z, w in zip(self.start[long].tolist(), self.start[long + 1].tolist(), weights[~short].astype(np.float32), strict=True):
+            total[doc[a:z]] += w * impact[a:z]
+
+    def _open(self, terms: np.ndarray, weights: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """What these lists can give at most, by block."""
+        row = self.row[terms]
+        long = row >= 0
+        return weights[long].astype(np.float32) @ self.block_max[row[long]] + np.float32(bound[~long].sum())
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, threshold: float, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the documents that may be among the best k: those of the shard's best that reach the threshold."""
+        nothing = np.empty(0, np.int64), np.empty(0)
         bound = weights * self.most[terms]
-        terms, weights, bound = terms[keep := bound > 0], weights[keep], bound[keep]
-        if not len(terms):
-            return np.empty(0, np.int64), np.empty(0)
-        order = np.argsort(bound)
+        order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
+        n = len(order)
         terms, weights, bound = terms[order], weights[order], bound[order]
-        reach = np.cumsum(bound)
-        scratch[terms] = weights
-        try:
+        left = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
+        # Sums are rounded to 32 bits until candidates are scored in full: thresholds give way by as much.
+        slack = 1 - 4e-7 * (n + 16)
+        floor = threshold * slack - UNIT
+        if not n or left[0] < floor:
+            return nothing
+        total = np.zeros(self.n, np.float32)
+        step = max(8, n // 8)
+
+        def raised(sums: np.ndarray) -> float:
+            return max(floor, float(np.partition(sums, len(sums) - k)[len(sums) - k]) * slack - UNIT) if len(sums) >= k else floor
+
+        done = 0
+        # Lists, until documents in none of them can't reach the threshold.
+        while done < n and left[done] >= floor:
+            till = max(done + step, int(np.searchsorted(-left, -floor, "right")) if threshold > 0 else 0)
+            self._add(total, terms[done:till], weights[done:till])
+            done = min(n, till)
             if threshold <= 0:
-                # A first threshold: the full scores of the documents that the strongest lists favour.
-                at, n = self._gather(self.start, terms[-max(1, len(terms) // 4) :])
-                part = np.bincount(self.post_doc[at], np.repeat(weights[-max(1, len(terms) // 4) :], n) * self.post_impact[at], len(self.doc_ids))
-                some = np.flatnonzero(part)
-                if len(some) >= k:
-                    some = some[np.argpartition(-part[some], k - 1)[:k]]
-                    threshold = self.full(some, scratch).min() * (1 - 1e-9)
-            # Terms whose lists can't lift a document over the threshold by themselves (a hair below: sums round).
-            idle = int(np.searchsorted(reach, threshold * (1 - 1e-9), "right")) if threshold > 0 else 0
-            if idle == len(terms):
-                return np.empty(0, np.int64), np.empty(0)
-            at, n = self._gather(self.start, terms[idle:])
-            part = np.bincount(self.post_doc[at], np.repeat(weights[idle:], n) * self.post_impact[at], len(self.doc_ids))
-            rest = np.zeros(self.n_blocks)
-            if idle:
-                cells, n = self._gather(self.block_start, terms[:idle])
-                rest = np.bincount(self.block_no[cells], np.repeat(weights[:idle], n) * self.block_max[cells], self.n_blocks)
-            docs = np.flatnonzero(part)
-            docs = docs[part[docs] + rest[docs // BLOCK] >= threshold * (1 - 1e-9)]
-            scores = self.full(docs, scratch)
-        finally:
-            scratch[terms] = 0
+                floor = raised(total)
+        docs = np.flatnonzero(total)
+        while True:
+            sums = total[docs]
+            if done == n:
+                docs = docs[sums >= raised(sums)]
+                break
+            docs = docs[sums + self._open(terms[done:], weights[done:], bound[done:])[docs // BLOCK] >= floor]
+            if len(docs) <= FEW:
+                break
+            self._add(total, terms[done : done + step], weights[done : done + step])
+            done = min(n, done + step)
+            floor = raised(total[docs])
+        if not len(docs):
+            return nothing
+        scratch[terms] = weights
+        scores = np.round(self.full(docs, scratch), DIGITS)
+        scratch[terms] = 0
         ids = self.doc_ids[docs]
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
@@ -169,45 +315,48 @@ class Shard:
 
 def _searching(shared, mean_length: float, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: Queries = shared.value
-        scratch, n_terms = np.zeros(len(q.vocabulary)), len(q.vocabulary)
+        q = Queries(*shared.value)
+        n_terms = len(q.vocabulary)
+        scratch = np.zeros(n_terms)
         best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q.ids)
-        ids, lengths, parts, postings = [], [], [], 0
+        ids, lengths, parts, size = [], [], [], [0, 0]
 
         def run() -> None:
-            nonlocal postings
-            doc, term, tf = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            shard = Shard(ids, lengths, doc, term, tf, n_terms, mean_length)
+            shard = Shard(np.concatenate(ids), np.concatenate(lengths), *(np.concatenate([p[i] for p in parts]) for i in range(3)), n_terms, mean_length)
             for i in range(len(q.ids)):
                 s = slice(q.start[i], q.start[i + 1])
-                old = best[i]
-                threshold = float(old[1][k - 1]) if old is not None and len(old[1]) >= k else 0.0
-                found, scores = shard.top(q.terms[s], q.weights[s], k, threshold, scratch)
+                found, scores = shard.top(q.terms[s], q.weights[s], k, q.threshold[i], scratch)
                 if len(found):
-                    if old is not None:
-                        found, scores = np.concatenate((old[0], found)), np.concatenate((old[1], scores))
+                    if best[i] is not None:
+                        found, scores = np.concatenate((best[i][0], found)), np.concatenate((best[i][1], scores))
                     order = np.lexsort((found, -scores))[:k]
                     best[i] = found[order], scores[order]
-            ids.clear()
-            lengths.clear()
-            parts.clear()
-            postings = 0
-
-        for b in small_batches(batches):
-            for doc_id, t in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), texts_of(b), strict=True):
-                counts = term_counts(t)
-                if doc_id is None or not counts:
+                    if len(order) == k:
+                        q.threshold[i] = max(q.threshold[i], float(scores[order[-1]]))
+            for x in (ids, lengths, parts):
+                x.clear()
+            size[:] = 0, 0
+
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(j)[i].as_py() for j, c in enumerate(b.schema.names)}
+                term, doc_ids = np.frombuffer(row["terms"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                if not len(term):
                     continue
-                h = _hashed(counts)
-                at = np.searchsorted(q.vocabulary, h)
-                known = q.vocabulary[np.minimum(at, n_terms - 1)] == h
-                term = at[known]
-                parts.append((np.full(len(term), len(ids)), term, np.fromiter(counts.values(), float, len(counts))[known]))
-                ids.append(doc_id)
-                lengths.append(sum(counts.values()))
-                postings += len(term)
-                if len(ids) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
+                n = _wide(row["sizes"], len(term)).astype(np.int64)
+                total = int(n.sum())
+                at = np.minimum(np.searchsorted(q.vocabulary, term), n_terms - 1)
+                asked = q.vocabulary[at] == term
+                doc = _wide(row["post_doc"], total).astype(np.int64)
+                mine = np.repeat(asked, n) & np.frombuffer(row["named"], "?")[doc]
+                doc = doc[mine]
+                if size[0] and (size[0] + len(doc_ids) > SHARD_DOCS or size[1] + len(doc) > 2 * SHARD_POSTINGS):
                     run()
+                parts.append((doc + size[0], np.repeat(at, n)[mine], _wide(row["post_tf"], total)[mine].astype(np.float32)))
+                ids.append(doc_ids)
+                lengths.append(np.frombuffer(row["lengths"], "<i8"))
+                size[0] += len(doc_ids)
+                size[1] += len(doc)
         if ids:
             run()
         rows = [i for i, x in enumerate(best) if x is not None]
@@ -230,30 +379,67 @@ def _merged(k: int):
     return merge
 
 
+_LISTS = "query_id long, ids array<long>, scores array<double>"
+
+
+def _best(lists: DataFrame, k: int) -> DataFrame:
+    once = lists.groupBy("query_id", "part").applyInArrow(lambda key, t: _merged(k)(t), _LISTS)
+    return once.groupBy("query_id").applyInArrow(lambda key, t: _merged(k)(t), _LISTS)
+
+
+def waves(shards: int) -> list[int]:
+    """How many of the stored shards have been searched after each wave."""
+    out = [min(shards, FIRST_WAVE)]
+    while out[-1] < shards:
+        out.append(min(shards, out[-1] * (1 + WAVE_GROWTH)))
+    return out
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank (from 1), doc_id and score of the best k documents of each query (query_id, text)."""
     spark = docs.sparkSession
-    corpus = docs.select("doc_id", "text")
-    counts = stored(corpus.mapInArrow(_statistics, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")), "terms")
-    whole = counts.filter("term IS NULL").first()
-    n, mean_length = (whole["df"], max(1.0, whole["words"] / max(1, whole["df"]))) if whole else (0, 1.0)
+    index = stored(docs.select("doc_id", "text").mapInArrow(_indexed, INDEX), "index")
+    whole = index.agg(F.count("*").alias("shards"), F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
+    n, mean_length = whole["docs"] or 0, max(1.0, (whole["words"] or 0) / max(1, whole["docs"] or 0))
+    counts = index.select("terms", "sizes").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     df = F.col("df").cast("double")
     terms = queries.filter("query_id IS NOT NULL").select("query_id", "text").mapInArrow(_query_terms, "query_id long, term long").distinct()
-    weighed = terms.join(counts.filter("term IS NOT NULL").select("term", "df"), "term").select("query_id", "term", F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5)).alias("weight"))
-    weighed = stored(weighed, "queries")
+    weighed = stored(terms.join(counts, "term").select("query_id", "term", F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5)).alias("weight")), "weights")
     blocks = max(1, math.ceil(weighed.count() / QUERY_TERMS))
-    lists = None
+    numbered = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    packed = stored(numbered.groupBy("block").applyInArrow(lambda key, t: _packed(t), "block long, ids binary, start binary, terms binary, weights binary"), "queries")
+    dropped(weighed)
+    # Shards come to a wave by the hash of their number.
+    share = F.pmod(F.xxhash64("shard"), F.lit(1 << 40)) / float(1 << 40)
+    ends = [0.0] + [w / max(1, whole["shards"]) for w in waves(whole["shards"])]
+    found: list[DataFrame] = []
     for i in range(blocks):
-        rows = weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
-        shared = spark.sparkContext.broadcast(Queries(*(rows[c].to_numpy() for c in ("query_id", "term", "weight"))))
-        if not len(rows):
+        row = packed.filter(F.col("block") == i).first()
+        if row is None:
             continue
-        found = stored(corpus.mapInArrow(_searching(shared, mean_length, k), "query_id long, part long, ids array<long>, scores array<double>"), "found")
-        lists = found if lists is None else lists.unionByName(found)
-    if lists is None:
+        known: dict[int, float] = {}
+        mine: list[DataFrame] = []
+        for low, high in zip(ends, ends[1:], strict=False):
+            if mine:
+                # A block has no more queries than term weights; of each comes one number.
+                kth = _best(_union(mine), k).filter(F.size("scores") == k).select("query_id", F.element_at("scores", -1).alias("score")).collect()
+                known = {r["query_id"]: r["score"] for r in kth}
+            shared = spark.sparkContext.broadcast((*(bytes(row[c]) for c in ("ids", "start", "terms", "weights")), known))
+            some = index if len(ends) == 2 else index.filter((share >= low) & (share < high))
+            lists = some.drop("docs", "words", "shard").mapInArrow(_searching(shared, mean_length, k), "query_id long, part long, ids array<long>, scores array<double>")
+            mine.append(stored(lists, "found"))
+            shared.destroy()
+        found += mine
+    dropped(index)
+    dropped(packed)
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    kind = "query_id long, ids array<long>, scores array<double>"
-    once = lists.groupBy("query_id", "part").applyInArrow(lambda key, t: _merged(k)(t), kind)
-    best = once.groupBy("query_id").applyInArrow(lambda key, t: _merged(k)(t), kind)
-    places = best.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("place", "hit"))
+    places = _best(_union(found), k).select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("place", "hit"))
     return places.select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.ids").alias("doc_id"), F.col("hit.scores").alias("score"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

@@ -86,7 +86,19 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-@query()
+@query(r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+lengths AS (SELECT doc_id, sum(tf) AS words FROM counts GROUP BY doc_id),
+whole AS (SELECT count(*) AS n, greatest(1.0, (SELECT count(*) FROM words) / count(*)) AS mean FROM documents),
+idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS weight FROM counts, whole GROUP BY term),
+scores AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(weight * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * words / mean))), 9) AS score
+  FROM counts q JOIN idf ON idf.term = q.term JOIN counts d ON d.term = q.term JOIN lengths ON lengths.doc_id = d.doc_id CROSS JOIN whole
+  WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, d.doc_id),
+ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
 def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document whose id is divisible by 50, the ten best of all documents, searched with its whole text."""
     docs = table(spark, sf_dir, "documents")

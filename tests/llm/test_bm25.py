@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.llm import bm25 as S
 from larder.llm import queries
+from tests.helpers import assert_same
 from tests.llm.conftest import ROWS, frame
 
 
@@ -48,9 +49,11 @@ def compare(got, want):
             assert i == j or any(abs(s + u) < 1e-9 and v == i for u, v in hits)
 
 
-@pytest.mark.parametrize("shard", [3, 10_000])
-def test_odd_rows(odd, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "wave"), [(3, 512), (2, 1), (10_000, 512)])
+def test_odd_rows(odd, monkeypatch, shard, wave):
     monkeypatch.setattr(S, "SHARD_DOCS", shard)
+    monkeypatch.setattr(S, "FIRST_WAVE", wave)
+    monkeypatch.setattr(S, "WAVE_GROWTH", 1)
     monkeypatch.setattr(S, "QUERY_TERMS", 2000)
     asked = odd.select(F.col("doc_id").alias("query_id"), "text")
     compare(S.search(odd, asked, 5).collect(), brute([r[:2] for r in ROWS], [r[:2] for r in ROWS], 5))
@@ -72,6 +75,43 @@ def test_random_corpus(spark, monkeypatch):
     compare(got, brute([d[:2] for d in docs], asked))
 
 
+def test_pruned_shard_equals_whole_scores(monkeypatch):
+    """Whatever the threshold, a shard returns its best documents that reach it."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for few in (1, 40):
+        monkeypatch.setattr(S, "FEW", few)
+        n, v = 900, 300
+        doc = np.repeat(np.arange(n), 30)
+        term = np.minimum(rng.zipf(1.3, len(doc)), v) - 1
+        pairs = np.unique(np.stack([doc, term]), axis=1)
+        tf = rng.integers(1, 6, pairs.shape[1])
+        lengths = np.bincount(pairs[0], tf, n)
+        shard = S.Shard(np.arange(n) * 3, lengths, pairs[0], pairs[1], tf, v, lengths.mean())
+        weight = rng.random(v) * 3
+        for terms in (np.arange(v), np.arange(5), np.arange(100, 180)):
+            dense = np.zeros(v)
+            dense[terms] = weight[terms]
+            norm = S.K1 * (1 - S.B + S.B * lengths / lengths.mean())
+            whole = np.round(np.bincount(pairs[0], dense[pairs[1]] * tf * (S.K1 + 1) / (tf + norm[pairs[0]]), n), S.DIGITS)
+            best = np.lexsort((np.arange(n), -whole))[:10]
+            best = best[whole[best] > 0]
+            for threshold in (0.0, whole[best[-1]] * 0.7, whole[best[-1]], whole[best[0]], whole[best[0]] + 1):
+                ids, scores = shard.top(terms, weight[terms], 10, threshold, np.zeros(v))
+                want = [(i * 3, whole[i]) for i in best if whole[i] >= threshold]
+                got = [(i, s) for i, s in zip(ids, scores, strict=True) if s >= threshold]
+                assert [i for i, _ in got] == [i for i, _ in want]
+                assert [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def test_waves(monkeypatch):
+    assert S.waves(0) == [0] and S.waves(7) == [7]
+    monkeypatch.setattr(S, "FIRST_WAVE", 2)
+    monkeypatch.setattr(S, "WAVE_GROWTH", 3)
+    assert S.waves(40) == [2, 8, 32, 40]
+
+
 def test_empty_tables(spark, odd, empty, no_id):
     asked = odd.select(F.col("doc_id").alias("query_id"), "text")
     assert S.search(empty, asked).count() == 0
@@ -83,3 +123,8 @@ def test_empty_tables(spark, odd, empty, no_id):
 def test_query(spark, tiny):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
     compare(queries.QUERIES["op10_bm25_top_k"](spark, tiny).collect(), brute(docs, [d for d in docs if d[0] % 50 == 0]))
+
+
+def test_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    assert_same(queries.QUERIES["op10_bm25_top_k"](spark, folder), queries.ORACLES["op10_bm25_top_k"], folder)
