@@ -10,7 +10,7 @@ and broadcast one at a time; each block passes over the stored index. Within a s
 ordered by length, so that blocks of them have like impacts, and a block's largest impact is known
 for every long list. A query's lists are added up from the one that can lift a document most
 downwards, until documents in none of them can't reach the threshold any more (the k-th best score so
-far; partial sums raise it too). From then on only the documents seen are candidates, and of these
+far, or a guess that is verified; partial sums raise it too). From then on only the documents seen are candidates, and of these
 only those whose partial score and the block maxima of the lists not added yet still reach the
 threshold; lists are added until few are left, which are scored in full. That is the WAND bound, taken over
 lists and blocks at once, so that it runs as array operations.
@@ -35,6 +35,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,16 @@ from pyspark.sql import functions as F
 from larder.llm.common import dropped, small_batches, stored, texts_of
 
 K1, B, TOP = 1.2, 0.75, 10
-#: Documents (65 536 at most) and postings of a shard, documents of a block, term weights of a block of queries, tasks whose lists are merged first.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERY_TERMS, FAN_IN = 16_384, 4_000_000, 64, 1_000_000, 256
+#: Documents (65 536 at most) and postings of a stored shard, and of those that a task puts together to search them.
+STORED_DOCS, STORED_POSTINGS, SHARD_DOCS, SHARD_POSTINGS = 4096, 1_000_000, 16_384, 4_000_000
+#: Documents of a block, term weights of a block of queries, tasks whose lists are merged first.
+BLOCK, QUERY_TERMS, FAN_IN = 64, 2_000_000, 256
 #: Stored shards in the first wave, and in each further one for each shard before it.
-FIRST_WAVE, WAVE_GROWTH = 512, 7
+FIRST_WAVE, WAVE_GROWTH = 2048, 7
 #: Lists shorter than SHORT are added together; FEW candidates are scored in full.
-SHORT, FEW = 48, 48
+SHORT, FEW = 96, 16
+#: Documents that a task of the search has at least, where there are more tasks than cores.
+TASK_DOCS = 1 << 16
 
 #: Scores are rounded to so many digits, and equal from there on.
 DIGITS, UNIT = 9, 2e-9
@@ -109,8 +114,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         sizes = [len(t) for t in terms]
         term = np.concatenate([np.empty(0, np.int64), *terms])
-        tf = np.concatenate([np.empty(0, np.int64), *counts])
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+        tf = np.concatenate([np.empty(0, np.int32), *counts])
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(term, kind="stable")
         term, tf, doc = term[order], tf[order], doc[order]
         first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
@@ -135,13 +140,13 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs += 1
             if not found:
                 continue
-            n = np.fromiter(found.values(), np.int64, len(found))
+            n = np.fromiter(found.values(), np.int32, len(found))
             ids.append(doc_id)
             lengths.append(int(n.sum()))
             terms.append(_hashed(found))
             counts.append(n)
             words, postings = words + lengths[-1], postings + len(n)
-            if len(ids) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
+            if len(ids) >= STORED_DOCS or postings >= STORED_POSTINGS:
                 yield out()
                 made, docs, words, postings = made + 1, 0, 0, 0
                 for x in (ids, lengths, terms, counts):
@@ -186,47 +191,64 @@ class Queries:
         self.threshold = [known.get(i, 0.0) for i in self.ids.tolist()]
 
 
-def _order(values: np.ndarray) -> np.ndarray:
-    """The stable order of numbers from 0, by 16 bits at a time, as numpy sorts those by radix."""
-    out = np.argsort(values.astype(np.uint16), kind="stable")
-    for shift in range(16, int(values.max(initial=0)).bit_length(), 16):
-        out = out[np.argsort((values >> shift).astype(np.uint16)[out], kind="stable")]
-    return out
+class Part(NamedTuple):
+    """Some documents' postings of the terms of a block of queries, ordered by term."""
+
+    doc_ids: np.ndarray
+    lengths: np.ndarray
+    doc: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
 
 
 class Shard:
-    """An inverted index of some documents, for the terms of a block of queries."""
-
-    def __init__(self, doc_ids, lengths, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n_terms: int, mean_length: float):
-        lengths = np.asarray(lengths, float)
-        order = np.argsort(lengths, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.doc_ids, self.n = np.asarray(doc_ids, np.int64)[order], len(order)
-        self.norm = K1 * (1 - B + B * lengths[order] / mean_length)
-        doc, tf = place[doc], np.asarray(tf, np.float32)
-        by_doc = _order(doc)
-        doc, self.doc_term, self.doc_tf = doc[by_doc], term[by_doc], tf[by_doc]
-        self.doc_start = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=self.n))))
-        by_term = _order(self.doc_term)
-        self.post_doc, tf, term = doc[by_term], self.doc_tf[by_term], self.doc_term[by_term]
-        self.post_impact = (tf * (K1 + 1) / (tf + self.norm[self.post_doc])).astype(np.float32)
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=n_terms))))
+    """An inverted index of the parts' documents, for the terms of a block of queries. Uses up the list of parts."""
+
+    def __init__(self, parts: list[Part], n_terms: int, mean_length: float):
+        lengths = np.concatenate([p.lengths for p in parts]).astype(float)
+        doc_ids = np.concatenate([p.doc_ids for p in parts])
+        #: Documents are numbered by length; those of like length share blocks. origin: the number in the parts' order.
+        self.origin, self.n = np.argsort(lengths, kind="stable"), len(lengths)
+        place = np.empty(self.n, np.int64)
+        place[self.origin] = np.arange(self.n)
+        self.doc_ids, self.norm, self.usual = doc_ids[self.origin], K1 * (1 - B + B * lengths[self.origin] / mean_length), 0.0
+        size = np.zeros(n_terms, np.int64)
+        for p in parts:
+            size += np.bincount(p.term, minlength=n_terms)
+        self.start = np.concatenate(([0], np.cumsum(size)))
+        total = int(self.start[-1])
+        # Lists by term and by document; the places in 64 bits, as numpy would widen narrower ones at every use.
+        self.post_doc, self.post_impact = np.empty(total, np.int64), np.empty(total, np.float32)
+        self.doc_term, self.doc_tf = np.empty(total, np.int32), np.empty(total, np.float32)
+        doc_size, free, docs, at = np.zeros(self.n, np.int64), self.start[:-1].copy(), 0, 0
+        parts.reverse()
+        while parts:
+            p = parts.pop()
+            n, m = len(p.doc_ids), len(p.doc)
+            by_doc = np.argsort(p.doc, kind="stable")
+            self.doc_term[at : at + m], self.doc_tf[at : at + m] = p.term[by_doc], p.tf[by_doc]
+            doc_size[docs : docs + n] = np.bincount(p.doc, minlength=n)
+            # Within a part a term's postings are neighbours: they go behind those of the parts before it.
+            own = np.bincount(p.term, minlength=n_terms)
+            to = (free - (np.cumsum(own) - own))[p.term] + np.arange(m)
+            doc = place[docs + p.doc.astype(np.int64)]
+            self.post_doc[to] = doc
+            self.post_impact[to] = p.tf * (K1 + 1) / (p.tf + self.norm[doc])
+            free += own
+            docs, at = docs + n, at + m
+        self.doc_start = np.concatenate(([0], np.cumsum(doc_size)))
         self.most = np.zeros(n_terms)
-        filled = np.flatnonzero(np.diff(self.start))
+        filled = np.flatnonzero(size)
         if len(filled):
             self.most[filled] = np.maximum.reduceat(self.post_impact, self.start[filled])
         # For lists of more postings than there are blocks, the largest impact of each block: no more numbers than postings.
         self.n_blocks = max(1, (self.n - 1) // BLOCK + 1)
-        long = np.flatnonzero(np.diff(self.start) >= self.n_blocks)
+        long = np.flatnonzero(size >= self.n_blocks)
         self.row = np.full(n_terms, -1)
         self.row[long] = np.arange(len(long))
         self.block_max = np.zeros((len(long), self.n_blocks), np.float32)
-        mine = self.row[term] >= 0
-        cell = self.row[term[mine]] * self.n_blocks + self.post_doc[mine] // BLOCK
-        if len(cell):
-            first = np.flatnonzero(np.diff(cell, prepend=-1))
-            self.block_max.reshape(-1)[cell[first]] = np.maximum.reduceat(self.post_impact[mine], first)
+        for row, a, z in zip(self.block_max, self.start[long].tolist(), self.start[long + 1].tolist(), strict=True):
+            np.maximum.at(row, self.post_doc[a:z] // BLOCK, self.post_impact[a:z])
 
     @staticmethod
     def _gather(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +262,7 @@ class Shard:
         out = np.empty(len(docs))
         for i in range(0, len(docs), 2048):
             some = docs[i : i + 2048]
-            at, n = self._gather(self.doc_start, some)
+            at, n = self._gather(self.doc_start, self.origin[some])
             tf = self.doc_tf[at].astype(float)
             part = weight[self.doc_term[at]] * (tf * (K1 + 1) / (tf + np.repeat(self.norm[some], n)))
             out[i : i + 2048] = np.bincount(np.repeat(np.arange(len(some)), n), part, len(some))
@@ -265,46 +287,56 @@ class Shard:
         return weights[long].astype(np.float32) @ self.block_max[row[long]] + np.float32(bound[~long].sum())
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, threshold: float, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the documents that may be among the best k: those of the shard's best that reach the threshold."""
-        nothing = np.empty(0, np.int64), np.empty(0)
+        """Ids and scores of the documents that may be among the best k: those of the shard's best that reach the threshold.
+
+        Without a threshold one is guessed from what queries before had here. If k documents reach the guess,
+        they are the best; else lists are added up without it.
+        """
         bound = weights * self.most[terms]
         order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
-        n = len(order)
+        if not len(order):
+            return np.empty(0, np.int64), np.empty(0)
         terms, weights, bound = terms[order], weights[order], bound[order]
+        if threshold > 0:
+            return self._reaching(terms, weights, bound, k, threshold, scratch)
+        most = float(bound.sum())
+        if self.usual > 0:
+            found = self._reaching(terms, weights, bound, k, self.usual * most, scratch)
+            if len(found[1]) == k and found[1][-1] >= self.usual * most:
+                self.usual += 0.2 * (0.85 * found[1][-1] / most - self.usual)
+                return found
+        found = self._reaching(terms, weights, bound, k, 0.0, scratch)
+        if len(found[1]) == k:
+            own = 0.85 * found[1][-1] / most
+            self.usual = min(own, 0.9 * self.usual) if self.usual else own
+        return found
+
+    def _reaching(self, terms: np.ndarray, weights: np.ndarray, bound: np.ndarray, k: int, threshold: float, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of the documents that reach the threshold, and perhaps some that don't; lists come by falling bounds."""
+        n = len(terms)
         left = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
         # Sums are rounded to 32 bits until candidates are scored in full: thresholds give way by as much.
         slack = 1 - 4e-7 * (n + 16)
         floor = threshold * slack - UNIT
-        if not n or left[0] < floor:
-            return nothing
+        if left[0] < floor:
+            return np.empty(0, np.int64), np.empty(0)
         total = np.zeros(self.n, np.float32)
-        step = max(8, n // 8)
-
-        def raised(sums: np.ndarray) -> float:
-            return max(floor, float(np.partition(sums, len(sums) - k)[len(sums) - k]) * slack - UNIT) if len(sums) >= k else floor
-
-        done = 0
         # Lists, until documents in none of them can't reach the threshold.
-        while done < n and left[done] >= floor:
-            till = max(done + step, int(np.searchsorted(-left, -floor, "right")) if threshold > 0 else 0)
-            self._add(total, terms[done:till], weights[done:till])
-            done = min(n, till)
-            if threshold <= 0:
-                floor = raised(total)
-        docs = np.flatnonzero(total)
-        while True:
+        done = int(np.searchsorted(-left, -floor, "right")) if threshold > 0 else n
+        self._add(total, terms[:done], weights[:done])
+        docs, first = np.flatnonzero(total), threshold > 0
+        while len(docs):
             sums = total[docs]
-            if done == n:
-                docs = docs[sums >= raised(sums)]
-                break
+            if len(sums) > k and not first:
+                # Partial sums are lower bounds: with k of them above it, a threshold is certain.
+                floor = max(floor, float(np.partition(sums, len(sums) - k)[len(sums) - k]) * slack - UNIT)
+            first = False
             docs = docs[sums + self._open(terms[done:], weights[done:], bound[done:])[docs // BLOCK] >= floor]
-            if len(docs) <= FEW:
+            if done >= n or len(docs) <= FEW:
                 break
-            self._add(total, terms[done : done + step], weights[done : done + step])
-            done = min(n, done + step)
-            floor = raised(total[docs])
-        if not len(docs):
-            return nothing
+            till = done + max(8, n // 8)
+            self._add(total, terms[done:till], weights[done:till])
+            done = min(n, till)
         scratch[terms] = weights
         scores = np.round(self.full(docs, scratch), DIGITS)
         scratch[terms] = 0
@@ -319,10 +351,11 @@ def _searching(shared, mean_length: float, k: int):
         n_terms = len(q.vocabulary)
         scratch = np.zeros(n_terms)
         best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q.ids)
-        ids, lengths, parts, size = [], [], [], [0, 0]
+        parts: list[Part] = []
+        size = [0, 0]
 
         def run() -> None:
-            shard = Shard(np.concatenate(ids), np.concatenate(lengths), *(np.concatenate([p[i] for p in parts]) for i in range(3)), n_terms, mean_length)
+            shard = Shard(parts, n_terms, mean_length)
             for i in range(len(q.ids)):
                 s = slice(q.start[i], q.start[i + 1])
                 found, scores = shard.top(q.terms[s], q.weights[s], k, q.threshold[i], scratch)
@@ -333,31 +366,26 @@ def _searching(shared, mean_length: float, k: int):
                     best[i] = found[order], scores[order]
                     if len(order) == k:
                         q.threshold[i] = max(q.threshold[i], float(scores[order[-1]]))
-            for x in (ids, lengths, parts):
-                x.clear()
             size[:] = 0, 0
 
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(j)[i].as_py() for j, c in enumerate(b.schema.names)}
-                term, doc_ids = np.frombuffer(row["terms"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                row = {c: b.column(j)[i].as_buffer() for j, c in enumerate(b.schema.names)}
+                term = np.frombuffer(row["terms"], "<i8")
                 if not len(term):
                     continue
-                n = _wide(row["sizes"], len(term)).astype(np.int64)
-                total = int(n.sum())
-                at = np.minimum(np.searchsorted(q.vocabulary, term), n_terms - 1)
+                at = np.minimum(np.searchsorted(q.vocabulary, term), n_terms - 1).astype(np.int32)
                 asked = q.vocabulary[at] == term
-                doc = _wide(row["post_doc"], total).astype(np.int64)
+                n = _wide(row["sizes"], len(term)).astype(np.int64)
+                doc, tf = (_wide(row[c], int(n.sum())) for c in ("post_doc", "post_tf"))
                 mine = np.repeat(asked, n) & np.frombuffer(row["named"], "?")[doc]
-                doc = doc[mine]
-                if size[0] and (size[0] + len(doc_ids) > SHARD_DOCS or size[1] + len(doc) > 2 * SHARD_POSTINGS):
+                part = Part(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<i8"), doc[mine], np.repeat(at, n)[mine], tf[mine].astype(np.float32))
+                if parts and (size[0] + len(part.doc_ids) > SHARD_DOCS or size[1] + len(part.doc) > SHARD_POSTINGS):
                     run()
-                parts.append((doc + size[0], np.repeat(at, n)[mine], _wide(row["post_tf"], total)[mine].astype(np.float32)))
-                ids.append(doc_ids)
-                lengths.append(np.frombuffer(row["lengths"], "<i8"))
-                size[0] += len(doc_ids)
-                size[1] += len(doc)
-        if ids:
+                parts.append(part)
+                size[0] += len(part.doc_ids)
+                size[1] += len(part.doc)
+        if parts:
             run()
         rows = [i for i, x in enumerate(best) if x is not None]
         task = TaskContext.get().partitionId() // FAN_IN
@@ -426,6 +454,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
                 known = {r["query_id"]: r["score"] for r in kth}
             shared = spark.sparkContext.broadcast((*(bytes(row[c]) for c in ("ids", "start", "terms", "weights")), known))
             some = index if len(ends) == 2 else index.filter((share >= low) & (share < high))
+            some = some.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(n * (high - low) / TASK_DOCS)))
             lists = some.drop("docs", "words", "shard").mapInArrow(_searching(shared, mean_length, k), "query_id long, part long, ids array<long>, scores array<double>")
             mine.append(stored(lists, "found"))
             shared.destroy()

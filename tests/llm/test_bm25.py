@@ -51,7 +51,8 @@ def compare(got, want):
 
 @pytest.mark.parametrize(("shard", "wave"), [(3, 512), (2, 1), (10_000, 512)])
 def test_odd_rows(odd, monkeypatch, shard, wave):
-    monkeypatch.setattr(S, "SHARD_DOCS", shard)
+    monkeypatch.setattr(S, "STORED_DOCS", shard)
+    monkeypatch.setattr(S, "SHARD_DOCS", 2 * shard)
     monkeypatch.setattr(S, "FIRST_WAVE", wave)
     monkeypatch.setattr(S, "WAVE_GROWTH", 1)
     monkeypatch.setattr(S, "QUERY_TERMS", 2000)
@@ -64,6 +65,7 @@ def test_random_corpus(spark, monkeypatch):
 
     rng = random.Random(5)
     monkeypatch.setattr(S, "SHARD_DOCS", 70)
+    monkeypatch.setattr(S, "STORED_DOCS", 40)
     monkeypatch.setattr(S, "BLOCK", 8)
     words = [f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(60_000)]
     docs = []
@@ -88,7 +90,12 @@ def test_pruned_shard_equals_whole_scores(monkeypatch):
         pairs = np.unique(np.stack([doc, term]), axis=1)
         tf = rng.integers(1, 6, pairs.shape[1])
         lengths = np.bincount(pairs[0], tf, n)
-        shard = S.Shard(np.arange(n) * 3, lengths, pairs[0], pairs[1], tf, v, lengths.mean())
+        by_term = np.lexsort((pairs[0], pairs[1]))
+        parts = []
+        for low, high in ((0, 100), (100, 101), (101, n)):
+            some = by_term[(pairs[0][by_term] >= low) & (pairs[0][by_term] < high)]
+            parts.append(S.Part(np.arange(low, high) * 3, lengths[low:high], (pairs[0][some] - low).astype(np.uint16), pairs[1][some], tf[some].astype(np.float32)))
+        shard = S.Shard(parts, v, lengths.mean())
         weight = rng.random(v) * 3
         for terms in (np.arange(v), np.arange(5), np.arange(100, 180)):
             dense = np.zeros(v)
