@@ -1,13 +1,18 @@
 """Exact deduplication by a two-pass Bloom filter.
 
-Pass one sets two slots of a Bloom filter for every text's digest and counts, per slot, whether
-more than one row hit it (map-side combined, a slot number per row moves). Pass two tests every
-row: a text that occurs twice has only slots hit twice, so a row with a slot that was hit once is
-unique and passes straight through. Only the others, the repeats and a few false alarms, shuffle,
-and an exact aggregation on the full SHA-256 digest decides among them.
-
-The filter's size is bounded (MAX_SLOTS); a corpus too large for it raises the share of false
-alarms, never a wrong result.
+Whole texts are read once for their digests, which are stored with doc_id. Pass one sets two slots of
+a Bloom filter for every digest and counts, per slot, whether more than one row hit it (map-side
+combined, slot numbers move). Pass two tests every digest: a text that occurs twice has only slots hit
+twice, so a row with a slot that was hit once is unique and passes straight through. Only the
+others, the repeats and a few false alarms, shuffle, and an exact aggregation on the full SHA-256
+digest decides among them, on digest and doc_id alone.
+
+A filter has MAX_SLOTS slots at most. A corpus too large for one is split by digest into as many
+buckets as it needs, each with a filter and a pass over the stored digests of its own, so the share
+of false alarms is the same at every size. To drop copies, documents are then tested against a
+second filter that holds the repeated digests only: of each task's rows that it suspects, those with
+the largest doc_id of their text in the batch meet the groups' table, all others stay where they are. Where
+even the repeated digests are too many for one filter, more rows are suspected; results are exact.
 
 Defined cases: null text counts as empty, so null and empty texts are copies of each other; of
 equal texts the row with the largest doc_id stays (null ids are smallest); several rows that share
@@ -19,6 +24,7 @@ result; extra columns ride along, and input columns with the result's names are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import OWN, appended, small_batches, stored, texts_of, with_fields
+from larder.llm.common import OWN, appended, dropped, small_batches, stored, texts_of, with_fields
 
 #: Slots per row, and the largest filter: 2**28 slots are 32 MB.
 SLOTS_PER_ROW = 16
@@ -61,11 +67,16 @@ def filter_size(rows: int) -> int:
     return min(MAX_SLOTS, max(SEGMENT, 1 << max(1, (SLOTS_PER_ROW * rows - 1).bit_length())))
 
 
-def repeated_slots(digests: DataFrame, n_slots: int) -> np.ndarray:
-    """One bit for each slot that two rows or more hit; n_slots bits at most come to the driver."""
+def buckets(rows: int) -> int:
+    """How many filters of the largest size so many rows take."""
+    return max(1, math.ceil(rows * SLOTS_PER_ROW / MAX_SLOTS))
+
+
+def filled_slots(digests: DataFrame, n_slots: int, least: int) -> np.ndarray:
+    """One bit for each slot that so many rows hit at least; n_slots bits at most come to the driver."""
     slots = digests.select(F.explode(F.array(*_slots(F.col(DIGEST), n_slots))).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1").select((F.col("slot") + 1).alias("slot"))
-    bitmaps = twice.groupBy(F.bitmap_bucket_number("slot").alias("segment")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    often = slots.groupBy("slot").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select((F.col("slot") + 1).alias("slot"))
+    bitmaps = often.groupBy(F.bitmap_bucket_number("slot").alias("segment")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros(n_slots // 8, np.uint8)
     for r in bitmaps.toLocalIterator():
         at = (r["segment"] - 1) * (SEGMENT // 8)
@@ -74,30 +85,39 @@ def repeated_slots(digests: DataFrame, n_slots: int) -> np.ndarray:
     return out
 
 
-def suspicion(digests: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """From the first pass over all digests: what marks rows, false only where no other row has the same digest.
-
-    The rows have digests or, else, texts; they get both columns in one step.
-    """
-    n = filter_size(digests.count())
-    bits = digests.sparkSession.sparkContext.broadcast(repeated_slots(digests, n))
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            at = b.schema.get_field_index(DIGEST)
-            digests = b.column(at) if at >= 0 else pa.array(_digests(texts_of(b)), pa.binary())
-            d = np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 32).astype(np.uint64)
-            hit = np.ones(len(d), bool)
-            for i in (0, 7):
-                h = np.zeros(len(d), np.uint64)
-                for j in range(i, i + 7):
-                    h = (h << np.uint64(8)) | d[:, j]
-                slot = (h % np.uint64(n)).astype(np.int64)
-                hit &= (bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            yield appended(b, [DIGEST, MAYBE], [digests, pa.array(hit)])
-
-    fields = T.StructField(DIGEST, T.BinaryType()), T.StructField(MAYBE, T.BooleanType())
-    return lambda rows: rows.mapInArrow(test, with_fields(rows.schema, *fields))
+def _hits(digests: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which of the digests have both of their slots in a filter."""
+    n = len(bits) * 8
+    d = np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 32).astype(np.uint64)
+    hit = np.ones(len(d), bool)
+    for i in (0, 7):
+        h = np.zeros(len(d), np.uint64)
+        for j in range(i, i + 7):
+            h = (h << np.uint64(8)) | d[:, j]
+        slot = (h % np.uint64(n)).astype(np.int64)
+        hit &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def suspected(digests: DataFrame) -> DataFrame:
+    """The digests with a mark that is false only where no other row has the same digest. Stored."""
+    rows = digests.count()
+    n = buckets(rows)
+    # The bucket comes of other bytes than the slots.
+    bucket = F.pmod(F.conv(F.hex(F.substring(DIGEST, 15, 6)), 16, 10).cast("long"), F.lit(n))
+    out = None
+    for i in range(n):
+        mine = digests if n == 1 else digests.filter(bucket == i)
+        bits = digests.sparkSession.sparkContext.broadcast(filled_slots(mine, filter_size(math.ceil(rows / n)), 2))
+
+        def test(batches: Iterator[pa.RecordBatch], bits=bits) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield appended(b, [MAYBE], [pa.array(_hits(b.column(b.schema.get_field_index(DIGEST)), bits.value))])
+
+        part = stored(mine.mapInArrow(test, with_fields(digests.schema, T.StructField(MAYBE, T.BooleanType()))), "suspects")
+        bits.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _groups(suspects: DataFrame) -> DataFrame:
@@ -107,7 +127,8 @@ def _groups(suspects: DataFrame) -> DataFrame:
 def exact_copies(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
     digests = stored(digested(docs.select("doc_id", "text")).drop("text"), "digests")
-    marked = suspicion(digests)(digests)
+    marked = suspected(digests)
+    dropped(digests)
     alone = marked.filter(~F.col(MAYBE)).select("doc_id", DIGEST, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     suspects = marked.filter(MAYBE).drop(MAYBE)
     # Stored, so that both sides of the join are plain exchanges, which Spark splits where one text has very many copies.
@@ -122,16 +143,37 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     )
 
 
+def _tested(bits) -> Callable:
+    """Documents with digest and mark; of a batch's suspects with one text only the one with the largest doc_id."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            digests = _digests(texts_of(b))
+            hit = _hits(pa.array(digests, pa.binary()), bits.value)
+            best: dict[bytes, tuple] = {}
+            for i, doc_id in enumerate(b.column(b.schema.get_field_index("doc_id")).to_pylist()):
+                if hit[i]:
+                    best[digests[i]] = max(best.get(digests[i], (False, 0, -1)), (doc_id is not None, doc_id or 0, i))
+            stays = ~hit
+            stays[[i for *_, i in best.values()]] = True
+            yield appended(b, [DIGEST, MAYBE], [pa.array(digests, pa.binary()), pa.array(hit)]).filter(pa.array(stays))
+
+    return test
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs without the copies: unique rows aren't moved, of equal texts the largest doc_id stays."""
     names, keep, digest = docs.columns, f"{OWN}keep", f"{OWN}digest"
     digests = stored(digested(docs.select("doc_id", "text")).drop("text"), "digests")
-    mark = suspicion(digests)
-    groups = _groups(mark(digests).filter(MAYBE)).filter("group_size > 1").select(F.col(DIGEST).alias(digest), F.col("keep_id").alias(keep))
-    groups = stored(groups, "groups")
-    marked = mark(docs)
-    alone = marked.filter(~F.col(MAYBE)).select(*names)
-    suspects = marked.filter(MAYBE).join(groups, F.col(DIGEST) == F.col(digest), "left")
+    marked = suspected(digests)
+    dropped(digests)
+    groups = stored(_groups(marked.filter(MAYBE)).filter("group_size > 1"), "groups")
+    dropped(marked)
+    bits = docs.sparkSession.sparkContext.broadcast(filled_slots(groups, filter_size(groups.count()), 1))
+    groups = groups.select(F.col(DIGEST).alias(digest), F.col("keep_id").alias(keep))
+    tested = docs.mapInArrow(_tested(bits), with_fields(docs.schema, T.StructField(DIGEST, T.BinaryType()), T.StructField(MAYBE, T.BooleanType())))
+    alone = tested.filter(~F.col(MAYBE)).select(*names)
+    suspects = tested.filter(MAYBE).join(groups, F.col(DIGEST) == F.col(digest), "left")
     false_alarms = suspects.filter(F.col(digest).isNull()).select(*names)
     keepers = suspects.filter(F.col(digest).isNotNull() & F.col("doc_id").eqNullSafe(F.col(keep))).dropDuplicates([DIGEST])
     return alone.unionByName(false_alarms).unionByName(keepers.select(*names))

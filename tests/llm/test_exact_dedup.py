@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import defaultdict
 
 import pytest
@@ -24,17 +25,32 @@ def test_against_brute_force(odd, monkeypatch, slots):
     assert sorted(tuple(r) for r in X.exact_copies(odd).collect()) == brute(ROWS)
 
 
-def test_a_full_filter_only_moves_more_rows(spark, monkeypatch):
+def test_a_full_filter_only_moves_more_rows(spark, odd, monkeypatch):
     # Every slot is hit: everything is suspected, the result is the same.
-    monkeypatch.setattr(X, "_slots", lambda digest, n: (X.F.lit(3).cast("long"), X.F.lit(4).cast("long")))
-    monkeypatch.setattr(X, "suspicion", lambda digests: lambda rows: (rows if X.DIGEST in rows.columns else X.digested(rows)).withColumn(X.MAYBE, X.F.lit(True)))
+    monkeypatch.setattr(X, "filled_slots", lambda digests, n, least: X.np.full(n // 8, 255, X.np.uint8))
     assert sorted(tuple(r) for r in X.exact_copies(frame(spark, ROWS)).collect()) == brute(ROWS)
+    assert sorted(r["doc_id"] for r in X.drop_exact_copies(odd).collect()) == [2, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14]
+
+
+def test_many_rows_take_more_filters_of_the_same_load(spark, monkeypatch):
+    assert X.buckets(10**6) == 1 and X.buckets(5 * 10**10) == 2981
+    for rows in (10**3, 10**7, 10**9, 5 * 10**10):
+        assert X.filter_size(math.ceil(rows / X.buckets(rows))) >= 15 * rows / X.buckets(rows)
+    monkeypatch.setattr(X, "MAX_SLOTS", 4096)
+    monkeypatch.setattr(X, "SEGMENT", 4096)
+    rows = [(i, f"text {i % 900}", "en", "a") for i in range(1000)]
+    assert X.buckets(1000) == 4
+    marked = X.suspected(X.digested(frame(spark, rows).select("doc_id", "text")))
+    marks = {r["doc_id"]: r[X.MAYBE] for r in marked.collect()}
+    assert len(marks) == 1000 and all(marks[i] for i in range(1000) if i % 900 < 100)
+    assert sum(marks[i] for i in range(100, 900)) < 80
+    assert sorted(tuple(r) for r in X.exact_copies(frame(spark, rows)).collect()) == brute(rows)
+    assert {r["doc_id"] for r in X.drop_exact_copies(frame(spark, rows)).collect()} == set(range(100, 1000))
 
 
 def test_filter_finds_all_repeats_and_spares_most_others(spark):
     rows = [(i, f"text {i % 900}", "en", "a") for i in range(1000)]
-    digests = X.digested(frame(spark, rows).select("doc_id", "text"))
-    marks = {r["doc_id"]: r[X.MAYBE] for r in X.suspicion(digests)(digests).collect()}
+    marks = {r["doc_id"]: r[X.MAYBE] for r in X.suspected(X.digested(frame(spark, rows).select("doc_id", "text"))).collect()}
     assert all(marks[i] for i in range(1000) if i % 900 < 100)
     assert sum(marks[i] for i in range(100, 900)) < 80
 
