@@ -106,3 +106,13 @@ def unit(*parts: Column | str) -> Column:
     """A number in [0, 1) from an MD5 of the parts: the same in any engine that has MD5."""
     text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def in_sample(hashed: Column, share: float) -> Column:
+    """Whether a row belongs to a hash-chosen share of all, for shares down to 1 in 2**62."""
+    return F.shiftrightunsigned(hashed, 1) < F.lit(sample_bound(share))
+
+
+def sample_bound(share: float) -> int:
+    """The number that a share of all 63-bit hashes lies below."""
+    return min((1 << 63) - 1, max(1, int(share * (1 << 63)))) if share > 0 else 0

@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import OWN, appended, small_batches, stored, texts_of, with_fields
+from larder.llm.common import OWN, appended, in_sample, small_batches, stored, texts_of, with_fields
 
 #: Size of the hashed feature space, rows of the training sample, score from which a document is kept.
 DIMENSIONS, TRAIN_ROWS, KEEP = 1 << 14, 10_000, 0.5
 CACHE = 60_000
-#: A labeller's limits are set so that it objects to at most this share of good documents. The model
-#: holds on to that, or a fault that only few labellers see would be taken for a habit of good texts.
-FALSE_ALARMS = 0.001
+#: A labeller's limits are set so that it objects to about this share of good documents. EM takes that as its
+#: prior, worth BELIEF votes of each labeller for each document of the corpus, so it weighs alike at every size: without one, a fault
+#: that only few labellers see would be taken for a habit of good texts.
+FALSE_ALARMS, BELIEF = 0.001, 0.2
 GOOD, BAD, NONE = 1, 2, 0
 
 SENTENCE = re.compile(r"[.!?\n]+\s*")
@@ -58,7 +59,7 @@ def shape(word: str) -> str:
             return ("XX" if len(core) > 1 else "X") + end
         if core.istitle():
             return "Xx" + end
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:48])
+    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return re.sub(r"(.)\1{2,}", r"\1\1", kinds).replace("xx", "x").replace("99", "9")
 
 
@@ -78,7 +79,7 @@ class _Traits(dict):
     def __missing__(self, shape: str) -> tuple[int, bool, bool, bool, bool]:
         known = any(c in "Xx9" for c in shape)
         out = xxhash.xxh32_intdigest(shape) % DIMENSIONS, known, "XX" in shape and "x" not in shape, bool(UNUSUAL.search(shape)), shape.endswith("!!")
-        if len(self) < CACHE:
+        if len(self) < CACHE and len(shape) <= 40:
             self[shape] = out
         return out
 
@@ -164,23 +165,21 @@ def features_of(docs: DataFrame) -> DataFrame:
 class LabelModel:
     """What EM knows of the labellers: share of good documents, and chances[class, labeller, vote]."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarms: float | None = FALSE_ALARMS):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarms: float | None = FALSE_ALARMS, belief: float = BELIEF):
         k = len(LABELLERS)
         votes = np.stack([patterns // 3**i % 3 for i in range(k)], 1)
         # Start: each labeller looks for a fault of its own, so one objection makes a document suspect.
         p = np.where((votes == BAD).any(1), 0.1, 0.9)
         hot = np.stack([votes == v for v in range(3)], 2).astype(float)
+        faith = np.zeros(3) if false_alarms is None else belief * float(counts.sum()) * np.array([0, 1 - false_alarms, false_alarms])
         for _ in range(rounds):
             self.prior = (float((p * counts).sum()) + 1) / (float(counts.sum()) + 2)
             self.chances = np.empty((2, k, 3))
             for c, q in ((0, p), (1, 1 - p)):
                 # Only votes cast count: that a labeller is silent says nothing but that a text is short.
-                cast = np.einsum("r,rkv->kv", q * counts, hot) + np.array([0, 1.0 + (c == 0), 1.0 + (c == 1)])
+                cast = np.einsum("r,rkv->kv", q * counts, hot) + np.array([0, 1.0 + (c == 0), 1.0 + (c == 1)]) + (c == 0) * faith
                 cast[:, NONE] = 0
                 self.chances[c] = cast / cast.sum(1, keepdims=True)
-                if c == 0 and false_alarms is not None:
-                    self.chances[c][:, BAD] = np.minimum(self.chances[c][:, BAD], false_alarms)
-                    self.chances[c][:, GOOD] = 1 - self.chances[c][:, BAD]
                 self.chances[c][:, NONE] = 1
             new = self.posterior(patterns)
             if np.abs(new - p).max(initial=0) < 1e-9:
@@ -226,11 +225,17 @@ def fitted(features: DataFrame) -> tuple[LabelModel, np.ndarray, float]:
     patterns = features.groupBy("pattern").count().toPandas()
     seen, counts = patterns["pattern"].to_numpy(np.int64), patterns["count"].to_numpy(float)
     model = LabelModel(seen, counts)
-    parts, total = 1 << 20, max(1.0, counts.sum())
-    chosen = features.filter(F.pmod("text_hash", F.lit(parts)) < int(parts * min(1.0, TRAIN_ROWS / total))).filter(F.size("keys") > 0)
-    # Equal texts have one hash: the sample takes each once, so its size doesn't hang on copies.
-    rows = chosen.select("text_hash", "pattern", "keys", "shares").dropDuplicates(["text_hash"]).collect()
+    share = min(1.0, TRAIN_ROWS / max(1.0, counts.sum()))
+    while True:
+        # Equal texts have one hash: the sample takes each once, so its size doesn't hang on copies.
+        chosen = features.filter(in_sample(F.col("text_hash"), share) & (F.size("keys") > 0))
+        rows = chosen.select("text_hash", "pattern", "keys", "shares").dropDuplicates(["text_hash"]).collect()
+        if rows or share >= 1:
+            break
+        # Where nearly all rows are copies of a few texts the share may hold none: a larger one then.
+        share = min(1.0, 16 * share)
     if not rows:
+        # Nowhere a word: such documents score 0 whatever the weights.
         return model, np.zeros(DIMENSIONS), 0.0
     w, b = _trained(rows, model.posterior(np.array([r["pattern"] for r in rows], np.int64)))
     return model, w, b

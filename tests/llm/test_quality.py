@@ -1,9 +1,12 @@
+import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from larder.llm import quality as Q
 from larder.llm import queries
+from larder.llm.common import in_sample, sample_bound, stored
 from tests.llm.conftest import CLASHING, ROWS, frame
 
 WORDS = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work".split()
@@ -67,6 +70,70 @@ def test_odd_rows(spark, odd, empty):
     assert Q.quality(empty).count() == 0 and Q.quality(odd).count() == len(ROWS)
 
 
+def test_em_prior_weighs_alike_at_every_size():
+    """The same patterns, a million times as often: the same model, and false alarms are estimated, not set."""
+    rng = np.random.default_rng(2)
+    k, n = len(Q.LABELLERS), 5000
+    good = rng.random(n) < 0.8
+    alarm = np.where(np.arange(k) == 2, 0.02, 0.0005)
+    votes = np.where(rng.random((n, k)) < np.where(good[:, None], alarm, 0.6), Q.BAD, Q.GOOD)
+    patterns, counts = np.unique((votes * 3 ** np.arange(k)).sum(1), return_counts=True)
+    small, large = Q.LabelModel(patterns, counts.astype(float)), Q.LabelModel(patterns, counts * 1e6)
+    assert np.allclose(small.chances, large.chances, atol=2e-3) and abs(small.prior - 0.8) < 0.02
+    seen = np.array([(votes[good][:, i] == Q.BAD).mean() for i in range(k)])
+    want = (seen * 0.8 + Q.BELIEF * Q.FALSE_ALARMS) / (0.8 + Q.BELIEF)
+    assert np.allclose(large.chances[0, :, Q.BAD], want, atol=2e-3) and large.chances[0, 2, Q.BAD] > 5 * large.chances[0, 0, Q.BAD]
+
+
+def test_sample_of_a_huge_corpus_is_not_empty(spark, monkeypatch):
+    for total in (10**4, 10**7, 10**11, 10**14):
+        assert abs(sample_bound(Q.TRAIN_ROWS / total) / 2**63 * total / Q.TRAIN_ROWS - 1) < 1e-6
+    assert sample_bound(1.0) == 2**63 - 1 and sample_bound(0.0) == 0
+    hashes = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    assert 150 < hashes.filter(in_sample(F.col("h"), 0.01)).count() < 250
+    # Few texts, each very often: the first share holds none of them.
+    rows = corpus(20) * 40
+    monkeypatch.setattr(Q, "TRAIN_ROWS", 1)
+    got = {r["doc_id"]: r["accepted"] for r in Q.rated(frame(spark, rows)).collect()}
+    assert len(got) == 20 and any(got.values())
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Votes, model and weighted sums once more, document by document."""
+    rows = corpus(120, 3)
+    docs = frame(spark, rows)
+    model, w, b = Q.fitted(stored(Q.features_of(docs), "features"))
+    got = {r["doc_id"]: r["quality_score"] for r in Q.rated(docs).collect()}
+    for doc_id, text, *_ in rows:
+        z = b + sum(w[k] * v for k, v in Q.read(text)[1].items())
+        assert abs(got[doc_id] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-4
+    # The posterior by Bayes' rule, vote by vote.
+    for _, text, *_ in rows[:30]:
+        votes = Q.read(text)[0]
+        chance = [model.prior, 1 - model.prior]
+        for i, v in enumerate(votes):
+            for c in (0, 1):
+                chance[c] *= model.chances[c, i, v] if v != Q.NONE else 1
+        p = model.posterior(np.array([Q._pattern(votes)]))[0]
+        assert abs(p - chance[0] / sum(chance)) < 1e-9
+
+
+def test_rated_odd_rows(spark, odd, empty, no_id):
+    """The function behind op7_quality on nulls, empties, very long texts, repeats and clashing names."""
+    rows = corpus(200) + [(1000 + i, *r[1:]) for i, r in enumerate(ROWS)]
+    out = Q.rated(frame(spark, rows, clash=True))
+    assert out.columns == ["doc_id", "quality_score", "accepted"]
+    got = {r["doc_id"]: (r["quality_score"], r["accepted"]) for r in out.collect()}
+    assert len(got) == len(rows) and got[1002] == got[1003] == got[1004] == (0.0, False)
+    assert got[1005][1] and got[1006][1] and got[1007] == got[1009] == got[1014]
+    assert Q.rated(odd).count() == len(ROWS) and Q.rated(no_id).count() == 3
+    assert Q.rated(empty).count() == 0 and Q.accepted(empty).count() == 0 and Q.accepted(empty).columns == empty.columns
+
+
+def test_long_words_are_read_to_their_end():
+    assert Q.shape("a" * 48 + "%#" * 500) != Q.shape("a" * 600) and "%" in Q.shape("a" * 60 + "%")
+
+
 def test_held_out_labels(spark):
     """Scores fitted without any label, held against the labels."""
     folder = "/root/testdata/sf0.01"
