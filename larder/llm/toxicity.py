@@ -11,18 +11,19 @@ weight is its smoothed log odds. Exception phrases, two-word phrases around a te
 in documents labelled clean, take their match back.
 
 A document's score is the logistic function of its summed weights, normalised by the logarithm of
-its length in words; slope and intercept are fitted on the training labels. The text is read as a
+its length in words; slope and intercept are fitted on the training labels of a bounded sample of texts. The text is read as a
 stream of folded words, so a term counts as a whole word, and a stem at the start of a word only.
 
 Labels, language, source and doc_id are no inputs of a score. Counting
 aggregates over all training documents, clean ones map-side combined; to the driver come only terms that pass the support and
-odds limits, every one of them, and the score sums of a bounded, hash-chosen sample for the fit
-(FIT_ROWS). What bounds the lexicon is the share of documents: with D terms in a toxic document on the average, at most
+odds limits, every one of them, and the score sums of a bounded sample for the fit (about FIT_ROWS different
+texts, chosen by a hash of the text). What bounds the lexicon is the share of documents: with D terms in a toxic document on the average, at most
 D / MIN_SHARE terms reach MIN_SHARE of them, and likewise for phrases in clean documents with a term, however large the
 corpus.
 
 Defined cases: null and empty texts score the intercept alone; very long texts are read whole;
-equal rows score alike; without any label the base list with its preset weights and slope is used;
+equal rows score alike; without any label the base list with its preset weights and slope is used, without
+both kinds of label in the sample the preset slope;
 an empty table gives an empty result; extra columns ride along, columns with the result's names are
 replaced.
 """
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import OWN, appended, dropped, small_batches, stored, texts_of, with_fields
+from larder.llm.common import OWN, appended, dropped, in_sample, small_batches, stored, texts_of, with_fields
 
 # Insults in four languages with preset weights, all in folded form.
 BASE = {
@@ -175,10 +176,10 @@ def _phrases(lexicon_terms: dict[str, float]):
     return count
 
 
-def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """text and toxic of the rows that labels cover; of several labels of a doc_id the largest counts.
 
-    Labels are broadcast up to a counted number of rows, beyond that the join shuffles.
+    Labels are broadcast up to a counted number of rows, of two numbers each (some 32 MB as a hash table), beyond that the join shuffles.
     """
     by_id = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_id = by_id.select(F.col("doc_id").alias(f"{OWN}id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
@@ -195,12 +196,12 @@ def learned(train: DataFrame, base: dict[str, float] | None = None) -> Lexicon:
     if not n_toxic or not n_clean:
         return Lexicon(base)
     rows = train.select("text", "toxic").mapInArrow(_counted, "term string, origin long, clean long")
-    origins = rows.filter("origin IS NOT NULL").select("term", "origin").distinct().groupBy("term").agg(F.count("*").alias("toxic")).filter(F.col("toxic") >= SUPPORT)
-    clean = rows.filter("origin IS NULL").groupBy("term").agg(F.sum("clean").alias("clean"))
-    uses = F.coalesce("clean", F.lit(0))
+    # One row for each term and origin first, the clean documents' sums having none: texts are folded once for both counts.
+    origins = rows.groupBy("term", "origin").agg(F.sum("clean").alias("clean")).groupBy("term").agg(F.count("origin").alias("toxic"), F.sum("clean").alias("clean"))
+    uses = F.col("clean")
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((uses + 0.5) / (n_clean + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (uses + 0.5))
-    chosen = origins.filter(F.col("toxic") >= MIN_SHARE * n_toxic).join(clean, "term", "left").withColumn("odds", odds)
+    chosen = origins.filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= MIN_SHARE * n_toxic)).withColumn("odds", odds)
     best = chosen.filter((F.col("odds") >= ODDS) & (F.log("odds") >= ERRORS * error)).orderBy("term").collect()
     terms = dict(base) | {r["term"]: math.log(r["odds"]) for r in best}
     phrases = train.select("text", "toxic").mapInArrow(_phrases(terms), "phrase string, toxic long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
@@ -216,17 +217,23 @@ def learned(train: DataFrame, base: dict[str, float] | None = None) -> Lexicon:
 
 
 def _fit(train: DataFrame, lexicon: Lexicon, rows: int) -> tuple[float, float]:
-    """Slope and intercept of a logistic function on a hash-chosen sample of about FIT_ROWS rows."""
-    parts = 1 << 20
-    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * min(1.0, FIT_ROWS / rows)))
+    """Slope and intercept of a logistic function on the different texts, about FIT_ROWS, of a hash-chosen sample."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.measure(t) for t in texts_of(b)], pa.float64()), b.column(b.schema.get_field_index("toxic")).cast(pa.int64())], ["x", "y"])
 
-    got = sample.select("text", "toxic").mapInArrow(measure, "x double, y long").toPandas()
+    share = min(1.0, FIT_ROWS / max(1, rows))
+    while True:
+        # A text with many copies counts once, or it would fill the sample.
+        sample = train.select("text", "toxic").filter(in_sample(F.xxhash64("text"), share)).distinct()
+        got = sample.mapInArrow(measure, "x double, y long").toPandas()
+        # Where nearly all rows are copies of a few texts the share may hold none: a larger one then.
+        if len(got) or share >= 1:
+            break
+        share = min(1.0, 16 * share)
     x, y = got["x"].to_numpy(), got["y"].to_numpy(float)
-    if y.min(initial=1) == y.max(initial=0):
+    if len(np.unique(y)) < 2:
         return lexicon.slope, lexicon.intercept
     # Newton steps with a small ridge, so that separable labels give finite numbers.
     design, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)

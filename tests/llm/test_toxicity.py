@@ -1,7 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 
 from larder.llm import queries
 from larder.llm import toxicity as X
@@ -89,6 +93,64 @@ def test_held_out_accuracy(spark):
     assert found >= 0.85 and wrong <= 0.01
 
 
+def brute_lexicon(rows, base):
+    """Terms with weights and exception phrases, counted document by document."""
+    toxic, clean, n = defaultdict(set), Counter(), Counter(t for _, t in rows)
+    for text, label in rows:
+        words = X.folded_words(text)
+        terms = {w for w in words if len(w) > 2}
+        terms |= {w[:k] + "~" for w in terms for k in (4, 5) if len(w) > k}
+        origin = min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 2])) for i in range(len(words) - 1)), default=0) // 2
+        for t in terms:
+            if label:
+                toxic[t].add(origin)
+            else:
+                clean[t] += 1
+    out = dict(base)
+    for t, origins in toxic.items():
+        k, c = len(origins), clean[t]
+        odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+        if k >= max(5, n[1] / 2000) and odds >= math.log(12) and odds >= 3 * math.sqrt(1 / (k + 0.5) + 1 / (c + 0.5)):
+            out[t] = odds
+    uses, with_term = defaultdict(Counter), Counter()
+    for text, label in rows:
+        words = X.folded_words(text)
+        hit = [w in out or w[:4] + "~" in out or w[:5] + "~" in out for w in words]
+        with_term[label] += any(hit)
+        for p in {f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]}:
+            uses[p][label] += 1
+    spared = {p for p, c in uses.items() if c[0] >= max(5, with_term[0] / 2000) and c[0] >= 4 * c[1]}
+    return out, spared
+
+
+@pytest.mark.parametrize("base", [{}, {"grumblo": 3.0}])
+def test_learning_against_brute_force(spark, base):
+    docs, labels = labelled_corpus()
+    folder = "/root/testdata/sf0.01"
+    known = {r["doc_id"]: int(r["toxic"] > 0) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [(d[1], int(t)) for d, (_, _, t) in zip(docs, labels, strict=True)]
+    rows += [(r["text"], known[r["doc_id"]]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r["doc_id"] in known]
+    train = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int").repartition(5)
+    got = X.learned(train, base)
+    terms, spared = brute_lexicon(rows, base)
+    assert set(got.terms) == set(terms) and got.terms == pytest.approx(terms) and set(got.exceptions) == spared
+    # Slope and intercept: no direction improves the likelihood of the different texts (ridge included).
+    x, y = np.array([(got.measure(t), label) for t, label in set(rows)]).T
+    p = 1 / (1 + np.exp(-(got.slope * x + got.intercept)))
+    assert abs(((p - y) * x).sum() + 0.01 * got.slope) < 1e-3 and abs((p - y).sum() + 0.01 * got.intercept) < 1e-3
+
+
+def test_fit_of_odd_samples(spark, monkeypatch):
+    """A sample that is empty at first grows; with one kind of label the preset slope stays and the empty text is clean."""
+    kind = "doc_id long, text string, toxic int"
+    x = X.Lexicon({"grumblo": 4.0})
+    one = spark.createDataFrame([(i, f"w{i}", 0) for i in range(30)], kind)
+    assert X._fit(one, x, 10**12) == (1.0, -4.0) and X._fit(one.limit(0), x, 10**12) == (1.0, -4.0)
+    both = spark.createDataFrame([(i, f"grumblo w{i % 3}" if i % 2 else f"w{i % 3}", i % 2) for i in range(300)], kind)
+    slope, intercept = X._fit(both, x, 10**12)
+    assert slope > 0 > intercept
+
+
 def test_every_significant_term_is_kept(spark):
     """Far more terms than a fixed number of rows would hold, frequent ones with moderate odds among them."""
     rare = lambda i: " ".join(random.Random(i).sample([f"q{i % 8}z{j}" for j in range(3500)], 3500))
