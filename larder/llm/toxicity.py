@@ -62,7 +62,8 @@ SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 PLAIN = re.compile(r"[^\W_]+")
 #: Words with signs inside; and whether there are any, or any digits next to letters.
 SIGNED = re.compile(r"[@$]?[^\W_]+(?:[@$!|*]+[^\W_]+)*")
-DISGUISED = re.compile(r"[^\W\d_][@$!|*]+[^\W\d_]|[@$][^\W\d_]|[^\W\d_][013457]|[013457][^\W\d_]")
+#: They begin with a sign, so that a search skips from sign to sign.
+DISGUISED = re.compile(r"[@$!|*013457](?:(?<=[@$013457])(?=[^\W\d_])|(?<=[^\W\d_][013457])|(?<=[^\W\d_][@$!|*])[@$!|*]*[^\W\d_])")
 MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff]+")
 FOREIGN = re.compile("[\u0131\u0142\u00f8\u0111\u0251\u0261\u0269\u2113\u0370-\u052f]")
 TRIPLE = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]

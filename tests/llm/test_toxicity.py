@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,6 +19,14 @@ def test_folding_undoes_disguises(text):
     assert any(w.replace("oo", "o") == "idiot" or w == "stupid" for w in words), words
 
 
+def test_disguises_are_found_wherever_they_stand():
+    plain = re.compile(r"[^\W\d_][@$!|*]+[^\W\d_]|[@$][^\W\d_]|[^\W\d_][013457]|[013457][^\W\d_]")
+    rng = random.Random(7)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab@$!|* 01923_é") for _ in range(rng.randrange(8)))
+        assert bool(X.DISGUISED.search(text)) == bool(plain.search(text)), text
+
+
 def test_folding_leaves_plain_words():
     assert X.folded_words("Hello, good books! 2024 it's") == ["hello", "good", "books", "2024", "it", "s"]
     assert X.folded_words("") == []
