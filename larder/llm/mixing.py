@@ -7,9 +7,10 @@ cumulative table, which is made once per source. The draw depends on nothing but
 the source's rate, so it is the same after a retry, on any number of executors, and in any engine
 with MD5. Copies are exploded and dealt out by a second hash, which shuffles them globally.
 
-One source may hold a third of the rows: sizes are partial sums before they shuffle, the table of
-rates is joined (broadcast only if Spark finds it under its size limit, else by a skew-aware
-join), and copies are dealt by a hash that knows nothing of sources.
+One source may hold a third of the rows: sizes are partial sums before they shuffle, the sources'
+tables are stored and, if a count of their entries stays within BROADCAST_ENTRIES, broadcast, so documents
+move once, when copies are dealt by a hash that knows nothing of sources. With more entries, a table of very many sources
+or of enormous rates, they are joined by source, which Spark splits where one is hot.
 
 Defined cases: null or empty text has size 0; a source without any text gets rate 1; a null source
 is a source of its own; rows with equal doc_id draw alike; target weights need not sum to 1 and a
@@ -20,11 +21,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import OWN, same, unit
+from larder.llm.common import OWN, same, stored, unit
 
+#: Numbers in all sources' tables up to which they are broadcast: 8 MB.
+BROADCAST_ENTRIES = 1_000_000
 RATE, TABLE, COPY, PLACE = f"{OWN}rate", f"{OWN}cumulative", "copy", "shuffle_key"
 
 
@@ -54,27 +57,31 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, po
     return shares.join(F.broadcast(totals)).select(F.col("source").alias(f"{OWN}source"), F.when(size > 0, rate).otherwise(1.0).alias(RATE))
 
 
-def cumulative(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... of a Poisson distribution, as far as its tail matters."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
+def cumulative(rates: DataFrame) -> DataFrame:
+    """rates with the table of P(X <= k) for k = 0, 1, ... of each source's Poisson distribution, as far as its tail matters."""
+    rate = F.col(RATE)
+    last = F.when(rate > 0, F.ceil(rate + 12 * F.sqrt(rate) + 20)).otherwise(0).cast("int")
+    steps = rates.select(f"{OWN}source", RATE, F.explode(F.sequence(F.lit(0), last)).alias("k"))
     # log p(k) = k log(rate) - rate - log(k!), summed step by step, so large rates don't underflow.
-    start = F.struct(F.lit(0.0).alias("log_factorial"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("table"))
+    upward = Window.partitionBy(f"{OWN}source").orderBy("k")
+    log_factorial = F.sum(F.when(F.col("k") > 0, F.log(F.col("k").cast("double"))).otherwise(0.0)).over(upward)
+    logs = steps.withColumn("log_factorial", log_factorial)
+    chance = F.when(rate > 0, F.exp(F.col("k") * F.log(rate) - rate - F.col("log_factorial"))).otherwise(1.0)
+    sums = logs.withColumn("sum", F.sum(chance).over(upward))
+    table = F.transform(F.sort_array(F.collect_list(F.struct("k", "sum"))), lambda s: s["sum"])
+    return sums.groupBy(f"{OWN}source").agg(table.alias(TABLE))
 
-    def step(s: Column, k: Column) -> Column:
-        log_factorial = s["log_factorial"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)
-        p = F.exp(k * F.log(rate) - rate - log_factorial)
-        return F.struct(log_factorial.alias("log_factorial"), (s["sum"] + p).alias("sum"), F.concat(s["table"], F.array(s["sum"] + p)).alias("table"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["table"])).otherwise(F.array(F.lit(1.0)))
-
-
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, seed: str = "mix", copy: str = COPY, place: str = PLACE) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, seed: str = "mix", copy: str = COPY, place: str = PLACE, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """Every copy of every document: docs' columns, copy (from 0) and shuffle_key, its place in the global order.
 
     The result is dealt out by shuffle_key and sorted by it within each partition. copy and place name
     the two columns, for tables that have such columns already.
     """
-    tables = rates(docs, weights, power).withColumn(TABLE, cumulative(F.col(RATE)))
+    tables = stored(cumulative(rates(docs, weights, power)), "rates")
+    entries = tables.agg(F.sum(F.size(TABLE) + 8)).first()[0] or 0
+    if entries <= broadcast_entries:
+        tables = F.broadcast(tables)
     names = [c for c in docs.columns if c.lower() not in (copy, place)]
     drawn = unit(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     n = F.size(F.filter(F.col(TABLE), lambda c: c <= F.col(f"{OWN}u"))).cast("int")

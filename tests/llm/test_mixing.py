@@ -59,7 +59,7 @@ def test_given_weights(spark):
 
 @pytest.mark.parametrize("rate", [0.0, 0.1, 1.0, 7.5, 200.0, 3000.0])
 def test_table_is_the_distribution(spark, rate):
-    table = spark.range(1).select(M.cumulative(M.F.lit(rate)).alias("t")).first()["t"]
+    table = M.cumulative(spark.createDataFrame([("a", rate)], f"{M.OWN}source string, {M.RATE} double")).first()[M.TABLE]
     if rate == 0:
         assert table == [1.0]
         return
@@ -68,6 +68,16 @@ def test_table_is_the_distribution(spark, rate):
     assert abs((table[k] - (table[k - 1] if k else 0)) - math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) < 1e-9
 
 
+@pytest.mark.parametrize("limit", [0, M.BROADCAST_ENTRIES])
+def test_large_tables_are_joined_instead(spark, limit):
+    """Broadcast or not, the same copies; broadcast, documents move once, and one source's rate may be high."""
+    rows = [(i, "x" * 40, "en", "s") for i in range(800)] + [(1000, "y", "en", "t")]
+    out = M.mixed(frame(spark, rows), broadcast_entries=limit)
+    assert ("strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()) == (limit > 0)
+    got = Counter((r["doc_id"], r["source"], r["copy"]) for r in out.collect())
+    assert got == brute(rows) and sum(s == "t" for _, s, _ in got) > 100
+
+
 def test_columns_and_order(odd, empty):
     out = M.mixed(odd)
     assert set(out.columns) == set(odd.columns) | {"shuffle_key"} and [c for c in out.columns if c not in odd.columns] == ["shuffle_key"]
