@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import small_batches, texts_of
+from larder.llm.common import small_batches, stored, texts_of
 from larder.llm.tokens import default_vocabulary, encoder
 
 #: Lengths per block of the two-level sums.
@@ -38,7 +38,8 @@ def lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    return lengths(docs, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs"))
+    """length and n_docs, stored, since the answers read it more than once."""
+    return stored(lengths(docs, vocabulary).groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
