@@ -8,11 +8,13 @@ duplicates of the injected pieces and puts the displaced pieces back by best fit
 fitness is the mean square fill of the bins. Then the islands' elites (the length patterns of their
 best-filled bins) migrate along a ring, and a second epoch starts from the stored packing with the
 immigrants as further donors, wherever the island has pieces of those lengths. Bins that are left
-poorly filled are dissolved and their pieces meet on fewer islands, again and again, down to one:
-what is wasted is about one bin in all, not one an island.
+poorly filled are dissolved and their pieces meet anew, on as many islands of the same size as they
+fill, again and again: what is wasted is about one bin in all, not one an island. Where that saves no bins any more
+(pieces that can't share a bin, such as many of just over half a sequence), the packing before it stands.
 
-An island is a bounded group: pieces are dealt by a stored random number, not by document or
-source, so neither copies nor a hot source make one larger. Results are stored between epochs.
+An island is a bounded group at every level: pieces are dealt by a stored random number, not by document or
+source, so neither copies nor a hot source make one larger, and the number of islands follows the number
+of pieces left. Results are stored between epochs.
 
 Defined cases: null text counts as empty; an empty text is the one token END; a document of
 2048 tokens or fewer is one piece; of a longer one the first piece is the shorter one, all others
@@ -34,15 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import small_batches, stored, texts_of
+from larder.llm.common import dropped, small_batches, stored, texts_of
 from larder.llm.tokens import crc, default_vocabulary, encoder
 
 CAPACITY = 2048
 END = 0
 #: Pieces on an island, packings in its population, generations of an epoch, elite bins that migrate.
 ISLAND, POPULATION, GENERATIONS, ELITES = 4096, 4, 6, 24
-#: A bin is well filled from here on; how many islands' leftovers meet on one.
-WELL, MERGE = 0.995, 64
+#: A bin is well filled from here on; the share of poorly filled bins that another level must save to be followed by one more.
+WELL, GAIN = 0.995, 0.002
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _END = END.to_bytes(4, "little")
@@ -204,7 +206,9 @@ def evolve(size: list[int], capacity: int, seed: int, start: list[list[int]] | N
             else:
                 good = [x for x, r in zip(giver.items, giver.room, strict=True) if x and r <= (1 - WELL) * capacity]
             if not good:
-                continue
+                # Nowhere a well-filled bin: the fullest quarter.
+                fullest = sorted((k for k, x in enumerate(giver.items) if x), key=lambda k: giver.room[k])
+                good = [giver.items[k] for k in fullest[: max(1, len(fullest) // 4)]]
             n = int(rng.integers(1, max(2, len(good) // 2 + 1)))
             pick = rng.choice(len(good), min(n, len(good)), replace=False)
             children.append(crossover(receiver, [good[i] for i in pick]))
@@ -262,15 +266,27 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     done = [full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(names)]
     loose = cut.filter(F.col("length") < capacity)
     n, level = loose.count(), 0
-    islands = max(1, math.ceil(n / ISLAND))
     out = PIECE + ", salt long, sequence_id long, offset long, loose boolean"
+    kept, bins = None, None
     while n:
-        dealt = loose.withColumn("island", F.pmod(F.xxhash64("salt", F.lit(level)), F.lit(islands))).withColumn("bin", F.lit(-1)).withColumn("elite", F.lit(None).cast("array<int>"))
+        islands = math.ceil(n / ISLAND)
+        dealt = loose.select(*cut.columns, F.pmod(F.xxhash64("salt", F.lit(level)), F.lit(islands)).alias("island"), F.lit(-1).alias("bin"), F.lit(None).cast("array<int>").alias("elite"))
         first = stored(dealt.groupBy("island").applyInPandas(_epoch(level, islands, capacity, False), _STATE), f"epoch{level}")
         second = stored(first.groupBy("island").applyInPandas(_epoch(level, islands, capacity, True), out), f"packed{level}")
+        dropped(first)
+        # Every sequence has one piece at its start.
+        now = second.filter("offset = 0").count()
+        if kept is not None and now > bins:
+            done.append(kept.select(names))
+            dropped(second)
+            break
+        saved = bins - now if kept is not None else now
         done.append(second.filter("NOT loose").select(names))
-        loose = second.filter("loose").select(cut.columns)
-        n, level, islands = loose.count(), level + 1, math.ceil(islands / MERGE)
+        kept = loose = second.filter("loose")
+        n, level, bins = loose.count(), level + 1, loose.filter("offset = 0").count()
+        if saved < max(1, GAIN * now):
+            done.append(kept.select(names))
+            break
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)

@@ -57,11 +57,34 @@ def test_odd_rows(odd, empty, ids_of):
 
 def test_islands_meet_again(odd, ids_of, monkeypatch):
     monkeypatch.setattr(K, "ISLAND", 3)
-    monkeypatch.setattr(K, "MERGE", 2)
     rows = K.packed(odd).collect()
     verify(rows, [(r[0], r[1]) for r in ROWS], ids_of)
 
 
+@pytest.mark.parametrize("lengths", [(1100,), (700, 800, 900), (1100, 300, 250, 20)], ids=str)
+def test_islands_stay_bounded(spark, monkeypatch, lengths):
+    """Whatever bins can't be filled: no level puts more than a few times ISLAND pieces together, and each is packed once."""
+    monkeypatch.setattr(K, "ISLAND", 40)
+    n = 1500
+    cut = spark.createDataFrame([(i, 0, 0, lengths[i % len(lengths)], i, (i * 2654435761) % (1 << 61)) for i in range(n)], K.PIECE + ", salt long")
+    monkeypatch.setattr(K, "pieces", lambda docs, vocabulary, capacity: cut)
+    rows = K.packed(cut).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(n))
+    islands, bins = defaultdict(int), defaultdict(int)
+    for r in rows:
+        islands[r["sequence_id"] >> 24] += 1
+        bins[r["sequence_id"]] += r["length"]
+    assert max(islands.values()) < 3 * 40 and max(bins.values()) <= 2048
+    least = n if lengths == (1100,) else sum(bins.values()) / 2048
+    assert len(bins) <= 1.35 * least + 1
+
+
+def test_crossover_works_without_well_filled_bins():
+    size = [1000, 900, 800, 1100, 950, 850] * 20
+    packing = K.evolve(size, 2048, 3)
+    assert sorted(i for b in packing for i in b) == list(range(len(size))) and len(packing) <= len(K.evolve(size, 2048, 3, generations=0))
+
+
 def sizes(seed, n=600):
     rng = random.Random(seed)
     return [min(2047, int(rng.lognormvariate(5.5, 1))) + 1 for _ in range(n)]
