@@ -12,17 +12,19 @@ Inside it content nodes are taken, and of the blocks below the threshold those t
   path for paragraphs, items and cells, the very element for bare text;
 * a heading with a taken block behind it, before the next heading of its own or a higher level, or
   directly followed by a heading that is taken.
-Link lists and lines of the article's header other than headings are never taken.
+Link lists are never taken, nor are lines of the article's header but for headings and content paths (a standfirst).
 
 Elements that are never the article (menus, page headers and footers, asides, scripts, styles, hidden
 elements) are known by tag or role, and don't enter the sums. Words of class and id (sidebar, notice,
 advert, comments, ...) and forms only make an element suspect: it is left out unless it holds the
 page's only marked article or more than half of the text that competes, as a wrapper of the page does; then its paths
-compete like others. Comments, adverts and links to related pages can be longer than the article, so these are let in only where
+compete like others. Words that are common otherwise count among words of layout only (share-buttons, but not
+hidden-gem). Comments, adverts and links to related pages can be longer than the article, so these are let in only where
 nothing else is left. Words behind has, no, with or without say nothing (has-sidebar). Where a page marks
 its article (article, main, role or itemprop), only paths inside the mark compete.
 
-Pages don't depend on one another: no shuffle, and memory is that of a small batch of pages.
+Pages don't depend on one another: no shuffle, and memory is that of a small batch of pages. A page is read
+in linear time, however broken; elements more than DEPTH deep are read as part of the one they are in.
 
 Defined cases: null or empty html, or html without text, gives an empty text; unclosed tags,
 quotes and comments end with the page; very long pages are read whole; equal rows are treated
@@ -47,18 +49,21 @@ THRESHOLD, HELD = 0.2, 0.9
 #: Weight of the path itself against its parent in smoothing.
 OWN_WEIGHT = 0.7
 
-TAG = re.compile(
-    r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']|"[^"]*"|'[^']*')*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
+#: A tag without angle brackets inside. It ends at the next one at the latest, so reading a page stays linear.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?>(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*))>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOPS = re.compile("[>\"']")
+#: Elements inside elements that are told apart; those further inside are read as part of the innermost.
+DEPTH = 100
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？]")
 
-RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover semantics annotation""".split()
 )
 NEVER = frozenset("nav footer aside button select menu dialog head".split())
 #: Words of class and id, whole words only, of what is mostly no part of an article.
@@ -67,6 +72,12 @@ BOILERPLATE = frozenset(
     sidebar aside footer masthead cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social
     related recommended comment comments disqus reply replies widget pagination pager toolbar skip hidden""".split()
 )
+#: Those that are common words as well: they count where all words of the name are of layout.
+COMMON = frozenset("promotion navigation menu notice notices alert overlay share sharing social related recommended reply replies skip hidden banner".split())
+LAYOUT = frozenset(
+    """area bar block body bottom box button buttons center col column container content footer form group head header icon icons inner item items js left links
+    list main message modal module page panel policy post posts right row section site slot stories story text title top unit wrap wrapper articles article box""".split()
+)
 #: Those of what can be long by itself; words that say of the word behind that it is about the layout.
 APART = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo related recommended comment comments disqus reply replies".split())
 NEUTRAL = frozenset(("has", "no", "with", "without"))
@@ -95,13 +106,16 @@ SUSPECT, SET_APART, NO = 1, 2, 3
 
 
 def _names(value: str) -> set[str]:
-    """The words of a class or id, small, without those behind a neutral word."""
+    """The words of a class or id, small, without those behind a neutral word, and common words only among words of layout."""
     out: set[str] = set()
     for name in value.split():
+        words: list[str] = []
         for w in WORDS.findall(name):
             if (w := w.lower()) in NEUTRAL:
                 break
-            out.add(w)
+            words.append(w)
+        plain = all(w in BOILERPLATE or w in LAYOUT for w in words)
+        out.update(w for w in words if plain or w not in COMMON)
     return out
 
 
@@ -139,51 +153,129 @@ def _is_mark(tag: str, attributes: str) -> bool:
     return tag in MARKS or bool(attributes) and bool(re.search(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b""", attributes))
 
 
+class _Tags:
+    """The tags of a page from a place on, each with the place behind it, in time linear in the page.
+
+    A tag ends at the first > outside of quotes or, if quotes are left open, at the first > at all; without one
+    it is text, but for a last one that the page breaks off in. Where the ends of quotes have been looked for is remembered, so no part of a page is read again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.n, self.last = page, len(page), page.rfind(">")
+        self.cdata = page.rfind("]]>")
+        self.ends: dict[int, int] = {}
+        self.seen = (0, -1)
+
+    def _stop(self, at: int) -> int:
+        """The next > or quote."""
+        low, high = self.seen
+        if not low <= at <= high:
+            m = STOPS.search(self.page, at)
+            self.seen = (at, m.start() if m else self.n)
+        return self.seen[1]
+
+    def _end(self, at: int) -> int:
+        """The first > outside of quotes, or -1."""
+        way: list[int] = []
+        found = -1
+        while (stop := self._stop(at)) < self.n:
+            if stop in self.ends:
+                found = self.ends[stop]
+                break
+            if self.page[stop] == ">":
+                found = stop
+                break
+            way.append(stop)
+            close = self.page.find(self.page[stop], stop + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for w in way:
+            self.ends[w] = found
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """Start and end of the next piece of markup, and if it is a tag its slash, name and attributes."""
+        page = self.page
+        while 0 <= (start := page.find("<", at)):
+            m = TAG.match(page, start)
+            if m:
+                return start, m.end(), m[1], m[2], m[3]
+            after = page[start + 1 : start + 2]
+            if after in ("!", "?"):
+                if page.startswith("<!--", start):
+                    end = page.find("-->", start + 4)
+                    return start, end + 3 if end >= 0 else self.n, "", "", ""
+                if page.startswith("<![CDATA[", start) and start < self.cdata:
+                    return start, page.find("]]>", start) + 3, "", "", ""
+                end = page.find(">", start) if start < self.last else -1
+                return start, end + 1 if end >= 0 else self.n, "", "", ""
+            m = NAME.match(page, start) if start < self.last and (after == "/" or after.isalpha()) else None
+            if m:
+                end = self._end(m.end())
+                if end < 0:
+                    end = page.find(">", m.end())
+                return start, end + 1, m[1], m[2], page[m.end() : end]
+            at = start + 1
+            if (after == "/" or after.isalpha()) and page.find("<", at) < 0:
+                # The page ends within a tag.
+                return start, self.n, "", "", ""
+        return self.n, self.n, "", "", ""
+
+
+class _Element:
+    """An open element: tag, number and path of the solid ones down to it, and what its blocks inherit."""
+
+    __slots__ = ("tag", "path", "chain", "never", "marked", "header", "around", "inside")
+
+    def __init__(self, tag, path, chain, never=False, marked=False, header=False, around=(), inside=()):
+        self.tag, self.path, self.chain, self.never, self.marked, self.header, self.around, self.inside = tag, path, chain, never, marked, header, around, inside
+
+
 def blocks(page: str) -> list[_Block]:
     """The page's text blocks outside boilerplate, in order."""
     out: list[_Block] = []
-    # Open elements: tag, number, boilerplate, marked, in a header of the article, suspects around the mark and inside it.
-    stack: list[tuple[str, int, bool, bool, bool, tuple, tuple]] = [("", 0, False, False, False, (), ())]
+    stack = [_Element("", "", (0,))]
+    # Tags of the elements inside the DEPTH innermost, and how often each.
+    deep: list[str] = []
+    deep_count: dict[str, int] = {}
     apart: set[int] = set()
     texts: list[str] = []
-    links = at = count = 0
-    in_link = 0
+    links = at = count = in_link = 0
+    tags, n = _Tags(page), len(page)
 
     def flush() -> None:
         nonlocal links
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                solid = [e for e in stack if e[0] not in INLINE]
-                out.append(_Block("/".join(e[0] for e in solid), tuple(e[1] for e in solid), text, links, *stack[-1][3:]))
+                e = stack[-1]
+                out.append(_Block(e.path, e.chain, text, links, e.marked, e.header, e.around, e.inside))
             texts.clear()
         links = 0
 
     def close(i: int) -> None:
         nonlocal in_link
-        in_link -= sum(e[0] == "a" for e in stack[i:])
+        in_link -= sum(e.tag == "a" for e in stack[i:])
         del stack[i:]
+        deep.clear()
+        deep_count.clear()
 
-    n = len(page)
     while at < n:
-        m = TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at and not stack[-1][2]:
-            data = page[at:end]
+        start, end, closing, tag, attributes = tags.next(at)
+        if start > at and not stack[-1].never:
+            data = page[at:start]
             if "&" in data:
                 data = entities.unescape(data)
             texts.append(data)
             if in_link:
                 links += len(data.strip())
-        if not m:
-            break
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        at = end
+        if not tag:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], (m[3] or m[6] or "")
+        tag = tag.lower()
         if tag == "br" or tag == "wbr":
-            if not stack[-1][2] and tag == "br":
+            if not stack[-1].never and tag == "br":
                 texts.append(" ")
             continue
         if not closing and tag in RAW:
@@ -194,39 +286,50 @@ def blocks(page: str) -> list[_Block]:
         if tag not in INLINE:
             flush()
         if closing:
+            if deep_count.get(tag):
+                while (gone := deep.pop()) != tag:
+                    deep_count[gone] -= 1
+                deep_count[tag] -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     close(i)
                     break
-                if tag in INLINE and stack[i][0] not in INLINE or tag == "p" and stack[i][0] in ("div", "article", "section", "td"):
+                if tag in INLINE and stack[i].tag not in INLINE or tag == "p" and stack[i].tag in ("div", "article", "section", "td"):
                     break
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and not deep:
             # A block start ends an open paragraph, and a list item, cell or term the one before it.
             for i in range(len(stack) - 1, 0, -1):
-                open_tag = stack[i][0]
+                open_tag = stack[i].tag
                 if open_tag == "p" or open_tag in ENDS.get(tag, ()):
                     close(i)
                     break
                 if open_tag not in INLINE and not (tag == "tr" and open_tag in ("td", "th")):
                     break
+        if len(stack) > DEPTH:
+            deep.append(tag)
+            deep_count[tag] = deep_count.get(tag, 0) + 1
+            continue
         up = stack[-1]
-        marked = up[3] or _is_mark(tag, attributes)
+        marked = up.marked or _is_mark(tag, attributes)
         count += 1
-        doubt = _doubt(tag, attributes, up[3])
-        around, inside = up[5], up[6]
-        if marked and not up[3]:
+        doubt = _doubt(tag, attributes, up.marked)
+        around, inside = up.around, up.inside
+        if marked and not up.marked:
             around, inside = around + inside, ()
         if doubt in (SUSPECT, SET_APART):
-            if marked and not up[3]:
+            if marked and not up.marked:
                 around += (count,)
             else:
                 inside += (count,)
             if doubt == SET_APART:
                 apart.add(count)
-        stack.append((tag, count, up[2] or doubt == NO, marked, up[4] or tag == "header", around, inside))
+        solid = tag not in INLINE
+        path, chain = (f"{up.path}/{tag}", (*up.chain, count)) if solid else (up.path, up.chain)
+        stack.append(_Element(tag, path, chain, up.never or doubt == NO, marked, up.header or tag == "header", around, inside))
         in_link += tag == "a"
     flush()
     return _let_in(out, apart)
@@ -348,8 +451,9 @@ def content_blocks(found: list[_Block]) -> list[_Block]:
         s[1] += len(b.text)
         s[2] += min(b.links, len(b.text))
     linked = {p for p, (n, chars, links) in count.items() if n >= 3 and links >= 0.8 * chars and LISTS & set(p.split("/"))}
-    inside = [b for b in inside if b.path not in linked and not (b.header and b.path.rpartition("/")[2] not in HEADINGS)]
-    return _selected(inside, {b.path for b in nodes})
+    content = {b.path for b in nodes}
+    inside = [b for b in inside if b.path not in linked and (not b.header or b.path in content or b.path.rpartition("/")[2] in HEADINGS)]
+    return _selected(inside, content)
 
 
 def main_text(page: str | None) -> str:

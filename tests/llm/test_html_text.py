@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import types as T
 
@@ -96,3 +99,95 @@ def test_mostly_links_below_the_threshold_do_not_join():
 ])
 def test_wrappers_with_boilerplate_words(page):
     assert H.main_text(page.format(BODY)) == WANT
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a b="', '<a " > "', "<a ' > ' \"", "<div>x", "<![CDATA[ ", "<!-- ", "<", "<a<", "<?x ", "<p>x", "<div></p>", "</div>", "<script>", '<a b=">'])
+@pytest.mark.parametrize("tail", ["", ">", '">'])
+def test_broken_pages_take_linear_time(unit, tail):
+    """Four times the page takes some four times as long, and not sixteen."""
+    took = []
+    for size in (1 << 16, 1 << 18):
+        page = (unit * size)[:size] + tail
+        began = time.process_time()
+        H.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 1.5 and took[1] < 9 * took[0] + 0.1
+
+
+def test_tags_end_where_browsers_end_them():
+    assert H.main_text('<p title="a>b">x</p><p title=\'a>"b\'>y</p>') == "x\n\ny"
+    assert H.main_text("<p>1 < 2, a <b>c</p>") == "1 < 2, a c"
+    assert H.main_text("<p>x<![CDATA[ y ]]>z</p>") == "xz"
+    assert H.main_text("<p>x</p><a href=") == "x" and H.main_text("<p>x</p><p") == "x"
+    deep = "<div>" * 300 + "<p>in it, far down.</p>" + "</div>" * 300 + "<p>out of it, again.</p>"
+    assert H.main_text(deep) == "in it, far down.\n\nout of it, again."
+
+
+def test_scores_decide_inside_a_marked_article(monkeypatch):
+    """With the same score for every path other blocks are taken."""
+    teasers = "<div>" + "".join(f"<div><h3>Teaser {i}</h3><span>3 min</span></div>" for i in range(4)) + "</div>"
+    page = f"<main><h1>Head</h1><div>{LONG}{LONG}</div><h2>More</h2>{teasers}</main>"
+    by_scores = H.main_text(page)
+    monkeypatch.setattr(H, "path_scores", lambda found: {b.path: 1.0 for b in found})
+    assert "Teaser" not in by_scores and "Teaser" in H.main_text(page)
+
+
+def test_common_words_and_standfirsts():
+    assert H.main_text(f'<article>{BODY}<p class="hidden-gem">A hidden gem, this one here.</p><div class="share-buttons">Share it, now.</div></article>') == f"{WANT}\n\nA hidden gem, this one here."
+    stand = "What this is about, in a sentence or two, before the text itself begins."
+    assert H.main_text(f"<article><header><h1>T</h1><p>{stand}</p></header>{BODY}</article>") == f"T\n\n{stand}\n\n{WANT}"
+    assert H.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, say.</p></article>") == "Let x=2, say."
+
+
+class _Tree(HTMLParser):
+    """The texts of an article's paragraphs and headings, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.article, self.skip = [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.article += 1
+        elif tag == "div" and (self.skip or ("class", "ad") in attrs):
+            self.skip += 1
+        elif self.article and not self.skip and (tag[0] == "h" and tag[1:].isdigit() or tag == "p"):
+            self.out.append("")
+        elif tag == "br" and self.out:
+            self.out[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.article -= tag == "article"
+        self.skip -= tag == "div" and self.skip > 0
+
+    def handle_data(self, data):
+        if self.article and not self.skip and self.out:
+            self.out[-1] += data
+
+
+def test_query_against_a_parsed_tree(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r["text"] for r in queries.QUERIES["op1_html_text"](spark, folder).collect()}
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        tree = _Tree()
+        tree.feed(r["html"])
+        tree.close()
+        assert got[r["page_id"]] == "\n\n".join(t for t in (" ".join(x.split()) for x in tree.out) if t)
+
+
+def brute_scores(found):
+    """The ratios of each path, from the list of its blocks."""
+    out = {}
+    for path in {b.path for b in found}:
+        own = [b for b in found if b.path == path]
+        kin = [b for b in found if b.path.rpartition("/")[0] == path.rpartition("/")[0]]
+        mean = lambda f: 0.7 * sum(map(f, own)) / len(own) + 0.3 * sum(map(f, kin)) / len(kin)
+        linked = sum(min(b.links, len(b.text)) for b in own) / sum(len(b.text) for b in own)
+        out[path] = mean(lambda b: len(b.text)) * (1 + mean(lambda b: sum(c in ".,;:!?" for c in b.text))) * (1 - linked) ** 2
+    return out
+
+
+def test_scores_against_brute_force(spark, tiny):
+    for r in spark.read.parquet(f"{tiny}/pages.parquet").limit(20).collect():
+        found = H.blocks(r["html"])
+        assert H.path_scores(found) == pytest.approx(brute_scores(found))
