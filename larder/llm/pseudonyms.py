@@ -5,19 +5,21 @@ format by a keyed Feistel network: digits stay digits, separators, lengths and c
 A permutation depends on key, kind and length alone, so equal values get equal pseudonyms in every
 document and different values stay different; `restored` inverts it with the same key.
 
-Kinds: card (13 to 19 digits, also in groups of 4-4-4-4 or 4-6-5; those that pass the Luhn test keep passing it, by permuting all but
-the check digit and computing that anew), phone (with + and 8 to 15 digits, also
+Kinds: card (13 to 19 digits, also in groups of 4-4-4-4 or 4-6-5, that pass the Luhn test and keep passing it, by permuting all but
+the check digit and computing that anew), iban (of 15 to 34 signs, also in groups of four, whose check digits are right: the account's digits and letters are
+permuted within their alphabets and the check digits computed anew), ssn (AAA-GG-SSSS, permuted among the numbers that can be issued), phone (with + and 8 to 15 digits, also
 grouped by blanks, dots, dashes or one pair of brackets; without +, AAA BBB CCCC with such separators or (AAA), a 1 in front or
 not, and numbers with a trunk 0: 0AA BBBBBB, 0A/BBBBB, (0AA) BBBBBB, 0A AA AA AA AA; country code, leading 1 and trunk 0 stay, the
-other digits are permuted; ten bare digits aren't taken for a phone), ip (four octets from 0 to 255: permuted as one 32-bit number),
+other digits are permuted; ten bare digits aren't taken for a phone), ip (four octets from 0 to 255: permuted as one 32-bit number), ip6 (eight groups or with one ::, in small or capital
+letters; digits and letters within their alphabets), token (keys that begin with sk-, AKIA, ghp_ and the like or xoxb- and the like: what follows),
 date (real days from 1900 to 2099 with a year of four digits: YYYY-MM-DD, and with one of . / - and one or two digits
 each D.M.YYYY, M/D/YYYY, YYYY/M/D: permuted among the days that can be written with as many digits; M/D/YYYY is read with
 slashes and D.M.YYYY otherwise, the other order where only that is a day), secret (32 to 64 hex
 digits: permuted as hex digits) and email (the letters and digits of the local part, as two
 alphabets in one sequence; the domain stays).
 
-Rounds are SHA-256 of key, tweak, round and the other half. Numbers with an impossible octet or
-date aren't values of that kind and stay as they are. A text without values is passed on unread
+Rounds are SHA-256 of key, tweak, round and the other half; whoever has the key can invert pseudonyms, so there is no
+key by default. Numbers with an impossible octet, date or check digit aren't values of that kind and stay as they are. A text without values is passed on unread
 by the later steps; work follows the number of values, not the length of a group.
 
 Defined cases: null text stays null with no values, empty text stays empty; any length of text;
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from larder.llm.common import OWN
 
 # Fixed patterns, in the order in which they are tried at a place.
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 _GROUPED = r"\+\d{1,3}[ .-]?\(\d{1,5}\)(?:[ .-]?\d){5,10}(?!\d)|\+\d(?:[ .-]?\d){7,14}(?!\d)"
 #: The numbers without +, by where their digits stand: three, three and four; those behind a trunk 0.
 _NATIONAL = r"(?<![\d.+-])(?<!\d )(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![ .-]?\d)"
@@ -48,11 +50,19 @@ _YEAR, _ENDS = "(?:19|20)\\d\\d", r"(?!\d|[./-]\d)"
 OTHER_DATE = r"(?<![\d./-])(?:" + "|".join(rf"\d{{1,2}}{c}\d{{1,2}}{c}{_YEAR}|{_YEAR}{c}\d{{1,2}}{c}\d{{1,2}}" for c in (r"\.", "/", "-")) + ")" + _ENDS
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
-ANY = "|".join((EMAIL, PHONE, IP, DATE, OTHER_DATE, SECRET, CARD, LOCAL_PHONE))
+SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])"
+_TOKEN_PREFIX = "sk-|AKIA|gh[pousr]_|xox[abprs]-"
+TOKEN = r"(?<![A-Za-z0-9])(?:sk-[A-Za-z0-9_-]{16,200}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,100}|xox[abprs]-[A-Za-z0-9-]{10,100})(?![A-Za-z0-9])"
+IP6 = "(?<![0-9A-Za-z:.])(?:" + "|".join(rf"(?:{h}:){{7}}{h}|(?:{h}:){{1,6}}(?::{h}){{1,6}}|(?:{h}:){{1,7}}:|:(?::{h}){{1,7}}" for h in ("[0-9a-f]{1,4}", "[0-9A-F]{1,4}")) + ")(?![0-9A-Za-z:]|\\.\\d)"
+#: All of them; what begins with a digit is tried at digits only.
+_AT_DIGITS = "|".join((IP, SSN, DATE, OTHER_DATE))
+ANY = rf"{EMAIL}|{TOKEN}|{IBAN}|(?=\+)(?:{PHONE})|(?=[0-9A-Fa-f:])(?:{IP6})|(?=\d)(?:{_AT_DIGITS})|{SECRET}|(?=\d)(?:{CARD})|(?=[\d(])(?:{LOCAL_PHONE})"
+#: A text without any of these has no value.
+HINT = f"[0-9@]|::|{_TOKEN_PREFIX}"
 
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
-DEFAULT_KEY = "larder"
 
 
 def _round(key: str, tweak: Column, i: Column, half: Column) -> Column:
@@ -89,8 +99,8 @@ def _digits(value: Column, kind: str, key: str, undo: bool) -> Column:
     return F.when(n >= 2, F.concat(out["a"], out["b"])).otherwise(value)
 
 
-def _alphabet(value: Column, kind: str, key: str, undo: bool) -> Column:
-    """Each letter or digit of a string moves within its own alphabet, by a network over two halves of the string."""
+def _alphabet(value: Column, kind: str, key: str, undo: bool, letters: int = 26) -> Column:
+    """Each letter (of the first so many) or digit of a string moves within its own alphabet, by a network over two halves of the string."""
     n = F.length(value)
     half = F.floor(n / 2).cast("int")
     # What has the value's shape is permuted alike: digits as 0, letters as a or A.
@@ -100,7 +110,7 @@ def _alphabet(value: Column, kind: str, key: str, undo: bool) -> Column:
     def moved(c: Column, f: Column) -> Column:
         code = F.ascii(c)
         turn = lambda low, size: F.char(F.pmod(code - low + (-f if undo else f), F.lit(size)) + low)
-        return F.when(code.between(48, 57), turn(48, 10)).when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).otherwise(c)
+        return F.when(code.between(48, 57), turn(48, 10)).when(code.between(97, 122), turn(97, letters)).when(code.between(65, 90), turn(65, letters)).otherwise(c)
 
     def step(i: Column, x: Column, other: Column) -> Column:
         seed = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), other), 256)
@@ -181,13 +191,53 @@ def _luhn_sum(digits: Column, check: bool) -> Column:
 def _card(value: Column, key: str, undo: bool) -> Column:
     digits = F.regexp_replace(value, "[ -]", "")
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    valid = _luhn_sum(digits, True) % 10 == 0
     moved = _digits(body, "card", key, undo)
     checked = F.concat(moved, F.pmod(-_luhn_sum(moved, False), F.lit(10)).cast("string"))
-    # An invalid number must not become a valid one that another stands for: its body moves alike and its distance from the valid digit stays.
-    off = F.pmod(F.substring(digits, F.length(digits), F.lit(1)).cast("int") + _luhn_sum(body, False), F.lit(10))
-    kept_off = F.concat(moved, F.pmod(off - _luhn_sum(moved, False), F.lit(10)).cast("string"))
-    return _refilled(value, F.when(valid, checked).otherwise(kept_off))
+    return _refilled(value, checked)
+
+
+def _is_card(value: Column) -> Column:
+    return _luhn_sum(F.regexp_replace(value, "[ -]", ""), True) % 10 == 0
+
+
+def _mod97(signs: Column) -> Column:
+    """The rest by 97 of a string read as a number, letters as 10 to 35."""
+    chars = F.filter(F.split(signs, ""), lambda c: c != "")
+
+    def add(r: Column, c: Column) -> Column:
+        return F.when(c.rlike(r"\d"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(chars, F.lit(0), add)
+
+
+def _is_iban(value: Column) -> Column:
+    flat = F.regexp_replace(value, " ", "")
+    check = F.substring(flat, 3, 2).cast("int")
+    rest = F.substring(flat, F.lit(5), F.length(flat))
+    return F.length(flat).between(15, 34) & check.between(2, 98) & (_mod97(F.concat(rest, F.substring(flat, 1, 4))) == 1)
+
+
+def _iban(value: Column, key: str, undo: bool) -> Column:
+    flat = F.regexp_replace(value, " ", "")
+    country = F.substring(flat, 1, 2)
+    moved = _alphabet(F.substring(flat, F.lit(5), F.length(flat)), "iban", key, undo)
+    check = 98 - _mod97(F.concat(moved, country, F.lit("00")))
+    signs = F.concat(country, F.lpad(check.cast("string"), 2, "0"), moved)
+    return F.when(F.contains(value, F.lit(" ")), F.rtrim(F.regexp_replace(signs, "(.{4})", "$1 "))).otherwise(signs)
+
+
+def _ssn(value: Column, key: str, undo: bool) -> Column:
+    def allowed(x: Column) -> Column:
+        area = F.floor(x / 1_000_000)
+        return area.between(1, 899) & (area != 666) & (F.floor(x / 10_000) % 100 != 0) & (x % 10_000 != 0)
+
+    number = F.regexp_replace(value, "-", "").cast("long")
+    return _refilled(value, F.lpad(_range(number, 10**9, "ssn", key, undo, allowed).cast("string"), 9, "0"))
+
+
+def _token(value: Column, key: str, undo: bool) -> Column:
+    prefix = F.regexp_extract(value, f"^(?:{_TOKEN_PREFIX})", 0)
+    return F.concat(prefix, _alphabet(F.substring(value, F.length(prefix) + 1, F.length(value)), "token", key, undo))
 
 
 def _refilled(value: Column, digits: Column) -> Column:
@@ -275,17 +325,21 @@ def kind_of(value: Column) -> Column:
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
         F.when(F.contains(value, F.lit("@")), "email")
+        .when(whole(TOKEN), "token")
+        .when(whole(IBAN), F.when(_is_iban(value), "iban"))
         .when(F.startswith(value, F.lit("+")), "phone")
+        .when(whole(IP6), "ip6")
         .when(whole(IP), "ip")
+        .when(whole(SSN), "ssn")
         .when(whole(DATE), F.when(F.try_to_date(value, "yyyy-MM-dd").isNotNull(), "date"))
         .when(whole(OTHER_DATE), F.when(_fields(value)[0].isNotNull(), "other date"))
-        .when(whole(CARD), "card")
+        .when(whole(CARD), F.when(_is_card(value), "card"))
         .when(whole(SECRET), "secret")
         .when(whole(LOCAL_PHONE), "phone")
     )
 
 
-def pseudonym(value: Column, key: str = DEFAULT_KEY, undo: bool = False) -> Column:
+def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     """A value of any kind to its pseudonym; what is no valid value stays."""
     return _once(F.struct(value.alias("value"), kind_of(value).alias("kind")), lambda s: _moved(s["value"], s["kind"], key, undo))
 
@@ -294,7 +348,11 @@ def _moved(value: Column, kind: Column, key: str, undo: bool) -> Column:
     return (
         F.when(kind == "email", _email(value, key, undo))
         .when(kind == "phone", _phone(value, key, undo))
+        .when(kind == "token", _token(value, key, undo))
+        .when(kind == "iban", _iban(value, key, undo))
+        .when(kind == "ip6", _alphabet(value, "ip6", key, undo, 6))
         .when(kind == "ip", _ip(value, key, undo))
+        .when(kind == "ssn", _ssn(value, key, undo))
         .when(kind == "date", _date(value, key, undo))
         .when(kind == "other date", _other_date(value, key, undo))
         .when(kind == "card", _card(value, key, undo))
@@ -303,11 +361,12 @@ def _moved(value: Column, kind: Column, key: str, undo: bool) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = DEFAULT_KEY, undo: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     """docs with values in text replaced, and n_values, the number of valid values found."""
     found, out = f"{OWN}found", f"{OWN}out"
     names = [c for c in docs.columns if c.lower() not in ("text", "n_values")]
-    rows = docs.withColumn(found, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
+    values = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
+    rows = docs.withColumn(found, F.coalesce(values, F.array().cast("array<string>")))
     some = F.size(found) > 0
     pieces = F.split(F.col("text"), ANY, -1)
     # The text between values, each value's pseudonym behind it; the last piece has none.
@@ -317,6 +376,6 @@ def pseudonymised(docs: DataFrame, key: str = DEFAULT_KEY, undo: bool = False) -
     return changed.select(*names, F.col(out).alias("text"), F.when(some, n).otherwise(0).alias("n_values"))
 
 
-def restored(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def restored(docs: DataFrame, key: str) -> DataFrame:
     """The inverse of pseudonymised, with the same key."""
     return pseudonymised(docs, key, undo=True)

@@ -42,10 +42,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+PUBLIC_KEY = "public"
+
+
 @query()
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced by format-preserving pseudonyms."""
-    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "text", "n_values")
+    """Every document with its personal data replaced by format-preserving pseudonyms.
+
+    The key is the session's larder.pseudonyms.key; without one, as in tests, a public key that protects nothing.
+    """
+    key = spark.conf.get("larder.pseudonyms.key", PUBLIC_KEY)
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), key).select("doc_id", "lang", "source", "text", "n_values")
 
 
 @query()
