@@ -18,7 +18,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {r[0]: shingle_set(r[1]) for r in rows}
     parent = {i: i for i in sets}
 
@@ -31,7 +31,7 @@ def brute(rows):
     for i in ids:
         for j in ids:
             a, b = sets[i], sets[j]
-            if i < j and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}

@@ -35,7 +35,7 @@ def test_stages_against_brute_force(spark, tiny, ids_of):  # noqa: F811
                 keep[t] = max(keep.get(t, r[0]), r[0])
             assert sorted(r[0] for r in after) == sorted(keep.values())
         elif name == "near":
-            assert {r[0] for r in after} == {i for i, (_, _, k) in near_brute(before).items() if k}
+            assert {r[0] for r in after} == {i for i, (_, _, k) in near_brute(before, 80).items() if k}
         elif name == "mixing":
             assert Counter(r[0] for r in after) == Counter(i for (i, _, _), n in mixed_brute(before).items() for _ in range(n))
 
@@ -45,6 +45,28 @@ def test_run(spark, tiny):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50
 
 
+def test_empty_table(spark):
+    docs = frame(spark, [], clash=True)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0, name
+        docs = stored(out, name) if name != "packing" else None
+
+
+def test_rows_without_id(spark):
+    """Such rows are kept by the stages that decide by id, and lost by none."""
+    rows = [(None, f"This is text number {i}, with a few words of its own, like {i * 7} and {i * 13}. It goes on.", "en", "s") for i in range(20)]
+    rows += [(i, f"Another text is number {i}, and says what it says, {i * 11} times. It ends here.", "en", "s") for i in range(20)]
+    docs = frame(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stored(stage(spark, docs, ""), name)
+        assert docs.count() == 40, name
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        docs = stage(spark, docs, "")
+        assert docs.count() > 0
+        docs = stored(docs, name) if name != "packing" else None
+
+
 def test_odd_columns_pass_through(spark):
     rows = [(i, f"This is text number {i}, with a few words of its own, like {i * 7} and {i * 13}. It goes on.", "en", "s") for i in range(50)]
     docs = frame(spark, rows, clash=True)
