@@ -38,6 +38,16 @@ def bronze(pages: DataFrame, run_id: str | None = None, ingested_at: Column | No
     return aligned(pages, BRONZE, **given)
 
 
+def add(df: DataFrame, path: str) -> None:
+    """Appends to a table as it is: landing pages twice has them twice. Columns that the table lacks are added to it."""
+    df.write.mode("append").partitionBy("ingest_run_id").parquet(path)
+
+
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """The table with the columns of all its files; older rows have nulls in newer columns."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Appends to a table partitioned by run, so that one run is read without the others.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import rules
+from larder.operators import upsert
 from larder.operators.silver import latest
 
 #: Measure -> its column in the benchmarks and whether 0 counts as known.
@@ -158,30 +159,66 @@ def percent_where(p: Column) -> Column:
     return F.round(count_where(p) / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100, 2)
 
 
+#: Columns whose values the audit counts -> what they are called there.
+DISTINCT = {"barcode": "barcodes", "primary_brand": "brands", "primary_category": "categories", "primary_country": "countries"}
+
+
+def distinct_values(silver: DataFrame) -> DataFrame:
+    """How many values of each column a run has: from one narrow row for each (run, column, value), combined on the map side."""
+    values = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for c, n in DISTINCT.items()])
+    pairs = silver.select("ingest_run_id", F.inline(values)).filter("value IS NOT NULL").distinct()
+    return pairs.groupBy("ingest_run_id").agg(*[F.count_if(F.col("name") == n).alias(f"unique_{n}") for n in DISTINCT.values()])
+
+
 def audit(silver: DataFrame, built_at: Column | None = None) -> DataFrame:
-    """Volume, quality and completeness of each run's current rows."""
+    """Volume, quality and completeness of each run's current rows, a row a run in no order."""
     c = F.col
     missing = {n: c(col).isNull() for n, col in (("kcal", "energy_kcal_per_100g"), ("protein", "proteins_100g"), ("sugar", "sugars_100g"))}
     nova = {1: "unprocessed", 2: "culinary", 3: "processed", 4: "ultra_processed"}
-    return (
-        silver.groupBy("ingest_run_id")
-        .agg(
-            F.min("ingested_at").alias("run_ingested_at"),
-            F.max("silver_processed_at").alias("silver_completed_at"),
-            F.count("*").alias("total_products_processed"),
-            *[F.count_distinct(f"{col}").alias(f"unique_{n}") for col, n in (("barcode", "barcodes"), ("primary_brand", "brands"), ("primary_category", "categories"), ("primary_country", "countries"))],
-            count_where(c("nutriscore_grade_mismatch")).alias("nutriscore_mismatch_count"),
-            percent_where(c("nutriscore_grade_mismatch")).alias("nutriscore_mismatch_pct"),
-            *[count_where(p).alias(f"missing_{n}_count") for n, p in missing.items()],
-            percent_where(missing["kcal"]).alias("missing_kcal_pct"),
-            percent_where(~rules.is_ean(c("barcode"))).alias("invalid_ean_pct"),
-            *[count_where(c("nova_group") == k).alias(f"nova_{k}_{n}_count") for k, n in nova.items()],
-            *[count_where(c("nutriscore_grade_reported") == g).alias(f"grade_{g.lower()}_count") for g in rules.GRADES],
-            *[count_where(c("sugar_tier") == t).alias(f"sugar_{t.lower()}_count") for t in ("Low", "Medium", "High")],
-        )
-        .withColumn("audit_built_at", F.current_timestamp() if built_at is None else built_at)
-        .orderBy(c("run_ingested_at").desc())
+    counted = silver.groupBy("ingest_run_id").agg(
+        F.min("ingested_at").alias("run_ingested_at"),
+        F.max("silver_processed_at").alias("silver_completed_at"),
+        F.count("*").alias("total_products_processed"),
+        count_where(c("nutriscore_grade_mismatch")).alias("nutriscore_mismatch_count"),
+        percent_where(c("nutriscore_grade_mismatch")).alias("nutriscore_mismatch_pct"),
+        *[count_where(p).alias(f"missing_{n}_count") for n, p in missing.items()],
+        percent_where(missing["kcal"]).alias("missing_kcal_pct"),
+        percent_where(~rules.is_ean(c("barcode"))).alias("invalid_ean_pct"),
+        *[count_where(c("nova_group") == k).alias(f"nova_{k}_{n}_count") for k, n in nova.items()],
+        *[count_where(c("nutriscore_grade_reported") == g).alias(f"grade_{g.lower()}_count") for g in rules.GRADES],
+        *[count_where(c("sugar_tier") == t).alias(f"sugar_{t.lower()}_count") for t in ("Low", "Medium", "High")],
     )
+    # One row a run on both sides.
+    unique = distinct_values(silver).withColumnRenamed("ingest_run_id", "run")
+    both = counted.join(unique, c("ingest_run_id").eqNullSafe(c("run")), "left").drop("run")
+    filled = both.fillna(0, [f"unique_{n}" for n in DISTINCT.values()])
+    first = [n for n in counted.columns if n in ("ingest_run_id", "run_ingested_at", "silver_completed_at", "total_products_processed")]
+    order = [*first, *[f"unique_{n}" for n in DISTINCT.values()], *[n for n in counted.columns if n not in first]]
+    return filled.select(*order, (F.current_timestamp() if built_at is None else built_at).alias("audit_built_at"))
+
+
+#: The gold tables and the key that each is kept by.
+TABLES = {"dim_product": "product_key", "dim_brand": "brand_key", "dim_category": "category_key", "dim_country": "country_key", "dim_nutriscore": "nutriscore_key", "fact_product_nutrition": "product_key", "pipeline_audit": "ingest_run_id"}
+
+
+def materialised(silver: DataFrame, grades: DataFrame, root: str, snapshot: str | datetime.date | None = None, built_at: Column | None = None, buckets: int = 16) -> dict[str, DataFrame]:
+    """Builds and writes every gold table under root from a silver table; returns them as read back.
+
+    Each is a versioned table of its own (see upsert): readers have the version before until the new one is complete.
+    """
+    spark = silver.sparkSession
+    made = {
+        "dim_product": dim_product(silver, built_at),
+        "dim_brand": dim_brand(silver, built_at),
+        "dim_category": dim_category(silver, built_at),
+        "dim_country": dim_country(silver, built_at),
+        "dim_nutriscore": dim_nutriscore(grades, built_at),
+        "fact_product_nutrition": fact_nutrition(silver, snapshot, built_at),
+        "pipeline_audit": audit(silver, built_at),
+    }
+    for name, df in made.items():
+        upsert.overwrite(df, f"{root}/{name}", keys=[TABLES[name]], buckets=buckets)
+    return {name: upsert.read(spark, f"{root}/{name}") for name in made}
 
 
 def star(fact: DataFrame, product: DataFrame, brand: DataFrame, category: DataFrame, country: DataFrame, nutriscore: DataFrame) -> DataFrame:

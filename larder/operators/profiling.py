@@ -43,6 +43,11 @@ def missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.withColumn("missing_pct", F.round(100 * F.col("n_missing") / F.nullif(F.col("n_rows"), F.lit(0)), 2))
 
 
+def samples(df: DataFrame, condition: Column, columns: Sequence[str], k: int) -> DataFrame:
+    """k rows that meet a condition, the first in the order of the columns."""
+    return df.filter(condition).select(*columns).orderBy(*columns).limit(k)
+
+
 def scorecard(df: DataFrame, checks: Mapping[str, Column], key: str) -> DataFrame:
     """One row: rows, distinct keys and how many rows meet each condition."""
     return df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct(key).alias("distinct_keys"), *[count_where(p).alias(n) for n, p in checks.items()])

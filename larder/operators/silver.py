@@ -127,9 +127,24 @@ def latest(rows: DataFrame, keys: Sequence[str] = (KEY,), revision: str = REVISI
     return numbered.filter("revision_number = 1").drop("revision_number")
 
 
+def newest(rows: DataFrame, keys: Sequence[str] = (KEY,), revision: str = REVISION) -> DataFrame:
+    """All rows of each key's largest revision, cut down before the shuffle, so that rules run on few rows."""
+    ranked = rows.withColumn("revision_rank", F.rank().over(Window.partitionBy(*keys).orderBy(F.col(revision).desc_nulls_last())))
+    return ranked.filter("revision_rank = 1").drop("revision_rank")
+
+
+def refined(rows: DataFrame, lookup: DataFrame, processed_at: Column | None = None, same_key: bool = True, ties: Sequence[str] | None = None) -> DataFrame:
+    """Flat rows to the latest cleansed row of each barcode.
+
+    Older revisions go first, the rules see what is left, and ties are then broken by cleansed columns, within the
+    partitions that there are: one shuffle in all.
+    """
+    return latest(enriched(with_country(cleansed(newest(rows)), lookup, same_key), processed_at), ties=ties)
+
+
 def silver(bronze: DataFrame, lookup: DataFrame, processed_at: Column | None = None, same_key: bool = True) -> DataFrame:
     """Bronze rows to the latest cleansed row of each barcode."""
-    return latest(enriched(with_country(cleansed(flat(products(bronze))), lookup, same_key), processed_at))
+    return refined(flat(products(bronze)), lookup, processed_at, same_key)
 
 
 def run_silver(bronze: DataFrame, lookup: DataFrame, run_id: str | None = None, backfill: bool | str = False, **more) -> DataFrame:

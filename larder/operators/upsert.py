@@ -1,19 +1,28 @@
-"""Keyed upserts on plain Parquet: versions in folders, and a pointer to the one that counts.
+"""Keyed upserts on plain Parquet: buckets of rows by key, and numbered manifests.
 
-A reader sees the version that the pointer names; a writer makes a new one beside it and moves the
-pointer last, so a failed write leaves the table as it was.
+A table is split by the hash of its keys into buckets. Each version has a manifest that says, per bucket,
+which folder holds it; the manifest with the largest number is the table. A writer makes new
+folders for the buckets that its rows touch, leaves the others where they are, and adds the next manifest last, by
+renaming a complete file to a name that didn't exist. So a failed write leaves the table as it was, readers always
+find a version, and of two writers at once the second fails instead of undoing the first.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.operators.silver import KEY, REVISION, latest
 
-POINTER = "_CURRENT"
+#: Buckets of a new table: an upsert reads and writes those that it touches.
+BUCKETS = 64
+MANIFESTS, BUCKET = "_manifests", "larder_bucket"
 
 
 def merged(existing: DataFrame, new: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
@@ -27,60 +36,125 @@ def merged_latest(existing: DataFrame, new: DataFrame, keys: Sequence[str] = (KE
     return latest(both, keys, revision, ["is_new", *[n for n in new.columns if n not in keys and n != revision]]).drop("is_new")
 
 
+@dataclass(frozen=True)
+class Manifest:
+    """A version: its number, columns, keys, number of buckets, and the folder of each bucket that has rows."""
+
+    number: int
+    schema: str
+    keys: list[str]
+    buckets: int
+    folders: dict[str, str]
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the manifests, in order."""
+    return sorted(int(n) for n in _names(spark, f"{root}/{MANIFESTS}") if n.isdigit())
+
+
 def version(spark: SparkSession, root: str) -> int | None:
     """The number of the current version; None where there is no table."""
-    fs, p = _fs(spark, f"{root}/{POINTER}")
-    if not fs.exists(p):
-        return None
+    return max(versions(spark, root), default=None)
+
+
+def exists(spark: SparkSession, root: str) -> bool:
+    return version(spark, root) is not None
+
+
+def manifest(spark: SparkSession, root: str, number: int | None = None) -> Manifest:
+    number = version(spark, root) if number is None else number
+    if number is None:
+        raise FileNotFoundError(root)
+    fs, p = _fs(spark, f"{root}/{MANIFESTS}/{number:09d}")
     stream = fs.open(p)
     try:
-        return int(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return Manifest(**json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
     finally:
         stream.close()
 
 
-def exists(spark: SparkSession, root: str) -> bool:
-    return version(spark, root) is not None
+def _read(spark: SparkSession, root: str, m: Manifest, folders: Sequence[str]) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(m.schema))
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in folders])
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
-    n = version(spark, root)
-    if n is None:
-        raise FileNotFoundError(root)
-    return spark.read.parquet(f"{root}/v={n}")
+    m = manifest(spark, root)
+    return _read(spark, root, m, sorted(m.folders.values()))
 
 
-def overwrite(df: DataFrame, root: str, keep: int = 2) -> int:
-    """A new version with whatever schema df has; returns its number. Older versions but the last few go."""
-    spark = df.sparkSession
-    last = version(spark, root) or 0
-    n = last + 1
-    df.write.mode("overwrite").parquet(f"{root}/v={n}")
-    fs, pointer = _fs(spark, f"{root}/{POINTER}")
-    _, fresh = _fs(spark, f"{root}/{POINTER}.new")
-    out = fs.create(fresh, True)
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _write(df: DataFrame, root: str, keys: Sequence[str], buckets: int) -> dict[str, str]:
+    """Writes df by bucket; the folders of the buckets that have rows."""
+    folder = f"data/{uuid.uuid4().hex}"
+    df.withColumn(BUCKET, _bucket(keys, buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
+    made = [n for n in _names(df.sparkSession, f"{root}/{folder}") if n.startswith(f"{BUCKET}=")]
+    return {n.partition("=")[2]: f"{folder}/{n}" for n in made}
+
+
+def _commit(spark: SparkSession, root: str, m: Manifest, keep: int) -> int:
+    """Adds the manifest, then drops manifests but the last few and folders that none of those names."""
+    fs, target = _fs(spark, f"{root}/{MANIFESTS}/{m.number:09d}")
+    _, draft = _fs(spark, f"{root}/{MANIFESTS}/.{m.number}-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
     try:
-        out.write(bytearray(str(n).encode()))
+        out.write(bytearray(json.dumps(asdict(m)).encode()))
     finally:
         out.close()
-    # Delete and rename, for file systems whose rename doesn't replace.
-    fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise OSError(f"can't move the pointer of {root}")
-    _, old = _fs(spark, f"{root}/v={n - keep}")
-    fs.delete(old, True)
-    return n
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        raise OSError(f"version {m.number} of {root} was written by someone else")
+    numbers = versions(spark, root)
+    for old in numbers[:-keep]:
+        fs.delete(_fs(spark, f"{root}/{MANIFESTS}/{old:09d}")[1], False)
+    used = {f for n in numbers[-keep:] for f in manifest(spark, root, n).folders.values()}
+    tops = {f.split("/")[1] for f in used}
+    for name in _names(spark, f"{root}/data"):
+        inside = _names(spark, f"{root}/data/{name}") if name in tops else []
+        gone = [f"{name}/{n}" for n in inside if n.startswith(BUCKET) and f"data/{name}/{n}" not in used] if name in tops else [name]
+        for g in gone:
+            fs.delete(_fs(spark, f"{root}/data/{g}")[1], True)
+    return m.number
+
+
+def overwrite(df: DataFrame, root: str, keep: int = 2, keys: Sequence[str] | None = None, buckets: int = BUCKETS) -> int:
+    """A new version with whatever schema df has; returns its number. Older versions but the last few go."""
+    spark = df.sparkSession
+    last = version(spark, root)
+    if keys is None:
+        known = manifest(spark, root, last).keys if last is not None else [KEY]
+        keys = [k for k in known if k in df.columns] or df.columns[:1]
+    folders = _write(df, root, keys, buckets)
+    return _commit(spark, root, Manifest((last or 0) + 1, df.schema.json(), list(keys), buckets, folders), keep)
 
 
-def upsert(new: DataFrame, root: str, keys: Sequence[str] = (KEY,), guarded: bool = True, revision: str = REVISION) -> int:
-    """Merges new into the table, or makes it. guarded: older revisions don't win."""
+def upsert(new: DataFrame, root: str, keys: Sequence[str] = (KEY,), guarded: bool = True, revision: str = REVISION, keep: int = 2) -> int:
+    """Merges new into the table, or makes it. guarded: older revisions don't win. Buckets without a new row aren't read."""
     spark = new.sparkSession
     if not exists(spark, root):
-        return overwrite(new, root)
-    old = read(spark, root)
-    return overwrite(merged_latest(old, new, keys, revision) if guarded else merged(old, new, keys), root)
+        return overwrite(new, root, keep, keys)
+    m = manifest(spark, root)
+    if m.keys != list(keys):
+        raise ValueError(f"{root} is kept by {m.keys}, not {list(keys)}")
+    # The new rows are computed once, into folders of their own; the next commit finds that nothing names these.
+    staged = _write(new, root, keys, m.buckets)
+    rows = spark.read.schema(new.schema).parquet(*[f"{root}/{f}" for f in sorted(staged.values())]) if staged else spark.createDataFrame([], new.schema)
+    old = _read(spark, root, m, sorted(f for b, f in m.folders.items() if b in staged))
+    folders = _write(merged_latest(old, rows, keys, revision) if guarded else merged(old, rows, keys), root, keys, m.buckets)
+    stay = {b: f for b, f in m.folders.items() if b not in staged}
+    return _commit(spark, root, Manifest(m.number + 1, new.schema.json(), m.keys, m.buckets, stay | folders), keep)

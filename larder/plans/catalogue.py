@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder import storage
 from larder.functions import rules
 from larder.operators import bronze, gold, profiling, quality_gates, silver, upsert
 from larder.sources import lookups, schemas
@@ -107,8 +109,16 @@ def inline_lookup(spark: SparkSession) -> DataFrame:
 
 def silver_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed through all silver rules, latest revision per barcode; times are fixed, so results can be compared."""
-    rows = silver.enriched(silver.with_country(silver.cleansed(raw_silver(spark, sf_dir)), inline_lookup(spark)), F.timestamp_seconds(F.lit(1700000000)))
-    return silver.latest(rows, ties=TIES)
+    return silver.refined(raw_silver(spark, sf_dir), inline_lookup(spark), fixed_time(), ties=TIES)
+
+
+def fixed_time() -> Column:
+    return F.timestamp_seconds(F.lit(1700000000))
+
+
+def silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """silver_feed as a stored table, for queries that read it more than once."""
+    return storage.stored(silver_feed(spark, sf_dir), "silver")
 
 
 #: Enough columns to tell any two revisions of a product apart that differ in a result.
@@ -126,7 +136,7 @@ keyed AS (SELECT *, regexp_replace(lower(replace(trim(regexp_replace(trim(string
 placed AS (SELECT k.*, coalesce(l.iso, CASE WHEN regexp_matches(ckey, '^[a-z]{{2}}$') THEN upper(ckey) END, 'XX') AS country_iso_code, l.name AS alias_name
   FROM keyed k LEFT JOIN lookup l ON ckey = lookup_key),
 named AS (SELECT p.*, coalesce(alias_name, iso_name, 'Unknown Country') AS primary_country FROM placed p LEFT JOIN codes c ON country_iso_code = c.iso),
-clean AS (SELECT barcode, last_modified_unix, ingest_run_id, primary_country, country_iso_code, countries_raw, kcal,
+clean AS (SELECT barcode, last_modified_unix, ingest_run_id, primary_country, country_iso_code, countries_raw, brands_raw, categories_raw, kcal,
   {_TITLE.format("product_name")} AS product_name, {_TITLE.format("replace(regexp_replace(string_split(categories_raw, ',')[1], '^en:', ''), '-', ' ')")} AS primary_category,
   trim(string_split(brands_raw, ',')[1]) AS primary_brand,
   {_r("CASE WHEN kcal > 0 AND kcal <= 900 THEN kcal WHEN kj > 0 THEN " + _r("kj / 4.184e0", 1) + " WHEN kcal > 900 THEN " + _r("kcal / 4.184e0", 1) + " END", 1)} AS kcal_any,
@@ -197,7 +207,7 @@ fact_out AS (SELECT *, {_r("(healthiness_rank_in_category - 1.0::DOUBLE) / nulli
 @query(f"WITH {FACT_SQL} SELECT * FROM fact_out")
 def fact_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nutrition fact: keys, measures, category benchmarks, rank, percentile and flags."""
-    return gold.fact_nutrition(silver_feed(spark, sf_dir), SNAPSHOT).drop("carbohydrates_100g", "fiber_100g", "ingested_at", "silver_processed_at", "gold_built_at")
+    return gold.fact_nutrition(silver_table(spark, sf_dir), SNAPSHOT).drop("carbohydrates_100g", "fiber_100g", "ingested_at", "silver_processed_at", "gold_built_at")
 
 
 @query(f"WITH {FACT_SQL} SELECT category_name, category_avg_kcal_100g, category_avg_sugar_100g, category_avg_fat_100g, category_avg_salt_100g, category_avg_protein_100g, category_product_count FROM fact_out GROUP BY ALL")
@@ -259,7 +269,7 @@ def dim_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM fact_out""")
 def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact joined with all its dimensions by hash key."""
-    rows = silver_feed(spark, sf_dir)
+    rows = silver_table(spark, sf_dir)
     dims = (gold.dim_product(rows), gold.dim_brand(rows), gold.dim_category(rows), gold.dim_country(rows), gold.dim_nutriscore(lookups.grade_lookup(spark)))
     return gold.star(gold.fact_nutrition(rows, SNAPSHOT), *dims)
 
@@ -277,7 +287,7 @@ count(DISTINCT primary_category) AS unique_categories, count(DISTINCT primary_co
 {', '.join(_COUNT(f"sugar_tier = '{t}'") + f' AS sugar_{t.lower()}_count' for t in ('Low', 'Medium', 'High'))} FROM silver GROUP BY ingest_run_id""")
 def audit_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of every run, with all its columns but the times."""
-    return gold.audit(silver_feed(spark, sf_dir)).drop("run_ingested_at", "silver_completed_at", "audit_built_at")
+    return gold.audit(silver_table(spark, sf_dir)).drop("run_ingested_at", "silver_completed_at", "audit_built_at")
 
 
 @query("""
@@ -338,8 +348,9 @@ def json_array_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, json_extract_string(p, '$.k') AS k FROM (SELECT event_id, unnest(from_json('[' || props || ',{"k":"x"}]', '["JSON"]')) AS p FROM events)""")
 def explode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON array's elements as rows."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("larder_events")
-    return spark.sql("""SELECT event_id, p.k FROM larder_events LATERAL VIEW explode(from_json(concat('[', props, ',{"k":"x"}]'), 'array<struct<k:string>>')) t AS p""")
+    # Braces of the JSON text come as a parameter: those in the statement name tables.
+    statement = """SELECT event_id, p.k FROM {events} LATERAL VIEW explode(from_json(concat('[', props, :more), 'array<struct<k:string>>')) t AS p"""
+    return spark.sql(statement, {"more": ',{"k":"x"}]'}, events=table(spark, sf_dir, "events"))
 
 
 # Keep-latest, upserts.
@@ -377,8 +388,30 @@ def upsert_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def backfill_equals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two guarded batches give what one backfill gives (timestamps are unique per user)."""
-    return upsert.merged_latest(*_halves(spark, sf_dir), ["user_id"], "ts")
+    """Guarded upserts of two batches into a stored table, the newer one first, give what one backfill gives (timestamps are unique per user)."""
+    root = storage.fresh(spark, "incremental")
+    for half in reversed(_halves(spark, sf_dir)):
+        upsert.upsert(half, root, ["user_id"], revision="ts")
+    return upsert.read(spark, root)
+
+
+@query(f"WITH old AS ({_HALF(0)}), new AS ({_HALF(1)} AND user_id % 10 = 3) SELECT * FROM old WHERE user_id NOT IN (SELECT user_id FROM new) UNION ALL SELECT * FROM new")
+def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unguarded upsert of a few keys into a stored table: only the buckets that they touch are written anew."""
+    root = storage.fresh(spark, "upserted")
+    old, new = _halves(spark, sf_dir)
+    upsert.overwrite(old, root, keys=["user_id"], buckets=16)
+    upsert.upsert(new.filter("user_id % 10 = 3"), root, ["user_id"], guarded=False)
+    return upsert.read(spark, root)
+
+
+@query("SELECT event_id, event_type, NULL::DOUBLE AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type, value FROM events WHERE event_id % 2 = 1")
+def append_merged_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a table, the second with a column more: older rows have nulls there."""
+    events, path = with_run(table(spark, sf_dir, "events")), storage.fresh(spark, "appended")
+    bronze.add(events.filter("event_id % 2 = 0").select("ingest_run_id", "event_id", "event_type"), path)
+    bronze.add(events.filter("event_id % 2 = 1").select("ingest_run_id", "event_id", "event_type", "value"), path)
+    return bronze.read_all(spark, path).select("event_id", "event_type", "value")
 
 
 # Rules.
@@ -513,8 +546,8 @@ def latest_run_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RUN_SQL} SELECT ingest_run_id, count(*) AS n_rows FROM runs WHERE ingest_run_id = (SELECT ingest_run_id FROM runs ORDER BY ts DESC, event_id DESC LIMIT 1) GROUP BY 1")
 def latest_run_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a scalar subquery."""
-    with_run(table(spark, sf_dir, "events")).createOrReplaceTempView("larder_runs")
-    return spark.sql("SELECT ingest_run_id, count(*) AS n_rows FROM larder_runs WHERE ingest_run_id = (SELECT ingest_run_id FROM larder_runs ORDER BY ts DESC, event_id DESC LIMIT 1) GROUP BY 1")
+    runs = with_run(table(spark, sf_dir, "events"))
+    return spark.sql("SELECT ingest_run_id, count(*) AS n_rows FROM {runs} WHERE ingest_run_id = (SELECT ingest_run_id FROM {runs} ORDER BY ts DESC, event_id DESC LIMIT 1) GROUP BY 1", runs=runs)
 
 
 @query("SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_values FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
@@ -533,8 +566,7 @@ def cross_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n_rows FROM lineitem GROUP BY 1, 2")
 def group_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouping by the places of columns."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("larder_lines")
-    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n_rows FROM larder_lines GROUP BY 1, 2")
+    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n_rows FROM {lines} GROUP BY 1, 2", lines=table(spark, sf_dir, "lineitem"))
 
 
 @query("SELECT p_brand, p_size, count(*) AS n_rows FROM part GROUP BY 1, 2 ORDER BY n_rows DESC, p_brand, p_size LIMIT 10")
@@ -604,8 +636,98 @@ def left_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("text_start"))
 
 
-@query(f"WITH {SILVER_SQL} SELECT barcode FROM silver WHERE barcode IS NOT NULL")
+#: The columns that gold reads of silver, in their order.
+VIEW_COLUMNS = (
+    "barcode product_name primary_brand primary_category primary_country country_iso_code brands_raw categories_raw countries_raw packaging allergens energy_kcal_per_100g "
+    "proteins_100g fat_100g carbohydrates_100g sugars_100g salt_100g sodium_corrected_100g fiber_100g protein_density_score ingredient_count nova_group nova_group_label "
+    "completeness_score data_quality_tier is_nutritional_data_complete sugar_tier fat_tier salt_tier nutriscore_score_raw nutriscore_grade_reported "
+    "nutriscore_grade_recalculated nutriscore_grade_mismatch ingest_run_id ingested_at silver_processed_at last_modified_unix row_hash"
+).split()
+_VIEW = {
+    "packaging": "'Unknown'", "allergens": "'Milk, Tree Nuts'", "carbohydrates_100g": "CAST(NULL AS DOUBLE)", "fiber_100g": "CAST(NULL AS DOUBLE)",
+    "ingested_at": "make_timestamp(last_modified_unix * 1000000)", "silver_processed_at": "make_timestamp(1700000000000000)",
+}
+
+
+@query(f"WITH {SILVER_SQL} SELECT {', '.join(f'{_VIEW[c]} AS {c}' if c in _VIEW else c for c in VIEW_COLUMNS)} FROM silver WHERE barcode IS NOT NULL")
 def silver_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver by name, as a view."""
-    silver_feed(spark, sf_dir).createOrReplaceTempView("larder_silver")
-    return spark.table("larder_silver").filter("barcode IS NOT NULL").select("barcode")
+    """What gold reads of silver, by name; times without a zone, as both engines show them alike."""
+    rows = spark.sql(f"SELECT {', '.join(VIEW_COLUMNS)} FROM {{silver}} WHERE barcode IS NOT NULL", silver=silver_feed(spark, sf_dir))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ingested_at", "silver_processed_at")})
+
+
+@query("""SELECT lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS barcode, p_name AS product_name, p_brand AS brands_raw, 'en:' || lower(p_type) AS categories_raw,
+l_extendedprice / 100e0 AS energy_kcal_raw_100g, l_discount * 100e0 AS sugars_100g, CAST(NULL AS DOUBLE) AS fat_100g, CAST(p_size AS INTEGER) AS nutriscore_score_raw,
+CASE WHEN l_linenumber <> 5 THEN CAST(l_linenumber AS INTEGER) END AS nova_group, l_returnflag AS nutriscore_grade_reported, CAST(epoch(l_shipdate) AS BIGINT) AS last_modified_unix,
+strftime(l_shipdate, '%Y%m') AS ingest_run_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 7""")
+def flatten_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a JSON array of products, as bronze holds them, parsed by the products' schema and flattened; a product without code goes."""
+    c = F.col
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    product = F.struct(
+        F.when(c("l_linenumber") != 7, F.lpad(c("l_partkey").cast("string"), 8, "0")).alias("code"),
+        c("p_name").alias("product_name"),
+        c("p_brand").alias("brands"),
+        F.concat(F.lit("en:"), F.lower("p_type")).alias("categories"),
+        (c("l_extendedprice") / F.lit(100.0)).alias("energy-kcal_100g"),
+        (c("l_discount") * F.lit(100.0)).cast("string").alias("sugars_100g"),
+        F.lit("none").alias("fat_100g"),
+        c("p_size").alias("nutriscore_score"),
+        F.when(c("l_linenumber") == 5, "unknown").otherwise(F.concat(c("l_linenumber").cast("string"), F.lit(".0"))).alias("nova_group"),
+        c("l_returnflag").alias("nutriscore_grade"),
+        F.unix_timestamp(c("l_shipdate").cast("timestamp")).alias("last_modified_t"),
+        F.struct(F.lit(1).alias("deep")).alias("images"),
+    )
+    # A page is a month's lines of one order: a handful.
+    run = F.date_format(c("l_shipdate").cast("timestamp"), "yyyyMM")
+    pages = lines.groupBy("l_orderkey", run.alias("ingest_run_id")).agg(F.to_json(F.collect_list(product)).alias("raw_products_json")).withColumn("ingested_at", fixed_time())
+    out = "barcode product_name brands_raw categories_raw energy_kcal_raw_100g sugars_100g fat_100g nutriscore_score_raw nova_group nutriscore_grade_reported last_modified_unix ingest_run_id"
+    return silver.flat(silver.products(pages)).select(*out.split())
+
+
+_GOLD_COUNTS = {
+    "dim_product": "SELECT count(*) FROM silver", "dim_brand": "SELECT count(DISTINCT primary_brand) FROM silver", "dim_category": "SELECT count(DISTINCT primary_category) FROM silver",
+    "dim_country": "SELECT count(DISTINCT country_iso_code) FROM silver", "dim_nutriscore": "SELECT 6", "fact_product_nutrition": "SELECT count(*) FROM silver",
+    "pipeline_audit": "SELECT count(DISTINCT ingest_run_id) FROM silver",
+}
+
+
+@query(f"WITH {SILVER_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, ({sql}) AS n_rows" for n, sql in _GOLD_COUNTS.items()))
+def gold_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gold table built from a stored silver, written as a versioned table and read back: their rows."""
+    made = gold.materialised(silver_table(spark, sf_dir), lookups.grade_lookup(spark), storage.fresh(spark, "gold"), SNAPSHOT, fixed_time())
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows")) for name, df in made.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query(f"""WITH {SILVER_SQL}, last AS (SELECT * FROM silver WHERE ingest_run_id = (SELECT max(ingest_run_id) FROM silver))
+SELECT (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(DISTINCT barcode) AS n FROM silver GROUP BY ingest_run_id)) AS unique_products, count(*) AS products_latest_run, {_PCT('nutriscore_grade_mismatch')} AS mismatch_pct,
+{_PCT('energy_kcal_per_100g IS NULL')} AS missing_kcal_pct, CAST(1.5 AS DOUBLE) AS hours_since FROM last""")
+def run_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest run's numbers and its age, from the audit."""
+    return profiling.run_health(gold.audit(silver_table(spark, sf_dir)), F.timestamp_seconds(F.lit(1700000000 + 5400))).drop("completed_at")
+
+
+@query(f"WITH {RUN_SQL} SELECT event_type, count(*) AS n_rows FROM runs WHERE ingest_run_id = (SELECT min(ingest_run_id) FROM runs) GROUP BY 1")
+def run_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report on one run of all."""
+    runs = with_run(table(spark, sf_dir, "events"))
+    return profiling.distribution(profiling.of_run(runs, runs.agg(F.min("ingest_run_id")).first()[0]), "event_type")
+
+
+@query(f"WITH {SILVER_SQL} SELECT barcode, product_name, primary_category, ingest_run_id FROM silver WHERE energy_kcal_per_100g IS NULL ORDER BY barcode LIMIT 20")
+def null_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty products without calories, to be looked into."""
+    return profiling.samples(silver_feed(spark, sf_dir), F.col("energy_kcal_per_100g").isNull(), ["barcode", "product_name", "primary_category", "ingest_run_id"], 20)
+
+
+@query("SELECT count(*) AS n_rows FROM (SELECT * FROM events LIMIT 25)")
+def limit_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some rows, whichever come first: how many there are."""
+    return table(spark, sf_dir, "events").limit(25).agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT * FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('user_id', 'bigint'), ('event_type', 'string'), ('value', 'double'), ('props', 'string')) t(col_name, data_type)")
+def described_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and types of a table's columns."""
+    return profiling.described(table(spark, sf_dir, "events"))

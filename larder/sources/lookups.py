@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import unicodedata
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -38,6 +39,61 @@ def iso_countries(spark: SparkSession) -> list[tuple[str, str]]:
     return rows + [("XX", "Unknown Country")]
 
 
+#: Languages whose names of countries become aliases; of one that two countries share none does.
+LANGUAGES = "de fr es it nl pt pl sv da nb fi cs sk sl hr hu ro bg el ru uk mk sr tr ar he ja ko zh et lv lt ca".split()
+
+# What products call countries beyond the names and codes of ISO 3166, by code.
+SAID = {
+    "BE": ["belgie"],
+    "CH": ["schweiz", "suisse"],
+    "CI": ["ivory coast", "cote d'ivoire"],
+    "CV": ["cape verde"],
+    "CZ": ["czech republic", "česko"],
+    "DE": ["getränke", "wasser"],
+    "ES": ["espana"],
+    "GB": ["uk", "u.k.", "great britain", "england", "scotland", "wales"],
+    "IS": ["island"],
+    "KR": ["korea", "republic of korea"],
+    "LA": ["laos"],
+    "MK": ["macedonia"],
+    "MM": ["burma"],
+    "NL": ["holland"],
+    "NO": ["norwegan", "norwegie"],
+    "PL": ["nabiał", "nabial"],
+    "RO": ["roemenie"],
+    "SZ": ["swaziland"],
+    "TL": ["east timor"],
+    "TR": ["turkey"],
+    "US": ["u.s.", "u.s.a.", "united states of america"],
+    "VI": ["virgin islands of the united states"],
+    "VN": ["viet nam"],
+    "XX": ["world", "unknown"],
+}
+
+
+def _plain(name: str) -> str:
+    """A name without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
+
+
+def exonyms(spark: SparkSession, countries: Iterable[tuple[str, str]], languages: Iterable[str] = LANGUAGES) -> list[tuple[str, str, str]]:
+    """alias, code and name: what countries are called in other languages, with and without accents, their three-letter codes, and SAID."""
+    names, meant = dict(countries), {}
+    locale = spark._jvm.java.util.Locale
+    tongues = [locale(x) for x in languages]
+    for code in names:
+        place = locale("", code)
+        if code == "XX":
+            continue
+        for said in {place.getISO3Country(), *(place.getDisplayCountry(t) for t in tongues)}:
+            for alias in {said.lower(), _plain(said.lower())}:
+                meant.setdefault(alias, set()).add(code)
+    own = {n.strip().lower() for n in names.values()} | {c.lower() for c in names}
+    rows = {alias: next(iter(codes)) for alias, codes in meant.items() if len(codes) == 1 and alias and alias not in own}
+    rows |= {alias: code for code, said in SAID.items() for alias in said}
+    return [(alias, code, names.get(code, code)) for alias, code in sorted(rows.items())]
+
+
 def alias_rows(countries: Iterable[tuple[str, str]], extra: Iterable[tuple[str, str, str]] = ()) -> list[tuple[str, str, str]]:
     """alias, code and name: the code, the name and its slug, each also tagged en:; extra rows win. Sorted by code, then alias."""
     rows: dict[str, tuple[str, str]] = {}

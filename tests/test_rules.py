@@ -30,9 +30,9 @@ CASES = {
     "mismatch": (("string", "int"), lambda g, s: rules.grade_mismatch(rules.reported_grade(g), rules.recalculated_grade(s)), [("e", 26, False), ("a", 26, True), ("unknown", 26, False), (None, 26, False), ("a", None, False)]),
     "reported": (("string",), rules.reported_grade, [("b", "B"), ("not-applicable", "Not Applicable"), ("n/a", "Not Applicable"), ("  ", "Unknown"), (None, "Unknown"), ("foo bar", "Foo Bar"), ("UNKNOWN", "Unknown")]),
     "category": (("string",), rules.category, [("en:plant-based foods", "Plant Based Foods"), ("en:en:tea", "Tea"), ("Café", "Unknown Category"), (None, "Unknown Category"), ("en:", "")]),
-    "tags": (("string",), rules.tag_list, [("en:milk,en:tree-nuts", "Milk, Tree Nuts"), ("a,,b", "A, , B"), (" ", "Unknown"), (None, "Unknown")]),
+    "tags": (("string",), rules.tag_list, [("en:milk,en:tree-nuts", "Milk, Tree Nuts"), ("a,,b", "A, , B"), ("FR:lait, de:ei,\ten:soy", "Lait, Ei, Soy"), (" en:x", "En:x"), ("a:b,12:c", "A:b, 12:c"), (" ", "Unknown"), (None, "Unknown")]),
     "name": (("string",), rules.product_name, [("m&amp;m", "M&m"), (None, "Unknown Product"), (" ", "Unknown Product")]),
-    "ean": (("string",), rules.is_ean, [("3017620422003", True), (" 12345678 ", True), ("111", False), (None, False), ("1" * 15, False)]),
+    "ean": (("string",), rules.is_ean, [("4006381333931", True), (" 12345678 ", True), ("111", False), (None, False), ("1" * 15, False)]),
     "row hash": (("string", "long"), rules.row_hash, [("1", None, hashlib.sha256(b"1").hexdigest()), ("1", 2, hashlib.sha256(b"1|2").hexdigest())]),
     "brand key": (("string",), rules.label_key, [(None, hashlib.sha256(b"Unknown").hexdigest()), ("", hashlib.sha256(b"Unknown").hexdigest()), ("  ", hashlib.sha256(b"Unknown").hexdigest()), (" x ", hashlib.sha256(b"x").hexdigest())]),
     "filled": (("string",), rules.filled, [("Unknown Product", 0), ("n/a", 0), (" ", 0), (None, 0), ("unknownish", 1), ("x", 1)]),
