@@ -40,7 +40,12 @@ def bronze(pages: DataFrame, run_id: str | None = None, ingested_at: Column | No
 
 def add(df: DataFrame, path: str) -> None:
     """Appends to a table as it is: landing pages twice has them twice. Columns that the table lacks are added to it."""
-    df.write.mode("append").partitionBy("ingest_run_id").parquet(path)
+    _by_run(df).write.mode("append").partitionBy("ingest_run_id").parquet(path)
+
+
+def _by_run(df: DataFrame) -> DataFrame:
+    """Rows of a run together, so that it gets few files; Spark splits large runs and merges small ones."""
+    return df.hint("rebalance", "ingest_run_id")
 
 
 def read_all(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +58,7 @@ def append(df: DataFrame, path: str) -> None:
 
     Rerunning a run replaces its partition: landing twice doesn't double pages.
     """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_run_id").parquet(path)
+    _by_run(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_run_id").parquet(path)
 
 
 def read(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:

@@ -19,8 +19,12 @@ def unique(df: DataFrame, *columns: str) -> DataFrame:
     return known.groupBy(*columns).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
+def not_among(column: str, values: Iterable) -> Column:
+    return ~F.col(column).isin(*values)
+
+
 def accepted_values(df: DataFrame, column: str, values: Iterable) -> DataFrame:
-    return df.filter(~F.col(column).isin(*values))
+    return df.filter(not_among(column, values))
 
 
 def relationships(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -29,13 +33,17 @@ def relationships(child: DataFrame, column: str, parent: DataFrame, parent_colum
     return child.filter(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("parent_key"), "left_anti")
 
 
-def in_range(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:
+def outside(column: str, low: float | None = None, high: float | None = None) -> Column:
     out = F.lit(False)
     if low is not None:
         out = out | (F.col(column) < low)
     if high is not None:
         out = out | (F.col(column) > high)
-    return df.filter(out)
+    return out
+
+
+def in_range(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    return df.filter(outside(column, low, high))
 
 
 def share_at_most(df: DataFrame, bad: Column, limit: float) -> DataFrame:
@@ -46,14 +54,28 @@ def share_at_most(df: DataFrame, bad: Column, limit: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class Gate:
+    """A name and what returns the violating rows; table and bad where those are the table's rows that meet a condition."""
+
     name: str
     violations: Callable[[], DataFrame]
+    table: DataFrame | None = None
+    bad: Column | None = None
+
+
+def row_gate(name: str, df: DataFrame, bad: Column) -> Gate:
+    return Gate(name, lambda: df.filter(bad), df, bad)
 
 
 def failures(gates: Iterable[Gate]) -> dict[str, int]:
-    """Number of violations of each gate that has any."""
-    counts = {g.name: g.violations().count() for g in gates}
-    return {name: n for name, n in counts.items() if n}
+    """Number of violations of each gate that has any: all conditions on the rows of one table are counted in one pass."""
+    gates, counts = list(gates), {}
+    tables = {id(g.table): g.table for g in gates if g.table is not None}
+    for key, df in tables.items():
+        mine = [g for g in gates if id(g.table) == key]
+        row = df.agg(*[F.count_if(F.coalesce(g.bad, F.lit(False))).alias(f"g{i}") for i, g in enumerate(mine)]).first()
+        counts |= {g.name: row[i] for i, g in enumerate(mine)}
+    counts |= {g.name: g.violations().count() for g in gates if g.table is None}
+    return {g.name: counts[g.name] for g in gates if counts[g.name]}
 
 
 def standard_gates(silver: DataFrame, fact: DataFrame, product: DataFrame, brand: DataFrame, category: DataFrame, country: DataFrame, nutriscore: DataFrame) -> list[Gate]:
@@ -63,17 +85,17 @@ def standard_gates(silver: DataFrame, fact: DataFrame, product: DataFrame, brand
 
     tiers = ("Low", "Medium", "High", "Unknown")
     gates = [
-        Gate("silver.barcode not null", lambda: not_null(silver, "barcode")),
+        row_gate("silver.barcode not null", silver, F.col("barcode").isNull()),
         Gate("silver.barcode unique", lambda: unique(silver, "barcode")),
-        Gate("silver.sugar_tier accepted", lambda: accepted_values(silver, "sugar_tier", tiers)),
-        Gate("silver.energy in range", lambda: in_range(silver, "energy_kcal_per_100g", 0, rules.KCAL_LIMIT)),
-        Gate("silver.sugars not negative", lambda: in_range(silver, "sugars_100g", 0)),
+        row_gate("silver.sugar_tier accepted", silver, not_among("sugar_tier", tiers)),
+        row_gate("silver.energy in range", silver, outside("energy_kcal_per_100g", 0, rules.KCAL_LIMIT)),
+        row_gate("silver.sugars not negative", silver, outside("sugars_100g", 0)),
         Gate("silver.energy mostly known", lambda: share_at_most(silver, F.col("energy_kcal_per_100g").isNull(), 0.5)),
         Gate("silver.barcode mostly ean", lambda: share_at_most(silver, ~rules.is_ean(F.col("barcode")), 0.05)),
-        Gate("fact.energy in range", lambda: in_range(fact, "energy_kcal_per_100g", 0, rules.KCAL_LIMIT)),
-        Gate("fact.sugar_tier accepted", lambda: accepted_values(fact, "sugar_tier", tiers)),
-        Gate("dim_product.tier accepted", lambda: accepted_values(product, "data_quality_tier", ("Complete", "Sparse"))),
-        Gate("dim_nutriscore.grade accepted", lambda: accepted_values(nutriscore, "grade", (*rules.GRADES, "Unknown"))),
+        row_gate("fact.energy in range", fact, outside("energy_kcal_per_100g", 0, rules.KCAL_LIMIT)),
+        row_gate("fact.sugar_tier accepted", fact, not_among("sugar_tier", tiers)),
+        row_gate("dim_product.tier accepted", product, not_among("data_quality_tier", ("Complete", "Sparse"))),
+        row_gate("dim_nutriscore.grade accepted", nutriscore, not_among("grade", (*rules.GRADES, "Unknown"))),
         Gate("dim_product.product_id unique", lambda: unique(product, "product_id")),
     ]
     for table, df, keys in (
@@ -84,11 +106,11 @@ def standard_gates(silver: DataFrame, fact: DataFrame, product: DataFrame, brand
         ("dim_nutriscore", nutriscore, ("nutriscore_key", "grade")),
         ("fact", fact, ("product_key", "brand_key", "category_key", "snapshot_date")),
     ):
-        gates += [Gate(f"{table}.{k} not null", lambda d=df, k=k: not_null(d, k)) for k in keys]
+        gates += [row_gate(f"{table}.{k} not null", df, F.col(k).isNull()) for k in keys]
         if table != "fact":
             gates.append(Gate(f"{table}.{keys[0]} unique", lambda d=df, k=keys[0]: unique(d, k)))
     for key, df in (("product_key", product), ("brand_key", brand), ("category_key", category)):
         gates.append(Gate(f"fact.{key} has parent", lambda d=df, k=key: relationships(fact, k, d, k)))
     for name, limit, _ in BENCHMARKS.values():
-        gates.append(Gate(f"fact.{name} in range", lambda n=name, top=limit: in_range(fact, n, 0, top)))
+        gates.append(row_gate(f"fact.{name} in range", fact, outside(name, 0, limit)))
     return gates

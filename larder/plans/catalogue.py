@@ -408,7 +408,7 @@ def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type, NULL::DOUBLE AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type, value FROM events WHERE event_id % 2 = 1")
 def append_merged_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends to a table, the second with a column more: older rows have nulls there."""
-    events, path = with_run(table(spark, sf_dir, "events")), storage.fresh(spark, "appended")
+    events, path = table(spark, sf_dir, "events").withColumn("ingest_run_id", F.date_format("ts", "yyyyMMdd")), storage.fresh(spark, "appended")
     bronze.add(events.filter("event_id % 2 = 0").select("ingest_run_id", "event_id", "event_type"), path)
     bronze.add(events.filter("event_id % 2 = 1").select("ingest_run_id", "event_id", "event_type", "value"), path)
     return bronze.read_all(spark, path).select("event_id", "event_type", "value")
