@@ -463,7 +463,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     dropped(packed)
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    places = _best(_union(found), k).select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("place", "hit"))
+    best = stored(_best(_union(found), k), "best")
+    for lists in found:
+        dropped(lists)
+    places = best.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("place", "hit"))
     return places.select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.ids").alias("doc_id"), F.col("hit.scores").alias("score"))
 
 

@@ -318,18 +318,21 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     keyed = classes.select("rep", "sig").mapInArrow(partial(_keyed, percent), "key long, rep long")
     runs = stored(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_runs, "key long, rep long, pivot long"), "runs")
     links = _star_links(runs, docs, classes, repeated, percent)
-    labels = components(links)
-    more = _other_links(runs, labels, docs, classes, repeated, percent)
-    labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+    first = components(links)
+    more = _other_links(runs, first, docs, classes, repeated, percent)
+    labels = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     dropped(runs)
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("component_id"))
     same_set = (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))
     full = one.filter("n > 0").drop("sig").join(of_class, same_set).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = one.filter("n = 0").union(signed.filter("doc_id IS NULL").select(one.columns)).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = stored(full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
+    for table in (signed, classes, links, more, first, labels):
+        dropped(table)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, percent: int = STAGE) -> DataFrame:
     """docs without those whose component has a smaller doc_id; rows without an id stay."""
-    gone, out = f"{OWN}gone", stored(near_duplicates(docs, percent), "near")
+    gone, out = f"{OWN}gone", near_duplicates(docs, percent)
     return docs.join(out.filter("NOT kept").select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti")

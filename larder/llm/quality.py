@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import OWN, appended, in_sample, small_batches, stored, texts_of, with_fields
+from larder.llm.common import OWN, appended, dropped, in_sample, small_batches, stored, texts_of, with_fields
 
 #: Size of the hashed feature space, rows of the training sample, score from which a document is kept.
 DIMENSIONS, TRAIN_ROWS, KEEP = 1 << 14, 10_000, 0.5
@@ -286,6 +286,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
-    _, w, b = fitted(stored(features_of(docs), "features"))
+    features = stored(features_of(docs), "features")
+    _, w, b = fitted(features)
+    dropped(features)
     score = f"{OWN}score"
     return scored(docs, w, b, score).filter(F.col(score) >= KEEP).drop(score)
