@@ -55,6 +55,8 @@ BLOCK, QUERY_TERMS, FAN_IN = 64, 2_000_000, 256
 FIRST_WAVE, WAVE_GROWTH = 2048, 7
 #: Lists shorter than SHORT are added together; FEW candidates are scored in full.
 SHORT, FEW = 96, 16
+#: The longest lists, this many at most and of a sixteenth of the documents at least, are there as rows by document as well.
+DENSE = 256
 #: Documents that a task of the search has at least, where there are more tasks than cores.
 TASK_DOCS = 1 << 16
 
@@ -250,6 +252,14 @@ class Shard:
         for row, a, z in zip(self.block_max, self.start[long].tolist(), self.start[long + 1].tolist(), strict=True):
             np.maximum.at(row, self.post_doc[a:z] // BLOCK, self.post_impact[a:z])
 
+        common = np.argsort(-size, kind="stable")[:DENSE]
+        common = common[size[common] * 16 >= max(1, self.n)]
+        self.dense_row = np.full(n_terms, -1)
+        self.dense_row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for row, a, z in zip(self.dense, self.start[common].tolist(), self.start[common + 1].tolist(), strict=True):
+            row[self.post_doc[a:z]] = self.post_impact[a:z]
+
     @staticmethod
     def _gather(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the lists in which, one behind the other, and how many each has."""
@@ -334,9 +344,13 @@ class Shard:
             docs = docs[sums + self._open(terms[done:], weights[done:], bound[done:])[docs // BLOCK] >= floor]
             if done >= n or len(docs) <= FEW:
                 break
-            till = done + max(8, n // 8)
-            self._add(total, terms[done:till], weights[done:till])
-            done = min(n, till)
+            some = slice(done, done := min(n, done + max(8, n // 8)))
+            row = self.dense_row[terms[some]]
+            # Of the longest lists only what they give to the candidates.
+            dense = row >= 0 if 4 * len(docs) < self.n else np.zeros(len(row), bool)
+            if dense.any():
+                total[docs] += weights[some][dense].astype(np.float32) @ self.dense[row[dense][:, None], docs]
+            self._add(total, terms[some][~dense], weights[some][~dense])
         scratch[terms] = weights
         scores = np.round(self.full(docs, scratch), DIGITS)
         scratch[terms] = 0
