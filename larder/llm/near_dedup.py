@@ -158,29 +158,15 @@ def _keyed(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(keys(sig, layout).reshape(-1).astype(np.int64)), pa.array(ids)], ["key", "rep"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, then rep: those whose key has several reps, with the key's first rep."""
-    last_key = last_rep = None  # of the run that may go on in the next batch
-    shown = False  # whether its first row has been given out
-    for b in batches:
-        key, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(key):
-            continue
-        start = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-        first = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
-        pivot = np.where(first >= 0, rep[np.maximum(first, 0)], last_rep if last_rep is not None else 0)
-        again = ~start  # continues a run
-        has_next = np.concatenate((again[1:], [False]))
-        keep = again | has_next
-        out = [(key[keep], rep[keep], pivot[keep])]
-        if again[0] and not shown:
-            out.insert(0, (key[:1], np.array([last_rep]), np.array([last_rep])))
-        k, r, p = (np.concatenate(x) for x in zip(*out, strict=True))
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(r, pa.int64()), pa.array(p, pa.int64())], ["key", "rep", "pivot"])
-        same_run = first[-1] < 0
-        shown = bool(keep[-1]) or same_run
-        last_key, last_rep = key[-1], int(pivot[-1])
+def _runs(keyed: DataFrame) -> DataFrame:
+    """key, rep and the key's smallest rep, its pivot, of the keys that several rows have.
+
+    Pivots come of partial minima, and rows meet them in a plain join, so Spark can split the rows of a hot key.
+    """
+    pivots = stored(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n"), "pivots")
+    out = stored(keyed.join(pivots, "key").select("key", "rep", "pivot"), "runs")
+    dropped(pivots)
+    return out
 
 
 def _near(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     one = known.groupBy("doc_id").agg(F.max(F.struct("n", "h1", "h2", "sig")).alias("s")).select("doc_id", "s.*") if repeated else known
     classes = stored(one.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keyed = classes.select("rep", "sig").mapInArrow(partial(_keyed, percent), "key long, rep long")
-    runs = stored(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_runs, "key long, rep long, pivot long"), "runs")
+    runs = _runs(keyed)
     links = _star_links(runs, docs, classes, repeated, percent)
     first = components(links)
     more = _other_links(runs, first, docs, classes, repeated, percent)

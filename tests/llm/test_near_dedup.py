@@ -120,14 +120,10 @@ def test_sets_equal_words():
         assert len(N.shingles(text)) == len(shingle_set(text))
 
 
-def test_runs_over_batches():
-    import pyarrow as pa
-
-    rows = [(1, 5), (2, 3), (2, 4), (2, 9), (3, 1), (4, 2), (4, 6)]
-    for size in (1, 2, 3, 7):
-        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]], pa.int64()), pa.array([r for _, r in rows[i : i + size]], pa.int64())], ["key", "rep"]) for i in range(0, len(rows), size)]
-        got = [tuple(x.values()) for b in N._runs(iter(batches)) for x in b.to_pylist()]
-        assert sorted(got) == [(2, 3, 3), (2, 4, 3), (2, 9, 3), (4, 2, 2), (4, 6, 2)], size
+def test_runs_name_the_smallest_document_of_each_key(spark):
+    rows = [(k, r) for k, reps in {1: [5], 2: [7, 3, 9], 3: [4, 4], 4: list(range(50, 0, -1)), -5: [8]}.items() for r in reps]
+    got = sorted(tuple(r) for r in N._runs(spark.createDataFrame(rows, "key long, rep long").repartition(3)).collect())
+    assert got == sorted((k, r, {2: 3, 3: 4, 4: 1}[k]) for k, r in rows if k in (2, 3, 4))
 
 
 def test_components(spark):
