@@ -56,6 +56,11 @@ def test_odd_rows(odd, empty, plain):
     assert token_counts.truncated_total(token_counts.histogram(empty), 5).first()[0] == 0
 
 
+def test_rows_without_id(no_id, plain):
+    rows = ["text without an id here and now"] * 2 + [""]
+    assert {r["length"]: r["n_docs"] for r in token_counts.histogram(no_id).collect()} == Counter(len(plain(t)) // 4 for t in rows)
+
+
 def test_query(spark, tiny, plain):
     lengths = [len(plain(r["text"] or "")) // 4 for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
     check(queries.QUERIES["op5_token_counts"](spark, tiny).collect(), lengths)
