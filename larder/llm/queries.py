@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bm25, exact_dedup, fill_in_middle, html_text, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity
+from larder.llm import bm25, exact_dedup, fill_in_middle, html_text, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity, view_tree
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,30 @@ def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, asked)
 
 
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, c: list_reduce(list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), 4294967295)"""
+_LIVE = lambda name, text, table: f"""{name}_h AS (SELECT *, {_CRC32.format(text)} AS h FROM {table}),
+{name} AS (SELECT b.batch, t.* EXCLUDE (h) FROM {name}_h t, batches b WHERE coalesce(h % 5 >= h // 5 % 5, true) OR (b.batch >= h % 5 AND b.batch < h // 5 % 5))"""
+
+
+@query(f"""
+WITH batches AS (SELECT unnest(range(0, 5)) AS batch),
+{_LIVE('c', "'c' || client_id", 'clients')}, {_LIVE('s', "'s' || sale_id", 'sales')}, {_LIVE('l', "'l' || sale_id || ':' || line_no", 'sale_lines')},
+joined AS (SELECT l.batch, n_regionkey AS region, l.vendor_id AS part, s.client_id, l.item_id,
+    CAST(floor(100 * amount + 0.5) AS BIGINT) * (100 - CAST(floor(100 * discount + 0.5) AS BIGINT)) AS revenue
+  FROM l JOIN s ON l.sale_id = s.sale_id AND l.batch = s.batch JOIN c ON s.client_id = c.client_id AND s.batch = c.batch
+  JOIN vendors v ON l.vendor_id = v.vendor_id AND c.nation_id = v.nation_id JOIN nation ON v.nation_id = n_nationkey
+  WHERE amount IS NOT NULL AND n_regionkey IS NOT NULL)
+SELECT CAST(batch AS INTEGER) AS batch, CAST(region AS INTEGER) AS region, part, count(*) AS n_lines, CAST(sum(revenue) AS BIGINT) AS revenue, min(revenue) AS min_revenue,
+  count(DISTINCT client_id) AS n_clients, count(DISTINCT item_id) AS n_items
+FROM joined GROUP BY ALL
+""")
+def op12_view_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of lines by region and part after each of five batches of insertions and deletions."""
+    return view_tree.replayed(spark, *[table(spark, sf_dir, n) for n in ("sale_lines", "sales", "clients", "vendors", "nation")])
+
+
 @query(r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
 h AS (SELECT doc_id, text, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
