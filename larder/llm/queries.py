@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bm25, exact_dedup, fill_in_middle, html_text, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity, view_tree
+from larder.llm import bm25, decontamination, exact_dedup, fill_in_middle, html_text, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity, view_tree
 from larder.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,30 @@ def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, asked)
 
 
+_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH iw AS (SELECT item_id, {_WORDS.format(ASCII_LOWER)} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(ASCII_LOWER)} AS w FROM documents),
+placed AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM dw),
+ahead AS (SELECT r, i, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM placed),
+seen AS (SELECT r, i, n, array_to_string(l[1:n], ' ') AS x FROM ahead, (SELECT DISTINCT n FROM windows) WHERE len(l) >= n),
+found AS (SELECT r, i, seen.n, item_id FROM seen JOIN windows ON seen.n = windows.n AND seen.x = windows.x),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+""")
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document lie in occurrences of the benchmark's windows, and of which items."""
+    rows = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 #: CRC-32 of an ASCII text, bit by bit.
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
   lambda crc, c: list_reduce(list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), 4294967295)"""
