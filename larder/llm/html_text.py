@@ -7,12 +7,15 @@ blocks are smoothed with those of the path's parent, fused into one score and he
 threshold relative to the page's best path. The blocks of the paths above it are the content
 nodes. The smallest element that holds nearly all of their text, or the marked one, bounds the article.
 Inside it content nodes are taken, and of the blocks below the threshold those that join them:
+* inside a marked article, a block whose path doesn't look like boilerplate (most of its text in links, or short blocks, three or more,
+  that don't read like sentences): leads, closing lines and standfirsts are shorter than the body, and no less the article;
 * a block with less than half its text in links, if it lies between two content nodes or if its container
   (what is above it, lists, tables, quotes and figures passed over) is one that content nodes have: by
   path for paragraphs, items and cells, the very element for bare text;
 * a heading with a taken block behind it, before the next heading of its own or a higher level, or
-  directly followed by a heading that is taken.
-Link lists are never taken, nor are lines of the article's header but for headings and content paths (a standfirst).
+  directly followed by a heading that is taken; the last heading of a marked article with nothing behind it.
+Link lists are never taken, but for lists of a marked article whose items read like sentences (references), nor are lines of the
+article's header but for headings, content paths and sentences (a standfirst).
 
 Elements that are never the article (menus, page headers and footers, asides, scripts, styles, hidden
 elements) are known by tag or role, and don't enter the sums. Words of class and id (sidebar, notice,
@@ -24,7 +27,7 @@ nothing else is left. Words behind has, no, with or without say nothing (has-sid
 its article (article, main, role or itemprop), only paths inside the mark compete.
 
 Pages don't depend on one another: no shuffle, and memory is that of a small batch of pages. A page is read
-in linear time, however broken; elements more than DEPTH deep are read as part of the one they are in.
+in linear time, however broken; elements more than DEPTH deep have the path of the one they are in, and are boilerplate by the same rules.
 
 Defined cases: null or empty html, or html without text, gives an empty text; unclosed tags,
 quotes and comments end with the page; very long pages are read whole; equal rows are treated
@@ -53,11 +56,14 @@ OWN_WEIGHT = 0.7
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?>(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*))>""")
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 STOPS = re.compile("[>\"']")
-#: Elements inside elements that are told apart; those further inside are read as part of the innermost.
+#: Elements inside elements whose paths are told apart; those further inside have the innermost one's path.
 DEPTH = 100
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?。、，！？]")
+SENTENCE = re.compile(r"[.,;:!?](?:[\s)\"'”’»\]]|$)")
+#: Inside a marked article: blocks of a path from which on it is a repetition, and their length below which they are short.
+REPEATED, SHORT = 3, 60
 
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -236,8 +242,8 @@ def blocks(page: str) -> list[_Block]:
     """The page's text blocks outside boilerplate, in order."""
     out: list[_Block] = []
     stack = [_Element("", "", (0,))]
-    # Tags of the elements inside the DEPTH innermost, and how often each.
-    deep: list[str] = []
+    # The elements inside the DEPTH innermost: tag, whether it is never part of an article, suspect elements it is in. How often each tag is among them.
+    deep: list[tuple[str, bool, tuple[int, ...]]] = []
     deep_count: dict[str, int] = {}
     apart: set[int] = set()
     texts: list[str] = []
@@ -250,7 +256,7 @@ def blocks(page: str) -> list[_Block]:
             text = " ".join("".join(texts).split())
             if text:
                 e = stack[-1]
-                out.append(_Block(e.path, e.chain, text, links, e.marked, e.header, e.around, e.inside))
+                out.append(_Block(e.path, e.chain, text, links, e.marked, e.header, e.around, e.inside + deep[-1][2] if deep else e.inside))
             texts.clear()
         links = 0
 
@@ -263,7 +269,7 @@ def blocks(page: str) -> list[_Block]:
 
     while at < n:
         start, end, closing, tag, attributes = tags.next(at)
-        if start > at and not stack[-1].never:
+        if start > at and not stack[-1].never and not (deep and deep[-1][1]):
             data = page[at:start]
             if "&" in data:
                 data = entities.unescape(data)
@@ -275,7 +281,7 @@ def blocks(page: str) -> list[_Block]:
             continue
         tag = tag.lower()
         if tag == "br" or tag == "wbr":
-            if not stack[-1].never and tag == "br":
+            if not stack[-1].never and not (deep and deep[-1][1]) and tag == "br":
                 texts.append(" ")
             continue
         if not closing and tag in RAW:
@@ -287,7 +293,7 @@ def blocks(page: str) -> list[_Block]:
             flush()
         if closing:
             if deep_count.get(tag):
-                while (gone := deep.pop()) != tag:
+                while (gone := deep.pop()[0]) != tag:
                     deep_count[gone] -= 1
                 deep_count[tag] -= 1
                 continue
@@ -310,7 +316,14 @@ def blocks(page: str) -> list[_Block]:
                 if open_tag not in INLINE and not (tag == "tr" and open_tag in ("td", "th")):
                     break
         if len(stack) > DEPTH:
-            deep.append(tag)
+            above = deep[-1] if deep else ("", False, ())
+            doubt = _doubt(tag, attributes, stack[-1].marked)
+            count += 1
+            suspect = doubt in (SUSPECT, SET_APART)
+            if doubt == SET_APART:
+                apart.add(count)
+            # Below the first suspect others say nothing new, so the list of them stays short.
+            deep.append((tag, above[1] or doubt == NO, above[2] + (count,) if suspect and len(above[2]) < DEPTH else above[2]))
             deep_count[tag] = deep_count.get(tag, 0) + 1
             continue
         up = stack[-1]
@@ -405,31 +418,53 @@ def _container(b: _Block) -> tuple[str, int]:
     return "/".join(parts), b.chain[len(parts) - 1]
 
 
-def _selected(inside: list[_Block], content: set[str]) -> list[_Block]:
-    """The content nodes (blocks of the content paths) and what joins them, as the module's text states."""
+def _sentence(text: str) -> bool:
+    """Whether a text reads like running text: some words and a sign that ends or parts them."""
+    return text.count(" ") >= 3 and bool(SENTENCE.search(text))
+
+
+def _apart(inside: list[_Block]) -> set[str]:
+    """Paths that look like boilerplate inside a marked article: most of their text in links, or short blocks, three or more, that
+    don't read like text. A path that is only shorter than the body doesn't."""
+    sums: dict[str, list[int]] = {}
+    for b in inside:
+        s = sums.setdefault(b.path, [0, 0, 0, 0])
+        for i, x in enumerate((1, len(b.text), min(b.links, len(b.text)), _sentence(b.text))):
+            s[i] += x
+    return {p for p, (n, chars, links, sentences) in sums.items() if 2 * links >= chars and 2 * sentences < n or n >= REPEATED and chars < SHORT * n and 4 * sentences < n}
+
+
+def _selected(inside: list[_Block], content: set[str], shut: list[bool]) -> list[_Block]:
+    """The content nodes (blocks of the content paths) and what joins them, as the module's text states; none that is shut out."""
     tags = [b.path.rpartition("/")[2] for b in inside]
-    places = [i for i, b in enumerate(inside) if b.path in content]
+    places = [i for i, b in enumerate(inside) if b.path in content and not shut[i]]
     if not places:
         return []
+    marked = inside[0].marked
     homes = {x for i in places for x in _container(inside[i])}
+    apart = _apart(inside) if marked else set()
 
     def joins(i: int, b: _Block) -> bool:
+        if marked and b.path not in apart:
+            return 2 * b.links < len(b.text) or _sentence(b.text)
         if 2 * b.links >= len(b.text):
             return False
         # Bare text of a div or the like is held to the very element, a paragraph or item to the path.
         return places[0] < i < places[-1] or _container(b)[tags[i] not in LEAVES] in homes
 
-    taken = [b.path in content or tags[i] not in HEADINGS and joins(i, b) for i, b in enumerate(inside)]
-    # Backwards: the levels of headings that the taken text behind is still without.
-    waiting = 0
+    taken = [not shut[i] and (b.path in content or tags[i] not in HEADINGS and joins(i, b)) for i, b in enumerate(inside)]
+    # Backwards: the levels of headings that the taken text behind is still without; and whether anything at all stands
+    # behind in the same section, which a heading at the end of a marked article may lack.
+    waiting, behind = 0, False
     for i in range(len(inside) - 1, -1, -1):
         if tags[i] in HEADINGS:
             level = int(tags[i][1])
-            taken[i] = taken[i] or level <= waiting or i + 1 < len(inside) and tags[i + 1] in HEADINGS and taken[i + 1]
+            taken[i] = taken[i] or level <= waiting or i + 1 < len(inside) and tags[i + 1] in HEADINGS and taken[i + 1] or marked and not behind
             # Behind a heading its section ends for those of its own and lower levels.
             waiting = level - 1 if taken[i] else min(waiting, level - 1)
         elif taken[i]:
             waiting = 6
+        behind = True
     return [b for b, t in zip(inside, taken, strict=True) if t]
 
 
@@ -446,14 +481,14 @@ def content_blocks(found: list[_Block]) -> list[_Block]:
     # Link lists: paths under a list whose text is links, several of them.
     count: dict[str, list[int]] = {}
     for b in inside:
-        s = count.setdefault(b.path, [0, 0, 0])
-        s[0] += 1
-        s[1] += len(b.text)
-        s[2] += min(b.links, len(b.text))
-    linked = {p for p, (n, chars, links) in count.items() if n >= 3 and links >= 0.8 * chars and LISTS & set(p.split("/"))}
+        s = count.setdefault(b.path, [0, 0, 0, 0])
+        for i, x in enumerate((1, len(b.text), min(b.links, len(b.text)), _sentence(b.text))):
+            s[i] += x
+    # Items that read like text are references, not links.
+    linked = {p for p, (n, chars, links, texts) in count.items() if n >= REPEATED and links >= 0.8 * chars and LISTS & set(p.split("/")) and not (found[0].marked and 2 * texts >= n)}
     content = {b.path for b in nodes}
-    inside = [b for b in inside if b.path not in linked and (not b.header or b.path in content or b.path.rpartition("/")[2] in HEADINGS)]
-    return _selected(inside, content)
+    shut = [b.path in linked or b.header and b.path not in content and b.path.rpartition("/")[2] not in HEADINGS and not (b.marked and _sentence(b.text)) for b in inside]
+    return _selected(inside, content, shut)
 
 
 def main_text(page: str | None) -> str:

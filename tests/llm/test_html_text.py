@@ -191,3 +191,44 @@ def test_scores_against_brute_force(spark, tiny):
     for r in spark.read.parquet(f"{tiny}/pages.parquet").limit(20).collect():
         found = H.blocks(r["html"])
         assert H.path_scores(found) == pytest.approx(brute_scores(found))
+
+
+FOUR = LONG * 4
+
+
+@pytest.mark.parametrize(("page", "kept"), [
+    (f'<article><p>A lead of some signs that stands before the body, and is shorter.</p><div class="body">{FOUR}</div></article>', "A lead of some signs that stands before the body, and is shorter."),
+    (f'<article><div class="body">{FOUR}</div><p>A closing line, as it was.</p></article>', "A closing line, as it was."),
+    (f"<article><form><div>{FOUR}</div></form><p>A sentence behind it, here.</p></article>", "A sentence behind it, here."),
+    (f"<article>{FOUR}<h2>The end</h2></article>", "The end"),
+    (f"<article><header><h1>T</h1><p>One sentence about it all.</p></header>{FOUR}</article>", "One sentence about it all."),
+    (f"<article>{FOUR}<h2>References</h2><ol>{''.join(f'<li><a href=x>Smith, J. The book of part {i}, 200{i}.</a></li>' for i in range(4))}</ol></article>", "References"),
+    (f"<article>{FOUR}<h2>References</h2><ol>{''.join(f'<li><a href=x>Smith, J. The book of part {i}, 200{i}.</a></li>' for i in range(4))}</ol></article>", "Smith, J. The book of part 3, 2003."),
+])
+def test_text_of_a_marked_article_is_kept(page, kept):
+    got = H.main_text(page).split("\n\n")
+    assert kept in got and sum(len(t) > 300 for t in got) == 4
+
+
+@pytest.mark.parametrize(("page", "gone"), [
+    (f"<article>{FOUR}<h2>See also</h2><ul><li><a>Home</a></li><li><a>News</a></li><li><a>About us</a></li></ul></article>", ("See also", "Home", "About us")),
+    (f"<article><header><h1>T</h1><p>by me</p></header>{FOUR}</article>", ("by me",)),
+    ("<div>" * 110 + '<nav>A menu, that is: one.</nav><div class="ad">Buy, buy this now.</div>' + "</div>" * 110 + f"<article>{FOUR}</article>", ("A menu, that is: one.", "Buy, buy this now.")),
+    ("<div>" * 110 + f'<nav>A menu, <b>that</b><br> is: one.</nav><div class="ad"><div>Buy, buy this now.</div></div>{FOUR}' + "</div>" * 110, ("A menu, that is: one.", "Buy, buy this now.")),
+])
+def test_boilerplate_is_left_out(page, gone):
+    got = H.main_text(page).split("\n\n")
+    assert not set(gone) & set(got) and sum(len(t) > 300 for t in got) == 4
+
+
+def test_scores_find_articles_without_names(spark, monkeypatch):
+    """Pages whose article isn't marked, and all lists of names emptied: the scores find most articles, equal scores far fewer."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [H.main_text(p) for p in pages]
+    bare = [p.replace("<article", "<div").replace("</article", "</div") for p in pages]
+    for name in ("NEVER", "BOILERPLATE", "ROLES"):
+        monkeypatch.setattr(H, name, frozenset())
+    by_scores = sum(H.main_text(b) == w for b, w in zip(bare, want, strict=True))
+    monkeypatch.setattr(H, "path_scores", lambda found: {b.path: 1.0 for b in found})
+    by_nothing = sum(H.main_text(b) == w for b, w in zip(bare, want, strict=True))
+    assert by_scores >= 0.75 * len(pages) and by_scores > 1.2 * by_nothing, (by_scores, by_nothing, len(pages))
