@@ -28,14 +28,17 @@ evens out; groups without lines aren't returned; empty batches and empty tables
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.llm.common import OWN, dropped, stored
+from larder.storage import fresh
 
 #: The column of multiplicities: how often a row was inserted, less how often it was deleted.
 N = f"{OWN}n"
@@ -43,6 +46,21 @@ N = f"{OWN}n"
 COMPACT = 16
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go when a query ends, not when the driver happens to collect its garbage: what is
+    kept of these queries is what they store."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 @dataclass(frozen=True)
 class Node:
     """A join of two children (leaves are names of relations) on some columns, of which these are kept."""
@@ -223,13 +241,15 @@ class SalesView:
 
     def apply(self, **changes: DataFrame) -> None:
         """Takes signed rows of lines, sales and clients (see LEAVES and signed), all at once."""
-        change = self.tree.changed(changes)
+        with brief_shuffles(self.spark):
+            change = self.tree.changed(changes)
         if change is None:
             return
         payload = lifted(change.withColumnRenamed("vendor_id", "part"), ("nation_id", "part"))
         delta = payload.join(self.nation, "nation_id").select("region", "part", *PAYLOAD, "n", "total")
         before = self.root
-        self.root = stored(summed(delta if before is None else before.unionByName(delta), ("region", "part")), "root")
+        with brief_shuffles(self.spark):
+            self.root = stored(summed(delta if before is None else before.unionByName(delta), ("region", "part")), "root")
         self.tree.settle()
         if before is not None:
             dropped(before)
@@ -259,37 +279,47 @@ class SalesView:
             self.root = None
 
 
-def lifetimes(rows: DataFrame, name: Column, batches: int) -> DataFrame:
-    """rows with the batches that insert and delete them, from the CRC-32 of their names; null for rows that are always there."""
-    h = F.crc32(name)
-    first, last = h % batches, F.floor(h / batches) % batches
-    moves = first < last
-    return rows.withColumns({f"{OWN}in": F.when(moves, first), f"{OWN}out": F.when(moves, last)})
+BATCH, START = f"{OWN}batch", -1
+
 
+def moves(name: Column, batches: int) -> Column:
+    """The batches (START for the time before them) in which a row comes and goes, with its multiplicity, from the CRC-32 of its name.
 
-def at_start(rows: DataFrame) -> DataFrame:
-    return signed(rows.filter(F.col(f"{OWN}in").isNull()))
+    Rows whose first batch isn't before their last, or that have no name, are there from the start and stay.
+    """
+    code = F.crc32(name) % (batches * batches)
+    first, last = code % batches, F.floor(code / batches)
+    move = lambda batch, n: F.struct(batch.cast("int").alias(BATCH), F.lit(n).cast("long").alias(N))
+    stays = [a + batches * d for d in range(batches) for a in range(d, batches)]
+    return F.when(code.isNull() | code.isin(stays), F.array(move(F.lit(START), 1))).otherwise(F.array(move(first, 1), move(last, -1)))
 
 
-def in_batch(rows: DataFrame, batch: int) -> DataFrame:
-    """The signed rows of a batch. No row comes and goes in the same one."""
-    comes, goes = F.col(f"{OWN}in") == batch, F.col(f"{OWN}out") == batch
-    return signed(rows.filter(comes | goes), F.when(comes, 1).otherwise(-1))
+def arrivals(rows: DataFrame, name: Column, leaf: Callable[..., DataFrame], batches: int) -> dict[int, DataFrame]:
+    """The signed rows of a leaf by batch: names are hashed in one pass, and each batch is then read by itself."""
+    spark, path = rows.sparkSession, fresh(rows.sparkSession, "arrivals")
+    history = leaf(rows.withColumn(BATCH, moves(name, batches)), BATCH)
+    history = history.select(*[c for c in history.columns if c != BATCH], F.inline(BATCH))
+    schema = T.StructType([f for f in history.schema if f.name != BATCH])
+    history.write.partitionBy(BATCH).parquet(path)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = {s.getPath().getName() for s in fs.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs)}
+    return {b: spark.read.schema(schema).parquet(f"{path}/{BATCH}={b}") for b in range(START, batches) if f"{BATCH}={b}" in there}
 
 
 def replayed(spark: SparkSession, lines: DataFrame, sales: DataFrame, clients: DataFrame, vendors: DataFrame, nation: DataFrame, batches: int = 5) -> DataFrame:
-    """The view after each batch of a history that the rows' names decide (see lifetimes), with its number in batch."""
+    """The view after each batch of a history that the rows' names decide (see moves), with its number in batch."""
     text = lambda c: F.col(c).cast("string")
-    histories = {
-        "lines": lifetimes(lines, F.concat(F.lit("l"), text("sale_id"), F.lit(":"), text("line_no")), batches),
-        "sales": lifetimes(sales, F.concat(F.lit("s"), text("sale_id")), batches),
-        "clients": lifetimes(clients, F.concat(F.lit("c"), text("client_id")), batches),
-    }
+    names = {"lines": F.concat(F.lit("l"), text("sale_id"), F.lit(":"), text("line_no")), "sales": F.concat(F.lit("s"), text("sale_id")), "clients": F.concat(F.lit("c"), text("client_id"))}
+    coming = {k: arrivals(rows, names[k], LEAVES[k], batches) for k, rows in (("lines", lines), ("sales", sales), ("clients", clients))}
     view = SalesView(spark, vendors, nation)
-    view.apply(**{name: LEAVES[name](at_start(rows), N) for name, rows in histories.items()})
     results = []
-    for batch in range(batches):
-        view.apply(**{name: LEAVES[name](in_batch(rows, batch), N) for name, rows in histories.items()})
-        results.append(stored(view.result().select(F.lit(batch).alias("batch"), "*"), "result"))
+    for batch in range(START, batches):
+        now = {k: v[batch] for k, v in coming.items() if batch in v}
+        view.apply(**now)
+        for rows in now.values():
+            dropped(rows)
+        if batch != START:
+            with brief_shuffles(spark):
+                results.append(stored(view.result().select(F.lit(batch).alias("batch"), "*"), "result"))
     view.drop()
     return reduce(DataFrame.unionByName, results)
