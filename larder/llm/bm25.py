@@ -443,10 +443,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     index = stored(docs.select("doc_id", "text").mapInArrow(_indexed, INDEX), "index")
     whole = index.agg(F.count("*").alias("shards"), F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
     n, mean_length = whole["docs"] or 0, max(1.0, (whole["words"] or 0) / max(1, whole["docs"] or 0))
-    counts = index.select("terms", "sizes").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    # Stored, so that both sides of the join below are plain exchanges: Spark splits a word that very many queries have.
+    counts = stored(index.select("terms", "sizes").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df")), "counts")
     df = F.col("df").cast("double")
     terms = queries.filter("query_id IS NOT NULL").select("query_id", "text").mapInArrow(_query_terms, "query_id long, term long").distinct()
     weighed = stored(terms.join(counts, "term").select("query_id", "term", F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5)).alias("weight")), "weights")
+    dropped(counts)
     blocks = max(1, math.ceil(weighed.count() / QUERY_TERMS))
     numbered = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     packed = stored(numbered.groupBy("block").applyInArrow(lambda key, t: _packed(t), "block long, ids binary, start binary, terms binary, weights binary"), "queries")

@@ -13,7 +13,8 @@ move once, when copies are dealt by a hash that knows nothing of sources. With m
 or of enormous rates, they are joined by source, which Spark splits where one is hot.
 
 Defined cases: null or empty text has size 0; a source without any text gets rate 1; a null source
-is a source of its own; rows with equal doc_id draw alike; target weights need not sum to 1 and a
+is a source of its own; rows with equal doc_id draw alike and have equal places (they are dealt out by their texts, too); rows
+without doc_id draw by their text, so equal ones alike; target weights need not sum to 1 and a
 source without one gets 0 (it is left out); an empty table gives an empty result.
 """
 
@@ -83,13 +84,17 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, po
     if entries <= broadcast_entries:
         tables = F.broadcast(tables)
     names = [c for c in docs.columns if c.lower() not in (copy, place)]
-    drawn = unit(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # A row without an id draws by its text.
+    own_text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    drawn_by = F.coalesce(F.col("doc_id").cast("string"), own_text)
+    drawn = unit(seed, drawn_by)
     n = F.size(F.filter(F.col(TABLE), lambda c: c <= F.col(f"{OWN}u"))).cast("int")
     joined = docs.join(tables, same(F.col("source"), F.col(f"{OWN}source"))).withColumn(f"{OWN}u", drawn)
     counted = joined.withColumn(f"{OWN}n", n).filter(F.col(f"{OWN}n") > 0)
     copies = counted.select(*names, F.explode(F.sequence(F.lit(0), F.col(f"{OWN}n") - 1)).alias(copy))
-    placed = copies.withColumn(place, unit(seed, "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(copy).cast("string")))
-    return placed.repartition(place).sortWithinPartitions(place)
+    placed = copies.withColumn(place, unit(seed, "place", drawn_by, F.col(copy).cast("string")))
+    # Rows that draw alike have equal places: they are dealt out by their text as well, so that different ones don't lie in one task.
+    return placed.repartition(F.col(place), F.xxhash64("text")).sortWithinPartitions(place)
 
 
 def remixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, seed: str = "mix") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from larder.llm.common import OWN
 
 # Fixed patterns, in the order in which they are tried at a place.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 _GROUPED = r"\+\d{1,3}[ .-]?\(\d{1,5}\)(?:[ .-]?\d){5,10}(?!\d)|\+\d(?:[ .-]?\d){7,14}(?!\d)"
 #: The numbers without +, by where their digits stand: three, three and four; those behind a trunk 0.
 _NATIONAL = r"(?<![\d.+-])(?<!\d )(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![ .-]?\d)"
@@ -53,7 +53,7 @@ CARD = r"(?<![\d.])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])"
 _TOKEN_PREFIX = "sk-|AKIA|gh[pousr]_|xox[abprs]-"
-TOKEN = r"(?<![A-Za-z0-9])(?:sk-[A-Za-z0-9_-]{16,200}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,100}|xox[abprs]-[A-Za-z0-9-]{10,100})(?![A-Za-z0-9])"
+TOKEN = r"(?<![A-Za-z0-9])(?:sk-[A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])"
 IP6 = "(?<![0-9A-Za-z:.])(?:" + "|".join(rf"(?:{h}:){{7}}{h}|(?:{h}:){{1,6}}(?::{h}){{1,6}}|(?:{h}:){{1,7}}:|:(?::{h}){{1,7}}" for h in ("[0-9a-f]{1,4}", "[0-9A-F]{1,4}")) + ")(?![0-9A-Za-z:]|\\.\\d)"
 #: All of them; what begins with a digit is tried at digits only.
 _AT_DIGITS = "|".join((IP, SSN, DATE, OTHER_DATE))

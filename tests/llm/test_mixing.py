@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from larder.llm import mixing as M
 from larder.llm import queries
 from tests.helpers import assert_same
@@ -95,3 +97,26 @@ def test_native(spark):
 
 def test_query(spark, tiny):
     assert_same(queries.QUERIES["op9_source_mixing"](spark, tiny), queries.ORACLES["op9_source_mixing"], tiny)
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_rows_without_an_id_draw_by_their_text(spark, uncoalesced):
+    """4000 different rows without an id: copies follow the rate one by one, and lie in all partitions."""
+    docs = spark.range(4000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('text ', id, repeat(' x', CAST(id % 3 AS INT))) AS text", "IF(id % 10 = 0, 'a', 'b') AS source")
+    out = M.mixed(docs).withColumn("partition", F.spark_partition_id())
+    copies = out.groupBy("text").count().groupBy("count").count().collect()
+    assert len(copies) > 2
+    sizes = [r["count"] for r in out.groupBy("partition").count().collect()]
+    assert sum(sizes) == out.count() and max(sizes) < sum(sizes) / 2
+
+
+def test_rows_of_one_id_are_dealt_by_their_text(spark, uncoalesced):
+    docs = spark.range(2000).selectExpr("IF(id < 1000, 7L, 8L) AS doc_id", "concat('text ', id) AS text", "'a' AS source")
+    sizes = [r["count"] for r in M.mixed(docs).groupBy(F.spark_partition_id()).count().collect()]
+    assert not sizes or max(sizes) < sum(sizes) / 2

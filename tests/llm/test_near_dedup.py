@@ -174,3 +174,27 @@ def test_wide_layout_is_as_safe():
     for i in range(50):
         b[i, rng.choice(layout.symbols, layout.radius, replace=False)] ^= 1
     assert all(set(x) & set(y) for x, y in zip(N.keys(a, layout).tolist(), N.keys(b, layout).tolist(), strict=True))
+
+
+def test_components_split_a_node_of_very_many_links(spark):
+    """A star of 30 000 links and a few chains: right components, and the star's joins are marked as skewed."""
+    from larder.llm import components as C
+    from larder.llm.common import stored
+
+    star = spark.range(1, 30_001).selectExpr("0L AS a", "id AS b")
+    chains = spark.range(3000).selectExpr("100000 + id * 2 AS a", "100001 + id * 2 AS b")
+    links = stored(star.union(chains).repartition(16), "links")
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        moved, _ = C._large(links)
+        moved.collect()
+        assert "skew=true" in moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = C.components(links)
+    assert got.filter("node <= 30000").select("component").distinct().collect() == [(0,)]
+    assert got.filter("node > 30000 AND component = node - node % 2").count() == 3000

@@ -207,3 +207,14 @@ def test_there_is_no_key_by_default(odd):
 
 def test_rows_without_id(no_id):
     assert P.pseudonymised(no_id, KEY).count() == 3
+
+
+def test_values_of_any_length(spark):
+    """Long mail names and keys are replaced too, keep their format, and come back."""
+    names = ["a" * 200 + ".b@example.org", "sk-" + "Ab3" * 300, "ghp_" + "Zx9" * 80, "xoxb-" + "1a-" * 120 + "z"]
+    docs = spark.createDataFrame([(i, f"see {n} there") for i, n in enumerate(names)], "doc_id long, text string")
+    out = P.pseudonymised(docs, "k")
+    for r in out.collect():
+        assert r["n_values"] == 1 and names[r["doc_id"]] not in r["text"] and len(r["text"]) == len(names[r["doc_id"]]) + 10
+    back = P.restored(out.drop("n_values"), "k")
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: f"see {n} there" for i, n in enumerate(names)}
