@@ -170,38 +170,57 @@ def distinct_values(silver: DataFrame) -> DataFrame:
     return pairs.groupBy("ingest_run_id").agg(*[F.count_if(F.col("name") == n).alias(f"unique_{n}") for n in DISTINCT.values()])
 
 
-def audit(silver: DataFrame, built_at: Column | None = None) -> DataFrame:
-    """Volume, quality and completeness of each run's current rows, a row a run in no order."""
+def audited() -> dict[str, Column]:
+    """The conditions of which the audit counts the rows."""
     c = F.col
-    missing = {n: c(col).isNull() for n, col in (("kcal", "energy_kcal_per_100g"), ("protein", "proteins_100g"), ("sugar", "sugars_100g"))}
     nova = {1: "unprocessed", 2: "culinary", 3: "processed", 4: "ultra_processed"}
+    return {
+        "nutriscore_mismatch": c("nutriscore_grade_mismatch"),
+        "missing_kcal": c("energy_kcal_per_100g").isNull(),
+        "missing_protein": c("proteins_100g").isNull(),
+        "missing_sugar": c("sugars_100g").isNull(),
+        "invalid_ean": ~rules.is_ean(c("barcode")),
+        **{f"nova_{k}_{n}": c("nova_group") == k for k, n in nova.items()},
+        **{f"grade_{g.lower()}": c("nutriscore_grade_reported") == g for g in rules.GRADES},
+        **{f"sugar_{t.lower()}": c("sugar_tier") == t for t in ("Low", "Medium", "High")},
+    }
+
+
+#: Conditions of which the audit has the share in percent; of the last, it has nothing else.
+SHARES = ("nutriscore_mismatch", "missing_kcal", "invalid_ean")
+
+
+def audit_columns() -> list[str]:
+    """The audit's columns in their order."""
+    counts = [n for n in audited() if n != "invalid_ean"]
+    shown = [f"{n}_count" for n in counts]
+    shown.insert(1, "nutriscore_mismatch_pct")
+    shown[5:5] = ["missing_kcal_pct", "invalid_ean_pct"]
+    return ["ingest_run_id", "run_ingested_at", "silver_completed_at", "total_products_processed", *[f"unique_{n}" for n in DISTINCT.values()], *shown, "audit_built_at"]
+
+
+def audit(silver: DataFrame, built_at: Column | None = None) -> DataFrame:
+    """Volume, quality and completeness of each run's current rows, a row a run in no order."""
+    conditions = audited()
     counted = silver.groupBy("ingest_run_id").agg(
         F.min("ingested_at").alias("run_ingested_at"),
         F.max("silver_processed_at").alias("silver_completed_at"),
         F.count("*").alias("total_products_processed"),
-        count_where(c("nutriscore_grade_mismatch")).alias("nutriscore_mismatch_count"),
-        percent_where(c("nutriscore_grade_mismatch")).alias("nutriscore_mismatch_pct"),
-        *[count_where(p).alias(f"missing_{n}_count") for n, p in missing.items()],
-        percent_where(missing["kcal"]).alias("missing_kcal_pct"),
-        percent_where(~rules.is_ean(c("barcode"))).alias("invalid_ean_pct"),
-        *[count_where(c("nova_group") == k).alias(f"nova_{k}_{n}_count") for k, n in nova.items()],
-        *[count_where(c("nutriscore_grade_reported") == g).alias(f"grade_{g.lower()}_count") for g in rules.GRADES],
-        *[count_where(c("sugar_tier") == t).alias(f"sugar_{t.lower()}_count") for t in ("Low", "Medium", "High")],
+        *[count_where(p).alias(f"{n}_count") for n, p in conditions.items()],
+        *[percent_where(conditions[n]).alias(f"{n}_pct") for n in SHARES],
     )
     # One row a run on both sides.
     unique = distinct_values(silver).withColumnRenamed("ingest_run_id", "run")
-    both = counted.join(unique, c("ingest_run_id").eqNullSafe(c("run")), "left").drop("run")
+    both = counted.join(unique, F.col("ingest_run_id").eqNullSafe(F.col("run")), "left")
     filled = both.fillna(0, [f"unique_{n}" for n in DISTINCT.values()])
-    first = [n for n in counted.columns if n in ("ingest_run_id", "run_ingested_at", "silver_completed_at", "total_products_processed")]
-    order = [*first, *[f"unique_{n}" for n in DISTINCT.values()], *[n for n in counted.columns if n not in first]]
-    return filled.select(*order, (F.current_timestamp() if built_at is None else built_at).alias("audit_built_at"))
+    return filled.withColumn("audit_built_at", F.current_timestamp() if built_at is None else built_at).select(*audit_columns())
 
 
 #: The gold tables and the key that each is kept by.
 TABLES = {"dim_product": "product_key", "dim_brand": "brand_key", "dim_category": "category_key", "dim_country": "country_key", "dim_nutriscore": "nutriscore_key", "fact_product_nutrition": "product_key", "pipeline_audit": "ingest_run_id"}
 
 
-def materialised(silver: DataFrame, grades: DataFrame, root: str, snapshot: str | datetime.date | None = None, built_at: Column | None = None, buckets: int = 16) -> dict[str, DataFrame]:
+def materialised(silver: DataFrame, grades: DataFrame, root: str, snapshot: str | datetime.date | None = None, built_at: Column | None = None) -> dict[str, DataFrame]:
     """Builds and writes every gold table under root from a silver table; returns them as read back.
 
     Each is a versioned table of its own (see upsert): readers have the version before until the new one is complete.
@@ -217,7 +236,7 @@ def materialised(silver: DataFrame, grades: DataFrame, root: str, snapshot: str
         "pipeline_audit": audit(silver, built_at),
     }
     for name, df in made.items():
-        upsert.overwrite(df, f"{root}/{name}", keys=[TABLES[name]], buckets=buckets)
+        upsert.overwrite(df, f"{root}/{name}", keys=[TABLES[name]])
     return {name: upsert.read(spark, f"{root}/{name}") for name in made}
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from larder import storage
 from larder.functions import rules
-from larder.operators import bronze, gold, profiling, quality_gates, silver, upsert
-from larder.sources import lookups, schemas
+from larder.operators import audits, bronze, distinct, gold, profiling, quality_gates, ranks, silver, upsert, variants
+from larder.session import ship
+from larder.sources import lookups, page_source, schemas
+from larder.streaming import latest as latest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -222,10 +224,20 @@ SELECT p_partkey, CAST(rank() OVER w AS INTEGER) AS category_rank, count(*) OVER
 FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_size ASC NULLS LAST)
 """)
 def category_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank, group size and percentile by windows of one partitioning: one shuffle for both."""
-    by_type = Window.partitionBy("p_type")
-    rank, n = F.rank().over(by_type.orderBy(F.col("p_size").asc_nulls_last())), F.count("*").over(by_type)
-    return table(spark, sf_dir, "part").select("p_partkey", rank.alias("category_rank"), n.alias("n_in_category"), F.round((rank - 1) / F.nullif(n - 1, F.lit(0)) * 100, 1).alias("percentile"))
+    """Rank, group size and percentile of any measure, without a window over a group."""
+    rows = ranks.ranked(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"), "p_type", "p_size")
+    return rows.select("p_partkey", F.col("rank").cast("int").alias("category_rank"), F.col("n_in_group").alias("n_in_category"), "percentile")
+
+
+@query("""
+SELECT sale_id, line_no, item_id, amount, rank() OVER w AS rank, count(*) OVER (PARTITION BY vendor_id) AS n_in_group,
+  CAST(round(CAST((rank() OVER w - 1) AS DOUBLE) / nullif(count(*) OVER (PARTITION BY vendor_id) - 1, 0) * 100, 1) AS DOUBLE) AS percentile
+FROM sale_lines WINDOW w AS (PARTITION BY vendor_id ORDER BY amount ASC NULLS LAST)
+""")
+def vendor_line_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sale line's rank by amount among its vendor's: many different values, very unequal groups."""
+    rows = ranks.ranked(table(spark, sf_dir, "sale_lines").select("sale_id", "line_no", "item_id", "vendor_id", "amount"), "vendor_id", "amount")
+    return rows.drop("vendor_id")
 
 
 @query(f"WITH {SILVER_SQL} SELECT DISTINCT sha256(primary_brand) AS brand_key, primary_brand AS brand_name FROM silver")
@@ -278,16 +290,39 @@ _COUNT = lambda p: f"count(*) FILTER (WHERE {p})"
 _PCT = lambda p: f"CAST(round(count(*) FILTER (WHERE {p}) / CAST(count(*) AS DOUBLE) * 100, 2) AS DOUBLE)"
 
 
-@query(f"""WITH {SILVER_SQL} SELECT ingest_run_id, count(*) AS total_products_processed, count(DISTINCT barcode) AS unique_barcodes, count(DISTINCT primary_brand) AS unique_brands,
+#: The audit's times without a zone, as both engines show them alike.
+TIMES = ("run_ingested_at", "silver_completed_at", "audit_built_at")
+AUDIT_SQL = f"""SELECT ingest_run_id, make_timestamp(min(last_modified_unix) * 1000000) AS run_ingested_at, make_timestamp(1700000000000000) AS silver_completed_at, count(*) AS total_products_processed,
+count(DISTINCT barcode) AS unique_barcodes, count(DISTINCT primary_brand) AS unique_brands,
 count(DISTINCT primary_category) AS unique_categories, count(DISTINCT primary_country) AS unique_countries, {_COUNT('nutriscore_grade_mismatch')} AS nutriscore_mismatch_count,
 {_PCT('nutriscore_grade_mismatch')} AS nutriscore_mismatch_pct, {_COUNT('energy_kcal_per_100g IS NULL')} AS missing_kcal_count, {_COUNT('proteins_100g IS NULL')} AS missing_protein_count,
 {_COUNT('sugars_100g IS NULL')} AS missing_sugar_count, {_PCT('energy_kcal_per_100g IS NULL')} AS missing_kcal_pct, {_PCT('NOT barcode_is_ean')} AS invalid_ean_pct,
 {_COUNT('nova_group = 1')} AS nova_1_unprocessed_count, {_COUNT('nova_group = 2')} AS nova_2_culinary_count, {_COUNT('nova_group = 3')} AS nova_3_processed_count,
 {_COUNT('nova_group = 4')} AS nova_4_ultra_processed_count, {', '.join(_COUNT(f"nutriscore_grade_reported = '{g}'") + f' AS grade_{g.lower()}_count' for g in 'ABCDE')},
-{', '.join(_COUNT(f"sugar_tier = '{t}'") + f' AS sugar_{t.lower()}_count' for t in ('Low', 'Medium', 'High'))} FROM silver GROUP BY ingest_run_id""")
+{', '.join(_COUNT(f"sugar_tier = '{t}'") + f' AS sugar_{t.lower()}_count' for t in ('Low', 'Medium', 'High'))}, make_timestamp(1700000000000000) AS audit_built_at FROM silver GROUP BY ingest_run_id"""
+
+
+def without_zones(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in names})
+
+
+@query(f"WITH {SILVER_SQL} {AUDIT_SQL}")
 def audit_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of every run, with all its columns but the times."""
-    return gold.audit(silver_table(spark, sf_dir)).drop("run_ingested_at", "silver_completed_at", "audit_built_at")
+    """The audit of every run, with all its columns."""
+    return without_zones(gold.audit(silver_table(spark, sf_dir), fixed_time()), *TIMES)
+
+
+@query(f"WITH {SILVER_SQL} {AUDIT_SQL}")
+def audit_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same audit, kept up over three upserts of silver (in no order of time) by its change feed."""
+    raw = storage.stored(raw_silver(spark, sf_dir), "raw")
+    silver_root, state_root = storage.fresh(spark, "silver"), storage.fresh(spark, "audit")
+    for k in (1, 0, 2):
+        part = raw.filter(F.col("ingest_run_id").cast("int") % 3 == k)
+        upsert.upsert(silver.refined(part, inline_lookup(spark), fixed_time(), ties=TIES), silver_root)
+        audits.refresh(spark, silver_root, state_root)
+    storage.dropped(raw)
+    return without_zones(audits.audit(upsert.read(spark, state_root), fixed_time()), *TIMES)
 
 
 @query("""
@@ -400,11 +435,49 @@ def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An unguarded upsert of a few keys into a stored table: only the buckets that they touch are written anew."""
     root = storage.fresh(spark, "upserted")
     old, new = _halves(spark, sf_dir)
-    upsert.overwrite(old, root, keys=["user_id"], buckets=16)
+    upsert.overwrite(old, root, keys=["user_id"])
     upsert.upsert(new.filter("user_id % 10 = 3"), root, ["user_id"], guarded=False)
     return upsert.read(spark, root)
 
 
+@query("""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC NULLS LAST, l_partkey DESC, l_suppkey DESC, l_quantity DESC,
+l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS rn FROM lineitem) WHERE rn = 1""")
+def upsert_five_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines upserted in five batches, in no order of time, into a table whose buckets are split as it grows."""
+    lines, root, keys = table(spark, sf_dir, "lineitem"), storage.fresh(spark, "lines"), ["l_orderkey", "l_linenumber"]
+    ties = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    for k in (3, 0, 4, 1, 2):
+        # Lines of one day are in one batch, so equal revisions meet before the upsert.
+        batch = silver.latest(lines.filter(F.dayofyear("l_shipdate") % 5 == k), keys, "l_shipdate", ties)
+        upsert.upsert(batch, root, keys, revision="l_shipdate", bucket_rows=20_000)
+    return upsert.read(spark, root).select(*lines.columns)
+
+
+@query(f"""WITH old AS ({_HALF(0)}), newer AS ({_HALF(1)}),
+new AS (SELECT coalesce(n.user_id, o.user_id) AS user_id, CASE WHEN n.ts >= o.ts OR o.ts IS NULL THEN n.event_id ELSE o.event_id END AS event_id FROM old o FULL JOIN newer n ON o.user_id = n.user_id),
+images AS (SELECT o.user_id AS o, n.user_id AS n, o.event_id AS oe, n.event_id AS ne FROM old o FULL JOIN new n ON o.user_id = n.user_id WHERE o.event_id IS DISTINCT FROM n.event_id)
+SELECT n AS user_id, ne AS event_id, 'inserted' AS change FROM images WHERE o IS NULL UNION ALL SELECT o, oe, 'before' FROM images WHERE o IS NOT NULL UNION ALL SELECT n, ne, 'after' FROM images WHERE o IS NOT NULL""")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a guarded upsert changed in a stored table: inserted rows, and the two images of updated ones."""
+    root = storage.fresh(spark, "fed")
+    for half in _halves(spark, sf_dir):
+        last = upsert.upsert(half, root, ["user_id"], revision="ts")
+    return upsert.changes(spark, root, last - 1).select("user_id", "event_id", "change")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS maker, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_size AS BIGINT) ELSE p_size * 1000000000000 END AS amount FROM part""")
+def columns_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three upserts into a stored table: as it is, with a new column, which is then renamed, and with a wider one; footers aren't merged."""
+    parts, root = table(spark, sf_dir, "part"), storage.fresh(spark, "evolved")
+    batch = lambda k, *columns: upsert.upsert(parts.filter(F.col("p_partkey") % 3 == k).select("p_partkey", *columns), root, ["p_partkey"], guarded=False)
+    size = F.col("p_size").cast("int").alias("amount")
+    batch(0, size)
+    batch(1, size, "p_brand")
+    upsert.rename(spark, root, "p_brand", "maker")
+    batch(2, (F.col("p_size") * F.lit(1000000000000)).cast("long").alias("amount"), F.col("p_brand").alias("maker"))
+    return upsert.read(spark, root)
+
+
 @query("SELECT event_id, event_type, NULL::DOUBLE AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type, value FROM events WHERE event_id % 2 = 1")
 def append_merged_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends to a table, the second with a column more: older rows have nulls there."""
@@ -731,3 +804,116 @@ def limit_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def described_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and types of a table's columns."""
     return profiling.described(table(spark, sf_dir, "events"))
+
+
+# Pages: landed, and read by the page source.
+
+PAGE_ROWS = 1000
+EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def landed_events(spark: SparkSession, sf_dir: str) -> str:
+    """Events landed as the pages of a source, in the order of their ids, with their number beside them."""
+    folder, events = storage.fresh(spark, "landed"), table(spark, sf_dir, "events")
+    body = F.to_json(F.struct("event_id", F.col("ts").cast("string").alias("ts"), "user_id", "event_type", "value", "props"))
+    page = (F.floor(F.col("event_id") / PAGE_ROWS) + 1).cast("int").alias("page")
+    events.select(body.alias("value"), page).hint("rebalance", "page").write.partitionBy("page").text(folder)
+    events.agg(F.count("*").cast("string").alias("value")).write.text(f"{folder}/count")
+    return folder
+
+
+def _source(folder: str) -> dict[str, str]:
+    return {"url": folder, "transport": "larder.sources.page_source:mounted", "run_id": "20240101_0000", "records_per_page": str(PAGE_ROWS)}
+
+
+PAGED_SQL = f"""SELECT '20240101_0000' AS ingest_run_id, CAST(event_id // {PAGE_ROWS} + 1 AS BIGINT) AS api_page_number,
+CAST(count(*) OVER (PARTITION BY event_id // {PAGE_ROWS}) AS INTEGER) AS page_size, count(*) OVER () AS total_products_reported, event_id, ts, user_id, event_type, value, props FROM events"""
+
+
+def _paged_events(pages: DataFrame) -> DataFrame:
+    rows = bronze.bronze(pages)
+    return rows.select("ingest_run_id", "api_page_number", "page_size", "total_products_reported", F.inline(F.from_json("raw_products_json", f"array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>")))
+
+
+@query(PAGED_SQL)
+def pages_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages read by the page source, a partition each, one page too many asked for; through bronze to rows."""
+    ship(spark)
+    page_source.register(spark)
+    folder = landed_events(spark, sf_dir)
+    pages = -(-table(spark, sf_dir, "events").count() // PAGE_ROWS) + 1
+    return _paged_events(spark.read.format(page_source.FORMAT).options(**_source(folder), pages=str(pages)).load())
+
+
+@query(PAGED_SQL)
+def pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a stream whose offset is the page window, upserted by event; started again, it finds nothing new."""
+    ship(spark)
+    page_source.register(spark)
+    folder, root, checkpoint = landed_events(spark, sf_dir), storage.fresh(spark, "paged"), storage.fresh(spark, "offsets")
+
+    def batch(rows: DataFrame, _: int) -> None:
+        upsert.upsert(_paged_events(rows), root, ["event_id"], guarded=False)
+
+    for _ in range(2):
+        stream = spark.readStream.format(page_source.FORMAT).options(**_source(folder)).load()
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return upsert.read(spark, root)
+
+
+@query("SELECT user_id, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's latest event by a stream with keyed state, in two batches of files of which the first holds the later half."""
+    ship(spark)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    folder, root, checkpoint = storage.fresh(spark, "arrived"), storage.fresh(spark, "latest"), storage.fresh(spark, "state")
+    for odd in (1, 0):
+        events.filter(F.col("event_id") % 2 == odd).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        latest_stream.keep_latest(stream, ["user_id"], "ts", root, checkpoint, ["event_id"], late="400 days").awaitTermination()
+    return without_zones(upsert.read(spark, root), "ts")
+
+
+# Distinct counts and variants.
+
+
+@query("""WITH r AS (SELECT strftime(sold_at, '%Y%m%d') AS run, CAST(client_id AS VARCHAR) AS client, status FROM sales)
+SELECT substr(run, 1, 6) AS runs, count(DISTINCT client) AS unique_clients, count(DISTINCT status) AS unique_states FROM r GROUP BY 1
+UNION ALL SELECT 'weekday ' || CAST(dayofweek(strptime(run, '%Y%m%d')) + 1 AS VARCHAR), count(DISTINCT client), count(DISTINCT status) FROM r GROUP BY 1
+UNION ALL SELECT 'all', count(DISTINCT client), count(DISTINCT status) FROM r""")
+def distinct_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct clients and states of the daily runs, by month, by weekday and of all: from bitmaps stored once."""
+    daily = table(spark, sf_dir, "sales").select(F.date_format("sold_at", "yyyyMMdd").alias("run"), "client_id", "status")
+    bitmaps = distinct.run_bitmaps(daily, {"client_id": "clients", "status": "states"}, "run")
+    day = F.to_date("run", "yyyyMMdd")
+    sets = (F.substring("run", 1, 6), F.concat(F.lit("weekday "), F.dayofweek(day).cast("string")), F.lit("all"))
+    return reduce(DataFrame.unionByName, [distinct.counted(bitmaps, ["clients", "states"], by).withColumnRenamed("k0", "runs") for by in sets])
+
+
+_PROPS = "CASE WHEN json_valid(props) THEN props END"
+
+
+@query(f"""SELECT click_id, TRY_CAST(json_extract_string(p, '$.k') AS INTEGER) AS k, json_extract_string(p, '$.device.os') AS os, json_extract_string(p, '$.tags[0]') AS first_tag,
+CAST(NULL AS VARCHAR) AS broken FROM (SELECT click_id, {_PROPS} AS p, props FROM clicks) WHERE props IS NULL OR p IS NOT NULL
+UNION ALL SELECT click_id, NULL, NULL, NULL, props FROM clicks WHERE NOT json_valid(props)""")
+def variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of semi-structured JSON by their paths, and the rows whose text is broken, which go to quarantine."""
+    good, broken = variants.split(table(spark, sf_dir, "clicks").select("click_id", "props"), "props")
+    found = variants.fields(good, {"k": ("$.k", "int"), "os": ("$.device.os", "string"), "first_tag": ("$.tags[0]", "string")})
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    return found.select("click_id", "k", "os", "first_tag", none("broken", "string")).unionByName(broken.select("click_id", none("k", "int"), none("os", "string"), none("first_tag", "string"), F.col("props").alias("broken")))
+
+
+@query(f"""SELECT click_id, CAST(i - 1 AS INTEGER) AS position, TRY_CAST(json_extract_string(e, '$.sku') AS BIGINT) AS sku, TRY_CAST(json_extract_string(e, '$.qty') AS INTEGER) AS qty
+FROM (SELECT click_id, unnest(items) AS e, generate_subscripts(items, 1) AS i FROM (SELECT click_id, from_json(json_extract({_PROPS}, '$.items'), '["JSON"]') AS items FROM clicks))""")
+def variant_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of an array inside semi-structured JSON, with their places."""
+    rows = variants.elements(variants.parsed(table(spark, sf_dir, "clicks").select("click_id", "props"), "props"), "$.items", "click_id")
+    return rows.select("click_id", F.col("position").cast("int").alias("position"), F.try_variant_get("element", "$.sku", "long").alias("sku"), F.try_variant_get("element", "$.qty", "int").alias("qty"))
+
+
+@query(f"""SELECT key, count(*) AS n_rows FROM (SELECT unnest(json_keys({_PROPS})) AS key FROM clicks) GROUP BY 1""")
+def variant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each key occurs."""
+    found = variants.members(variants.parsed(table(spark, sf_dir, "clicks").select("props"), "props"))
+    return found.groupBy("key").agg(F.sum("n_rows").alias("n_rows"))

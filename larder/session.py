@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, for those that don't have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        if root.is_dir():
+            base = Path(tempfile.mkdtemp(prefix="larder-code-")) / root.name
+            context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+        _SHIPPED.add(context.applicationId)
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""

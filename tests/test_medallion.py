@@ -16,10 +16,9 @@ def at():
     return F.timestamp_seconds(F.lit(1700000000))
 
 
-SPREAD = {
-    "code": "4006381333931", "product_name": "hazel dream", "brands": "Mill Lane, Other", "categories": "en:nut-spreads, Sweet things", "countries": "France, Spain", "energy_100g": 2134.0,
-    "energy-kcal_100g": 510.0, "proteins_100g": 6.12, "fat_100g": 28.4, "sugars_100g": 49.9, "salt_100g": 0.107, "sodium_100g": None, "nutriscore_score": 22,
-    "nutriscore_grade": "e", "nova_group": 4, "last_modified_t": 1700000000, "extra": {"deep": [1]},
+DRINK = {
+    "code": "20000017", "product_name": "oat drink", "brands": "North Farm, Other", "categories": "en:oat-drinks, Drinks", "countries": "France", "energy-kcal_100g": 120,
+    "proteins_100g": 1.44, "sugars_100g": "20.5", "salt_100g": 0.107, "nutriscore_score": 19, "nutriscore_grade": "e", "nova_group": 4, "last_modified_t": 9, "extra": {"deep": [1]},
 }
 
 
@@ -38,8 +37,8 @@ def landing(tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
     (folder / ".fetch_run_checkpoint.json").write_text("{}")
-    page(folder, "r1", 1, [SPREAD, {"code": None, "product_name": "no code"}, {"code": "5", "nova_group": "unknown", "countries": "zz", "last_modified_t": 5}])
-    page(folder, "r1", 2, [SPREAD | {"product_name": "old", "last_modified_t": 1600000000}, {"code": "6", "energy_100g": "abc", "countries": "en:guinea-bissau", "last_modified_t": "7"}])
+    page(folder, "r1", 1, [DRINK, {"code": None, "product_name": "no code"}, {"code": "5", "nova_group": "unknown", "countries": "zz", "last_modified_t": 5}])
+    page(folder, "r1", 2, [DRINK | {"product_name": "old", "last_modified_t": 8}, {"code": "6", "energy_100g": "abc", "countries": "en:guinea-bissau", "last_modified_t": "7"}])
     return folder
 
 
@@ -66,10 +65,10 @@ def test_silver_end_to_end(spark, landing, lookup):
     rows = silver.run_silver(bronze.bronze(bronze.read_pages(spark, str(landing)), ingested_at=at()), lookup, "r1", processed_at=at())
     assert rows.columns == silver.SILVER_COLUMNS and len(rows.columns) == 45
     got = {r["barcode"]: r for r in rows.collect()}
-    assert set(got) == {"4006381333931", "5", "6"}
-    n = got["4006381333931"]
-    assert (n["product_name"], n["primary_category"], n["primary_country"], n["country_iso_code"], n["primary_brand"]) == ("Hazel Dream", "Nut Spreads", "France", "FR", "Mill Lane")
-    assert (n["energy_kcal_per_100g"], n["salt_100g"], n["sodium_corrected_100g"], n["protein_density_score"]) == (510.0, 0.11, 0.04, 1.2)
+    assert set(got) == {"20000017", "5", "6"}
+    n = got["20000017"]
+    assert (n["product_name"], n["primary_category"], n["primary_country"], n["country_iso_code"], n["primary_brand"]) == ("Oat Drink", "Oat Drinks", "France", "FR", "North Farm")
+    assert (n["energy_kcal_per_100g"], n["salt_100g"], n["sodium_corrected_100g"], n["protein_density_score"]) == (120.0, 0.11, 0.04, 1.2)
     assert (n["nutriscore_grade_recalculated"], n["nutriscore_grade_mismatch"], n["nova_group_label"], n["sugar_tier"]) == ("E", False, "ultra_processed", "High")
     assert (got["5"]["country_iso_code"], got["5"]["primary_country"], got["5"]["nova_group"], got["5"]["data_quality_tier"]) == ("ZZ", "Unknown Country", None, "Sparse")
     assert got["6"]["primary_country"] == "Guinea-Bissau" and got["6"]["energy_raw_100g"] is None
@@ -107,61 +106,11 @@ def test_upsert_versions(spark, tmp_path):
     assert upsert.read(spark, root).columns[-1] == "w"
 
 
-def keyed_rows(spark, *rows):
-    return spark.createDataFrame(rows, "barcode string, last_modified_unix long, v string")
-
-
-def test_a_crash_before_the_manifest_changes_nothing(spark, tmp_path, monkeypatch):
-    root = str(tmp_path / "t")
-    upsert.upsert(keyed_rows(spark, *[(f"k{i}", 1, "a") for i in range(50)]), root)
-
-    def crash(*_):
-        raise OSError("lost")
-
-    with monkeypatch.context() as m:
-        m.setattr(upsert, "_commit", crash)
-        with pytest.raises(OSError, match="lost"):
-            upsert.upsert(keyed_rows(spark, ("k1", 2, "b")), root)
-        with pytest.raises(OSError, match="lost"):
-            upsert.overwrite(keyed_rows(spark, ("k1", 2, "b")), root)
-    assert upsert.version(spark, root) == 1 and upsert.read(spark, root).filter("v = 'a'").count() == 50
-    assert upsert.upsert(keyed_rows(spark, ("k1", 2, "c")), root) == 2
-    assert {r["barcode"]: r["v"] for r in upsert.read(spark, root).collect()} == {f"k{i}": "c" if i == 1 else "a" for i in range(50)}
-
-
-def test_the_second_of_two_writers_fails(spark, tmp_path):
-    root = str(tmp_path / "t")
-    upsert.upsert(keyed_rows(spark, ("a", 1, "x")), root)
-    m = upsert.manifest(spark, root)
-    upsert.upsert(keyed_rows(spark, ("a", 2, "y")), root)
-    with pytest.raises(OSError, match="someone else"):
-        upsert._commit(spark, root, upsert.Manifest(m.number + 1, m.schema, m.keys, m.buckets, m.folders), 2)
-    assert upsert.read(spark, root).first()["v"] == "y"
-
-
-def test_untouched_buckets_stay_where_they_are(spark, tmp_path):
-    root = str(tmp_path / "t")
-    upsert.upsert(keyed_rows(spark, *[(f"k{i}", 1, "a") for i in range(200)]), root)
-    before = upsert.manifest(spark, root).folders
-    for n in range(2, 6):
-        upsert.upsert(keyed_rows(spark, ("k7", n, "b"), ("new", n, "c")), root)
-    after = upsert.manifest(spark, root).folders
-    assert sum(after[b] != f for b, f in before.items()) <= 2 and upsert.read(spark, root).count() == 201
-    assert upsert.versions(spark, root) == [4, 5]
-    # Nothing is left in the folders but what the last two versions name.
-    kept = {p.parent.parent.name + "/" + p.parent.name for p in (tmp_path / "t" / "data").rglob("*.parquet")}
-    named = {f.removeprefix("data/") for v in (4, 5) for f in upsert.manifest(spark, root, v).folders.values()}
-    assert kept == named
-    assert upsert.overwrite(keyed_rows(spark), root) == 6 and upsert.read(spark, root).count() == 0
-    with pytest.raises(ValueError, match="kept by"):
-        upsert.upsert(keyed_rows(spark, ("a", 1, "x")), root, ["v"])
-
-
 def test_gold_is_written_and_read_back(spark, lookup, landing, tmp_path):
     rows = silver_rows(spark, lookup, landing)
     grades = lookups.grade_lookup(spark)
     for _ in range(2):
-        made = gold.materialised(rows, grades, str(tmp_path / "gold"), "2024-01-31", at(), 4)
+        made = gold.materialised(rows, grades, str(tmp_path / "gold"), "2024-01-31", at())
     assert {n: df.count() for n, df in made.items()} == {"dim_product": 3, "dim_brand": 2, "dim_category": 2, "dim_country": 3, "dim_nutriscore": 6, "fact_product_nutrition": 3, "pipeline_audit": 1}
     assert upsert.version(spark, str(tmp_path / "gold" / "dim_brand")) == 2
     joined = gold.star(*[made[n] for n in ("fact_product_nutrition", "dim_product", "dim_brand", "dim_category", "dim_country", "dim_nutriscore")])
@@ -187,7 +136,7 @@ def test_gold_and_gates(spark, lookup, landing):
     grades = gold.dim_nutriscore(lookups.grade_lookup(spark), at())
     assert len(product.columns) == 20 and len(gold.audit(rows, at()).columns) == 28 and grades.count() == 6
     got = {r["product_id"]: r for r in fact.collect()}
-    assert got["4006381333931"]["healthiness_percentile"] is None and got["4006381333931"]["category_product_count"] == 1
+    assert got["20000017"]["healthiness_percentile"] is None and got["20000017"]["category_product_count"] == 1
     assert got["5"]["category_product_count"] == 2 and got["5"]["healthiness_rank_in_category"] == got["6"]["healthiness_rank_in_category"] == 1
     failed = quality_gates.failures(quality_gates.standard_gates(rows, fact, product, brand, category, country, grades))
     assert failed == {"silver.energy mostly known": 1, "silver.barcode mostly ean": 1}
@@ -226,10 +175,10 @@ def test_stream_upserts_and_goes_on(spark, lookup, landing, tmp_path):
     table, check = str(tmp_path / "silver"), str(tmp_path / "check")
     stream.upsert_silver(stream.page_stream(spark, str(landing)), lookup, table, check, at()).awaitTermination()
     assert upsert.read(spark, table).count() == 3
-    page(landing, "r2", 3, [{"code": "7", "last_modified_t": 1}, SPREAD | {"product_name": "older", "last_modified_t": 1}])
+    page(landing, "r2", 3, [{"code": "7", "last_modified_t": 1}, DRINK | {"product_name": "older", "last_modified_t": 1}])
     stream.upsert_silver(stream.page_stream(spark, str(landing)), lookup, table, check, at()).awaitTermination()
     now = {r["barcode"]: r["product_name"] for r in upsert.read(spark, table).collect()}
-    assert set(now) == {"4006381333931", "5", "6", "7"} and now["4006381333931"] == "Hazel Dream"
+    assert set(now) == {"20000017", "5", "6", "7"} and now["20000017"] == "Oat Drink"
 
 
 def test_stream_counts_by_hour(spark, landing):
