@@ -7,8 +7,9 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder import storage
 from larder.functions import rules
-from larder.operators import upsert
+from larder.operators import quality_gates, upsert
 from larder.operators.silver import latest
 
 #: Measure -> its column in the benchmarks and whether 0 counts as known.
@@ -99,13 +100,24 @@ def category_ranks(rows: DataFrame, category: str = "category_name", score: str
     return counts.select(F.col(category).alias("rank_category"), F.col(score).alias("rank_score"), (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).cast("int").alias("healthiness_rank_in_category"))
 
 
+#: Rows of a stored side table up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """df stored, and marked for a broadcast if it has few rows."""
+    kept = storage.stored(df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def fact_nutrition(silver: DataFrame, snapshot: str | datetime.date | None = None, built_at: Column | None = None) -> DataFrame:
     """One row per product and snapshot day: keys, measures, category benchmarks, rank and flags."""
     c = F.col
     day = F.current_date() if snapshot in (None, "") else F.lit(str(snapshot)).cast("date")
     rows = silver.withColumns({"category_name": rules.labelled(c("primary_category")), "brand_name": rules.labelled(c("primary_brand"))})
-    benchmarks = category_benchmarks(rows).withColumnRenamed("category_name", "benchmark_category")
-    ranks = category_ranks(rows)
+    # Stored, so that both sides of each join are plain exchanges and Spark splits a hot category; broadcast while a count says they are small.
+    benchmarks = _small(category_benchmarks(rows).withColumnRenamed("category_name", "benchmark_category"), "benchmarks")
+    ranks = _small(category_ranks(rows), "ranks")
     joined = rows.join(benchmarks, c("category_name") == c("benchmark_category")).join(
         ranks, (c("category_name") == c("rank_category")) & c("nutriscore_score_raw").eqNullSafe(c("rank_score"))
     )
@@ -220,10 +232,30 @@ def audit(silver: DataFrame, built_at: Column | None = None) -> DataFrame:
 TABLES = {"dim_product": "product_key", "dim_brand": "brand_key", "dim_category": "category_key", "dim_country": "country_key", "dim_nutriscore": "nutriscore_key", "fact_product_nutrition": "product_key", "pipeline_audit": "ingest_run_id"}
 
 
-def materialised(silver: DataFrame, grades: DataFrame, root: str, snapshot: str | datetime.date | None = None, built_at: Column | None = None) -> dict[str, DataFrame]:
+def row_gates(name: str) -> dict[str, Column]:
+    """What no row of a gold table may be, by the name of the gate: gates that are counted while the table is written."""
+    missing = lambda *columns: {f"{name}.{c} not null": F.col(c).isNull() for c in columns}
+    outside = quality_gates.outside
+    gates = {
+        "dim_product": {**missing("product_key", "product_id"), "dim_product.tier accepted": quality_gates.not_among("data_quality_tier", ("Complete", "Sparse"))},
+        "dim_brand": missing("brand_key", "brand_name"),
+        "dim_category": missing("category_key"),
+        "dim_country": missing("country_key"),
+        "dim_nutriscore": {**missing("nutriscore_key", "grade"), "dim_nutriscore.grade accepted": quality_gates.not_among("grade", (*rules.GRADES, "Unknown"))},
+        "fact_product_nutrition": {
+            **missing("product_key", "brand_key", "category_key", "snapshot_date"),
+            f"{name}.energy in range": outside("energy_kcal_per_100g", 0, rules.KCAL_LIMIT),
+            **{f"{name}.{n} in range": outside(n, 0, limit) for n, limit, _ in BENCHMARKS.values()},
+        },
+    }
+    return gates.get(name, {})
+
+
+def materialised(silver: DataFrame, grades: DataFrame, root: str, snapshot: str | datetime.date | None = None, built_at: Column | None = None, violations: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """Builds and writes every gold table under root from a silver table; returns them as read back.
 
-    Each is a versioned table of its own (see upsert): readers have the version before until the new one is complete.
+    Each is a versioned table of its own (see upsert): readers have the version before until the new one is complete. The gates on
+    single rows are counted by the pass that writes a table; violations gets what they find.
     """
     spark = silver.sparkSession
     made = {
@@ -236,7 +268,10 @@ def materialised(silver: DataFrame, grades: DataFrame, root: str, snapshot: str
         "pipeline_audit": audit(silver, built_at),
     }
     for name, df in made.items():
-        upsert.overwrite(df, f"{root}/{name}", keys=[TABLES[name]])
+        watched, found = quality_gates.observed(df, row_gates(name))
+        upsert.overwrite(watched, f"{root}/{name}", keys=[TABLES[name]])
+        if violations is not None:
+            violations |= found()
     return {name: upsert.read(spark, f"{root}/{name}") for name in made}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.operators.gold import count_where, percent_where
@@ -75,6 +75,27 @@ def run_health(audit: DataFrame, now: Column) -> DataFrame:
     return last.withColumn("hours_since", F.round((F.unix_timestamp(now) - F.unix_timestamp("completed_at")) / 3600, 2))
 
 
+#: Volume and quality of a run, as the table of runs shows them.
+RUN_COLUMNS = ("ingest_run_id", "run_ingested_at", "silver_completed_at", "total_products_processed", "unique_barcodes", "nutriscore_mismatch_count", "nutriscore_mismatch_pct", "missing_kcal_count", "missing_kcal_pct", "invalid_ean_pct")
+#: What is drawn over runs.
+TRENDS = ("total_products_processed", "missing_kcal_pct", "nutriscore_mismatch_pct")
+
+
+def run_table(audit: DataFrame) -> DataFrame:
+    """All runs with their volume and quality."""
+    return audit.select(*RUN_COLUMNS)
+
+
+def run_trends(audit: DataFrame, drop: float = 0.5) -> DataFrame:
+    """Three lines over runs: measure, run, value, value of the run before, their difference, and whether the value fell below
+    so large a share of the one before (fewer products: the fetch or the source failed). A line has a row a run."""
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in TRENDS])
+    points = audit.select("ingest_run_id", F.inline(values))
+    before = F.lag("value").over(Window.partitionBy("measure").orderBy("ingest_run_id"))
+    lines = points.withColumn("previous", before)
+    return lines.withColumns({"change": F.round(F.col("value") - F.col("previous"), 2), "dropped": F.coalesce(F.col("value") < drop * F.col("previous"), F.lit(False))})
+
+
 def tables(spark: SparkSession, databases: Sequence[str]) -> DataFrame:
     """Tables of some databases, from the catalog."""
     have = {d.name for d in spark.catalog.listDatabases()}
@@ -83,5 +104,7 @@ def tables(spark: SparkSession, databases: Sequence[str]) -> DataFrame:
 
 
 def described(df: DataFrame) -> DataFrame:
-    """Column names and types."""
-    return df.sparkSession.createDataFrame([(n, t) for n, t in df.dtypes], "col_name string, data_type string")
+    """Column names and types, with the rows that have a value; one pass over df."""
+    known = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(df.columns)])
+    rows = F.array(*[F.struct(F.lit(n).alias("col_name"), F.lit(t).alias("data_type"), F.col(f"n{i}").alias("n_known")) for i, (n, t) in enumerate(df.dtypes)])
+    return known.select(F.inline(rows))

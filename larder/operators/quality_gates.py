@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,16 @@ def share_at_most(df: DataFrame, bad: Column, limit: float) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.when(F.count(F.lit(1)) > 0, share).alias("share")).filter(F.col("share") > limit)
 
 
+def observed(df: DataFrame, gates: Mapping[str, Column]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """df, and a function that tells, once df has been written, how many of its rows met each condition: they are counted on the way,
+    without a job of their own."""
+    if not gates:
+        return df, dict
+    watch = Observation()
+    watched = df.observe(watch, *[F.count_if(F.coalesce(bad, F.lit(False))).alias(f"g{i}") for i, bad in enumerate(gates.values())])
+    return watched, lambda: {name: watch.get[f"g{i}"] for i, name in enumerate(gates)}
+
+
 @dataclass(frozen=True)
 class Gate:
     """A name and what returns the violating rows; table and bad where those are the table's rows that meet a condition."""

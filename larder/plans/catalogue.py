@@ -262,10 +262,13 @@ _GRADES = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in ro
 GRADE_SQL = f"grades(grade, score_min, score_max, description, color_indicator) AS (VALUES {_GRADES})"
 
 
-@query(f"WITH {GRADE_SQL} SELECT sha256(grade) AS nutriscore_key, grade, CAST(score_min AS INTEGER) AS score_min, CAST(score_max AS INTEGER) AS score_max, description, color_indicator FROM grades")
+@query(f"""WITH {SILVER_SQL}, {GRADE_SQL} SELECT sha256(g.grade) AS nutriscore_key, g.grade, CAST(score_min AS INTEGER) AS score_min, CAST(score_max AS INTEGER) AS score_max, description, color_indicator, count(barcode) AS n_products
+FROM grades g LEFT JOIN silver s ON g.grade = CASE WHEN nutriscore_grade_reported IN ('A', 'B', 'C', 'D', 'E') THEN nutriscore_grade_reported ELSE 'Unknown' END GROUP BY ALL""")
 def dim_nutriscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grades with their score bands."""
-    return gold.dim_nutriscore(lookups.grade_lookup(spark)).drop("gold_built_at")
+    """The grades with their score bands, and how many products of silver report each."""
+    grades = gold.dim_nutriscore(lookups.grade_lookup(spark)).drop("gold_built_at")
+    reported = silver_feed(spark, sf_dir).groupBy(rules.grade_key(F.col("nutriscore_grade_reported")).alias("nutriscore_key")).agg(F.count("*").alias("n_products"))
+    return grades.join(reported, "nutriscore_key", "left").fillna(0, ["n_products"])
 
 
 @query(f"""WITH {SILVER_SQL} SELECT sha256(barcode) AS product_key, barcode AS product_id, product_name, ingredient_count, nova_group, {_NOVA_TITLE} AS nova_group_label, completeness_score,
@@ -800,12 +803,55 @@ def limit_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").limit(25).agg(F.count("*").alias("n_rows"))
 
 
-@query("SELECT * FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('user_id', 'bigint'), ('event_type', 'string'), ('value', 'double'), ('props', 'string')) t(col_name, data_type)")
+@query("""SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS col_name, unnest(['bigint', 'timestamp_ntz', 'bigint', 'string', 'double', 'string']) AS data_type, unnest([a, b, c, d, e, f]) AS n_known
+FROM (SELECT count(event_id) AS a, count(ts) AS b, count(user_id) AS c, count(event_type) AS d, count(value) AS e, count(props) AS f FROM events)""")
 def described_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and types of a table's columns."""
+    """Names and types of a table's columns, with the rows that have a value."""
     return profiling.described(table(spark, sf_dir, "events"))
 
 
+@query(f"WITH {SILVER_SQL} SELECT {', '.join(profiling.RUN_COLUMNS)} FROM ({AUDIT_SQL})")
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs with their volume and quality."""
+    return without_zones(profiling.run_table(gold.audit(silver_table(spark, sf_dir), fixed_time())), "run_ingested_at", "silver_completed_at")
+
+
+_LINE = lambda m: f"SELECT '{m}' AS measure, ingest_run_id, CAST({m} AS DOUBLE) AS value, lag(CAST({m} AS DOUBLE)) OVER (ORDER BY ingest_run_id) AS previous FROM a"
+
+
+@query(f"""WITH {SILVER_SQL}, a AS ({AUDIT_SQL}), lines AS ({' UNION ALL '.join(map(_LINE, profiling.TRENDS))})
+SELECT measure, ingest_run_id, value, previous, CAST(round(value - previous, 2) AS DOUBLE) AS change, coalesce(value < 0.5 * previous, false) AS dropped FROM lines""")
+def run_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products, missing calories and grade mismatches over runs."""
+    return profiling.run_trends(gold.audit(silver_table(spark, sf_dir), fixed_time()))
+
+
+@query(f"""WITH {FACT_SQL} SELECT 'fact.sweet' AS gate, {_COUNT('sugars_100g > 50')} AS n_rows FROM fact_out UNION ALL SELECT 'fact.no energy', {_COUNT('energy_kcal_per_100g IS NULL')} FROM fact_out UNION ALL SELECT 'fact.no key', 0""")
+def gates_while_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates that are counted by the pass that writes a table."""
+    c = F.col
+    gates = {"fact.sweet": c("sugars_100g") > 50, "fact.no energy": c("energy_kcal_per_100g").isNull(), "fact.no key": c("product_key").isNull()}
+    fact, found = quality_gates.observed(gold.fact_nutrition(silver_table(spark, sf_dir), SNAPSHOT, fixed_time()), gates)
+    upsert.overwrite(fact, storage.fresh(spark, "gated"), keys=["product_key"])
+    return spark.createDataFrame(list(found().items()), "gate string, n_rows long")
+
+
+#: How customers' countries are written, by customer key: name, expected code and name.
+_WRITTEN = [("en:france", "FR", "France"), ("Deutschland, France", "DE", "Germany"), ("zz", "ZZ", "Unknown Country"), ("U.S.A.", "US", "United States"), ("Nowhere Land", "XX", "Unknown Country"), ("en:viet-nam", "VN", "Vietnam"), ("CHE", "CH", "Switzerland"), ("Lalaland", "LA", "Our Laos")]
+
+
+@query("SELECT c_custkey, CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{code}'" for i, (_, code, _) in enumerate(_WRITTEN)) + " END AS country_iso_code, CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{name}'" for i, (_, _, name) in enumerate(_WRITTEN)) + " END AS primary_country FROM customer")
+def country_by_generated_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries by the generated aliases, written to a CSV with an extra one and read back as the lookup."""
+    countries = lookups.iso_countries(spark)
+    rows = lookups.alias_rows(countries, [*lookups.exonyms(spark, countries), ("lalaland", "la", "Our Laos")])
+    path = storage.fresh(spark, "aliases")
+    spark.createDataFrame(rows, schemas.LOOKUP).write.option("header", True).csv(path)
+    written = F.element_at(F.array(*[F.lit(w) for w, _, _ in _WRITTEN]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", written.alias("countries_raw"))
+    return silver.with_country(customers, lookups.country_lookup(spark, path)).select("c_custkey", "country_iso_code", "primary_country")
+
+
 # Pages: landed, and read by the page source.
 
 PAGE_ROWS = 1000
