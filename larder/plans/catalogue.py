@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -138,7 +138,7 @@ keyed AS (SELECT *, regexp_replace(lower(replace(trim(regexp_replace(trim(string
 placed AS (SELECT k.*, coalesce(l.iso, CASE WHEN regexp_matches(ckey, '^[a-z]{{2}}$') THEN upper(ckey) END, 'XX') AS country_iso_code, l.name AS alias_name
   FROM keyed k LEFT JOIN lookup l ON ckey = lookup_key),
 named AS (SELECT p.*, coalesce(alias_name, iso_name, 'Unknown Country') AS primary_country FROM placed p LEFT JOIN codes c ON country_iso_code = c.iso),
-clean AS (SELECT barcode, last_modified_unix, ingest_run_id, primary_country, country_iso_code, countries_raw, brands_raw, categories_raw, kcal,
+clean AS (SELECT barcode, last_modified_unix, ingest_run_id, primary_country, country_iso_code, countries_raw, brands_raw, categories_raw, kcal, kj, product_name || ',' || brands_raw AS ingredients_text,
   {_TITLE.format("product_name")} AS product_name, {_TITLE.format("replace(regexp_replace(string_split(categories_raw, ',')[1], '^en:', ''), '-', ' ')")} AS primary_category,
   trim(string_split(brands_raw, ',')[1]) AS primary_brand,
   {_r("CASE WHEN kcal > 0 AND kcal <= 900 THEN kcal WHEN kj > 0 THEN " + _r("kj / 4.184e0", 1) + " WHEN kcal > 900 THEN " + _r("kcal / 4.184e0", 1) + " END", 1)} AS kcal_any,
@@ -169,18 +169,27 @@ silver AS (SELECT * EXCLUDE (rn), CASE WHEN completeness_score >= 6 THEN 'Comple
 
 # Silver and gold, end to end.
 
-SILVER_OUT = (
-    "barcode product_name primary_category primary_brand country_iso_code primary_country energy_kcal_per_100g proteins_100g fat_100g sugars_100g salt_100g "
-    "sodium_corrected_100g sugar_tier fat_tier salt_tier protein_density_score nova_group nova_group_label ingredient_count nutriscore_score_raw "
-    "nutriscore_grade_reported nutriscore_grade_recalculated nutriscore_grade_mismatch barcode_is_ean completeness_score data_quality_tier "
-    "is_nutritional_data_complete row_hash last_modified_unix ingest_run_id"
-).split()
+#: Silver's columns that the SQL above doesn't have by their names.
+_FILLED = {
+    "packaging": "'Unknown'", "allergens": "'Milk, Tree Nuts'", "ingested_at": "make_timestamp(last_modified_unix * 1000000)", "silver_processed_at": "make_timestamp(1700000000000000)",
+    "quantity_raw": "CAST(NULL AS VARCHAR)", "serving_size_raw": "CAST(NULL AS VARCHAR)", "energy_raw_100g": "kj", "energy_kcal_raw_100g": "kcal",
+    "carbohydrates_100g": "CAST(NULL AS DOUBLE)", "sodium_raw_100g": "CAST(NULL AS DOUBLE)", "fiber_100g": "CAST(NULL AS DOUBLE)",
+}
+
 
+def _filled(columns: Iterable[str]) -> str:
+    return ", ".join(f"{_FILLED[c]} AS {c}" if c in _FILLED else c for c in columns)
 
-@query(f"WITH {SILVER_SQL} SELECT {', '.join(SILVER_OUT)} FROM silver")
+
+def without_zones(df: DataFrame, *names: str) -> DataFrame:
+    """Times without a zone, as both engines show them alike."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in names})
+
+
+@query(f"WITH {SILVER_SQL} SELECT {_filled(silver.SILVER_COLUMNS)} FROM silver")
 def silver_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every silver rule over the feed, and the latest revision of each barcode."""
-    return silver_feed(spark, sf_dir).select(*SILVER_OUT)
+    """Every silver rule over the feed, and the latest revision of each barcode: all columns."""
+    return without_zones(silver_feed(spark, sf_dir), "ingested_at", "silver_processed_at")
 
 
 _NOVA_TITLE = "CASE nova_group_label WHEN 'unclassified' THEN 'Unclassified' WHEN 'ultra_processed' THEN 'Ultra-processed' WHEN 'culinary_ingredient' THEN 'Culinary ingredient' WHEN 'unprocessed' THEN 'Unprocessed' WHEN 'processed' THEN 'Processed' END"
@@ -305,10 +314,6 @@ count(DISTINCT primary_category) AS unique_categories, count(DISTINCT primary_co
 {', '.join(_COUNT(f"sugar_tier = '{t}'") + f' AS sugar_{t.lower()}_count' for t in ('Low', 'Medium', 'High'))}, make_timestamp(1700000000000000) AS audit_built_at FROM silver GROUP BY ingest_run_id"""
 
 
-def without_zones(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in names})
-
-
 @query(f"WITH {SILVER_SQL} {AUDIT_SQL}")
 def audit_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of every run, with all its columns."""
@@ -719,17 +724,11 @@ VIEW_COLUMNS = (
     "completeness_score data_quality_tier is_nutritional_data_complete sugar_tier fat_tier salt_tier nutriscore_score_raw nutriscore_grade_reported "
     "nutriscore_grade_recalculated nutriscore_grade_mismatch ingest_run_id ingested_at silver_processed_at last_modified_unix row_hash"
 ).split()
-_VIEW = {
-    "packaging": "'Unknown'", "allergens": "'Milk, Tree Nuts'", "carbohydrates_100g": "CAST(NULL AS DOUBLE)", "fiber_100g": "CAST(NULL AS DOUBLE)",
-    "ingested_at": "make_timestamp(last_modified_unix * 1000000)", "silver_processed_at": "make_timestamp(1700000000000000)",
-}
-
-
-@query(f"WITH {SILVER_SQL} SELECT {', '.join(f'{_VIEW[c]} AS {c}' if c in _VIEW else c for c in VIEW_COLUMNS)} FROM silver WHERE barcode IS NOT NULL")
+@query(f"WITH {SILVER_SQL} SELECT {_filled(VIEW_COLUMNS)} FROM silver WHERE barcode IS NOT NULL")
 def silver_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What gold reads of silver, by name; times without a zone, as both engines show them alike."""
     rows = spark.sql(f"SELECT {', '.join(VIEW_COLUMNS)} FROM {{silver}} WHERE barcode IS NOT NULL", silver=silver_feed(spark, sf_dir))
-    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ingested_at", "silver_processed_at")})
+    return without_zones(rows, "ingested_at", "silver_processed_at")
 
 
 @query("""SELECT lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS barcode, p_name AS product_name, p_brand AS brands_raw, 'en:' || lower(p_type) AS categories_raw,
@@ -776,6 +775,26 @@ def gold_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+#: Of each gold table what its rows are told by in SQL, and the columns that say the same.
+_GOLD_ROWS = {
+    "dim_product": ("SELECT sha256(barcode) AS key, product_name || '|' || ingest_run_id AS content FROM silver", ("product_name", "ingest_run_id")),
+    "dim_brand": ("SELECT DISTINCT sha256(primary_brand), primary_brand FROM silver", ("brand_name",)),
+    "dim_category": ("SELECT DISTINCT sha256(primary_category), primary_category FROM silver", ("category_name",)),
+    "dim_country": ("SELECT sha256(country_iso_code), country_iso_code || '|' || max(primary_country) FROM silver GROUP BY country_iso_code", ("country_iso_code", "country_name")),
+    "dim_nutriscore": ("SELECT sha256(grade), grade || '|' || description FROM grades", ("grade", "description")),
+    "fact_product_nutrition": ("SELECT product_key, category_name || '|' || healthiness_rank_in_category || '|' || category_product_count || '|' || is_above_avg_sugar FROM fact_out", ("category_name", "healthiness_rank_in_category", "category_product_count", "is_above_avg_sugar")),
+    "pipeline_audit": ("SELECT ingest_run_id, count(*) || '|' || count(DISTINCT primary_brand) FROM silver GROUP BY 1", ("total_products_processed", "unique_brands")),
+}
+
+
+@query(f"WITH {FACT_SQL}, {GRADE_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, * FROM ({sql})" for n, (sql, _) in _GOLD_ROWS.items()))
+def gold_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of every gold table, written and read back: key and what tells most about a row."""
+    made = gold.materialised(silver_table(spark, sf_dir), lookups.grade_lookup(spark), storage.fresh(spark, "gold"), SNAPSHOT, fixed_time())
+    rows = [df.select(F.lit(n).alias("table_name"), F.col(gold.TABLES[n]).alias("key"), F.concat_ws("|", *[F.col(c).cast("string") for c in _GOLD_ROWS[n][1]]).alias("content")) for n, df in made.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query(f"""WITH {SILVER_SQL}, last AS (SELECT * FROM silver WHERE ingest_run_id = (SELECT max(ingest_run_id) FROM silver))
 SELECT (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(DISTINCT barcode) AS n FROM silver GROUP BY ingest_run_id)) AS unique_products, count(*) AS products_latest_run, {_PCT('nutriscore_grade_mismatch')} AS mismatch_pct,
 {_PCT('energy_kcal_per_100g IS NULL')} AS missing_kcal_pct, CAST(1.5 AS DOUBLE) AS hours_since FROM last""")
