@@ -2,75 +2,29 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.session import ship
+from larder.storage import dropped, fresh, shared_folder, stored
+
+__all__ = ["appended", "dropped", "fresh", "in_sample", "same", "sample_bound", "shared_folder", "ship", "small_batches", "stored", "table", "texts_of", "unit", "with_fields"]
+
 #: Names that no input column is expected to have start with this.
 OWN = "__larder_"
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, for those that don't have it installed."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        root = Path(__file__).resolve().parent.parent
-        if root.is_dir():
-            base = Path(tempfile.mkdtemp(prefix="larder-code-")) / root.name
-            context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
-        _SHIPPED.add(context.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session (tests) gets a temporary one; a cluster must name its own.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := "file://" + tempfile.mkdtemp(prefix="larder-"))
-    return made
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read back: lineage ends here.
-
-    Lost executors then cost a reread of finished files, not a recomputation, and rows that
-    depend on arrival order are fixed from here on.
-    """
-    path = f"{shared_folder(df.sparkSession)}/larder-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a stored table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def with_fields(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     """schema and the fields, which replace those of the same name (case folded)."""
     taken = {f.name.lower() for f in fields}

@@ -8,8 +8,8 @@ others, the repeats and a few false alarms, shuffle, and an exact aggregation on
 digest decides among them, on digest and doc_id alone.
 
 A filter has MAX_SLOTS slots at most. A corpus too large for one is split by digest into as many
-buckets as it needs, each with a filter and a pass over the stored digests of its own, so the share
-of false alarms is the same at every size. To drop copies, documents are then tested against a
+buckets as it needs, dealt out once, each with a filter and a pass over its own stored digests, so the share
+of false alarms is the same at every size and all digests are read a fixed number of times. To drop copies, documents are then tested against a
 second filter that holds the repeated digests only: of each task's rows that it suspects, those with
 the largest doc_id of their text in the batch meet the groups' table, all others stay where they are. Where
 even the repeated digests are too many for one filter, more rows are suspected; results are exact.
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import OWN, appended, dropped, small_batches, stored, texts_of, with_fields
+from larder.llm.common import OWN, appended, dropped, fresh, small_batches, stored, texts_of, with_fields
 
 #: Slots per row, and the largest filter: 2**28 slots are 32 MB.
 SLOTS_PER_ROW = 16
@@ -99,15 +99,24 @@ def _hits(digests: pa.Array, bits: np.ndarray) -> np.ndarray:
     return hit
 
 
+def dealt(digests: DataFrame, n: int) -> list[DataFrame]:
+    """The digests in n buckets, each a stored table of its own: written once, so that a pass reads its own rows only."""
+    spark, path, name = digests.sparkSession, fresh(digests.sparkSession, "buckets"), f"{OWN}bucket"
+    # The bucket comes of other bytes than the slots.
+    bucket = F.pmod(F.conv(F.hex(F.substring(DIGEST, 15, 6)), 16, 10).cast("long"), F.lit(n)).cast("int")
+    digests.withColumn(name, bucket).hint("rebalance", name).write.partitionBy(name).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = {s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+    return [spark.read.schema(digests.schema).parquet(f"{path}/{name}={i}") for i in range(n) if f"{name}={i}" in there]
+
+
 def suspected(digests: DataFrame) -> DataFrame:
     """The digests with a mark that is false only where no other row has the same digest. Stored."""
     rows = digests.count()
     n = buckets(rows)
-    # The bucket comes of other bytes than the slots.
-    bucket = F.pmod(F.conv(F.hex(F.substring(DIGEST, 15, 6)), 16, 10).cast("long"), F.lit(n))
+    parts = [digests] if n == 1 else dealt(digests, n)
     out = None
-    for i in range(n):
-        mine = digests if n == 1 else digests.filter(bucket == i)
+    for mine in parts:
         bits = digests.sparkSession.sparkContext.broadcast(filled_slots(mine, filter_size(math.ceil(rows / n)), 2))
 
         def test(batches: Iterator[pa.RecordBatch], bits=bits) -> Iterator[pa.RecordBatch]:
@@ -116,6 +125,8 @@ def suspected(digests: DataFrame) -> DataFrame:
 
         part = stored(mine.mapInArrow(test, with_fields(digests.schema, T.StructField(MAYBE, T.BooleanType()))), "suspects")
         bits.destroy()
+        if n > 1:
+            dropped(mine)
         out = part if out is None else out.unionByName(part)
     return out
 

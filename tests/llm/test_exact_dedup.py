@@ -6,6 +6,7 @@ import pytest
 
 from larder.llm import exact_dedup as X
 from larder.llm import queries
+from larder.llm.common import stored
 from tests.helpers import assert_same
 from tests.llm.conftest import ROWS, CLASHING, frame
 
@@ -77,3 +78,14 @@ def test_empty_and_ids_missing(empty, no_id):
 
 def test_query(spark, tiny):
     assert_same(queries.QUERIES["op6_exact_dedup"](spark, tiny), queries.ORACLES["op6_exact_dedup"], tiny)
+
+
+def test_a_pass_reads_its_own_bucket(spark):
+    """Buckets share out the digests, and no file is in two of them."""
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('text ', id % 400) AS text")
+    digests = stored(X.digested(docs).drop("text"), "digests")
+    parts = X.dealt(digests, 7)
+    files = [set(p.inputFiles()) for p in parts]
+    assert len(parts) == 7 and sum(map(len, files)) == len(set().union(*files))
+    ids = [r["doc_id"] for p in parts for r in p.collect()]
+    assert sorted(ids) == list(range(500))

@@ -4,7 +4,7 @@ from collections import Counter
 import corpus_pipeline
 from larder.llm import quality
 from larder.llm.common import stored
-from tests.llm.conftest import CLASHING, frame
+from tests.llm.conftest import CLASHING, LONG, frame
 from tests.llm.test_exact_dedup import TABLE
 from tests.llm.test_mixing import brute as mixed_brute
 from tests.llm.test_near_dedup import brute as near_brute
@@ -74,3 +74,28 @@ def test_odd_columns_pass_through(spark):
         docs = stored(stage(spark, docs, ""), name)
         assert docs.columns[-len(CLASHING) :] == CLASHING, name
         assert all(r[c] == f"{c}!" for r in docs.collect() for c in CLASHING), name
+
+
+def test_long_texts_ties_and_capitals(spark):
+    """A very long text comes through whole, rows that tie in text and id leave one, of texts that differ in capitals the largest id stays."""
+    good = [(i, f"This is text number {i}, with a few words of its own, like {i * 7} and {i * 13}. It goes on, and ends.", "en", "s") for i in range(30)]
+    rows = [*good, good[3], good[3], (50, good[4][1].upper(), "en", "s"), (60, LONG, "en", "s"), (61, None, "en", "s"), (62, "", None, None)]
+    docs = frame(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stored(stage(spark, docs, ""), name)
+        ids = sorted(r["doc_id"] for r in docs.collect())
+        if name == "exact":
+            assert ids == sorted({*range(30), 50, 60, 62} - {4})
+    whole = docs.filter("doc_id = 60").first()["text"]
+    assert whole == LONG
+    packed = corpus_pipeline.packing_stage(spark, docs.filter("doc_id = 60"), "").collect()
+    assert sum(r["length"] for r in packed) > 2048 * 10 and len({r["sequence_id"] for r in packed}) == len(packed)
+
+
+def test_run_leaves_no_stage_tables(spark, tiny):
+    from larder.storage import shared_folder
+
+    corpus_pipeline.run(spark, tiny)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    assert not [n for n in names if n.startswith("larder-stage-")]
