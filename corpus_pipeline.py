@@ -1,7 +1,13 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
 Each stage takes what the one before it kept, written as Parquet and read again, and returns it in
-the columns of documents, but for the last, which returns pieces of sequences.
+the columns of documents, but for the last, which returns pieces of sequences. A stage's table goes when the next one's is written.
+
+Defined cases: null and empty texts have quality 0 and go in the first stage, so later ones see texts with words only; of rows that
+share text and doc_id one stays (exact), of texts that differ in capitals only the one with the largest doc_id; of near copies
+the smallest doc_id stays, and rows without a doc_id are neither near copies of others nor dropped for them; mixing repeats
+rows, so pieces of one document can lie in several sequences; texts of any length are read whole; extra columns ride along to the
+last stage, which returns its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import exact_dedup, mixing, near_dedup, packing, quality
-from larder.llm.common import stored, table
+from larder.llm.common import dropped, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            dropped(before)
+        before = docs
+    # The last stage has stored its pieces.
+    pieces = STAGES[-1][1](spark, docs, sf_dir)
+    dropped(docs)
+    return pieces
