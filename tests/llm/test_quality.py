@@ -143,3 +143,118 @@ def test_held_out_labels(spark):
     good = [r["accepted"] for r in rows if r["quality"] == 1]
     bad = [r["accepted"] for r in rows if r["quality"] == 0]
     assert sum(good) / len(good) >= 0.98 and sum(bad) / len(bad) <= 0.1
+
+
+# A plain version of everything: words one by one, EM over documents, training by loops.
+
+
+def plain_shape(word):
+    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
+    out = []
+    for k in kinds:
+        if not (len(out) > 1 and out[-1] == out[-2] == k):
+            out.append(k)
+    return "".join(out).replace("xx", "x").replace("99", "9")
+
+
+def plain_read(text):
+    import zlib
+
+    import xxhash
+
+    words = text.split()
+    n = len(words)
+    if not n:
+        return [0] * 10, {}
+    shapes = [plain_shape(w) for w in words]
+    known = [any(c in "Xx9" for c in s) for s in shapes]
+    prose = ".,;:!?'\"()-"
+    odd = [any(c not in "Xx9" + prose for c in s) or any(a == b and a in prose for a, b in zip(s, s[1:], strict=False)) for s in shapes]
+    share = lambda flags: sum(flags) / n
+    pairs = list(zip(words, words[1:], strict=False))
+    stammer = sum(a == b for a, b in pairs)
+    repeats = 1 - len(set(pairs)) / len(pairs) if pairs else 0.0
+    parts, part = [], ""
+    for c in text:
+        part = part + c if c not in ".!?\n" else (parts.append(part) or "")
+    parts = [p for p in (x.lstrip() for x in [*parts, part]) if len(p) > 20]
+    again = 1 - len(set(parts)) / len(parts) if parts else 0.0
+    raw = text.encode("utf-8", "surrogatepass")
+    packed = len(zlib.compress(raw, 1)) / len(raw)
+    most = max(words.count(w) for w in set(words))
+    measured = [
+        (share(odd), 0.1, 0.3, n >= 5), (1 - share(known), 0.02, 0.15, n >= 5), (share(["XX" in s and "x" not in s for s in shapes]), 0.15, 0.5, n >= 10), (stammer / n, 0.02, 0.15, n >= 10), (repeats, 0.1, 0.5, n >= 20),
+        (again, 0.05, 0.5, len(parts) >= 4), (share([s.endswith("!!") for s in shapes]), 0.01, 0.15, n >= 5), (1 - packed, 0.72, 0.85, len(raw) >= 300), (1 - share([k and not o for k, o in zip(known, odd, strict=True)]), 0.1, 0.35, n >= 10), (most / n, 0.12, 0.3, n >= 20),
+    ]
+    votes = [0 if not long else 1 if v <= good else 2 if v >= bad else 0 for v, good, bad, long in measured]
+    features = {}
+    for s in shapes:
+        key = xxhash.xxh32_intdigest(s) % 16384
+        features[key] = features.get(key, 0) + 1
+    for name, value in (("stammer", stammer), ("bigrams", repeats * n), ("repeated", again * n), ("packed", max(0.0, 0.8 - packed) * n if len(raw) >= 300 else 0)):
+        features[xxhash.xxh32_intdigest(name, 1) % 16384] = value
+    return votes, {k: math.sqrt(v / n) for k, v in features.items() if v > 0}
+
+
+def plain_em(all_votes):
+    p = [0.1 if 2 in v else 0.9 for v in all_votes]
+    n = len(all_votes)
+    for _ in range(100):
+        prior = (sum(p) + 1) / (n + 2)
+        chance = {}
+        for good in (True, False):
+            for k in range(10):
+                cast = {v: sum((q if good else 1 - q) for q, votes in zip(p, all_votes, strict=True) if votes[k] == v) + (2.0 if (v == 1) == good else 1.0) for v in (1, 2)}
+                if good:
+                    cast[1] += 0.2 * n * 0.999
+                    cast[2] += 0.2 * n * 0.001
+                chance |= {(good, k, v): cast[v] / (cast[1] + cast[2]) for v in (1, 2)} | {(good, k, 0): 1.0}
+        new = []
+        for votes in all_votes:
+            a, b = prior, 1 - prior
+            for k, v in enumerate(votes):
+                a, b = a * chance[True, k, v], b * chance[False, k, v]
+            new.append(a / (a + b))
+        done = max(abs(x - y) for x, y in zip(p, new, strict=True)) < 1e-9
+        p = new
+        if done:
+            break
+    return p
+
+
+def plain_train(rows, labels):
+    w, speed, b, b_speed = {}, {}, 0.0, 0.0
+    keys = {k for r in rows for k in r}
+    w, speed = dict.fromkeys(keys, 0.0), dict.fromkeys(keys, 0.0)
+    for _ in range(600):
+        gradient, errors = {k: 3e-5 * w[k] for k in keys}, 0.0
+        for r, y in zip(rows, labels, strict=True):
+            z = b + sum(w[k] * v for k, v in r.items())
+            e = (1 / (1 + math.exp(-max(-30, min(30, z)))) - y) / len(rows)
+            errors += e
+            for k, v in r.items():
+                gradient[k] += e * v
+        for k in keys:
+            speed[k] = 0.9 * speed[k] - 2.0 * gradient[k]
+            w[k] += speed[k]
+        b_speed = 0.9 * b_speed - 2.0 * errors
+        b += b_speed
+    return w, b
+
+
+def test_query_equals_a_plain_version(spark, tiny):
+    """Votes, accuracies, training and scores of the registered query, all computed anew without the library."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    read = {i: plain_read(t) for i, t in docs.items()}
+    label = dict(zip(docs, plain_em([read[i][0] for i in docs]), strict=True))
+    first = {t: i for i, t in reversed(docs.items())}
+    sample = [i for i in first.values() if read[i][1]]
+    w, b = plain_train([read[i][1] for i in sample], [label[i] for i in sample])
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_quality"](spark, tiny).collect()}
+    assert set(got) == set(docs)
+    for i in docs:
+        f = read[i][1]
+        z = b + sum(w[k] * v for k, v in f.items())
+        score = 1 / (1 + math.exp(-z)) if f else 0.0
+        assert abs(got[i]["quality_score"] - score) < 1e-3, i
+        assert got[i]["accepted"] == (score >= 0.5) or abs(score - 0.5) < 1e-3
