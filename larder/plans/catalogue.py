@@ -932,10 +932,12 @@ def latest_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     folder, root, checkpoint = storage.fresh(spark, "arrived"), storage.fresh(spark, "latest"), storage.fresh(spark, "state")
+    # A state partition for every hundred thousand keys, by the number of rows.
+    partitions = 4 + events.count() // 100_000
     for odd in (1, 0):
         events.filter(F.col("event_id") % 2 == odd).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(events.schema).parquet(folder)
-        latest_stream.keep_latest(stream, ["user_id"], "ts", root, checkpoint, ["event_id"], late="400 days").awaitTermination()
+        latest_stream.keep_latest(stream, ["user_id"], "ts", root, checkpoint, ["event_id"], late="400 days", partitions=partitions).awaitTermination()
     return without_zones(upsert.read(spark, root), "ts")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from larder.operators import upsert
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -88,13 +89,22 @@ def latest(rows: DataFrame, keys: Sequence[str], revision: str, ties: Sequence[s
     return few.groupBy(*keys).transformWithStateInPandas(processor, ordered, "Update", "EventTime" if late else "None").select(*schema.names)
 
 
-def keep_latest(rows: DataFrame, keys: Sequence[str], revision: str, table: str, checkpoint: str, ties: Sequence[str] = (), late: str | None = None, live: int = 7 * 24 * 3600) -> StreamingQuery:
-    """Runs through all rows that there are and upserts the newest of each key into a stored table, then stops."""
-    rows.sparkSession.conf.set(STORE, ROCKS)
+def keep_latest(rows: DataFrame, keys: Sequence[str], revision: str, table: str, checkpoint: str, ties: Sequence[str] = (), late: str | None = None, live: int = 7 * 24 * 3600, partitions: int | None = None) -> StreamingQuery:
+    """Runs through all rows that there are and upserts the newest of each key into a stored table, then stops.
+
+    partitions: of the state, which a checkpoint keeps for good; by default as many as shuffles have.
+    """
+    conf = rows.sparkSession.conf
+    conf.set(STORE, ROCKS)
+    usual = conf.get(PARTITIONS)
+    conf.set(PARTITIONS, str(partitions or usual))
 
     def batch(new: DataFrame, _: int) -> None:
         # One action only: each would run the batch, and its state, again. An upsert begins by storing its rows.
         upsert.upsert(new, table, keys, revision=revision)
 
     stream = latest(rows, keys, revision, ties, late, live)
-    return stream.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        return stream.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(PARTITIONS, usual)
