@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 from pathlib import Path
@@ -12,11 +13,14 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, for those that don't have it installed."""
+    """Sends this package to the executors once, for those that don't have it installed; Python processes beside the driver (sources and
+    stateful processors have such) find it by its path."""
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
         if root.is_dir():
+            known = context.environment.get("PYTHONPATH", "")
+            context.environment["PYTHONPATH"] = os.pathsep.join(p for p in (str(root.parent), known) if p)
             base = Path(tempfile.mkdtemp(prefix="larder-code-")) / root.name
             context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
         _SHIPPED.add(context.applicationId)
