@@ -17,6 +17,11 @@ names; folders that no manifest names (a writer at work, or one that failed) are
 Columns have numbers, by which files know them. A batch may bring new columns, and wider types of old ones (whole to longer
 whole, float to double); `rename` changes a name in the manifest alone. Readers ask for the numbers with the
 newest types, so no footers are merged.
+
+A table may have zones: the least and the largest value of some columns in each bucket's folder, kept in the manifest. `selected`
+reads only the folders whose zones reach into the ranges asked for (the rows of one run are in the buckets that it or later
+runs wrote), `found` only the buckets that given keys fall into. Inside a folder, files are sorted by the columns with zones, so that
+Parquet's own statistics skip row groups and pages as well.
 """
 
 from __future__ import annotations
@@ -69,6 +74,8 @@ class Bucket:
     code: int
     rows: int = 0
     folder: str | None = None
+    #: Column number, least and largest place (see _place) in the folder; None and None where all are null.
+    zones: tuple[tuple[int, int | str | None, int | str | None], ...] = ()
 
     @property
     def number(self) -> int:
@@ -89,11 +96,14 @@ class Manifest:
     buckets: tuple[Bucket, ...]
     bucket_rows: int = BUCKET_ROWS
     properties: Mapping[str, str] = field(default_factory=dict)
+    #: Numbers of the columns with zones.
+    zones: tuple[int, ...] = ()
 
     @classmethod
     def parsed(cls, text: str) -> Manifest:
         m = json.loads(text)
-        return cls(m["number"], tuple(map(tuple, m["columns"])), tuple(m["keys"]), tuple(Bucket(**b) for b in m["buckets"]), m["bucket_rows"], m["properties"])
+        buckets = tuple(Bucket(**b | {"zones": tuple(map(tuple, b.get("zones", ())))}) for b in m["buckets"])
+        return cls(m["number"], tuple(map(tuple, m["columns"])), tuple(m["keys"]), buckets, m["bucket_rows"], m["properties"], tuple(m.get("zones", ())))
 
     @property
     def schema(self) -> T.StructType:
@@ -107,6 +117,11 @@ class Manifest:
     def rows(self) -> int:
         return sum(b.rows for b in self.buckets)
 
+    @property
+    def zoned(self) -> list[tuple[int, str, str]]:
+        """The columns with zones, as far as their types have places."""
+        return [c for c in self.columns if c[0] in self.zones and _has_place(_type(c[2]))]
+
 
 def _type(kind: str) -> T.DataType:
     return T.StructType.fromJson({"type": "struct", "fields": [{"name": "x", "type": json.loads(kind), "nullable": True, "metadata": {}}]})[0].dataType
@@ -223,6 +238,32 @@ def _aligned(df: DataFrame, columns: Sequence[tuple[int, str, str]]) -> DataFram
     return df.select(*[(F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(_type(kind)).alias(name) for _, name, kind in columns])
 
 
+#: Signs of a text that a zone keeps.
+ZONE_SIGNS = 64
+
+
+def _has_place(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)) or kind.simpleString() == "string"
+
+
+def _place(c: Column, kind: T.DataType) -> Column:
+    """A number or short text that never falls when the value grows: whole numbers, beginnings of texts, days, microseconds; for
+    times without a zone their days."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        return F.unix_date(c.cast("date")).cast("long")
+    return c.cast("long") if isinstance(kind, T.IntegralType) else F.substring(c, 1, ZONE_SIGNS)
+
+
+def _zone_numbers(columns: Sequence[tuple[int, str, str]], names: Sequence[str], schema: T.StructType) -> tuple[int, ...]:
+    """The numbers of these columns, which must have places."""
+    for n in names:
+        if n not in schema.names or not _has_place(schema[n].dataType):
+            raise ValueError(f"{n} can't have zones")
+    return tuple(number for number, name, _ in columns if name in names)
+
+
 # Rows.
 
 
@@ -261,21 +302,75 @@ def read(spark: SparkSession, root: str, number: int | None = None) -> DataFrame
     return _read(spark, root, m, m.buckets)
 
 
+#: A range's ends, both included; None leaves it open.
+Range = tuple[object, object]
+
+
+def _reaching(spark: SparkSession, m: Manifest, within: Mapping[str, Range]) -> list[Bucket]:
+    """The buckets with rows that may lie in all ranges; what has no zone may."""
+    kinds = {name: (number, _type(kind)) for number, name, kind in m.columns}
+    zoned = {number for number, _, _ in m.zoned}
+    asked = [(name, *ends) for name, ends in within.items() if kinds[name][0] in zoned]
+    if not asked:
+        return [b for b in m.buckets if b.folder]
+    # The ends' places by the same expression as the rows' ones; constants, so there is no job.
+    place = lambda name, end: _place(F.lit(end).cast(kinds[name][1]), kinds[name][1])
+    places = spark.sql("SELECT 1").select(*[place(name, end) for name, *ends in asked for end in ends]).first()
+    ranges = {kinds[name][0]: places[2 * i : 2 * i + 2] for i, (name, _, _) in enumerate(asked)}
+
+    def reaches(b: Bucket) -> bool:
+        known = {number: ends for number, *ends in b.zones}
+        for number, (low, high) in ranges.items():
+            if number in known:
+                least, largest = known[number]
+                if least is None or (low is not None and largest < low) or (high is not None and least > high):
+                    return False
+        return True
+
+    return [b for b in m.buckets if b.folder and reaches(b)]
+
+
+def selected(spark: SparkSession, root: str, within: Mapping[str, Range], number: int | None = None) -> DataFrame:
+    """The rows whose columns lie in ranges (nulls lie in none); folders whose zones don't reach into them aren't read."""
+    m = manifest(spark, root, number)
+    rows = _read(spark, root, m, _reaching(spark, m, within))
+    for name, (low, high) in within.items():
+        c, kind = F.col(f"`{name}`"), m.schema[name].dataType
+        rows = rows.filter(c.isNotNull())
+        rows = rows if low is None else rows.filter(c >= F.lit(low).cast(kind))
+        rows = rows if high is None else rows.filter(c <= F.lit(high).cast(kind))
+    return rows
+
+
+def found(wanted: DataFrame, root: str, number: int | None = None) -> DataFrame:
+    """The rows whose keys are in wanted (nulls never are), from the buckets only that these fall into. Computes wanted twice."""
+    spark = wanted.sparkSession
+    m = manifest(spark, root, number)
+    keys = _aligned(wanted, [c for c in m.columns if c[1] in m.keys]).dropna()
+    hit = {r[BUCKET] for r in keys.select(_number(_hash(m.schema, m.keys), m.buckets).alias(BUCKET)).distinct().collect()}
+    return _read(spark, root, m, [b for b in m.buckets if b.number in hit]).join(keys, list(m.keys), "left_semi")
+
+
 def _write(df: DataFrame, root: str, m: Manifest, buckets: Sequence[Bucket]) -> list[Bucket]:
     """Writes rows that fall into these buckets of a directory (m's, with some replaced); returns them with rows and folders."""
     folder = f"{DATA}/{uuid.uuid4().hex}"
     inside = df.select(*[F.col(f"`{name}`").alias(f"c{number}") for number, name, _ in m.columns], _number(_hash(m.schema, m.keys), buckets).alias(BUCKET))
-    inside.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
-    return _counted(df.sparkSession, root, folder, buckets)
+    dealt = inside.hint("rebalance", BUCKET)
+    if m.zoned:
+        dealt = dealt.sortWithinPartitions(BUCKET, *[f"c{number}" for number, _, _ in m.zoned])
+    dealt.write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
+    return _counted(df.sparkSession, root, folder, m, buckets)
 
 
-def _counted(spark: SparkSession, root: str, folder: str, buckets: Sequence[Bucket]) -> list[Bucket]:
-    rows = {}
+def _counted(spark: SparkSession, root: str, folder: str, m: Manifest, buckets: Sequence[Bucket]) -> list[Bucket]:
+    """The buckets with the rows and zones of what was written: one row a bucket, of the footers and the columns with zones alone."""
+    made = {}
     if any(n.startswith(f"{BUCKET}=") for n in _names(spark, f"{root}/{folder}")):
-        # One row a bucket, of the files' footers.
-        counts = spark.read.schema(f"{BUCKET} int").parquet(f"{root}/{folder}").groupBy(BUCKET).count()
-        rows = {r[BUCKET]: r["count"] for r in counts.collect()}
-    return [replace(b, rows=rows[b.number], folder=f"{folder}/{BUCKET}={b.number}") if b.number in rows else replace(b, rows=0, folder=None) for b in buckets]
+        inside = T.StructType([T.StructField(f"c{number}", _type(kind)) for number, _, kind in m.zoned]).add(BUCKET, T.IntegerType())
+        ends = [end(_place(F.col(f"c{number}"), _type(kind))).alias(f"{name}{number}") for number, _, kind in m.zoned for name, end in (("least", F.min), ("largest", F.max))]
+        counts = spark.read.schema(inside).parquet(f"{root}/{folder}").groupBy(BUCKET).agg(F.count("*").alias("rows"), *ends)
+        made = {r[BUCKET]: {"rows": r["rows"], "zones": tuple((n, r[f"least{n}"], r[f"largest{n}"]) for n, _, _ in m.zoned)} for r in counts.collect()}
+    return [replace(b, folder=f"{folder}/{BUCKET}={b.number}", **made[b.number]) if b.number in made else replace(b, rows=0, folder=None, zones=()) for b in buckets]
 
 
 def _grown(bucket: Bucket, rows: int, most: int) -> list[Bucket]:
@@ -334,8 +429,11 @@ def vacuum(spark: SparkSession, root: str, hours: float = 168) -> list[str]:
     return gone
 
 
-def overwrite(df: DataFrame, root: str, keep: int = KEEP, keys: Sequence[str] | None = None, bucket_rows: int = BUCKET_ROWS, properties: Mapping[str, str] | None = None) -> int:
-    """A new version with whatever columns df has; returns its number. Raises Conflict if another one came in between."""
+def overwrite(df: DataFrame, root: str, keep: int = KEEP, keys: Sequence[str] | None = None, bucket_rows: int = BUCKET_ROWS, properties: Mapping[str, str] | None = None, zones: Sequence[str] | None = None) -> int:
+    """A new version with whatever columns df has; returns its number. Raises Conflict if another one came in between.
+
+    zones None: those columns have zones that have them now.
+    """
     spark = df.sparkSession
     last = version(spark, root)
     old = manifest(spark, root, last) if last is not None else None
@@ -347,7 +445,9 @@ def overwrite(df: DataFrame, root: str, keep: int = KEEP, keys: Sequence[str] |
     except ValueError:
         columns = _columns([], df.schema)
     order = {n: i for i, n in enumerate(df.columns)}
-    m = Manifest((last or 0) + 1, tuple(sorted(columns, key=lambda c: order[c[1]])), tuple(keys), (), bucket_rows, dict(properties or {}))
+    if zones is None:
+        zones = [name for _, name, _ in (old.zoned if old else []) if name in df.columns and _has_place(df.schema[name].dataType)]
+    m = Manifest((last or 0) + 1, tuple(sorted(columns, key=lambda c: order[c[1]])), tuple(keys), (), bucket_rows, dict(properties or {}), _zone_numbers(columns, zones, df.schema))
     made = _rewritten(spark, root, m, _write(df, root, m, Bucket(0, 0).split(DEPTH)))
     if not _published(spark, root, replace(m, buckets=tuple(made))):
         for b in made:
@@ -415,8 +515,9 @@ def upsert(
     properties: Mapping[str, str] | None = None,
     expected: Mapping[str, str | None] | None = None,
     how: How | None = None,
+    zones: Sequence[str] | None = None,
 ) -> int:
-    """Merges new, one row a key, into the table, or makes it; returns the version. guarded: older revisions don't win.
+    """Merges new, one row a key, into the table, or makes it, with zones; returns the version. guarded: older revisions don't win.
 
     how replaces the merge by another one, of rows that share no bucket with others. The version gets the properties;
     expected ones must be as given just before, or nothing is written and Conflict is raised.
@@ -433,7 +534,7 @@ def upsert(
     try:
         if not exists(spark, root):
             try:
-                return overwrite(rows, root, keep, keys, bucket_rows, properties)
+                return overwrite(rows, root, keep, keys, bucket_rows, properties, zones)
             except Conflict:
                 pass  # made by someone else meanwhile
         for _ in range(TRIES):
@@ -453,18 +554,33 @@ def upsert(
         _deleted(spark, staged)
 
 
-def rename(spark: SparkSession, root: str, old: str, new: str) -> int:
-    """Gives a column another name, in the manifest alone."""
+def _altered(spark: SparkSession, root: str, change: Callable[[Manifest], Manifest]) -> int:
+    """A version with another manifest and the same folders."""
     for _ in range(TRIES):
         m = manifest(spark, root)
+        following = replace(change(m), number=m.number + 1)
+        if _published(spark, root, following):
+            return following.number
+    raise Conflict(f"{root} was written by others {TRIES} times")
+
+
+def rename(spark: SparkSession, root: str, old: str, new: str) -> int:
+    """Gives a column another name, in the manifest alone."""
+
+    def change(m: Manifest) -> Manifest:
         names = [n for _, n, _ in m.columns]
         if old not in names or new in names:
             raise ValueError(f"{old} can't become {new} among {', '.join(names)}")
         other = lambda n: new if n == old else n
-        following = replace(m, number=m.number + 1, columns=tuple((i, other(n), k) for i, n, k in m.columns), keys=tuple(map(other, m.keys)))
-        if _published(spark, root, following):
-            return following.number
-    raise Conflict(f"{root} was written by others {TRIES} times")
+        return replace(m, columns=tuple((i, other(n), k) for i, n, k in m.columns), keys=tuple(map(other, m.keys)))
+
+    return _altered(spark, root, change)
+
+
+def zone(spark: SparkSession, root: str, *columns: str) -> int:
+    """These columns have zones from now on, others don't; a folder that is there already gets its ones when it's written anew, and
+    is always read until then."""
+    return _altered(spark, root, lambda m: replace(m, zones=_zone_numbers(m.columns, columns, m.schema)))
 
 
 def changes(spark: SparkSession, root: str, since: int | None, until: int | None = None) -> DataFrame:

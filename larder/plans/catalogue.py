@@ -473,6 +473,26 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.changes(spark, root, last - 1).select("user_id", "event_id", "change")
 
 
+@query("SELECT o_orderkey, o_orderdate, o_orderstatus, strftime(o_orderdate, '%Y%m') AS ingest_run_id FROM orders WHERE strftime(o_orderdate, '%Y%m') BETWEEN '199504' AND '199506'")
+def runs_by_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of some runs of a stored table with zones, upserted by halves of years; folders without these runs aren't read."""
+    orders, root = table(spark, sf_dir, "orders"), storage.fresh(spark, "zoned")
+    runs = orders.select("o_orderkey", "o_orderdate", "o_orderstatus", F.date_format("o_orderdate", "yyyyMM").alias("ingest_run_id"))
+    for late in (0, 1):
+        batch = runs.filter((F.month("o_orderdate") > 6).cast("int") == late)
+        upsert.upsert(batch, root, ["o_orderkey"], guarded=False, bucket_rows=20_000, zones=["ingest_run_id"])
+    return upsert.selected(spark, root, {"ingest_run_id": ("199504", "199506")})
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09)")
+def keys_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a stored table that have given keys, from the buckets that these fall into."""
+    root = storage.fresh(spark, "looked")
+    upsert.overwrite(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), root, keys=["o_orderkey"], bucket_rows=20_000)
+    wanted = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09").select(F.col("l_orderkey").alias("o_orderkey"))
+    return upsert.found(wanted, root)
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS maker, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_size AS BIGINT) ELSE p_size * 1000000000000 END AS amount FROM part""")
 def columns_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three upserts into a stored table: as it is, with a new column, which is then renamed, and with a wider one; footers aren't merged."""

@@ -26,7 +26,7 @@ def upsert_silver(pages: DataFrame, lookup: DataFrame, table: str, checkpoint: s
 
     def batch(rows: DataFrame, _: int) -> None:
         if not rows.isEmpty():
-            upsert.upsert(silver(bronze(rows), lookup, processed_at), table)
+            upsert.upsert(silver(bronze(rows), lookup, processed_at), table, zones=["ingest_run_id"])
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -350,3 +350,80 @@ def test_a_refresh_is_counted_once(spark, tmp_path, monkeypatch):
     with pytest.raises(Conflict):
         audits.refresh(spark, root, state)
     assert audits.audit(upsert.read(spark, state)).first()["total_products_processed"] == 2
+
+
+# Zones and key lookups.
+
+
+def run_rows(spark, first, n, run):
+    return spark.range(first, first + n).selectExpr("concat('k', id) AS barcode", f"{run[1:]}L AS last_modified_unix", f"'{run}' AS run")
+
+
+def read_folders(df):
+    return {str(Path(f).parent) for f in df.inputFiles()}
+
+
+def test_rows_of_a_run_are_read_from_its_folders_only(spark, root):
+    upsert.upsert(run_rows(spark, 0, 2000, "r1"), root, bucket_rows=100, zones=["run"])
+    for k, run in enumerate(("r2", "r3")):
+        upsert.upsert(run_rows(spark, 3000 + k, 1, run), root, bucket_rows=100)
+    m = upsert.manifest(spark, root)
+    one = upsert.selected(spark, root, {"run": ("r3", "r3")})
+    assert [r["barcode"] for r in one.collect()] == ["k3001"] and len(read_folders(one)) == 1 < len(m.folders)
+    assert upsert.selected(spark, root, {"run": ("r2", None)}).count() == 2 and upsert.selected(spark, root, {"run": (None, "r1")}).count() == 2000
+    none = upsert.selected(spark, root, {"run": ("r4", "r5")})
+    assert none.isEmpty() and none.columns == one.columns and not none.inputFiles()
+    # A column without zones is filtered all the same, also together with one that has them; names follow a rename.
+    assert upsert.selected(spark, root, {"barcode": ("k1", "k10")}).count() == 2
+    upsert.rename(spark, root, "run", "batch")
+    both = upsert.selected(spark, root, {"batch": ("r3", None), "barcode": ("k3", None)})
+    assert both.count() == 1 and len(read_folders(both)) == 1
+    assert upsert.selected(spark, root, {"run": ("r1", "r1")}, number=1).count() == 2000
+
+
+def test_zones_of_every_type_skip_nothing_that_counts(spark, root):
+    """Each row is found by each of its values, whatever the order of types, nulls and long texts."""
+    rows = spark.range(40).selectExpr(
+        "concat('k', id) AS barcode", "1L AS last_modified_unix", "CAST(nullif(id - 20, 3) AS SMALLINT) AS whole", "date_add(DATE'1969-12-20', CAST(id AS INT)) AS day",
+        "timestamp_micros(id * 7777777 - 100000000) AS at", "TIMESTAMP_NTZ'1969-12-30 23:00:00' + make_dt_interval(0, CAST(id AS INT)) AS local",
+        f"CASE WHEN id % 3 > 0 THEN concat(repeat('x', {upsert.ZONE_SIGNS}), char(64 + id)) WHEN id > 5 THEN '\U0001F600\uFFFD' ELSE '' END AS text", "CAST(NULL AS STRING) AS nothing",
+    )
+    names = ["whole", "day", "at", "local", "text", "nothing"]
+    upsert.upsert(rows, root, bucket_rows=3, zones=names)
+    got = upsert.read(spark, root).collect()
+    for name in names[:-1]:
+        for r in got[:: 7 if name != "text" else 3]:
+            if r[name] is not None:
+                same = upsert.selected(spark, root, {name: (r[name], r[name])}).collect()
+                assert {x["barcode"] for x in same} == {x["barcode"] for x in got if x[name] == r[name]}
+    part = upsert.selected(spark, root, {"whole": (15, None)})
+    assert part.count() == 5 and len(read_folders(part)) <= 5 < len(upsert.manifest(spark, root).folders)
+    assert not upsert.selected(spark, root, {"nothing": (None, None)}).inputFiles()
+    with pytest.raises(ValueError, match="zones"):
+        upsert.overwrite(rows.withColumn("x", F.lit(1.0)), root, zones=["x"])
+
+
+def test_zones_of_a_table_that_had_none(spark, root):
+    """Folders written before are read; an overwrite keeps the zones."""
+    upsert.upsert(run_rows(spark, 0, 300, "r1"), root)
+    old = upsert.manifest(spark, root).folders
+    upsert.zone(spark, root, "run")
+    upsert.upsert(run_rows(spark, 1000, 1, "r2"), root)
+    one = upsert.selected(spark, root, {"run": ("r2", "r2")})
+    assert one.count() == 1 and len(read_folders(one)) == len(old)
+    upsert.overwrite(upsert.read(spark, root), root)
+    one = upsert.selected(spark, root, {"run": ("r2", "r2")})
+    assert one.count() == 1 and len(read_folders(one)) == 1
+    # A type without places has no zones any more; everything is read.
+    upsert.overwrite(upsert.read(spark, root).withColumn("run", F.substring("run", 2, 1).cast("double")), root)
+    assert upsert.selected(spark, root, {"run": (2, 2)}).count() == 1
+
+
+def test_keys_are_looked_up_in_their_buckets(spark, root):
+    upsert.upsert(many(spark, 3000), root, bucket_rows=100)
+    wanted = keyed(spark, ("k7", 9, "ignored"), ("k7", 9, "twice"), ("k99", 9, "x"), ("absent", 9, "x"), (None, 9, "x"))
+    rows = upsert.found(wanted, root)
+    assert sorted(r["barcode"] for r in rows.collect()) == ["k7", "k99"] and {r["v"] for r in rows.collect()} == {"a"}
+    looked = {f for f in read_folders(rows) if root in f}
+    assert len(looked) <= 3 < len(upsert.manifest(spark, root).folders)
+    assert upsert.found(wanted.limit(0), root).isEmpty()
