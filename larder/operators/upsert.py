@@ -19,9 +19,9 @@ whole, float to double); `rename` changes a name in the manifest alone. Readers
 newest types, so no footers are merged.
 
 A table may have zones: the least and the largest value of some columns in each bucket's folder, kept in the manifest. `selected`
-reads only the folders whose zones reach into the ranges asked for, `found` only the buckets that given keys fall into. As buckets go by the keys' hash, a run that is spread over all keys is in every folder;
-zones save folders for the newest runs that touched few buckets. Inside a folder, files are sorted by the columns with zones, so that
-Parquet's own statistics skip row groups and pages as well.
+reads only the folders whose zones reach into the ranges asked for, `found` only the buckets that given keys fall into. As buckets
+go by the keys' hash, a run that is spread over all keys is in every folder; zones save folders for the newest runs that touched
+few buckets. Inside a folder, files are sorted by the columns with zones, so that Parquet's own statistics are of use in large ones.
 """
 
 from __future__ import annotations

@@ -475,7 +475,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderdate, o_orderstatus, strftime(o_orderdate, '%Y%m') AS ingest_run_id FROM orders WHERE strftime(o_orderdate, '%Y%m') BETWEEN '199504' AND '199506'")
 def runs_by_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of some runs of a stored table with zones, upserted by halves of years. Its buckets hold all runs, so what is skipped here is pages inside the folders."""
+    """The rows of some runs of a stored table with zones, upserted by halves of years. Each bucket holds all runs, so no folder is skipped here."""
     orders, root = table(spark, sf_dir, "orders"), storage.fresh(spark, "zoned")
     runs = orders.select("o_orderkey", "o_orderdate", "o_orderstatus", F.date_format("o_orderdate", "yyyyMM").alias("ingest_run_id"))
     for late in (0, 1):
