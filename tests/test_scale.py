@@ -25,7 +25,7 @@ def halves(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["silver_products", "silver_view"])
+@pytest.mark.parametrize("name", ["fact_star", "silver_products", "silver_view"])
 def test_halves_are_rounded_up(spark, halves, name):
     assert_same(catalogue.QUERIES[name](spark, halves), catalogue.ORACLES[name], halves)
 
