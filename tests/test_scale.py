@@ -63,3 +63,10 @@ def test_lines_are_cut_before_they_get_wide(spark, tiny, name):
     part = next(i for i, line in enumerate(plan) if "p_partkey" in line and "Relation" in line)
     join = next(i for i, line in enumerate(plan) if "Join Inner, (l_partkey" in line)
     assert cuts and join < cuts[0] < part
+
+
+def test_incremental_audit_stores_no_raw_rows(spark, tiny, monkeypatch):
+    names, kept = [], catalogue.storage.stored
+    monkeypatch.setattr(catalogue.storage, "stored", lambda df, name: names.append(name) or kept(df, name))
+    catalogue.QUERIES["audit_incremental"](spark, tiny)
+    assert "raw" not in names
