@@ -135,3 +135,27 @@ def test_query(spark, tiny):
 def test_sql(spark):
     folder = "/root/testdata/sf0.01"
     assert_same(queries.QUERIES["op10_bm25_top_k"](spark, folder), queries.ORACLES["op10_bm25_top_k"], folder)
+
+
+def test_stored_shards_are_searched_row_by_row(spark, monkeypatch):
+    """A task that searches several stored shards gets them one at a time: a batch of them all is as large as its share of the index."""
+    usual = spark.conf.get(S.BATCH_ROWS)
+    searching = S._searching
+
+    def watched(shared, mean_length, k):
+        search = searching(shared, mean_length, k)
+
+        def each(batches):
+            def one():
+                for b in batches:
+                    assert b.num_rows == 1, b.num_rows
+                    yield b
+
+            return search(one())
+
+        return each
+
+    monkeypatch.setattr(S, "_searching", watched)
+    docs = frame(spark, [(i, f"w{i % 7} x{i % 5} y{i}", "en", "web") for i in range(200)]).repartition(16)
+    found = S.search(docs, docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+    assert found.filter("rank = 1").count() == 4 and spark.conf.get(S.BATCH_ROWS) == usual
