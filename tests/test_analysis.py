@@ -2,10 +2,12 @@
 
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.operators import distinct, gold, quality_gates, ranks, upsert, variants
 from larder.session import ship
@@ -193,3 +195,39 @@ def test_keep_latest_drops_late_rows_and_old_state(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     got = {r["k"]: (r["at"], r["n"]) for r in upsert.read(spark, table).collect()}
     assert got == {"a": (day(41), 1), "b": (day(1), 3), "c": (day(40), 1)}
+
+
+class Counted:
+    """A state handle that counts its calls; the state gives times without a zone, as Spark's does."""
+
+    def __init__(self):
+        self.calls, self.place, self.timers = 0, None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.place
+
+    def update(self, place):
+        self.calls += 1
+        self.place = tuple(v.astimezone().replace(tzinfo=None) if isinstance(v, datetime) else v for v in place)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_keep_latest_asks_little_for_a_key(spark):
+    """A key's rows are plain rows, whose times have a zone; its state is read once and written with its timer when a row is newer."""
+    handle, schema = Counted(), T.StructType.fromDDL("at timestamp, n double, k string")
+    newest = latest.Newest(schema, ["at", "n"], 1000)
+    newest.init(handle)
+    at = lambda hour: datetime(2024, 1, 1, hour, tzinfo=timezone.utc)
+    row = lambda hour, n: Row(at=None if hour is None else at(hour), n=n, k="a")
+    give = lambda *rows: list(newest.handleInputRows(("a",), iter(rows), None))
+    assert give(row(None, 5.0), row(3, float("nan")), row(3, 1.0), row(2, 9.0)) == [row(3, 1.0)]
+    assert handle.calls == 3 and handle.timers == [int(at(3).timestamp() * 1000) + 1000]
+    assert give(row(3, 1.0), row(3, float("nan")), row(2, 8.0)) == [] and handle.calls == 4
+    assert give(row(3, 2.0)) == [row(3, 2.0)]
