@@ -1,4 +1,5 @@
-"""The paginated source as a Spark data source: executors ask for pages, each page is a partition of its own.
+"""The paginated source as a Spark data source: executors ask for pages. Up to SPREAD pages each is a partition of its own; of more, a
+partition is a run of pages, RUN at most, so that a long window doesn't cost a task, and a file behind it, for every page.
 
 `register(spark)` makes it known as format "pages". Options: url; transport, "module:function" of a `pages.Transport` that
 executors can import; run_id; records_per_page; tries; and, for a batch, first and pages, the window. Busy answers are tried again
@@ -26,11 +27,22 @@ from larder.sources.schemas import EXTRA_FIELDS, PAGE, PRODUCT_FIELDS
 
 FORMAT = "pages"
 
+#: Partitions that a window is spread over before they get more than a page, and pages that a partition has at most.
+SPREAD, RUN = 64, 100
 
-class Page(InputPartition):
-    def __init__(self, number: int) -> None:
-        super().__init__(number)
-        self.number = number
+
+class Pages(InputPartition):
+    """Pages from first to before end."""
+
+    def __init__(self, first: int, end: int) -> None:
+        super().__init__((first, end))
+        self.first, self.end = first, end
+
+
+def runs(first: int, end: int) -> list[Pages]:
+    """The window's pages in even runs."""
+    size = max(1, min(RUN, (end - first) // SPREAD))
+    return [Pages(p, min(p + size, end)) for p in range(first, end, size)]
 
 
 class Client:
@@ -58,8 +70,13 @@ class Client:
         """How many pages there are now, by what the source reports."""
         return math.ceil(int(self._answer(self.first).get("count") or 0) / self.size)
 
-    def rows(self, page: int) -> Iterator[tuple]:
-        """The page's envelope as a row of PAGE, if it has products."""
+    def rows(self, pages: Pages) -> Iterator[tuple]:
+        """The pages' envelopes as rows of PAGE, one after the other."""
+        for page in range(pages.first, pages.end):
+            yield from self._row(page)
+
+    def _row(self, page: int) -> Iterator[tuple]:
+        """The page's envelope, if it has products."""
         body = self._answer(page)
         products = body.get("products") or []
         if products:
@@ -70,11 +87,11 @@ class PageReader(DataSourceReader):
     def __init__(self, client: Client) -> None:
         self.client = client
 
-    def partitions(self) -> list[Page]:
-        return [Page(p) for p in range(self.client.first, self.client.first + self.client.pages)]
+    def partitions(self) -> list[Pages]:
+        return runs(self.client.first, self.client.first + self.client.pages)
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return self.client.rows(partition.number)
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        return self.client.rows(partition)
 
 
 class PageStreamReader(DataSourceStreamReader):
@@ -90,11 +107,11 @@ class PageStreamReader(DataSourceStreamReader):
         self.reached = max(self.reached, self.client.last_page() + 1)
         return {"next_page": self.reached}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(p) for p in range(start["next_page"], end["next_page"])]
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        return runs(start["next_page"], end["next_page"])
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return self.client.rows(partition.number)
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        return self.client.rows(partition)
 
     def commit(self, end: dict) -> None:
         pass  # the query's checkpoint holds it

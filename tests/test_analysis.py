@@ -146,6 +146,19 @@ def test_a_page_is_a_partition(spark):
         spark.read.format("pages").options(**options(pages="0")).load().count()
 
 
+def test_long_windows_are_runs_of_pages():
+    """Partitions grow far slower than pages, cover each page once in order, and give the pages' rows."""
+    for first, pages in ((1, 3), (5, 64), (2, 127), (7, 130), (1, 999), (3, 36_001)):
+        asked = page_source.Client(options(first=str(first), pages=str(pages)))
+        batch = page_source.PageReader(asked).partitions()
+        stream = page_source.PageStreamReader(asked).partitions({"next_page": first}, {"next_page": first + pages})
+        for parts in (batch, stream):
+            assert [p for r in parts for p in range(r.first, r.end)] == list(range(first, first + pages))
+            assert len(parts) <= max(2 * page_source.SPREAD, -(-pages // page_source.RUN))
+    assert page_source.runs(4, 4) == []
+    assert [r[1] for r in page_source.Client(options()).rows(page_source.Pages(1, 9))] == [1, 2, 3]
+
+
 def test_stream_offsets_are_pages(spark, tmp_path):
     """Started again, the stream asks for new pages only."""
     ship(spark)
