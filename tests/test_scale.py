@@ -70,3 +70,10 @@ def test_incremental_audit_stores_no_raw_rows(spark, tiny, monkeypatch):
     monkeypatch.setattr(catalogue.storage, "stored", lambda df, name: names.append(name) or kept(df, name))
     catalogue.QUERIES["audit_incremental"](spark, tiny)
     assert "raw" not in names
+
+
+def test_lines_of_pages_are_collected_once_dealt_out(spark, tiny):
+    """No partial collecting, which would sort all rows and save nothing, before lines are dealt out to their pages."""
+    plan = catalogue.QUERIES["flatten_pages"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    top, _, below = plan.partition("Exchange hashpartitioning(l_orderkey")
+    assert below and "ObjectHashAggregate" in top and "ObjectHashAggregate" not in below
