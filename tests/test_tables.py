@@ -427,3 +427,20 @@ def test_keys_are_looked_up_in_their_buckets(spark, root):
     looked = {f for f in read_folders(rows) if root in f}
     assert len(looked) <= 3 < len(upsert.manifest(spark, root).folders)
     assert upsert.found(wanted.limit(0), root).isEmpty()
+
+
+def test_guarded_merges_deal_rows_out_once(spark, tmp_path, monkeypatch):
+    """By buckets of several depths and slices of them: the rows of merged_latest, no shuffle but one; a first upsert splits its buckets before it writes."""
+    writes, saved = [], upsert._saved
+    monkeypatch.setattr(upsert, "_saved", lambda dealt, *more: writes.append(dealt) or saved(dealt, *more))
+    monkeypatch.setattr(upsert, "SLICE_ROWS", 7)
+    side = lambda n, step, at: spark.range(0, n, step).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), ((F.col("id") * 7) % 5 + at).alias("at"), F.concat(F.lit(f"{at}-"), "id").alias("v"))
+    old, new, root = side(600, 1, 0), side(900, 2, 1), str(tmp_path / "t")
+    for rows in (old, new):
+        upsert.upsert(rows, root, ["k"], revision="at", bucket_rows=40)
+    got = upsert.read(spark, root)
+    assert len({b.depth for b in upsert.manifest(spark, root).buckets}) > 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, upsert.merged_latest(old, new, ["k"], "at").collect()))
+    assert len(writes) == 2
+    plan = writes[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
