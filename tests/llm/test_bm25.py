@@ -159,3 +159,36 @@ def test_stored_shards_are_searched_row_by_row(spark, monkeypatch):
     docs = frame(spark, [(i, f"w{i % 7} x{i % 5} y{i}", "en", "web") for i in range(200)]).repartition(16)
     found = S.search(docs, docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
     assert found.filter("rank = 1").count() == 4 and spark.conf.get(S.BATCH_ROWS) == usual
+
+
+def test_common_words_are_not_added_posting_by_posting(monkeypatch):
+    """Of a query as long as a document most postings are those of common words: they come as a product, or for the few documents that block maxima leave."""
+    import numpy as np
+
+    monkeypatch.setattr(S, "DENSE", 48)
+    monkeypatch.setattr(S, "MIDDLE", 100, raising=False)
+    rng = np.random.default_rng(11)
+    n, v = 3000, 2500
+    share = np.minimum(0.5, 5 / (np.arange(v) + 8))
+    term, doc = np.nonzero(rng.random((v, n)) < share[:, None])
+    tf = rng.integers(1, 4, len(doc))
+    lengths, size = np.bincount(doc, tf, n), np.bincount(term, minlength=v)
+    idf = np.log(1 + (n - size + 0.5) / (size + 0.5))
+    impact = tf * (S.K1 + 1) / (tf + S.K1 * (1 - S.B + S.B * lengths / lengths.mean())[doc])
+    added, scored = [], []
+    add, full = S.Shard._add, S.Shard.full
+    monkeypatch.setattr(S.Shard, "_add", lambda self, total, terms, weights: (added.append(size[terms].sum()), add(self, total, terms, weights))[1])
+    monkeypatch.setattr(S.Shard, "full", lambda self, docs, *more: (scored.append(len(docs)), full(self, docs, *more))[1])
+    shard = S.Shard([S.Part(np.arange(n), lengths, doc, term, tf.astype(np.float32))], v, lengths.mean())
+    threshold, whole = {}, []
+    for _ in range(2):
+        for q in range(0, n, 100):
+            terms = np.unique(term[doc == q])
+            whole.append(size[terms].sum())
+            ids, scores = shard.top(terms, idf[terms], 10, threshold.get(q, 0.0), np.zeros(v))
+            want = np.round(np.bincount(doc, np.where(np.isin(term, terms), idf[term], 0) * impact, n), S.DIGITS)
+            best = np.lexsort((np.arange(n), -want))[:10]
+            assert ids.tolist() == best.tolist() and scores.tolist() == pytest.approx(want[best].tolist())
+            threshold[q] = float(scores[-1])
+    assert sum(added) < sum(whole) / 3, sum(added) / sum(whole)
+    assert sum(scored) < 25 * len(whole)
